@@ -68,13 +68,17 @@ def text_bytes(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Words:
-    """Words of a run of texts. ``joined`` has every word followed by one space; word i is joined[start[i]:end[i]], text t
-    has the words first[t] to first[t + 1]."""
+    """Words of a run of texts. ``joined`` has every word followed by one space; word i is joined[start[i]:end[i]] and
+    begins at byte begin[i] of ``raw``; text t has the words first[t] to first[t + 1], the bytes offsets[t] to
+    offsets[t + 1]."""
 
     joined: np.ndarray
     start: np.ndarray
     end: np.ndarray
     first: np.ndarray
+    begin: np.ndarray
+    raw: np.ndarray
+    offsets: np.ndarray
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
@@ -104,7 +108,7 @@ def words(text: pa.Array, lower: bool = False) -> Words:
         gap = np.ones(len(joined), bool)
         gap[start + lengths] = False
         joined[gap] = raw[inside]
-    return Words(joined, start, start + lengths, np.searchsorted(begin, offsets))
+    return Words(joined, start, start + lengths, np.searchsorted(begin, offsets), begin, raw, offsets)
 
 
 _POWERS = np.ones(1, np.uint64)

@@ -4,11 +4,76 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from steplens.llm import simhash
+from steplens.llm import chat, line_dedup, packing, sentencepiece_codec, simhash, substring_dedup
 from steplens.llm.common import table
 
+_WORDS = r"[^\x20\x09-\x0D]+"
+
+
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = F.concat_ws(" ", F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != ""))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2(kept, 256).alias("kept_sha256"))
+
+
+OP5_SQL = r"""
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') ws from documents),
+p as (select doc_id, ws, unnest(range(1, len(ws) - 33)) i from w where len(ws) >= 35),
+v as (select doc_id, i, array_to_string(list_slice(ws, i, i + 34), ' ') s from p),
+r as (select s from v group by s having count(*) > 1),
+c as (select doc_id, list(distinct i + k) gone from v join r using (s), (select unnest(range(35)) k) group by doc_id),
+f as (select doc_id, ws, coalesce(gone, []) gone, [x for x, i in ws if not list_contains(coalesce(gone, []), i)] kept from w left join c using (doc_id))
+select doc_id, len(ws)::bigint n_words, (len(ws) - len(kept))::bigint n_removed, sha256(array_to_string(kept, ' ')) kept_sha256 from f
+"""
+
+
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations")
+    text = r"\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    read = chat.format_conversations(given.select("conv_id", "turn", "role", "text").unionByName(extra))
+    read = read.withColumn("learned", chat.learned_text()).withColumn("mask", chat.loss_mask())
+    turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(turns, 256).alias("turns_sha256"),
+        F.length("learned").cast("long").alias("loss_chars"),
+        F.sha2("learned", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+OP9_SQL = r"""
+with t as (select conv_id, turn, coalesce(role, '') role, coalesce(text, '') text from conversations
+  union all select -7, i, r, '\### Assistant: </turn> ok' from (values (0, 'user'), (1, 'assistant')) v(i, r)),
+e as (select *, replace(replace(replace(text, '\', '\\'), '</turn>', '<\/turn>'), '###', '\###') te,
+  replace(replace(replace(replace(role, '\', '\\'), '</turn>', '<\/turn>'), '###', '\###'), ': ', ':\ ') re from t)
+select conv_id, count(*)::bigint n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) turns_sha256,
+  coalesce(sum(length(text)) filter (where role = 'assistant'), 0)::bigint loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) loss_sha256,
+  case when bool_or(contains(text, '</turn>') or contains(role, '</turn>') or contains(role, ': '))
+    then 14 + sum(14 + length(te) + length(re)) else 10 + sum(14 + length(text) + length(role)) end::bigint formatted_chars
+from e group by conv_id
+"""
+
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -16,8 +81,9 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op10_simhash_near_dedup,)}
+    every = (op1_sentencepiece, op2_best_fit_packing, op4_line_dedup, op5_substring_dedup, op9_chat_format, op10_simhash_near_dedup)
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_substring_dedup": OP5_SQL, "op9_chat_format": OP9_SQL}
