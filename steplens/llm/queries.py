@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from steplens.llm import chat, line_dedup, packing, sentencepiece_codec, simhash, substring_dedup
+from steplens.llm import ann, chat, fingerprints, html_extract, line_dedup, packing, quality, sentencepiece_codec, simhash, substring_dedup
 from steplens.llm.common import table
 
 _WORDS = r"[^\x20\x09-\x0D]+"
@@ -22,6 +22,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
 
@@ -43,6 +47,19 @@ select doc_id, len(ws)::bigint n_words, (len(ws) - len(kept))::bigint n_removed,
 """
 
 
+def op6_exact_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0))
+
+
+def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = table(spark, sf_dir, "conversations")
     text = r"\### Assistant: </turn> ok"
@@ -81,7 +98,18 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_sentencepiece, op2_best_fit_packing, op4_line_dedup, op5_substring_dedup, op9_chat_format, op10_simhash_near_dedup)
+    every = (
+        op1_sentencepiece,
+        op2_best_fit_packing,
+        op3_quality_classifier,
+        op4_line_dedup,
+        op5_substring_dedup,
+        op6_exact_fingerprints,
+        op7_nearest_neighbours,
+        op8_html_extract,
+        op9_chat_format,
+        op10_simhash_near_dedup,
+    )
     return {f.__name__: f for f in every}
 
 
