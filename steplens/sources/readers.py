@@ -17,7 +17,7 @@ def scan_typed(spark: SparkSession, path: str, schema: str | T.StructType) -> Da
 def scan_malformed(spark: SparkSession, path: str, schema: str, header: bool = False) -> DataFrame:
     """The rows of a CSV file that do not have the width of its schema: what could be read, and the raw line."""
     full = f"{schema}, {CORRUPT} string"
-    rows = spark.read.schema(full).option("header", header).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).csv(path)
+    rows = spark.read.schema(full).option("header", header).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).option("columnPruning", False).csv(path)
     return rows.where(F.col(CORRUPT).isNotNull())
 
 
