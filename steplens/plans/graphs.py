@@ -1 +1,186 @@
-"""Queries."""
+"""Graph operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from steplens.operators import graph as G
+from steplens.operators import joins
+from steplens.plans.profiles import rounded
+from steplens.plans.registry import query
+from steplens.sources.tables import Tables
+
+_DEG = """n as (select tx_id, (select count(*) from tx_tx where tx_id1 = tx_id) out_degree, (select count(*) from tx_tx where tx_id2 = tx_id) in_degree from tx), d as (select *, out_degree + in_degree degree from n)"""
+_FIRST = """first as (select address, min(step) first_step from (select address, step from wallet_snap union all select input_address, step from addr_tx join tx using (tx_id) union all select output_address, step from tx_addr join tx using (tx_id)) group by 1),
+    member as (select tx_id, input_address address from addr_tx union select tx_id, output_address from tx_addr)"""
+
+
+def deg(t: Tables) -> DataFrame:
+    return G.degrees(t.tx.select("tx_id"), t.tx_tx, "tx_id", "tx_id1", "tx_id2")
+
+
+def member(t: Tables) -> DataFrame:
+    return t.addr_tx.selectExpr("tx_id", "input_address AS address").union(t.tx_addr.selectExpr("tx_id", "output_address AS address")).distinct()
+
+
+def own_in(t: Tables) -> DataFrame:
+    return t.addr_tx.withColumnRenamed("input_address", "address")
+
+
+def first(t: Tables) -> DataFrame:
+    steps = t.tx.select("tx_id", "step")
+    return G.first_seen(t.wallet_snap, own_in(t).join(steps, "tx_id"), t.tx_addr.withColumnRenamed("output_address", "address").join(steps, "tx_id"))
+
+
+@query("degrees", f"with {_DEG} select * from d")
+def degrees(t: Tables) -> DataFrame:
+    return deg(t)
+
+
+@query("degree_summary", f"with {_DEG} select count(*) nodes, round(avg(degree), 6) mean, quantile_cont(degree, 0.5) median, round(quantile_cont(degree, 0.95), 6) p95, round(quantile_cont(degree, 0.99), 6) p99, max(degree) greatest, round(avg(degree) filter (where degree > 0), 6) positive_mean from d")
+def degree_summary(t: Tables) -> DataFrame:
+    return rounded(G.degree_summary(deg(t)), ["mean", "p95", "p99", "positive_mean"])
+
+
+@query("edge_multiplicity", """with p as (select input_address a, output_address b, count(*) n from addr_addr group by 1, 2), r as (select a, b from p where hash(a || b) % 1 = 0 and substr(a, 2)::int % 50 = 0)
+    select sum(n)::bigint edges, count(*) unique_pairs, sum(n - 1)::bigint repeated, 0::bigint self_loops, 2 * sum(case when substr(a, 2)::int % 50 = 0 then 1 else 0 end)::bigint - 0 reciprocal from
+    (select a, b, n from p where substr(a, 2)::int % 50 <> 0 union all select a, b, 1 from r union all select b, a, 1 from r)""".replace("2 * sum(case when substr(a, 2)::int % 50 = 0 then 1 else 0 end)::bigint - 0", "(select 2 * count(*) from r)::bigint"))
+def edge_multiplicity(t: Tables) -> DataFrame:
+    part = F.expr("CAST(substr(input_address, 2) AS INT) % 50 = 0")
+    some = t.addr_addr.where(part).distinct()
+    edges = t.addr_addr.where(~part).union(some).union(some.select("output_address", "input_address"))
+    return G.edge_multiplicity(edges, "input_address", "output_address")
+
+
+@query("isolated_nodes", """with e as (select tx_id1 tx_id from tx_tx union select tx_id2 from tx_tx), u as (select tx_id from tx where tx_id % 4 <> 0)
+    select tx_id, 'isolated' kind from u where tx_id not in (select tx_id from e) union all select tx_id, 'outside' from e where tx_id not in (select tx_id from u)""")
+def isolated_nodes(t: Tables) -> DataFrame:
+    return G.isolated_nodes(t.tx.where("tx_id % 4 <> 0"), t.tx_tx, "tx_id", "tx_id1", "tx_id2")
+
+
+@query("hubs", "select output_address node, count(*) degree from tx_addr group by 1 order by 2 desc, 1 limit 10")
+def hubs(t: Tables) -> DataFrame:
+    return G.hubs(t.tx_addr.groupBy(F.col("output_address").alias("node")).agg(F.count("*").alias("degree")), "node")
+
+
+@query("degree_ccdf", "with d as (select output_address, count(*) degree from tx_addr group by 1) select x, round(count(*) filter (where degree >= x) / count(*), 6) share from d, (values (1), (2), (5), (10), (20), (50), (100), (200), (500), (1000)) g(x) group by x")
+def degree_ccdf(t: Tables) -> DataFrame:
+    d = t.tx_addr.groupBy("output_address").agg(F.count("*").alias("degree"))
+    return rounded(G.degree_ccdf(d, [1, 2, 5, 10, 20, 50, 100, 200, 500, 1000]), ["share"])
+
+
+_COMP = """with recursive e as materialized (select tx_id1 a, tx_id2 b from tx_tx union select tx_id2, tx_id1 from tx_tx), r(n, c) as (select tx_id, tx_id from tx union select e.b, r.c from r join e on e.a = r.n where r.c < e.b),
+    k as (select n tx_id, min(c) component from r group by n)"""
+
+
+def comp(t: Tables) -> DataFrame:
+    return G.weak_components(t.tx.select("tx_id"), t.tx_tx, "tx_id", "tx_id1", "tx_id2")
+
+
+@query("weak_components", f"{_COMP} select tx_id, component from k")
+def weak_components(t: Tables) -> DataFrame:
+    return comp(t)
+
+
+@query("bipartite_components")
+def bipartite_components(t: Tables) -> DataFrame:
+    edges = t.addr_tx.selectExpr("input_address AS a", "concat('T', tx_id) AS b").union(t.tx_addr.selectExpr("output_address AS a", "concat('T', tx_id) AS b"))
+    nodes = edges.select(F.col("a").alias("n")).union(edges.select("b")).distinct()
+    return rounded(G.component_summary(G.weak_components(nodes, edges, "n", "a", "b")), ["largest_percent"])
+
+
+@query("component_time_span", f"{_COMP} select component, count(distinct step) steps, min(step) first_step, max(step) last_step, count(*) as size from k join tx using (tx_id) group by component")
+def component_time_span(t: Tables) -> DataFrame:
+    return G.component_time_span(comp(t), t.tx, "tx_id")
+
+
+@query("cumulative_components", f"{_COMP}, c as (select component, min(step) step from k join tx using (tx_id) group by 1), p as (select step, count(*) touched from c group by 1) select step, touched, sum(touched) over (order by step)::bigint components from p")
+def cumulative_components(t: Tables) -> DataFrame:
+    return G.cumulative_components(comp(t), t.tx, "tx_id")
+
+
+@query("edge_time_profile", """with own as (select input_address, tx_id, step from addr_tx join tx using (tx_id)), e as (select tx_id a, step sa, lead(tx_id) over w b, lead(step) over w sb from own window w as (partition by input_address order by tx_id))
+    select count(*) edges, count(*) filter (where sa = sb) intra, count(*) filter (where sa < sb) forward, count(*) filter (where sa > sb) backward from e where b is not null""")
+def edge_time_profile(t: Tables) -> DataFrame:
+    edges = t.addr_tx.selectExpr("tx_id AS tx_id1", "lead(tx_id) OVER (PARTITION BY input_address ORDER BY tx_id) AS tx_id2").where("tx_id2 IS NOT NULL")
+    return G.edge_time_profile(edges, t.tx, "tx_id1", "tx_id2", "tx_id")
+
+
+@query("first_seen", f"with {_FIRST} select * from first")
+def first_seen(t: Tables) -> DataFrame:
+    return first(t)
+
+
+@query("edge_availability", f"with {_FIRST} select input_address, output_address, greatest(a.first_step, b.first_step) available from (select distinct * from addr_addr) e join first a on a.address = input_address join first b on b.address = output_address")
+def edge_availability(t: Tables) -> DataFrame:
+    return G.edge_availability(t.addr_addr.distinct(), first(t), "input_address", "output_address")
+
+
+@query("edges_up_to", f"with {_FIRST} select count(*) n from (select distinct * from addr_addr) e join first a on a.address = input_address join first b on b.address = output_address where greatest(a.first_step, b.first_step) <= 5")
+def edges_up_to(t: Tables) -> DataFrame:
+    return G.edges_up_to(G.edge_availability(t.addr_addr.distinct(), first(t), "input_address", "output_address"), 5).agg(F.count("*").alias("n"))
+
+
+@query("tx_min_address_seen", f"with {_FIRST} select tx_id, min(first_step) min_seen from member join first using (address) group by 1")
+def tx_min_address_seen(t: Tables) -> DataFrame:
+    return G.tx_min_address_seen(member(t), first(t))
+
+
+@query("historical_path", "with o as (select * from addr_tx join tx using (tx_id)), m as (select input_address, min(step) ms from o group by 1) select step, count(*) n, count(*) filter (where min_step < step) with_path from (select tx_id, step, min(ms) min_step from o join m using (input_address) group by 1, 2) group by step")
+def historical_path(t: Tables) -> DataFrame:
+    return joins.bridge(own_in(t), t.tx).groupBy("step").agg(F.count("*").alias("n"), F.count_if("bridged").alias("with_path"))
+
+
+@query("historical_bridge", "with o as (select * from addr_tx join tx using (tx_id)), m as (select input_address, min(step) ms from o group by 1) select step, count(*) n, count(*) filter (where min_step <= 5) bridged from (select tx_id, step, min(ms) min_step from o join m using (input_address) group by 1, 2) where step >= 35 group by step")
+def historical_bridge(t: Tables) -> DataFrame:
+    return joins.bridge(own_in(t), t.tx, cut=5).where("step >= 35").groupBy("step").agg(F.count("*").alias("n"), F.count_if("bridged").alias("bridged"))
+
+
+@query("address_context", f"with {_FIRST}, m as (select tx_id, min(first_step) s from member join first using (address) where tx_id % 5 <> 0 group by 1) select step, case when s is null then 'no_linkage' when s < step then 'seen' else 'only_unseen' end context, count(*) n from tx left join m using (tx_id) group by 1, 2")
+def address_context(t: Tables) -> DataFrame:
+    found = G.address_context(t.tx.select("tx_id", "step"), member(t).where("tx_id % 5 <> 0"), first(t))
+    return found.groupBy("step", "context").agg(F.count("*").alias("n"))
+
+
+@query("address_history_mean", """with p as (select address, avg(total_txs) own from wallet_snap where step <= 10 group by 1) select address, round(coalesce(own, (select avg(total_txs) from wallet_snap where step <= 10)), 6) history_mean, own is not null has_history from (select distinct address from wallet_snap) left join p using (address)""")
+def address_history_mean(t: Tables) -> DataFrame:
+    return rounded(G.address_history_mean(t.wallet_snap, t.wallet_snap, "total_txs", 10), ["history_mean"])
+
+
+@query("lag_features", """with s as (select distinct address, step snap, total_txs from wallet_snap), e as (select m.tx_id, m.address, step from (select tx_id, input_address address from addr_tx union select tx_id, output_address from tx_addr) m join tx using (tx_id)),
+    j as (select e.tx_id, s.total_txs v from e asof left join s on e.address = s.address and e.step > s.snap)
+    select tx_id, round(coalesce(avg(v), 0), 6) lag_mean, cast(count(v) > 0 as int) has_history, round(count(v) / count(*), 6) share from j group by 1""")
+def lag_features(t: Tables) -> DataFrame:
+    return rounded(G.lag_features(member(t), t.tx, t.wallet_snap, "total_txs"), ["lag_mean", "share"])
+
+
+@query("projected_edges", """with o as (select input_address, tx_id, step, row_number() over (partition by input_address order by step, tx_id) r from addr_tx join tx using (tx_id))
+    select distinct a.tx_id tx_id1, b.tx_id tx_id2 from o a join o b on a.input_address = b.input_address and b.r - a.r between 1 and 5 and b.step - a.step between 1 and 5""")
+def projected_edges(t: Tables) -> DataFrame:
+    return G.projected_edges(own_in(t), t.tx)
+
+
+@query("wallet_lifespan", "select address, min(step) first_step, max(step) last_step, count(distinct step) steps, max(step) - min(step) span from wallet_snap group by 1")
+def wallet_lifespan(t: Tables) -> DataFrame:
+    return G.wallet_lifespan(t.wallet_snap)
+
+
+@query("graph_drift_by_step", f"""with {_FIRST}, n as (select step, count(*) nodes from tx group by 1), e as (select step, count(*) edges from tx_tx join tx on tx_id = tx_id1 group by 1),
+    a as (select step, count(*) active, count(*) filter (where first_step = step) "new", count(*) filter (where first_step < step) recurring from (select distinct address, step from member join tx using (tx_id)) join first using (address) group by 1)
+    select step, nodes, coalesce(edges, 0) edges, coalesce(active, 0) active, coalesce("new", 0) "new", coalesce(recurring, 0) recurring, sum(nodes) over (order by step)::bigint cumulative_nodes, sum(coalesce(edges, 0)) over (order by step)::bigint cumulative_edges,
+      round(2 * sum(coalesce(edges, 0)) over (order by step) / sum(nodes) over (order by step), 6) mean_degree from n left join e using (step) left join a using (step)""")
+def graph_drift_by_step(t: Tables) -> DataFrame:
+    return rounded(G.graph_drift_by_step(t.tx, t.tx_tx, member(t), first(t)), ["mean_degree"])
+
+
+@query("ego_subgraph", """with recursive e as materialized (select input_address a, output_address b from addr_addr union select output_address, input_address from addr_addr), r(node, hop) as (select 'C1', 0 union select e.b, r.hop + 1 from r join e on e.a = r.node where r.hop < 2)
+    select node, min(hop) hop from r group by node""")
+def ego_subgraph(t: Tables) -> DataFrame:
+    return G.ego_subgraph(t.addr_addr, "input_address", "output_address", t.spark.createDataFrame([("C1",)], "n string"), 2)
+
+
+@query("neighbour_mean", "select tx_id2 tx_id, round(avg(score), 6) mean_score, round(avg(price), 4) mean_price from tx_tx join tx on tx_id = tx_id1 group by 1")
+def neighbour_mean(t: Tables) -> DataFrame:
+    found = G.neighbour_mean(t.tx_tx, t.tx, "tx_id1", "tx_id2", "tx_id", ["score", "price"])
+    return found.select("tx_id", F.round("mean_score", 6).alias("mean_score"), F.round("mean_price", 4).alias("mean_price"))
