@@ -18,7 +18,7 @@ from steplens.llm.common import Words, mix, ship, slices, span_hashes, words
 #: Words of a window, and of the minimiser that decides its bucket.
 WINDOW, MINIMISER = 35, 4
 #: Bytes of super-k-mers that a map task gathers before it sends them off, and that a bucket has on average.
-FLUSH_BYTES, BUCKET_BYTES = 48 << 20, 2 << 20
+FLUSH_BYTES, BUCKET_BYTES = 64 << 20, 4 << 20
 
 
 def super_kmers(w: Words, window: int, minimiser: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -112,7 +112,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, minimiser: int = MINIM
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, dict[bytes, int]] = defaultdict(dict)
-        size, pack = 0, zstandard.ZstdCompressor(level=1)
+        size, pack = 0, zstandard.ZstdCompressor(level=6)
 
         def flush() -> pa.RecordBatch:
             blocks = [pack.compress(b"\n".join((b"2" if n > 1 else b"1") + t for t, n in own.items())) for own in held.values()]
