@@ -1 +1,246 @@
-"""Queries."""
+"""Drift statistics."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from steplens.operators import drift as D
+from steplens.operators import models, monitor, profile
+from steplens.plans.profiles import rounded, sql_unpivot
+from steplens.plans.registry import query
+from steplens.sources.tables import Tables
+
+_V = [*[f"f{i}" for i in range(8)], "f_mono"]
+_U = f"u as ({sql_unpivot(_V, 'step, side, ')}), r as (select * from u where step <= 34), t as (select * from u where step >= 35)"
+_PROBS = "[" + ", ".join(str(i / 10) for i in range(11)) + "]"
+
+
+def long(t: Tables) -> DataFrame:
+    return profile.unpivot(t.vec, ["step", "side"], _V)
+
+
+def parts(t: Tables) -> tuple[DataFrame, DataFrame]:
+    u = long(t).select("feature", "value", "step")
+    return u.where("step <= 34"), u.where("step >= 35")
+
+
+def psi_sql(by: str = "", floor: str = "1e-4", renorm: bool = True, closed: bool = False) -> str:
+    k = by + ", " if by else ""
+    keep = "where value between edges[1] and edges[-1]" if closed else ""
+    norm = f"select {k}feature, q / sum(q) over (partition by {k}feature) q, p / sum(p) over (partition by {k}feature) p from z" if renorm else f"select {k}feature, q, p from z"
+    return f"""e as (select feature, list_sort(list_distinct(quantile_cont(value, {_PROBS}))) edges from r group by 1), ei as (select feature, edges, edges[2:len(edges) - 1] mid from e),
+    hq as (select feature, bin, count(*) / sum(count(*)) over (partition by feature) q from (select feature, len([x for x in mid if x <= value]) bin from r join ei using (feature) {keep}) group by 1, 2),
+    hp as (select {k}feature, bin, count(*) / sum(count(*)) over (partition by {k}feature) p from (select {k}feature, len([x for x in mid if x <= value]) bin from t join ei using (feature) {keep}) group by {k}feature, bin),
+    g as (select {k}feature, unnest(range(len(mid) + 1)) bin from (select distinct {k}feature from t) join ei using (feature)),
+    z as (select {k}feature, greatest(coalesce(q, 0), {floor}) q, greatest(coalesce(p, 0), {floor}) p from g left join hq using (feature, bin) left join hp using ({k}feature, bin)),
+    y as ({norm}), psi as (select {k}feature, sum((p - q) * ln(p / q)) psi from y group by {k}feature)"""
+
+
+@query("psi", f"with {_U}, {psi_sql('step')} select step, feature, round(psi, 6) psi from psi")
+def psi(t: Tables) -> DataFrame:
+    r, q = parts(t)
+    return rounded(D.psi(r, q, ["step"]), ["psi"])
+
+
+@query("psi_train_window", f"with {_U}, {psi_sql('', '1e-6', False, True)} select feature, round(psi, 6) psi from psi")
+def psi_train_window(t: Tables) -> DataFrame:
+    r, q = parts(t)
+    return rounded(D.psi(r, q, floor=1e-6, renormalise=False, ends="closed"), ["psi"])
+
+
+@query("psi_interior", f"with {_U}, {psi_sql('', '1e-4', False)} select feature, round(psi, 6) psi from psi")
+def psi_interior(t: Tables) -> DataFrame:
+    r, q = parts(t)
+    return rounded(D.psi(r, q, renormalise=False, ends="interior"), ["psi"])
+
+
+def ks_sql(by: str = "", source: str = "select feature, value, cast(step >= 35 as int) s from u", name: str = "ks") -> str:
+    k = by + ", " if by else ""
+    return f"""{name}0 as ({source}), {name}1 as (select {k}feature, value, count(*) filter (where s = 0) a, count(*) filter (where s = 1) b from {name}0 group by {k}feature, value),
+    {name}2 as (select {k}feature, abs(sum(a) over w / sum(a) over v - sum(b) over w / sum(b) over v) gap from {name}1 window w as (partition by {k}feature order by value), v as (partition by {k}feature)),
+    {name} as (select {k}feature, max(gap) ks from {name}2 group by {k}feature)"""
+
+
+@query("ks_two_sample", f"with {_U}, {ks_sql()} select feature, round(ks, 6) ks from ks")
+def ks_two_sample(t: Tables) -> DataFrame:
+    u = long(t).withColumn("s", (F.col("step") >= 35).cast("int"))
+    return rounded(D.ks_two_sample(u, "s"), ["ks"]).select("feature", "ks")
+
+
+@query("drift_ranking", f"""with {_U}, {psi_sql()}, {ks_sql()}, m as (select feature, avg(value) filter (where step <= 34) a, avg(value) filter (where step >= 35) b from u group by 1)
+    select feature, round(ks, 6) ks, round(psi, 6) psi, round(a, 6) mean_reference, round(b, 6) mean_target, row_number() over (order by round(ks, 9) desc, feature) as rank from ks join psi using (feature) join m using (feature)""")
+def drift_ranking(t: Tables) -> DataFrame:
+    r, q = parts(t)
+    return rounded(D.drift_ranking(r, q), ["ks", "psi", "mean_reference", "mean_target"])
+
+
+@query("within_class_ks", f"with {_U}, {ks_sql('side', 'select feature, value, side, cast(step >= 35 as int) s from u')} select side, feature, round(ks, 6) ks from ks")
+def within_class_ks(t: Tables) -> DataFrame:
+    u = long(t).withColumn("s", (F.col("step") >= 35).cast("int"))
+    return rounded(D.ks_two_sample(u, "s", ["side"]), ["ks"]).select("side", "feature", "ks")
+
+
+_MED = "med as (select feature, step, quantile_cont(value, 0.5) median from r group by 1, 2)"
+_MONO = """rk as (select feature, rank() over (partition by feature order by round(median, 9)) + (count(*) over (partition by feature, round(median, 9)) - 1) / 2 a, rank() over (partition by feature order by step) b, median from med),
+    mono as (select feature, corr(a, b) rho, count(*) steps, count(distinct median) distinct_medians, coalesce(abs(corr(a, b)) >= 0.99 and count(*) >= 10 and count(distinct median) > 1, false) monotone from rk group by 1)"""
+
+
+@query("monotone_detect", f"with {_U}, {_MED}, {_MONO} select feature, round(rho, 6) rho, steps, distinct_medians, monotone from mono")
+def monotone_detect(t: Tables) -> DataFrame:
+    return rounded(D.monotone_detect(D.step_medians(parts(t)[0])), ["rho"])
+
+
+_FIT = """ff as (select feature, regr_slope(median, step) slope, regr_intercept(median, step) intercept, regr_slope(case when median > 0 then ln(median) end, step) log_slope, regr_intercept(case when median > 0 then ln(median) end, step) log_intercept, bool_and(median > 0) positive from med group by 1),
+    er as (select feature, sqrt(avg((median - intercept - slope * step) ** 2)) linear_rmse, sqrt(avg((median - exp(log_intercept + log_slope * step)) ** 2)) log_rmse from med join ff using (feature) group by 1),
+    fits as (select *, case when positive and log_rmse < linear_rmse then 'log' else 'linear' end kind from ff join er using (feature))"""
+
+
+@query("detrend_fit", f"with {_U}, {_MED}, {_FIT} select feature, round(slope, 6) slope, round(intercept, 6) intercept, round(linear_rmse, 6) linear_rmse, positive, kind from fits")
+def detrend_fit(t: Tables) -> DataFrame:
+    fit = D.detrend_fit(D.step_medians(parts(t)[0]))
+    return rounded(fit, ["slope", "intercept", "linear_rmse"]).select("feature", "slope", "intercept", "linear_rmse", "positive", "kind")
+
+
+_FLAT = "flat as (select feature, step, value - case when kind = 'log' then exp(log_intercept + log_slope * step) else intercept + slope * step end value from u join fits using (feature))"
+
+
+@query("detrend_apply", f"with {_U}, {_MED}, {_FIT}, {_FLAT} select step, feature, round(avg(value), 5) mean from flat group by 1, 2")
+def detrend_apply(t: Tables) -> DataFrame:
+    flat = D.detrend_apply(long(t).select("feature", "value", "step"), D.detrend_fit(D.step_medians(parts(t)[0])))
+    return flat.groupBy("step", "feature").agg(F.round(F.avg("value"), 5).alias("mean"))
+
+
+def scores(t: Tables) -> DataFrame:
+    r, q = parts(t)
+    return D.drift_score(r, q, t.spark.createDataFrame([("f_mono",)], "feature string"))
+
+
+_SCORES = f"""{psi_sql('step')}, bs as (select feature, avg(value) m, stddev_pop(value) s from r group by 1), nw as (select step, feature, avg(value) mt from t group by 1, 2),
+    sc as (select step, feature, case when feature = 'f_mono' then abs(mt - m) / s else psi end v, psi from nw join bs using (feature) join psi using (step, feature)), lv as (select *, case when v < 0.10 then 'STABLE' when v <= 0.25 then 'MODERATE' else 'SIGNIFICANT' end level from sc)"""
+
+
+@query("drift_score", f"with {_U}, {_SCORES} select step, feature, round(v, 6) drift_score, level, round(psi, 6) psi from lv")
+def drift_score(t: Tables) -> DataFrame:
+    return rounded(scores(t), ["drift_score", "psi"])
+
+
+@query("two_tier_report", f"""with {_U}, {_SCORES}, k as (select *, case level when 'SIGNIFICANT' then 2 when 'MODERATE' then 1 else 0 end n, feature in ('f_mono', 'f0') focal from lv),
+    a as (select step, max(n) filter (where focal) f, max(v) filter (where focal) fm, 100.0 * count(*) filter (where not focal and n >= 1) / count(*) filter (where not focal) mp, 100.0 * count(*) filter (where not focal and n = 2) / count(*) filter (where not focal) sp from k group by 1)
+    select step, case f when 2 then 'SIGNIFICANT' when 1 then 'MODERATE' else 'STABLE' end focal_level, round(fm, 6) focal_max, round(mp, 6) moderate_percent, round(sp, 6) significant_percent,
+      case when f = 2 or sp >= 20 then 'SIGNIFICANT' when f = 1 or mp >= 20 then 'MODERATE' else 'STABLE' end overall_level from a""")
+def two_tier_report(t: Tables) -> DataFrame:
+    return rounded(D.two_tier_report(scores(t), ["f_mono", "f0"]), ["focal_max", "moderate_percent", "significant_percent"])
+
+
+_METHODS = f"""{_MED}, {_FIT}, {_FLAT}, b as (select feature, step, avg(value) m, quantile_cont(value, [0.1, 0.25, 0.5, 0.75, 0.9]) q from u group by 1, 2), d as (select *, m - lag(m) over (partition by feature order by step) d from b),
+    dp as (select feature, avg(d) dm, stddev_pop(d) ds from d where step <= 34 group by 1), fb as (select feature, avg(value) bm, stddev_pop(value) bs from flat where step <= 34 group by 1), fs as (select feature, step, avg(value) fm from flat where step >= 35 group by 1, 2),
+    sh as (select feature, step, [(x - q[3]) / (q[4] - q[2]) for x in q] s from b), tr as (select feature, [avg(s[1]), avg(s[2]), avg(s[3]), avg(s[4]), avg(s[5])] ts from sh where step <= 34 group by 1),
+    methods as (select d.feature, d.step, abs((d - dm) / ds) delta_z, abs((fm - bm) / bs) detrended_shift, (abs(s[1] - ts[1]) + abs(s[2] - ts[2]) + abs(s[3] - ts[3]) + abs(s[4] - ts[4]) + abs(s[5] - ts[5])) / 5 shape_distance
+      from d join dp using (feature) join fs on fs.feature = d.feature and fs.step = d.step join fb on fb.feature = d.feature join sh on sh.feature = d.feature and sh.step = d.step join tr on tr.feature = d.feature)"""
+
+
+@query("reference_methods", f"with {_U}, {_METHODS} select feature, step, round(delta_z, 5) delta_z, round(detrended_shift, 5) detrended_shift, round(shape_distance, 5) shape_distance from methods")
+def reference_methods(t: Tables) -> DataFrame:
+    return rounded(D.reference_methods(long(t).select("feature", "value", "step"), 34, 35), ["delta_z", "detrended_shift", "shape_distance"], 5)
+
+
+@query("reference_summary", f"""with {_U}, {_METHODS} select case when step <= 41 then '35-41' else '42-49' end span, feature, round(avg(delta_z), 4) mean_delta_z, round(max(delta_z), 4) max_delta_z, round(avg(detrended_shift), 4) mean_detrended, round(max(shape_distance), 4) max_shape from methods group by 1, 2""")
+def reference_summary(t: Tables) -> DataFrame:
+    m = D.reference_methods(long(t).select("feature", "value", "step"), 34, 35)
+    span = F.when(F.col("step") <= 41, "35-41").otherwise("42-49").alias("span")
+    return m.groupBy(span, "feature").agg(F.round(F.avg("delta_z"), 4).alias("mean_delta_z"), F.round(F.max("delta_z"), 4).alias("max_delta_z"), F.round(F.avg("detrended_shift"), 4).alias("mean_detrended"), F.round(F.max("shape_distance"), 4).alias("max_shape"))
+
+
+@query("feature_shift_l2", f"with {_U}, bs as (select feature, avg(value) m, stddev_pop(value) s from r group by 1), nw as (select step, feature, avg(value) mt from t group by 1, 2) select step, round(sqrt(sum(((mt - m) / s) ** 2)) / sqrt(count(*)), 6) shift_l2 from nw join bs using (feature) group by 1")
+def feature_shift_l2(t: Tables) -> DataFrame:
+    r, q = parts(t)
+    return rounded(D.feature_shift_l2(r, q), ["shift_l2"])
+
+
+BINS = [i / 10 for i in range(1, 10)]
+SCORE_PSI_SQL = f"""sb as (select step, b, count(*) / sum(count(*)) over (partition by step) share from (select step, len([x for x in {BINS} if x <= score]) b from tx) group by 1, 2), el as (select t.step t, e.step from spine t join (select distinct step from tx) e on e.step <= t.step - 1 where t.step >= 35 qualify row_number() over (partition by t.step order by e.step desc) <= 5),
+    rf as (select t, b, sum(share) / (select count(*) from el k where k.t = el.t) q from el join sb using (step) group by t, b), gr as (select distinct t, unnest(range(10)) b from el),
+    zz as (select t, b, greatest(coalesce(q, 0), 1e-4) q, greatest(coalesce(share, 0), 1e-4) p from gr left join rf using (t, b) left join sb on sb.step = gr.t and sb.b = gr.b), yy as (select t, q / sum(q) over (partition by t) q, p / sum(p) over (partition by t) p from zz),
+    score_psi as (select t step, sum((p - q) * ln(p / q)) psi from yy group by 1)"""
+
+
+@query("score_psi", f"with {SCORE_PSI_SQL} select step, round(psi, 6) psi, case when psi >= 0.25 then 'CRITICAL' when psi >= 0.10 then 'WARNING' else 'OK' end status from score_psi")
+def score_psi(t: Tables) -> DataFrame:
+    return rounded(monitor.score_shift_channel(t.tx, t.spine(35), BINS, 5, 1), ["psi"])
+
+
+_POOL = "el as (select t.step t, e.step from spine t join (select distinct step from tx) e on e.step <= t.step - 1 where t.step >= 35 qualify row_number() over (partition by t.step order by e.step desc) <= 5)"
+
+
+@query("score_ks_channel", f"""with {_POOL}, {ks_sql('t', "select t, 'score' feature, score as value, 0 s from el join tx using (step) union all select step, 'score', score, 1 from tx where step >= 35")} select t step, round(ks, 6) ks, ks >= 0.10 alert from ks""")
+def score_ks_channel(t: Tables) -> DataFrame:
+    return rounded(monitor.score_ks_channel(t.tx, t.spine(35), 5, 1), ["ks"])
+
+
+@query("positive_rate_channel", f"""with {_POOL}, a as (select t, avg(cast(score >= 0.435 as int)) pool from el join tx using (step) group by 1), b as (select step t, avg(cast(score >= 0.435 as int)) own from tx where step >= 35 group by 1)
+    select t step, round(case when pool > 0 then own / pool end, 6) ratio, coalesce(own / pool < 0.5 or own / pool > 2, false) alert from a join b using (t)""")
+def positive_rate_channel(t: Tables) -> DataFrame:
+    return rounded(monitor.positive_rate_channel(t.tx, t.spine(35), 5, 1), ["ratio"])
+
+
+@query("domain_auc")
+def domain_auc(t: Tables) -> DataFrame:
+    """Per target window: out-of-fold AUC of a linear classifier of reference against target rows."""
+    return models.domain_auc(t.vec, _V[:-1], "step <= 34", "step >= 35", "vec_id")
+
+
+@query("domain_auc_cadence", "select step from spine where step % 5 = 0 or step in (35, 49)")
+def domain_auc_cadence(t: Tables) -> DataFrame:
+    return monitor.cadence(t.spine())
+
+
+@query("domain_auc_ablation")
+def domain_auc_ablation(t: Tables) -> DataFrame:
+    return models.domain_auc_ablation(t.vec, _V, {"all": [], "no_clock": ["f_mono"], "no_first": ["f_mono", "f0"]}, "step <= 34", "step >= 35", "vec_id")
+
+
+@query("in_window_cv_ap")
+def in_window_cv_ap(t: Tables) -> DataFrame:
+    return models.in_window_cv_ap(t.vec.withColumn("y", F.col("side").cast("int")), _V[:-1], "step >= 35", "vec_id")
+
+
+@query("permutation_auc_drop")
+def permutation_auc_drop(t: Tables) -> DataFrame:
+    return models.permutation_auc_drop(t.vec.withColumn("y", F.col("side").cast("int")), _V[:4], "vec_id", repeats=2)
+
+
+_IMP = f"a as (select feature, round(var_pop(value), 4) importance from u group by 1), b as (select feature, round(abs(avg(value)), 4) importance from u group by 1)"
+
+
+def importances(t: Tables) -> tuple[DataFrame, DataFrame]:
+    by = long(t).groupBy("feature")
+    return by.agg(F.round(F.var_pop("value"), 4).alias("importance")), by.agg(F.round(F.abs(F.avg("value")), 4).alias("importance"))
+
+
+@query("share_concentration", f"""with {_U}, {_IMP}, k as (select importance v, row_number() over (order by importance desc, feature) r, row_number() over (order by importance, feature) up from a)
+    select round(2 * sum(up * v) / (count(*) * sum(v)) - (count(*) + 1) / count(*), 6) gini, """ + ", ".join(f"round(sum(case when r <= {k} then v else 0 end) / sum(v), 6) top{k}" for k in (1, 3, 5, 10)) + " from k")
+def share_concentration(t: Tables) -> DataFrame:
+    return rounded(D.share_concentration(importances(t)[0], "importance", "feature"), ["gini", "top1", "top3", "top5", "top10"])
+
+
+@query("importance_compare", f"""with {_U}, {_IMP}, j as (select feature, a.importance a, b.importance b, row_number() over (order by a.importance desc, feature) ra, row_number() over (order by b.importance desc, feature) rb from a join b using (feature)),
+    m as (select quantile_cont(a, 0.5) ma, quantile_cont(b, 0.5) mb from j)
+    select feature, a, b, ra rank_a, rb rank_b, round(case when b > 0 then a / b end, 6) ratio, case when a >= ma then 'high' else 'low' end || '/' || case when b >= mb then 'high' else 'low' end quadrant, case when abs(ra - rb) <= 1 then 'agree' when abs(ra - rb) <= 3 then 'close' else 'differ' end agreement from j, m""")
+def importance_compare(t: Tables) -> DataFrame:
+    return rounded(D.importance_compare(*importances(t)), ["ratio"])
+
+
+@query("importance_kendall", f"with {_U}, {_IMP}, j as (select feature, a.importance x, b.importance y from a join b using (feature)) select round(sum(sign(p.x - q.x) * sign(p.y - q.y)) / sqrt(sum(abs(sign(p.x - q.x))) * sum(abs(sign(p.y - q.y)))), 6) tau from j p join j q on p.feature < q.feature")
+def importance_kendall(t: Tables) -> DataFrame:
+    a, b = importances(t)
+    return rounded(D.kendall(a.join(b.withColumnRenamed("importance", "other"), "feature"), "importance", "other", "feature"), ["tau"])
+
+
+@query("drift_verdict", """with m as (select step % 5 k, avg(score) domain_auc, stddev_pop(score) median_ks, max(score) in_window_ap, avg(score) / 4 transferred_ap from tx group by 1)
+    select k, case when domain_auc >= 0.80 or median_ks >= 0.30 then 'covariate' when in_window_ap >= 5 * transferred_ap then 'concept' else 'none' end verdict from m""")
+def drift_verdict(t: Tables) -> DataFrame:
+    m = t.tx.groupBy((F.col("step") % 5).alias("k")).agg(F.avg("score").alias("domain_auc"), F.stddev_pop("score").alias("median_ks"), F.max("score").alias("in_window_ap"), (F.avg("score") / 4).alias("transferred_ap"))
+    return D.drift_verdict(m).select("k", "verdict")
+
+
