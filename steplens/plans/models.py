@@ -1 +1,107 @@
-"""Queries."""
+"""Training sets and models."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from steplens.operators import models as M
+from steplens.operators import monitor, ranking, rows
+from steplens.plans.profiles import rounded
+from steplens.plans.registry import query
+from steplens.plans.windows import COUNTS_SQL, counts
+from steplens.sources.tables import Tables
+
+_X = ["price", "x"]
+
+
+def features(t: Tables) -> DataFrame:
+    """Transactions with the views' score as a feature, so that a model's own score may take its name."""
+    return t.tx.withColumnRenamed("score", "x")
+
+
+@query("temporal_split", """with s as (select step, "window", count(*) n, count(y) labelled from tx join windows on step between lo and hi where "window" in ('fit', 'validation', 'test') group by 1, 2), m as (select *, count(*) over (partition by step) > 1 twice from s)
+    select "window", sum(n)::bigint n, sum(labelled)::bigint labelled, count(*) filter (where twice) shared_steps from m group by 1""")
+def temporal_split(t: Tables) -> DataFrame:
+    return M.temporal_split(t.tx, t.windows())
+
+
+_PLAN = """pol as (select * from (values ('static', 'static', 34, 1), ('expanding', 'expanding', 0, 1), ('expanding_3', 'expanding', 0, 3), ('rolling', 'rolling', 8, 1), ('recency', 'recency', 0, 1)) p(policy, kind, width, lag)),
+    plan as (select policy, lag, step t, cast(case when kind = 'rolling' then greatest(1, step - lag - width + 1) else 1 end as int) as first, cast(case when kind = 'static' then least(step - lag, width) else step - lag end as int) as last, kind = 'recency' weighted from spine, pol where step >= 43)"""
+
+
+def plan(t: Tables) -> DataFrame:
+    p = t.spark.createDataFrame([("static", "static", 34, 1), ("expanding", "expanding", 0, 1), ("expanding_3", "expanding", 0, 3), ("rolling", "rolling", 8, 1), ("recency", "recency", 0, 1)], "policy string, kind string, width int, lag int")
+    return M.policy_window(p, t.spine(43))
+
+
+@query("policy_window", f"with {_PLAN} select * from plan")
+def policy_window(t: Tables) -> DataFrame:
+    return plan(t)
+
+
+@query("choose_holdout", f"""with c as ({COUNTS_SQL}), p as (select s.step t, c.positive, row_number() over (partition by s.step order by c.step desc) k, sum(c.positive) over (partition by s.step order by c.step desc) held from spine s join c on c.step <= s.step - 1 where s.step >= 35)
+    select t, coalesce(min(k) filter (where held >= 60), 6) holdout from p where k between 2 and 6 group by t""")
+def choose_holdout(t: Tables) -> DataFrame:
+    return M.choose_holdout(counts(t), t.spine(35), least=60)
+
+
+@query("recency_weight", "with w as (select step, power(0.5, (42 - step) / 5.0::double) w from spine where step <= 42) select step, round(w / avg(w) over (), 6) weight from w")
+def recency_weight(t: Tables) -> DataFrame:
+    return rounded(M.recency_weight(t.spine(), 42, 5.0), ["weight"])
+
+
+@query("class_weight", "select step, count(*) filter (where y = 1) positive, count(*) filter (where y = 0) negative, round(case when count(*) filter (where y = 1) > 0 then count(*) filter (where y = 0) / count(*) filter (where y = 1) end, 6) weight from tx where y is not null group by step")
+def class_weight(t: Tables) -> DataFrame:
+    return rounded(M.class_weight(t.tx, ["step"]), ["weight"])
+
+
+@query("standardise", "with m as (select avg(f0) m0, stddev_pop(f0) s0, avg(f1) m1, stddev_pop(f1) s1 from vec where step <= 24) select vec_id, round((f0 - m0) / s0, 5) f0, round((f1 - m1) / s1, 5) f1 from vec, m")
+def standardise(t: Tables) -> DataFrame:
+    return rounded(M.standardise(t.vec.select("vec_id", "step", "f0", "f1"), ["f0", "f1"], F.col("step") <= 24), ["f0", "f1"], 5).select("vec_id", "f0", "f1")
+
+
+@query("impute_median", "with g as (select vec_id, step, case when vec_id % 7 = 0 then null else f0 end f0 from vec), m as (select quantile_cont(f0, 0.5) p from g where step <= 24) select vec_id, round(coalesce(f0, p), 6) f0 from g, m")
+def impute_median(t: Tables) -> DataFrame:
+    holes = t.vec.select("vec_id", "step", F.when(F.col("vec_id") % 14 == 0, F.lit(float("nan"))).when(F.col("vec_id") % 7 == 0, None).otherwise(F.col("f0")).alias("f0"))
+    return rounded(M.impute_median(holes, ["f0"], F.col("step") <= 24), ["f0"]).select("vec_id", "f0")
+
+
+def linear(t: Tables):
+    return M.linear_model(features(t).where("step <= 34"), _X)
+
+
+@query("linear_baseline")
+def linear_baseline(t: Tables) -> DataFrame:
+    scored = M.model_score(linear(t), features(t).select("step", "y", *_X), "probability")
+    w = rows.window_mask(scored.select("step", "y", F.col("probability").alias("score")), t.windows())
+    return rounded(ranking.metrics_by_group(w, ["window"], tau=0.5).select("window", "n", "pos", "ap", "auc", "f1"), ["ap", "auc", "f1"])
+
+
+@query("walk_forward")
+def walk_forward(t: Tables) -> DataFrame:
+    scored = M.walk_forward(features(t), plan(t), _X)
+    return rounded(ranking.average_precision(scored, ["policy", "lag", "step"]), ["ap"])
+
+
+@query("monitor_triggered_policy")
+def monitor_triggered_policy(t: Tables) -> DataFrame:
+    from steplens.plans.monitoring import decisions
+
+    # One row a step, 15 at most: the schedule that the driver loop follows.
+    fires = [r["step"] for r in decisions(t).where("action = 'RETRAIN'").select("step").collect()]
+    scored = M.monitor_triggered_policy(features(t), _X, fires, 43, 49)
+    return rounded(ranking.average_precision(scored, ["step", "last"]), ["ap"])
+
+
+@query("use_audit", f'with {_PLAN} select policy, lag, t, first, last, last + lag arrival, last + lag > t leak from plan')
+def use_audit(t: Tables) -> DataFrame:
+    return M.use_audit(plan(t))
+
+
+@query("batch_score")
+def batch_score(t: Tables) -> DataFrame:
+    scored = M.batch_score(linear(t), features(t).where("step >= 35").select("tx_id", "step", *_X), 0.5)
+    regimes = t.spark.createDataFrame([("stable", 35, 42, "medium"), ("drift", 43, 49, "low")], "regime string, lo int, hi int, reliability string")
+    by_step = monitor.performance_channel(t.tx, t.spine(35), 0.31).select("step", "performance_status")
+    return rows.regime_context(scored, regimes, by_step).groupBy("step", "regime", "performance_status").agg(F.count("*").alias("n"), F.sum("predicted").alias("flagged"))
