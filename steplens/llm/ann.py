@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from steplens.llm.common import ship
+from steplens.sources.scratch import materialise
 
 #: Vectors that the trees are learned from at most; they go to the driver, and the trees to every task.
 SAMPLE = 4096
@@ -20,6 +21,8 @@ TREES, LEAF = 8, 16
 #: Sample vectors, counted once for each tree, in the leaves that a query visits: this share of the sample and no fewer
 #: than the floor. A query thus visits a fixed share of the table whatever its size.
 SHARE, FLOOR = 1.0, 1024
+#: The share of its leaves that a query visits first: what it finds there bounds what the other leaves answer with.
+FIRST = 1 / 16
 #: Vectors of a leaf that one task scores; fuller leaves are dealt out.
 PART = 4096
 
@@ -101,7 +104,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, sample: int = S
     Vectors null, zero, with null or non-finite components, of another width than most of the sample, or of null vec_id
     take no part; repeated rows count once. Lengths may differ: a further coordinate makes all vectors equally long, so
     that nearness and inner product agree in the trees; scores come from the given vectors in double precision. The
-    ``k``-th best sample vector in the leaves that a query visits bounds what it needs, so leaves answer with no worse rows.
+    ``k``-th best sample vector in the leaves that a query visits bounds what it needs, and so does the ``k``-th best row
+    of the leaves it visits first, a fixed share of the table; so the rows that leaves answer with grow as the queries do.
     Each leaf is scored in parts of about ``part`` rows, so one vector that fills a third of the table meets its queries
     in many tasks. An empty table gives no rows.
     """
@@ -135,35 +139,39 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, sample: int = S
             for t, tree in enumerate(forest):
                 yield pa.RecordBatch.from_arrays([pa.array((base[t] + tree.leaves(x)).astype(np.int32)), batch.column("vec_id"), batch.column("e")], ["leaf", "vec_id", "e"])
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own, q = batch.column("vec_id").to_numpy(), _matrix(batch.column("e"), width)
-            for at in range(0, len(q), 256):
-                s = q[at : at + 256] @ known.T
-                s[own[at : at + 256, None] == ids[None, :]] = -np.inf
-                leaves, least = [], []
-                for v, score in zip(q[at : at + 256], s, strict=True):
-                    found = visit(forest, np.append(v * np.sqrt(longest / (v @ v)), 0), enough)
-                    reached = np.zeros(len(known), bool)
-                    for t, i in found:
-                        reached[forest[t].held[i]] = True
-                    score = score[reached]
-                    bound = np.partition(score, -k)[-k] if len(score) >= k else -np.inf
-                    leaves.append(found)
-                    least.append(bound - 1e-9 * max(1, abs(bound)) if np.isfinite(bound) else -1e308)
-                rows = pa.array(np.repeat(np.arange(at, at + len(s)), [len(f) for f in leaves]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([int(base[t] + i) for f in leaves for t, i in f], pa.int32()), batch.column("vec_id").take(rows), batch.column("e").take(rows), pa.array(np.repeat(least, [len(f) for f in leaves]))],
-                    ["leaf", "vec_id", "e", "least"],
-                )
+    def asker(first: bool):
+        def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                own, q, bounds = batch.column("vec_id").to_numpy(), _matrix(batch.column("e"), width), batch.column("bound").to_numpy(zero_copy_only=False)
+                for at in range(0, len(q), 256):
+                    s = q[at : at + 256] @ known.T
+                    s[own[at : at + 256, None] == ids[None, :]] = -np.inf
+                    leaves, least = [], []
+                    for v, score, bound in zip(q[at : at + 256], s, bounds[at : at + 256], strict=True):
+                        found = visit(forest, np.append(v * np.sqrt(longest / (v @ v)), 0), enough)
+                        reached, many = np.zeros(len(known), bool), 0
+                        for n, (t, i) in enumerate(found, 1):
+                            reached[forest[t].held[i]] = True
+                            if reached.sum() > k and n >= FIRST * len(found) and not many:
+                                many = n
+                        score = score[reached]
+                        if len(score) >= k:
+                            bound = max(bound, np.partition(score, -k)[-k])
+                        leaves.append(found[:many] if first else found[many:])
+                        least.append(bound - 1e-9 * max(1, abs(bound)) if np.isfinite(bound) else -1e308)
+                    size = [len(f) for f in leaves]
+                    rows = pa.array(np.repeat(np.arange(at, at + len(s)), size))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([int(base[t] + i) for f in leaves for t, i in f], pa.int32()), batch.column("vec_id").take(rows), batch.column("e").take(rows), pa.array(np.repeat(least, size))],
+                        ["leaf", "vec_id", "e", "least"],
+                    )
+
+        return ask
 
     held = usable.mapInArrow(place, "leaf int, vec_id long, e array<float>")
     # One row a leaf of trees that were learned from a bounded sample.
     parts = F.broadcast(held.groupBy("leaf").count().select("leaf", F.ceil(F.col("count") / part).cast("int").alias("parts")))
     held = held.join(parts, "leaf").select("leaf", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int").alias("part"), "vec_id", "e", F.lit(None).cast("double").alias("least"))
-    asking = asked.mapInArrow(ask, "leaf int, vec_id long, e array<float>, least double").join(parts, "leaf")
-    asking = asking.select("leaf", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "vec_id", "e", "least")
-
     def score(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
         is_query = group["least"].is_valid().combine_chunks().to_numpy(zero_copy_only=False)
@@ -185,7 +193,18 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, sample: int = S
         q, v, s = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
         return pa.Table.from_arrays([pa.array(q.astype(np.int64)), pa.array(v.astype(np.int64)), pa.array(s)], ["query_id", "vec_id", "score"])
 
-    rows = held.unionByName(asking).groupBy("leaf", "part").applyInArrow(score, "query_id long, vec_id long, score double")
-    best = rows.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    def answers(queries: DataFrame, first: bool) -> DataFrame:
+        asking = queries.mapInArrow(asker(first), "leaf int, vec_id long, e array<float>, least double").join(parts, "leaf")
+        asking = asking.select("leaf", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "vec_id", "e", "least")
+        return held.unionByName(asking).groupBy("leaf", "part").applyInArrow(score, "query_id long, vec_id long, score double")
+
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    def best(rows: DataFrame) -> DataFrame:
+        distinct = rows.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        return distinct.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+    early = materialise(best(answers(asked.withColumn("bound", F.lit(float("-inf"))), True)), "nearest")
+    bounds = early.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("bound"))
+    later = answers(asked.join(bounds, "vec_id", "left").select("vec_id", "e", F.coalesce("bound", F.lit(float("-inf"))).alias("bound")), False)
+    return best(early.select("query_id", "vec_id", "score").unionByName(later)).select("query_id", "rank", "vec_id", "score")
