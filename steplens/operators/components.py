@@ -9,9 +9,10 @@ from steplens.sources.scratch import materialise
 
 
 def _keyed_minimum(edges: DataFrame, smallest: Column) -> DataFrame:
-    """Each edge (u, v) with the least neighbour of u. The minimum is pre-aggregated on the map side and joined back, so
-    a hub is one short row on the small side and Spark may split its edges on the other."""
-    return edges.join(edges.groupBy("u").agg(smallest.alias("m")), "u")
+    """Each edge (u, v) with the least neighbour of u. The minima are pre-aggregated on the map side, written, and joined
+    back: a hub is one short row on that side, and as both sides of the join are dealt out for it alone, Spark may split
+    the hub's edges."""
+    return edges.join(materialise(edges.groupBy("u").agg(smallest.alias("m")), "minima"), "u")
 
 
 def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int = 60) -> DataFrame:
