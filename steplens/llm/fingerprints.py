@@ -106,7 +106,8 @@ _KINDS = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.floa
 
 def _told_apart(docs: DataFrame, found: DataFrame) -> DataFrame:
     """``found`` with digests that different folded texts share extended by a second digest of each text."""
-    repeated = found.groupBy("fingerprint").count().where("count > 1").select("fingerprint")
+    # Written first, so that the join deals out both its sides itself and Spark may split a digest of very many rows.
+    repeated = materialise(found.groupBy("fingerprint").count().where("count > 1").select("fingerprint"), "shared-digests")
     ids = materialise(found.join(repeated, "fingerprint").select("doc_id").distinct(), "repeated")
     side = F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids
     own = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))

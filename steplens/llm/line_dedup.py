@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from steplens.sources.scratch import materialise
+
 #: Lines in the rolling hash, and the mean number of lines of a chunk.
 ROLL, MEAN_LINES = 3, 4
 
@@ -61,7 +63,9 @@ def repeated_chunks(docs: DataFrame, roll: int = ROLL, mean_lines: int = MEAN_LI
     rows = rows.select("doc_id", "_sl_key", "pos", "chunk", F.xxhash64("chunk").alias("h1"), F.xxhash64(F.lit(1), "chunk").alias("h2"), place.cast("decimal(38,0)").alias("place"))
     texts = rows.groupBy("h1", "h2", "chunk").agg(F.count("*").alias("n"), F.min("place").alias("first"))
     repeated = texts.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.count("*").alias("texts"), F.min("first").alias("first")).where("n > 1 and texts = 1")
-    gone = rows.select("h1", "h2", "doc_id", "_sl_key", "pos", "place").join(repeated.select("h1", "h2", "first"), ["h1", "h2"]).where("place <> first")
+    # Written first, so that the join deals out both its sides itself and Spark may split a chunk of very many places.
+    repeated = materialise(repeated.select("h1", "h2", "first"), "chunks")
+    gone = rows.select("h1", "h2", "doc_id", "_sl_key", "pos", "place").join(repeated, ["h1", "h2"]).where("place <> first")
     return gone.groupBy(F.col("doc_id").alias("_sl_id"), "_sl_key").agg(F.collect_set("pos").alias("_sl_gone"))
 
 
