@@ -115,7 +115,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ranker:
     # At most ``sample`` rows on the broadcast side and to the driver.
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
     rows = own.select("doc_id", "text", F.col("quality").cast("int").alias("quality")).mapInArrow(run, "doc_id long, quality int, x array<double>").orderBy("doc_id", "x").limit(sample).toPandas()
-    return learn(np.array(rows["x"].tolist()).reshape(len(rows), -1), rows["quality"].to_numpy())
+    return learn(np.array(rows["x"].tolist(), np.float64).reshape(len(rows), len(FEATURES)), rows["quality"].to_numpy())
 
 
 def score(ranker: Ranker, text: str = "text") -> Column:

@@ -98,7 +98,7 @@ def _digest(text: bytes) -> tuple[int, int]:
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, minimiser: int = MINIMISER) -> DataFrame:
-    """(_sl_id, _sl_key, spans): for each row of ``docs`` with repeated windows the word spans (at, n) they cover. Rows
+    """(_sl_id, _sl_key, _sl_spans): for each row of ``docs`` with repeated windows the word spans (at, n) they cover. Rows
     are told apart by doc_id and a hash of it with the text, so that a repeated doc_id does no harm.
 
     Two streams leave the documents. Super-k-mers go to the bucket of their minimiser, merged first within each map
@@ -158,7 +158,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, minimiser: int = MINIM
     found = keyed.select("text").mapInArrow(send, "bucket long, block binary").groupBy("bucket").applyInPandas(count, "d1 long, d2 long, off int, n int")
     places = keyed.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "key").mapInArrow(place, "d1 long, d2 long, _sl_id long, _sl_key long, at int")
     spans = places.join(found, ["d1", "d2"]).select("_sl_id", "_sl_key", F.struct((F.col("at") + F.col("off")).alias("at"), "n").alias("span"))
-    return spans.groupBy("_sl_id", "_sl_key").agg(F.collect_list("span").alias("spans"))
+    return spans.groupBy("_sl_id", "_sl_key").agg(F.collect_list("span").alias("_sl_spans"))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, minimiser: int = MINIMISER) -> DataFrame:
@@ -172,7 +172,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, minimiser: int = MINIM
     spans = repeated_spans(docs, window, minimiser)
     key = F.xxhash64(docs["doc_id"], docs["text"])
     joined = docs.join(spans, docs["doc_id"].cast("long").eqNullSafe(spans["_sl_id"]) & (key == spans["_sl_key"]), "left")
-    joined = joined.select(*[docs[c].alias(f"_sl_{i}") for i, c in enumerate(docs.columns)], F.col("spans.at").alias("_sl_at"), F.col("spans.n").alias("_sl_n"))
+    joined = joined.select(*[docs[c].alias(f"_sl_{i}") for i, c in enumerate(docs.columns)], F.col("_sl_spans.at").alias("_sl_at"), F.col("_sl_spans.n").alias("_sl_n"))
     names = [f"_sl_{i}" for i in range(len(docs.columns))]
     text = names[docs.columns.index("text")]
 
