@@ -190,9 +190,9 @@ def domain_auc(t: Tables) -> DataFrame:
     return models.domain_auc(t.vec, _V[:-1], "step <= 34", "step >= 35", "vec_id")
 
 
-@query("domain_auc_cadence", "select step from spine where step % 5 = 0 or step in (35, 49)")
+@query("domain_auc_cadence", "with st as (select distinct step from tx) select step from st where step % 5 = 0 or step in (35, 49)")
 def domain_auc_cadence(t: Tables) -> DataFrame:
-    return monitor.cadence(t.spine())
+    return monitor.cadence(t.steps())
 
 
 @query("domain_auc_ablation")

@@ -27,12 +27,12 @@ def temporal_split(t: Tables) -> DataFrame:
 
 
 _PLAN = """pol as (select * from (values ('static', 'static', 34, 1), ('expanding', 'expanding', 0, 1), ('expanding_3', 'expanding', 0, 3), ('rolling', 'rolling', 8, 1), ('recency', 'recency', 0, 1)) p(policy, kind, width, lag)),
-    plan as (select policy, lag, step t, cast(case when kind = 'rolling' then greatest(1, step - lag - width + 1) else 1 end as int) as first, cast(case when kind = 'static' then least(step - lag, width) else step - lag end as int) as last, kind = 'recency' weighted from spine, pol where step >= 43)"""
+    plan as (select policy, lag, step t, cast(case when kind = 'rolling' then greatest(1, step - lag - width + 1) else 1 end as int) as first, cast(case when kind = 'static' then least(step - lag, width) else step - lag end as int) as last, kind = 'recency' weighted from (select distinct step from tx), pol where step >= 43)"""
 
 
 def plan(t: Tables) -> DataFrame:
     p = t.spark.createDataFrame([("static", "static", 34, 1), ("expanding", "expanding", 0, 1), ("expanding_3", "expanding", 0, 3), ("rolling", "rolling", 8, 1), ("recency", "recency", 0, 1)], "policy string, kind string, width int, lag int")
-    return M.policy_window(p, t.spine(43))
+    return M.policy_window(p, t.steps().where("step >= 43"))
 
 
 @query("policy_window", f"with {_PLAN} select * from plan")
@@ -46,9 +46,9 @@ def choose_holdout(t: Tables) -> DataFrame:
     return M.choose_holdout(counts(t), t.spine(35), least=60)
 
 
-@query("recency_weight", "with w as (select step, power(0.5, (42 - step) / 5.0::double) w from spine where step <= 42) select step, round(w / avg(w) over (), 6) weight from w")
+@query("recency_weight", "with w as (select step, power(0.5, (42 - step) / 5.0::double) w from (select distinct step from tx) where step <= 42) select step, round(w / avg(w) over (), 6) weight from w")
 def recency_weight(t: Tables) -> DataFrame:
-    return rounded(M.recency_weight(t.spine(), 42, 5.0), ["weight"])
+    return rounded(M.recency_weight(t.steps(), 42, 5.0), ["weight"])
 
 
 @query("class_weight", "select step, count(*) filter (where y = 1) positive, count(*) filter (where y = 0) negative, round(case when count(*) filter (where y = 1) > 0 then count(*) filter (where y = 0) / count(*) filter (where y = 1) end, 6) weight from tx where y is not null group by step")

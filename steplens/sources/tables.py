@@ -89,6 +89,10 @@ class Tables:
     def windows(self) -> DataFrame:
         return self.spark.createDataFrame([(k, lo, hi) for k, (lo, hi) in WINDOWS.items()], "window string, lo int, hi int")
 
+    def steps(self) -> DataFrame:
+        """The steps that transactions have."""
+        return self.tx.select("step").distinct()
+
     def spine(self, first: int = FIRST_STEP, last: int = LAST_STEP) -> DataFrame:
         return self.spark.range(first, last + 1).select(F.col("id").cast("int").alias("step"))
 
