@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -13,11 +14,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from steplens.llm.common import ship
+from steplens.llm.common import ship, slices
 from steplens.sources.scratch import materialise
 
-#: Text bytes of one range of doc_id, which one task reads in order.
-RANGE_BYTES = 4 << 20
+#: Text bytes of one range of doc_id, which one task reads in order, and ranges at most: beyond them ranges grow, and are
+#: still read row by row.
+RANGE_BYTES, MOST_RANGES = 4 << 20, 20_000
 #: Documents with repeated digests up to which their ids are broadcast; more are joined by a shuffle.
 MOST_BROADCAST = 1_000_000
 _NULL_ID = -(1 << 63)
@@ -37,11 +39,11 @@ def digest(folded: str) -> str:
 
 
 def _with_neighbours(docs: DataFrame) -> DataFrame:
-    """``docs`` dealt into ranges of doc_id, column r; the first row of the range below comes along with ahead set, and
-    the first row of all with the last range."""
+    """``docs`` dealt into ranges of doc_id, column r, each in descending order in one partition; the first row of the
+    range below comes along at its end with ahead set, and the first row of all with the last range."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("place", F.coalesce("doc_id", F.lit(_NULL_ID)))
     total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, total // RANGE_BYTES)
+    n = int(max(1, min(MOST_RANGES, total // RANGE_BYTES)))
     cuts = own.agg(F.percentile_approx("place", [i / n for i in range(1, n)] or [0.5], 10 * n + 1000)).first()[0] if n > 1 else []
     bounds = np.unique(np.array(cuts or [], np.int64))
 
@@ -49,7 +51,7 @@ def _with_neighbours(docs: DataFrame) -> DataFrame:
     def number(place: pd.Series) -> pd.Series:
         return pd.Series(np.searchsorted(bounds, place.to_numpy(), side="left").astype(np.int32))
 
-    # One row a range: as many as the text has ranges.
+    # One row a range, MOST_RANGES at most.
     heads = own.select("place", number("place").alias("r")).groupBy("r").agg(F.max("place")).collect()
     heads = sorted((r, place) for r, place in heads)
     targets = {place: heads[(i + 1) % len(heads)][0] for i, (_, place) in enumerate(heads)}
@@ -63,7 +65,8 @@ def _with_neighbours(docs: DataFrame) -> DataFrame:
         head = known[i] == p
         return pd.Series([[a, b] if h else [a] for a, b, h in zip(r.tolist(), to[i].tolist(), head.tolist(), strict=True)])
 
-    return own.select("doc_id", "text", "place", F.posexplode(dealt("place")).alias("ahead", "r"))
+    placed = own.select("doc_id", "text", "place", F.posexplode(dealt("place")).alias("ahead", "r"))
+    return placed.repartitionById(len(bounds) + 1, "r").sortWithinPartitions("r", "ahead", F.desc("place"), "text")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -78,32 +81,34 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     kinds = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
-    def run(group: pa.Table) -> pa.Table:
-        ahead, place, texts = group["ahead"].to_numpy(), group["place"].to_numpy(), group["text"].to_pylist()
-        order = sorted(range(len(texts)), key=lambda i: (ahead[i], -int(place[i]), texts[i]))
-        ids, rows = group["doc_id"].to_pylist(), []
-        folded = canonical(texts[order[0]])
-        for i, j in zip(order, order[1:], strict=False):
-            if ahead[i]:
-                break
-            text, following = texts[i], canonical(texts[j])
-            third = len(text) // 3
-            edited = text[: len(text) - third] + texts[j][:third]
-            other = canonical(edited)
-            sha = hashlib.sha256(edited.encode()).hexdigest()
-            rows.append((ids[i], len(text), sha, digest(folded), digest(other), float(folded == other), float(folded == following)))
-            folded = following
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _KINDS, strict=True)] if rows else [pa.array([], t) for t in _KINDS], names)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # (range, ahead, doc_id, text, folded) of the row before
+        for batch in batches:
+            for part in slices(batch, "text"):
+                rows = []
+                for r, ahead, doc_id, text in zip(*(part.column(c).to_pylist() for c in ("r", "ahead", "doc_id", "text")), strict=True):
+                    folded = canonical(text)
+                    if held and held[0] == r and not held[1]:
+                        rows.append(_compare(*held[2:], text, folded))
+                    held = (r, ahead, doc_id, text, folded)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(_KINDS), _KINDS, strict=True)], names)
 
     if docs.isEmpty():
         return docs.sparkSession.createDataFrame([], kinds)
-    found = materialise(_with_neighbours(docs).groupBy("r").applyInArrow(run, kinds), "digests")
+    found = materialise(_with_neighbours(docs).mapInArrow(run, kinds), "digests")
     return _told_apart(docs, found)
 
 
 _KINDS = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
 
 
+def _compare(doc_id: int | None, text: str, folded: str, after: str, after_folded: str) -> tuple:
+    third = len(text) // 3
+    edited = text[: len(text) - third] + after[:third]
+    other = canonical(edited)
+    return doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), digest(folded), digest(other), float(folded == other), float(folded == after_folded)
+
+
 def _told_apart(docs: DataFrame, found: DataFrame) -> DataFrame:
     """``found`` with digests that different folded texts share extended by a second digest of each text."""
     # Written first, so that the join deals out both its sides itself and Spark may split a digest of very many rows.

@@ -48,15 +48,17 @@ def simhash(text: pa.Array, shingle: int = 4) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """(doc_id, fp) for every row of ``docs``, whole texts; null text counts as empty, null and repeated doc_id stay."""
+    """(doc_id, row_key, fp) for every row of ``docs``, whole texts; null text counts as empty, null and repeated doc_id
+    stay, told apart by row_key, a hash of doc_id and text."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(simhash(part.column("text"), shingle))], ["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row_key"), pa.array(simhash(part.column("text"), shingle))], ["doc_id", "row_key", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("row_key"))
+    return own.mapInArrow(run, "doc_id long, row_key long, fp long")
 
 
 @lru_cache(1)
@@ -165,7 +167,7 @@ def links(distinct: DataFrame, n_docs: int, most: int = MAX_BITS, part: int = PA
     all_parts = F.sequence(F.lit(0), F.col("n") - 1)
     indexed = rows.where("near").select("k", "fp", F.col("own").alias("i"), F.explode(all_parts).alias("p"), F.lit(True).alias("near"))
     probing = rows.select("k", "fp", F.explode(all_parts).alias("i"), F.col("own").alias("p"), F.lit(False).alias("near"))
-    groups = max(8, min(3 * 4096, n_docs // 1024))
+    groups = max(8, n_docs // 1024)
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         fp, near = group["fp"].to_numpy(), group["near"].to_numpy()
@@ -180,7 +182,7 @@ def links(distinct: DataFrame, n_docs: int, most: int = MAX_BITS, part: int = PA
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, most: int = MAX_BITS, part: int = PART) -> DataFrame:
-    """(doc_id, fp, component_id) for every row of ``docs``.
+    """(doc_id, row_key, fp, component_id) for every row of ``docs``.
 
     Two rows are linked if their fingerprints differ in at most ``most`` bits (the keys hold for 4 at most);
     component_id is the smallest doc_id reachable over links, the row's own included. Equal fingerprints are merged
@@ -197,7 +199,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, most: int = MAX_BITS, par
     placed = distinct.join(nodes.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     least = placed.groupBy("component").agg(F.min("least").alias("component_id"))
     by_fp = placed.join(least, "component").select("fp", "component_id")
-    return fps.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    return fps.join(by_fp, "fp").select("doc_id", "row_key", "fp", "component_id")
 
 
 def fingerprint_hex(fp: str = "fp"):
@@ -205,6 +207,8 @@ def fingerprint_hex(fp: str = "fp"):
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` less near-duplicates: of each component only the rows of its smallest doc_id stay."""
-    found = near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of ``docs`` less near-duplicates: of each component the rows of its smallest doc_id stay, and where no row
+    of it has a doc_id, all of its rows. Rows of one doc_id with other texts are judged apart."""
+    gone = near_duplicates(docs).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("row_key").alias("_sl_key"), F.col("doc_id").alias("_sl_id")).distinct()
+    own = (F.xxhash64(docs["doc_id"], docs["text"]) == gone["_sl_key"]) & docs["doc_id"].cast("long").eqNullSafe(gone["_sl_id"])
+    return docs.join(gone, own, "left_anti")

@@ -291,3 +291,12 @@ def test_chat_round_trips(spark):
         assert at + len(chat.CLOSE) + 1 == len(f)
         assert learned == got[c]["learned"] == "".join(t for _, _, r, t in want if r == "assistant")
     assert chat.format_conversations(table.limit(0)).collect() == []
+
+
+def test_one_of_each_group_stays(spark):
+    near = " ".join(f"word{i}" for i in range(400))
+    docs = spark.createDataFrame([(3, near + " a"), (5, near + " b"), (5, "quite another text of the same id"), (7, near + " b"), (None, near + " b"), (9, "alone")], "doc_id long, text string")
+    found = {(r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(docs).collect()}
+    assert found == {(3, 3), (5, 3), (5, 5), (7, 3), (None, 3), (9, 9)}
+    kept = sorted((r["doc_id"], r["text"]) for r in simhash.keep_one(docs).collect())
+    assert kept == [(3, near + " a"), (5, "quite another text of the same id"), (9, "alone")]
