@@ -258,11 +258,11 @@ def recovery_verdict(t: Tables) -> DataFrame:
     return c.select(a.alias("recovers"), b.alias("delay_matters"), F.when(a & b, "recovers only with prompt labels").when(a, "recovers").otherwise("does not recover").alias("verdict"))
 
 
-@query("metric_association", f"""with {curve_sql('step')}, a as (select step, round({AP}, 9) ap from cu group by step), b as (select step, round(avg(score), 9) m from tx group by 1), r as (select rank() over (order by ap) + (count(*) over (partition by ap) - 1) / 2 x, rank() over (order by m) + (count(*) over (partition by m) - 1) / 2 y from a join b using (step) where step >= 35) select round(corr(x, y), 6) rho from r""")
+@query("metric_association", f"""with {curve_sql('step')}, a as (select step, round({AP}, 9) ap from cu group by step), b as (select step, round(avg(score), 9) m from tx group by 1), r as (select rank() over (order by ap) + (count(*) over (partition by ap) - 1) / 2 x, rank() over (order by m) + (count(*) over (partition by m) - 1) / 2 y from a join b using (step) where step >= 35 and ap is not null) select round(corr(x, y), 6) rho from r""")
 def metric_association(t: Tables) -> DataFrame:
     a = R.average_precision(t.tx, ["step"]).select("step", F.round("ap", 9).alias("ap"))
     b = t.tx.groupBy("step").agg(F.round(F.avg("score"), 9).alias("m"))
-    j = a.join(b, "step").where("step >= 35").withColumn("g", F.lit(1))
+    j = a.join(b, "step").where("step >= 35 AND ap IS NOT NULL").withColumn("g", F.lit(1))
     return profile.spearman(j, "ap", "m", ["g"]).select(F.round("rho", 6).alias("rho"))
 
 
