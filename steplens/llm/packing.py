@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -19,8 +18,10 @@ from steplens.llm.tokens import IdStore
 CAPACITY = 2048
 #: Documents whose last pieces are packed together; a part leaves about one sequence less than full.
 PART_DOCS = 4096
-#: Letters of which the tokenizer makes one pre-token whatever stands beside them, and what may follow them.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-įı-ſ]+)([!-/:-@\[-`{-~]*)")
+#: Bytes of text that are tokenised at once.
+TOKEN_BYTES = 8 << 20
+#: Letters of which the tokenizer makes one pre-token whatever stands beside them, and marks that may follow them.
+_PLAIN = r"^(?P<letters>[A-Za-zÀ-ÖØ-öø-įı-ſ]+)(?P<marks>[!-/:-@\[-`{-~]*)$"
 
 
 class CapacityTree:
@@ -75,39 +76,36 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
 
 
 class _Encoder:
-    """Ids of white-space separated words by a tokenizer whose pre-tokens never hold white space. Letters and the marks
-    after them are encoded apart and only once each, many in one call."""
+    """Ids of parts of words by a tokenizer whose pre-tokens never hold white space: runs of letters or of marks, many in
+    one call as each is one pre-token, and whole other words, which have a zero character in front."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.parts: dict[str, np.ndarray] = {"": np.empty(0, np.int32)}
 
     def __call__(self, new: list[str]) -> Iterable[np.ndarray]:
-        if len(self.parts) > 500_000:
-            self.parts = {"": np.empty(0, np.int32)}
-        cut = [m and (m[1].lower(), m[2]) for m in map(_PLAIN.fullmatch, new)]
-        self._learn(list({p for c in cut if c for p in c} - self.parts.keys()))
-        odd = iter(self.tokenizer.encode_batch([x for x, c in zip(new, cut, strict=True) if not c], add_special_tokens=False))
-        for c in cut:
-            if not c:
+        plain = [x for x in new if x and x[0] != "\0"]
+        runs = iter(self._runs(plain))
+        odd = iter(self.tokenizer.encode_batch([x[1:] for x in new if x[:1] == "\0"], add_special_tokens=False))
+        for x in new:
+            if not x:
+                yield np.empty(0, np.int32)
+            elif x[0] == "\0":
                 yield np.array(next(odd).ids, np.int32)
-            elif c[1]:
-                yield np.concatenate([self.parts[c[0]], self.parts[c[1]]])
             else:
-                yield self.parts[c[0]]
+                yield next(runs)
 
-    def _learn(self, parts: list[str]) -> None:
+    def _runs(self, parts: list[str]) -> Iterator[np.ndarray]:
         for at in range(0, len(parts), 2048):
             some = parts[at : at + 2048]
             one = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
             word = np.array(one.word_ids, np.int64)
             if len(word) and word[-1] + 1 == len(some):
-                runs = np.split(np.array(one.ids, np.int32), np.flatnonzero(np.diff(word)) + 1)
+                ids, cut = np.array(one.ids, np.int32), [0, *(np.flatnonzero(np.diff(word)) + 1).tolist(), len(word)]
+                yield from (ids[a:b] for a, b in zip(cut, cut[1:], strict=False))
             else:
-                runs = [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch(some, add_special_tokens=False)]
-            self.parts.update(zip(some, runs, strict=True))
+                yield from (np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch(some, add_special_tokens=False))
 
 
 @lru_cache(2)
@@ -116,13 +114,21 @@ def _store(path: str) -> IdStore:
 
 
 def token_ids(text: pa.Array, path: str, closing: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts end to end, each with ``closing`` after it, and the texts' offsets in them."""
+    """Ids of all texts end to end, each with ``closing`` after it, and the texts' offsets in them. A word is the run of
+    its letters and the run of marks after them, if it is no more than that, and else itself."""
     split = pc.ascii_split_whitespace(text.fill_null("") if text.null_count else text)
     coded = split.flatten().dictionary_encode()
+    cut = pc.extract_regex(coded.dictionary, _PLAIN)
+    letters = pc.utf8_lower(pc.struct_field(cut, "letters"))
+    other = pc.binary_join_element_wise("\0", coded.dictionary, "")
+    head = pc.if_else(pc.is_valid(cut), letters, other)
+    tail = pc.if_else(pc.is_valid(cut), pc.struct_field(cut, "marks"), "")
+    parts = pa.concat_arrays([head, tail]).dictionary_encode()
     store = _store(path)
-    entries = store.lookup(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+    entries = store.lookup(parts.dictionary.to_pylist())[parts.indices.to_numpy()]
+    both = np.stack([entries[: len(head)], entries[len(head) :]], axis=1)[coded.indices.to_numpy()]
     offsets = split.offsets.to_numpy().astype(np.int64)
-    return store.gather(entries, offsets - offsets[0], closing)
+    return store.gather(both.ravel(), 2 * (offsets - offsets[0]), closing)
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool = True) -> DataFrame:
@@ -133,7 +139,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = 0
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", TOKEN_BYTES):
                 ids, offsets = token_ids(part.column("text"), path)
                 n = np.diff(offsets)
                 count = -(-n // capacity)

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable
 import numpy as np
 
 #: Entries after which a worker's store starts anew, so that its memory stays bounded.
-MOST_ENTRIES = 600_000
+MOST_ENTRIES = 800_000
 
 
 class IdStore:
