@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one step in a Python worker holds; a longer single text is still taken whole.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 #: The word separators of the contracts: space and U+0009 to U+000D.
 SEPARATORS = bytes([0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
@@ -122,7 +122,10 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
         with np.errstate(over="ignore"):
             _POWERS = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(len(data) + 1, _BASE), dtype=np.uint64)])
     total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _POWERS[: len(data)], out=total[1:])
+    terms = data.astype(np.uint64)
+    terms += np.uint64(1)
+    terms *= _POWERS[: len(data)]
+    np.cumsum(terms, out=total[1:])
     return (total[end] - total[start]) * _inverse_power(start)
 
 

@@ -18,7 +18,7 @@ from steplens.llm.common import Words, mix, ship, slices, span_hashes, words
 #: Words of a window, and of the minimiser that decides its bucket.
 WINDOW, MINIMISER = 35, 4
 #: Bytes of super-k-mers that a map task gathers before it sends them off, and that a bucket has on average.
-FLUSH_BYTES, BUCKET_BYTES = 64 << 20, 4 << 20
+FLUSH_BYTES, BUCKET_BYTES = 48 << 20, 4 << 20
 
 
 def super_kmers(w: Words, window: int, minimiser: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
