@@ -13,7 +13,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from steplens.llm.common import Words, mix, ship, slices, span_hashes, words
+from steplens.llm.common import SLICE_BYTES, Words, mix, ship, slices, span_hashes, text_bytes, words
 
 #: Words of a window, and of the minimiser that decides its bucket.
 WINDOW, MINIMISER = 35, 4
@@ -161,6 +161,18 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, minimiser: int = MINIM
     return spans.groupBy("_sl_id", "_sl_key").agg(F.collect_list("span").alias("_sl_spans"))
 
 
+def _packed(text: pa.Array) -> pa.Array:
+    pack = zstandard.ZstdCompressor(level=3)
+    raw, offsets = text_bytes(text)
+    data, ends = raw.tobytes(), offsets.tolist()
+    return pa.array([pack.compress(data[a:b]) if ok else None for a, b, ok in zip(ends, ends[1:], text.is_valid().to_pylist(), strict=False)], pa.binary())
+
+
+def _unpacked(packed: pa.Array, kind: pa.DataType) -> pa.Array:
+    unpack = zstandard.ZstdDecompressor()
+    return pa.array([None if x is None else unpack.decompress(x) for x in packed.to_pylist()], pa.large_binary()).cast(kind)
+
+
 def remove_repeats(docs: DataFrame, window: int = WINDOW, minimiser: int = MINIMISER) -> DataFrame:
     """``docs`` with every word cut from ``text`` that a window covers whose words stand elsewhere too, in the same text
     or another; with n_words and n_removed beside its columns.
@@ -170,16 +182,18 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, minimiser: int = MINIM
     windows. An empty table gives no rows.
     """
     spans = repeated_spans(docs, window, minimiser)
-    key = F.xxhash64(docs["doc_id"], docs["text"])
-    joined = docs.join(spans, docs["doc_id"].cast("long").eqNullSafe(spans["_sl_id"]) & (key == spans["_sl_key"]), "left")
-    joined = joined.select(*[docs[c].alias(f"_sl_{i}") for i, c in enumerate(docs.columns)], F.col("_sl_spans.at").alias("_sl_at"), F.col("_sl_spans.n").alias("_sl_n"))
     names = [f"_sl_{i}" for i in range(len(docs.columns))]
     text = names[docs.columns.index("text")]
+    # Whole texts go to the join with their spans packed.
+    packed = F.arrow_udf(_packed, "binary")
+    whole = docs.select(*[(packed(c) if c == "text" else F.col(c)).alias(n) for n, c in zip(names, docs.columns, strict=True)], F.xxhash64("doc_id", "text").alias("_sl_row"), F.col("doc_id").cast("long").alias("_sl_doc"))
+    joined = whole.join(spans, whole["_sl_doc"].eqNullSafe(spans["_sl_id"]) & (whole["_sl_row"] == spans["_sl_key"]), "left")
+    joined = joined.select(*names, F.col("_sl_spans.at").alias("_sl_at"), F.col("_sl_spans.n").alias("_sl_n"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text):
-                given = part.column(text)
+            for part in slices(batch, text, SLICE_BYTES // 2):
+                given = _unpacked(part.column(text), pa.string())
                 w = words(given)
                 cover = np.zeros(len(w.start) + 1, np.int64)
                 at, n = part.column("_sl_at"), part.column("_sl_n")
