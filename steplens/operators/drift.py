@@ -9,7 +9,7 @@ from steplens.operators.profile import spearman
 from steplens.operators.ranking import auc_of
 from steplens.operators.rows import finite
 
-#: Bounds of the levels of a drift score.
+#: Bounds of the levels of a drift score.
 MODERATE, SIGNIFICANT = 0.10, 0.25
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from steplens.operators import drift, ranking
 from steplens.operators.windows import last_n_eligible, rolling_prevalence, streak
 
-#: Statuses that count as an alert, and those that say nothing.
+#: Statuses that count as an alert, and those that say nothing.
 ALERTS = ("MODERATE", "WARNING", "ALERT", "CRITICAL", "SIGNIFICANT")
 SILENT = ("", "UNAVAILABLE", "NOT_EVALUATED")
 
@@ -101,7 +101,7 @@ def cadence(spine: DataFrame, every: int = 5, always: tuple[int, ...] = (35, 49)
     return spine.where((F.col(step) % every == 0) | F.col(step).isin(*always))
 
 
-#: Order in which the reasons of a decision are given.
+#: The names of the reasons of a decision, in the order in which they are given.
 _RETRAIN = ("ConcentratedMacroDrift", "ScoreShift", "PerformanceCrash", "PrevalenceRegimeCollapse")
 _RECALIBRATE = ("FeatureDriftWarning", "DiffuseMicroDriftWarning", "ScoreShiftWarning", "PrevalenceAlert", "PrevalenceWarning", "AdversarialOODAlert")
 

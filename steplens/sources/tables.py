@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 #: Steps of the transaction views, and the label codes.
 FIRST_STEP, LAST_STEP, DRIFT_STEP = 1, 49, 43
 POSITIVE, NEGATIVE, UNKNOWN = 1, 2, 3
-#: Named closed step ranges; they overlap.
+#: Named closed step ranges; they overlap.
 WINDOWS = {"fit": (1, 24), "validation": (25, 34), "train": (1, 34), "test": (35, 49), "early": (35, 42), "drift": (43, 49)}
-#: The decision threshold frozen on validation.
+#: Fixed value: the decision threshold frozen on validation.
 FROZEN_TAU = 0.435
 
 _LABEL = "CASE WHEN cls = 1 THEN 1 WHEN cls = 2 THEN 0 END"
