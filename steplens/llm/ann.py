@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -18,9 +18,9 @@ from steplens.sources.scratch import materialise
 #: Vectors that the trees are learned from at most; they go to the driver, and the trees to every task.
 SAMPLE = 4096
 TREES, LEAF = 8, 16
-#: Sample vectors, counted once for each tree, in the leaves that a query visits: this share of the sample and no fewer
-#: than the floor. A query thus visits a fixed share of the table whatever its size.
-SHARE, FLOOR = 1.0, 1024
+#: Sample vectors, counted once for each tree, in the leaves that a query visits. Beyond the size of the sample a query
+#: thus visits a fixed share of the table.
+ENOUGH = 4096
 #: The share of its leaves that a query visits first: what it finds there bounds what the other leaves answer with.
 FIRST = 1 / 16
 #: Vectors of a leaf that one task scores; fuller leaves are dealt out.
@@ -56,7 +56,8 @@ def grow(x: np.ndarray, leaf: int, rng: np.random.Generator) -> Tree:
             for _ in range(4):
                 a, b = x[rng.choice(rows, 2, replace=False)]
                 p = x[rows] @ (a - b)
-                cut = (np.median(p) + p.max(where=p <= np.median(p), initial=-np.inf)) / 2
+                middle = np.median(p) if np.median(p) < p.max() else p.max(where=p < p.max(), initial=-np.inf)
+                cut = (p.max(where=p <= middle, initial=-np.inf) + p.min(where=p > middle, initial=np.inf)) / 2
                 if (length := np.linalg.norm(a - b)) and 0 < (p > cut).sum() < len(rows):
                     number = len(children)
                     normals.append((a - b) / length)
@@ -70,7 +71,9 @@ def grow(x: np.ndarray, leaf: int, rng: np.random.Generator) -> Tree:
         if parent >= 0:
             children[parent][side] = number
     width = x.shape[1]
-    return Tree(np.array(normals).reshape(-1, width), np.array(offsets), np.array(children, np.int64).reshape(-1, 2), held)
+    tree = Tree(np.array(normals).reshape(-1, width), np.array(offsets), np.array(children, np.int64).reshape(-1, 2), held)
+    place = tree.leaves(x)  # as every row is placed, to the last bit
+    return replace(tree, held=[np.flatnonzero(place == i) for i in range(len(held))])
 
 
 def visit(trees: list[Tree], query: np.ndarray, enough: float) -> list[tuple[int, int]]:
@@ -97,7 +100,7 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, sample: int = SAMPLE, trees: int = TREES, share: float = SHARE, part: int = PART) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, sample: int = SAMPLE, trees: int = TREES, enough: int = ENOUGH, part: int = PART) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of ``queries`` the ``k`` rows of ``vectors`` (vec_id, embedding) with the
     largest inner product among those that its leaves hold, the row of its own vec_id left out; ties to smaller vec_id.
 
@@ -131,7 +134,6 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, sample: int = S
     rng = np.random.default_rng(11)
     forest = [grow(lift(known), LEAF, rng) for _ in range(trees)]
     base = np.cumsum([0] + [len(t.held) for t in forest])
-    enough = max(FLOOR, share * len(known))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
