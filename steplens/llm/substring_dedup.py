@@ -18,7 +18,7 @@ from steplens.llm.common import SLICE_BYTES, Words, mix, ship, slices, span_hash
 #: Words of a window, and of the minimiser that decides its bucket.
 WINDOW, MINIMISER = 35, 4
 #: Bytes of super-k-mers that a map task gathers before it sends them off, and that a bucket has on average.
-FLUSH_BYTES, BUCKET_BYTES = 48 << 20, 4 << 20
+FLUSH_BYTES, BUCKET_BYTES = 32 << 20, 3 << 20
 
 
 def super_kmers(w: Words, window: int, minimiser: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -164,8 +164,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, minimiser: int = MINIM
 def _packed(text: pa.Array) -> pa.Array:
     pack = zstandard.ZstdCompressor(level=3)
     raw, offsets = text_bytes(text)
-    data, ends = raw.tobytes(), offsets.tolist()
-    return pa.array([pack.compress(data[a:b]) if ok else None for a, b, ok in zip(ends, ends[1:], text.is_valid().to_pylist(), strict=False)], pa.binary())
+    ends = offsets.tolist()
+    return pa.array([pack.compress(raw[a:b]) if ok else None for a, b, ok in zip(ends, ends[1:], text.is_valid().to_pylist(), strict=False)], pa.binary())
 
 
 def _unpacked(packed: pa.Array, kind: pa.DataType) -> pa.Array:
