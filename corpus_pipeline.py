@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from steplens.llm import line_dedup, packing, quality, simhash, substring_dedup
+from steplens.llm import line_dedup, near_copies, packing, quality, substring_dedup
 from steplens.llm.common import ship, table
 from steplens.sources.scratch import materialise
 
@@ -34,8 +34,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return simhash.keep_one(docs)
+    """One document of each group that pairs of similarity 0.8 or more over five-word shingles join."""
+    return near_copies.keep_one(docs)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
