@@ -1,4 +1,4 @@
-"""Repeated runs of lines: content-defined chunks of lines, removed after byte comparison. DataFrame functions only."""
+"""Repeated runs of lines: every window of two lines, removed after byte comparison. DataFrame functions only."""
 
 from __future__ import annotations
 
@@ -7,82 +7,56 @@ from pyspark.sql import functions as F
 
 from steplens.sources.scratch import materialise
 
-#: Lines in the rolling hash, and the mean number of lines of a chunk.
-ROLL, MEAN_LINES = 3, 4
-
-
-def _rotate(x: Column, by: int) -> Column:
-    return F.shiftleft(x, by).bitwiseOR(F.shiftrightunsigned(x, 64 - by)) if by else x
-
 
 def _let(value: Column, body) -> Column:
     """``body`` of a value that is worked out once, however often the body's inner functions name it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def chunks(text: str, roll: int = ROLL, mean_lines: int = MEAN_LINES) -> Column:
-    """struct<n, starts, texts>: the number of lines of ``text``, the first line of each chunk, and the chunks' texts.
-
-    The lines' hashes, each turned by its distance, are combined over ``roll`` lines; a chunk ends where that value is
-    divisible by ``mean_lines``. The choice looks at the last lines only, so lines put in elsewhere move no boundary.
-    """
-
-    def ends(hashes: Column, i: Column) -> Column:
-        value = F.get(hashes, i)
-        for back in range(1, roll):
-            value = value.bitwiseXOR(F.coalesce(_rotate(F.get(hashes, i - back), back), F.lit(0)))
-        return F.pmod(value, F.lit(mean_lines)) == 0
-
-    def cut(lines: Column, starts: Column) -> Column:
-        def one(start: Column, i: Column) -> Column:
-            return F.array_join(F.slice(lines, start + 1, F.coalesce(F.get(starts, i + 1), F.size(lines)) - start), "\n")
-
-        return F.struct(F.size(lines).alias("n"), starts.alias("starts"), F.transform(starts, one).alias("texts"))
-
-    def starts(lines: Column, hashes: Column) -> Column:
-        return F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: (i == 0) | ends(hashes, i - 1))
+def _lines(text: str) -> Column:
+    return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
-    def of_lines(lines: Column) -> Column:
-        hashes = F.transform(lines, lambda x: F.xxhash64(x))
-        return _let(hashes, lambda h: _let(starts(lines, h), lambda s: cut(lines, s)))
 
-    return _let(F.split(F.coalesce(text, F.lit("")), "\n", -1), of_lines)
+def windows(text: str) -> Column:
+    """Each two lines of ``text`` that follow one another, so that a run of lines has all its windows wherever it stands."""
+    return _let(_lines(text), lambda lines: F.transform(F.slice(lines, F.lit(1), F.size(lines) - 1), lambda line, i: F.concat(line, F.lit("\n"), F.get(lines, i + 1))))
 
 
-def repeated_chunks(docs: DataFrame, roll: int = ROLL, mean_lines: int = MEAN_LINES) -> DataFrame:
-    """(_sl_id, _sl_key, _sl_gone): for each row with repeats the chunks that stand in an earlier place too.
+def repeated_windows(docs: DataFrame) -> DataFrame:
+    """(_sl_id, _sl_key, _sl_later): for each row with repeats its windows that stand in an earlier place too.
 
-    A chunk counts if it has two lines or more and is not blank. Its first place, by doc_id and position, stays. Chunks
-    are grouped by two hashes and their bytes, pre-aggregated in the map tasks; only hashes travel from then on, and
-    hashes that two texts share remove nothing. Places meet the repeated hashes in a join whose skewed keys Spark splits.
+    A window counts if it is not blank, and where it does not overlap its own first place. Windows are grouped by two hashes and their bytes, pre-aggregated in the map
+    tasks; only hashes travel from then on, and hashes that two texts share remove nothing. Places, by doc_id and
+    position, meet the repeated hashes in a join whose skewed keys Spark splits.
     """
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("_sl_key"))
-    rows = keyed.select("doc_id", "_sl_key", F.posexplode(chunks("text", roll, mean_lines)["texts"]).alias("pos", "chunk"))
-    rows = rows.where(F.contains("chunk", F.lit("\n")) & F.col("chunk").rlike(r"\S"))
+    rows = keyed.select("doc_id", "_sl_key", F.posexplode(windows("text")).alias("pos", "window"))
+    rows = rows.where(F.col("window").rlike(r"\S"))
     place = F.coalesce("doc_id", F.lit((1 << 63) - 1)).cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(11,0)") + F.col("pos").cast("decimal(10,0)")
-    rows = rows.select("doc_id", "_sl_key", "pos", "chunk", F.xxhash64("chunk").alias("h1"), F.xxhash64(F.lit(1), "chunk").alias("h2"), place.cast("decimal(38,0)").alias("place"))
-    texts = rows.groupBy("h1", "h2", "chunk").agg(F.count("*").alias("n"), F.min("place").alias("first"))
-    repeated = texts.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.count("*").alias("texts"), F.min("first").alias("first")).where("n > 1 and texts = 1")
-    # Written first, so that the join deals out both its sides itself and Spark may split a chunk of very many places.
-    repeated = materialise(repeated.select("h1", "h2", "first"), "chunks")
-    gone = rows.select("h1", "h2", "doc_id", "_sl_key", "pos", "place").join(repeated, ["h1", "h2"]).where("place <> first")
-    return gone.groupBy(F.col("doc_id").alias("_sl_id"), "_sl_key").agg(F.collect_set("pos").alias("_sl_gone"))
-
-
-def dedup_lines(docs: DataFrame, roll: int = ROLL, mean_lines: int = MEAN_LINES) -> DataFrame:
-    """``docs`` with repeated multi-line chunks cut from ``text``, and n_lines and n_removed beside its columns.
-
-    A null text stays null and has one empty line, as has an empty one; single-line chunks and blank chunks always stay;
-    rows equal in doc_id and text count as one place; a null doc_id comes after all others. Every other column passes
-    through, and an empty table gives no rows.
+    rows = rows.select("doc_id", "_sl_key", "pos", "window", F.xxhash64("window").alias("h1"), F.xxhash64(F.lit(1), "window").alias("h2"), place.cast("decimal(38,0)").alias("place"))
+    texts = rows.groupBy("h1", "h2", "window").agg(F.min("place").alias("first"), F.max("place").alias("last"))
+    repeated = texts.groupBy("h1", "h2").agg(F.count("*").alias("texts"), F.min("first").alias("first"), F.max("last").alias("last")).where("first <> last and texts = 1")
+    # Written first, so that the join deals out both its sides itself and Spark may split a window of very many places.
+    repeated = materialise(repeated.select("h1", "h2", "first"), "windows")
+    later = rows.select("h1", "h2", "doc_id", "_sl_key", "pos", "place").join(repeated, ["h1", "h2"]).where("place - first > 1")
+    return later.groupBy(F.col("doc_id").alias("_sl_id"), "_sl_key").agg(F.collect_set("pos").alias("_sl_later"))
+
+
+def dedup_lines(docs: DataFrame) -> DataFrame:
+    """``docs`` with repeated runs of two lines or more cut from ``text``, and n_lines and n_removed beside its columns.
+
+    A line goes if it and a neighbour stand in that order in an earlier place too, by doc_id and position, so the earliest
+    place of each line that goes stays. A null text stays null and has one empty line, as has an empty one; lines that
+    repeat singly and blank runs always stay; rows equal in doc_id and text count as one place; a null doc_id comes after
+    all others. Every other column passes through, and an empty table gives no rows.
     """
-    gone = repeated_chunks(docs, roll, mean_lines)
+    found = repeated_windows(docs)
     key = F.xxhash64(docs["doc_id"], docs["text"])
-    joined = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["_sl_id"]) & (key == gone["_sl_key"]), "left")
-    cut = joined.select(*[docs[c] for c in docs.columns], "_sl_gone").withColumn("_sl_cut", chunks("text", roll, mean_lines))
+    joined = docs.join(found, docs["doc_id"].cast("long").eqNullSafe(found["_sl_id"]) & (key == found["_sl_key"]), "left")
+    gone = F.array_union("_sl_later", F.transform("_sl_later", lambda i: i + 1))
+    cut = joined.select(*[docs[c] for c in docs.columns], gone.alias("_sl_gone")).withColumn("_sl_lines", _lines("text"))
     gone_or_none = F.coalesce("_sl_gone", F.array().cast("array<int>"))
-    cut = cut.withColumn("_sl_kept", F.array_except(F.sequence(F.lit(0), F.size("_sl_cut.texts") - 1), gone_or_none))
-    text = F.when(F.col("_sl_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform("_sl_kept", lambda i: F.get("_sl_cut.texts", i)), "\n"))
-    lines = F.aggregate("_sl_kept", F.lit(0), lambda total, i: total + F.coalesce(F.get("_sl_cut.starts", i + 1), F.col("_sl_cut.n")) - F.get("_sl_cut.starts", i))
-    counts = [F.col("_sl_cut.n").cast("long").alias("n_lines"), (F.col("_sl_cut.n") - lines).cast("long").alias("n_removed")]
+    kept = F.array_except(F.sequence(F.lit(0), F.size("_sl_lines") - 1), gone_or_none)
+    text = F.when(F.size(gone_or_none) == 0, F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get("_sl_lines", i)), "\n"))
+    counts = [F.size("_sl_lines").cast("long").alias("n_lines"), F.size(gone_or_none).cast("long").alias("n_removed")]
     return cut.select(*[(text if c == "text" else F.col(c)).alias(c) for c in docs.columns], *counts)
