@@ -20,7 +20,8 @@ _TOKEN = re.compile(
     |</?[a-zA-Z][^>]*+(?:>|\Z)""",
     re.S | re.I | re.X,
 )
-_ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+#: One attribute after the other, each with its whole name and value, so that no value is read as a name.
+_ATTR = re.compile(r"""([^\s"'<>/=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?+|"[^"]*+"|'[^']*+'""")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -120,6 +121,10 @@ class _Page:
             self._edge()
 
 
+def _points(text: str) -> float:
+    return 1.0 + text.count(",") + min(len(text) // 100, 3)
+
+
 def extract(html: str | None) -> str:
     """The main text of a page, its blocks joined by line ends; empty if there is none.
 
@@ -132,7 +137,24 @@ def extract(html: str | None) -> str:
     page = _Page(html)
     tag, parent, n = page.tag, page.parent, len(page.tag)
     core, in_article = [False] * n, [False] * n
+    shut, points = [False] * n, [0.0] * n
+    for i in range(1, n):
+        shut[i] = shut[parent[i]] or page.hard[i] or tag[i] == "a"
+    for i, text in page.runs:
+        if text is not None and not shut[i] and len(text := text.strip()) >= 25:
+            points[i] += _points(text)
+    clear = points[:]  # without what stands in marked elements further down
+    for i in range(n - 1, 0, -1):
+        points[parent[i]] += points[i]
+        clear[parent[i]] += 0 if page.furniture[i] else clear[i]
+    # Marks do not count on an element with most of the page's points, unless the text seen so far has a quarter of its clear points.
+    seen, waived = clear[0], [False] * n
+    for i in range(1, n):
+        if page.furniture[i] and 2 * points[i] > points[0] and clear[i] > 4 * seen:
+            waived[i] = True
+            seen += clear[i]
     for i in range(n - 1, 0, -1):
+        core[i] = core[i] or waived[i]
         if core[i] or tag[i] in ("article", "main"):
             core[parent[i]] = True
     gone, link, block = [False] * n, [False] * n, [0] * n
@@ -158,10 +180,10 @@ def extract(html: str | None) -> str:
             size[owner] += len(text)
             linked[owner] += min(links, len(text))
             if len(text) >= 25 and not _HEADING.fullmatch(tag[owner]):
-                points = 1.0 + text.count(",") + min(len(text) // 100, 3)
+                gain = _points(text)
                 up = owner if tag[owner] in ("div", "article", "main", "section", "body", "#page") else parent[owner]
                 for level in range(6):
-                    score[up] += points / (1 if level == 0 else 2 if level == 1 else 3 * level)
+                    score[up] += gain / (1 if level == 0 else 2 if level == 1 else 3 * level)
                     if not up:
                         break
                     up = parent[up]
