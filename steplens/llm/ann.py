@@ -105,7 +105,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, sample: int = S
     largest inner product among those that its leaves hold, the row of its own vec_id left out; ties to smaller vec_id.
 
     Vectors null, zero, with null or non-finite components, of another width than most of the sample, or of null vec_id
-    take no part; repeated rows count once. Lengths may differ: a further coordinate makes all vectors equally long, so
+    take no part; of a repeated vec_id the least vector counts, once. Lengths may differ: a further coordinate makes all vectors equally long, so
     that nearness and inner product agree in the trees; scores come from the given vectors in double precision. The
     ``k``-th best sample vector in the leaves that a query visits bounds what it needs, and so does the ``k``-th best row
     of the leaves it visits first, a fixed share of the table; so the rows that leaves answer with grow as the queries do.
@@ -118,13 +118,15 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, sample: int = S
     real = lambda e: F.forall(e, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(e, lambda v: v != 0)
     usable = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("e")).where("vec_id is not null and e is not null").where(real(F.col("e")))
     asked = queries.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("e")).where("vec_id is not null and e is not null").where(real(F.col("e")))
+    once = lambda d: d.groupBy("vec_id", F.size("e").alias("w")).agg(F.min("e").alias("e"))
+    usable, asked = materialise(once(usable), "vectors"), once(asked)
     chosen = usable.orderBy(F.xxhash64("vec_id"), "vec_id", "e").limit(sample).collect()
     if not chosen:
         return spark.createDataFrame([], out)
     widths = [len(r["e"]) for r in chosen]
     width = max(sorted(set(widths)), key=widths.count)
     chosen = [r for r in chosen if len(r["e"]) == width]
-    usable, asked = usable.where(F.size("e") == width), asked.where(F.size("e") == width)
+    usable, asked = (d.where(F.col("w") == width).select("vec_id", "e") for d in (usable, asked))
     known, ids = np.array([r["e"] for r in chosen], np.float64), np.array([r["vec_id"] for r in chosen])
     longest = usable.agg(F.max(F.aggregate("e", F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double")))).first()[0]
 
