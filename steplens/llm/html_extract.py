@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -30,20 +31,41 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li"
     " main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split()
 )
-#: Elements whose text never belongs to an article.
-DROPPED = frozenset("head nav footer aside form button select option menu dialog noscript template svg math object canvas audio video map fieldset datalist".split())
-#: Words in class, id or role that mark furniture, adverts, notices and reader comments.
+#: Elements whose text never belongs to an article, and those whose text does only where they hold most of a page.
+DROPPED = frozenset("head nav footer aside button select option menu dialog noscript template svg math object canvas audio video map datalist label legend".split())
+WRAPPERS = frozenset("form fieldset".split())
+#: Words that mark furniture, adverts, notices and reader comments where a name in class, id or role is one of them or ends
+#: in one, or begins with one and ends in a word for a box.
 FURNITURE = frozenset(
     "ad ads advert adverts advertisement advertisements advertising sponsor sponsored sponsors promo promos promotion banner cookie cookies consent gdpr notice notices popup modal"
     " overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations sidebar sidebars widget widgets menu menus nav navbar navigation"
     " breadcrumb breadcrumbs pagination pager footer header masthead toolbar comment comments disqus reply replies respond discussion copyright contentinfo complementary search".split()
 )
+BOXES = frozenset(
+    "area bar block body box bottom button buttons column container content footer form group header holder icon icons inner item items left link links list main module outer panel"
+    " posts right row section slot space title top unit widget widgets wrap wrapper zone".split()
+)
+#: Words in front that turn a name's meaning round, and those that make a header one of the article.
+NEGATIONS = frozenset("has no not with without hide".split())
+OWN_HEADER = frozenset("article content entry post story title".split())
 #: Elements that an element of the key ends where it opens inside them, and those it does not look beyond.
-CLOSES = {t: (frozenset(e.split()), frozenset(s.split())) for t, e, s in [("li", "li", "ul ol menu"), ("dt", "dt dd", "dl"), ("dd", "dt dd", "dl"), ("tr", "tr td th", "table"), ("td", "td th", "tr table"), ("th", "td th", "tr table"), ("tbody", "tbody thead tfoot tr td th", "table"), ("tfoot", "tbody thead tr td th", "table"), ("option", "option", "select")]}
+CLOSES = {t: (frozenset(e.split()), frozenset(s.split())) for t, e, s in [("li", "li", "ul ol menu"), ("dt", "dt dd", "dl"), ("dd", "dt dd", "dl"), ("tr", "tr td th", "table"), ("td", "td th", "tr table"), ("th", "td th", "tr table"), ("tbody", "tbody thead tfoot tr td th", "table"), ("tfoot", "tbody thead tr td th", "table"), ("option", "option", "select"), ("body", "head", "")]}
 _PARAGRAPH_STOPS = frozenset("article aside blockquote body button caption details dialog div figure footer form header li main nav section table td th html dd".split())
+_RULES = {**CLOSES, "": (frozenset(["p"]), _PARAGRAPH_STOPS)}  # "" is any block
+#: The rules that an open element has a part in, as (rule, whether it is ended and not looked beyond).
+_PART = {t: [(r, t in ends) for r, (ends, stops) in _RULES.items() if t in ends or t in stops] for ends, stops in _RULES.values() for t in ends | stops}
 _HEADING = re.compile("h[1-6]")
 
 
+def _names_furniture(name: str) -> bool:
+    parts = [w.lower() for w in _NAME.findall(name)]
+    if not parts or parts[0] in NEGATIONS:
+        return False
+    if parts[-1] in FURNITURE:
+        return not (parts[-1] == "header" and parts[0] in OWN_HEADER)
+    return parts[-1] in BOXES and not FURNITURE.isdisjoint(parts)
+
+
 def _marked(attrs: str) -> tuple[bool, bool]:
     """(hidden, furniture) as the attributes of an element say."""
     hidden = furniture = False
@@ -51,7 +73,7 @@ def _marked(attrs: str) -> tuple[bool, bool]:
         name, value = name.lower(), "".join(values)
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
             hidden = True
-        elif name in ("class", "id", "role") and not FURNITURE.isdisjoint(w.lower() for w in _NAME.findall(value)):
+        elif name in ("class", "id", "role") and any(map(_names_furniture, value.split())):
             furniture = True
     return hidden, furniture
 
@@ -64,6 +86,9 @@ class _Page:
         self.hard, self.furniture = [False], [False]
         self.runs: list[tuple[int, str | None]] = []  # (element, text), or None for the edge of a block
         self.stack = [0]
+        # At each depth the nearest open element that each rule ends, so that no rule walks the open elements.
+        self.near: list[dict[str, int]] = [{}]
+        self.open: Counter[str] = Counter()
         at = 0
         for m in _TOKEN.finditer(html):
             if m.start() > at:
@@ -80,15 +105,15 @@ class _Page:
     def _edge(self) -> None:
         self.runs.append((self.stack[-1], None))
 
-    def _pop_to(self, tags: frozenset[str], stops: frozenset[str]) -> None:
-        for depth in range(len(self.stack) - 1, 0, -1):
-            tag = self.tag[self.stack[depth]]
-            if tag in tags:
-                del self.stack[depth:]
-                self._edge()
-                return self._pop_to(tags, stops)
-            if tag in stops:
-                return None
+    def _cut(self, depth: int) -> None:
+        for i in self.stack[depth:]:
+            self.open[self.tag[i]] -= 1
+        del self.stack[depth:], self.near[depth:]
+
+    def _end(self, rule: str) -> None:
+        while depth := self.near[-1].get(rule):
+            self._cut(depth)
+            self._edge()
 
     def _open(self, tag: str, attrs: str) -> None:
         if tag == "br":
@@ -96,28 +121,37 @@ class _Page:
             return
         if tag in BLOCK:
             self._edge()
-            self._pop_to(frozenset(["p"]), _PARAGRAPH_STOPS)
+            self._end("")
         if tag in CLOSES:
-            self._pop_to(*CLOSES[tag])
-        if tag == "body":
-            self._pop_to(frozenset(["head"]), frozenset())
+            self._end(tag)
         if tag in VOID:
             return
         hidden, furniture = _marked(attrs) if attrs else (False, False)
         self.tag.append(tag)
         self.parent.append(self.stack[-1])
         self.hard.append(hidden or tag in DROPPED)
-        self.furniture.append(furniture)
+        self.furniture.append(furniture or tag in WRAPPERS)
+        near = self.near[-1]
+        if tag in _PART:
+            near = dict(near)
+            for rule, ended in _PART[tag]:
+                if ended:
+                    near[rule] = len(self.stack)
+                else:
+                    near.pop(rule, None)
+        self.near.append(near)
+        self.open[tag] += 1
         self.stack.append(len(self.tag) - 1)
 
     def _close(self, tag: str) -> None:
-        for depth in range(len(self.stack) - 1, 0, -1):
-            if self.tag[self.stack[depth]] == tag:
-                if tag in BLOCK:
-                    self._edge()
-                del self.stack[depth:]
-                return
-        if tag == "p":
+        if self.open[tag]:
+            if tag in BLOCK:
+                self._edge()
+            depth = len(self.stack) - 1
+            while self.tag[self.stack[depth]] != tag:
+                depth -= 1
+            self._cut(depth)
+        elif tag == "p":
             self._edge()
 
 
@@ -130,7 +164,9 @@ def extract(html: str | None) -> str:
 
     Each block of text passes a point, one for each comma and up to three for its length to the element around it, half
     to the next and less to those beyond; what an element has gathered is discounted by its share of link text. The best
-    element is kept, with siblings that score a fifth as much, are plain paragraphs of some length or are main headings.
+    element is kept, with siblings that score a fifth as much or are plain paragraphs of some length; below the body, with
+    every sibling that is not mostly links; and with what holds main headings beside it or beside what it stands in. Marks of furniture drop an element's text before that,
+    but not where the element holds most of the page's points. The time grows with the length of the page alone.
     """
     if not html:
         return ""
@@ -211,14 +247,27 @@ def extract(html: str | None) -> str:
     best = max(range(n), key=score.__getitem__)
     if score[best] <= 0:
         return "\n".join(t for _, t in blocks)
+    titled = [False] * n
+    for i, _ in blocks:
+        titled[i] = tag[i] in ("h1", "h2")
+    for i in range(n - 1, 0, -1):
+        titled[parent[i]] |= titled[i]
+    # Around the best element stands the rest of the article, unless that is the whole page.
+    inner = tag[parent[best]] not in ("#page", "html", "body")
+    above, up = {0}, parent[best]
+    while up:
+        above.add(up)
+        up = parent[up]
     keep = [False] * n
     keep[best] = True
     for i in range(1, n):
         if keep[parent[i]]:
             keep[i] = True
-        elif i != best and parent[i] == parent[best] and size[i]:
+        elif i != best and i not in above and parent[i] in above and size[i]:
             density = linked[i] / size[i]
-            keep[i] = score[i] >= max(10, 0.2 * score[best]) or tag[i] == "p" and size[i] > 80 and density < 0.25 or tag[i] in ("h1", "h2") and not density
+            keep[i] = titled[i] and not density
+            if parent[i] == parent[best]:
+                keep[i] |= score[i] >= max(10, 0.2 * score[best]) or density < 0.25 and (inner or tag[i] == "p" and size[i] > 80)
     return "\n".join(t for i, t in blocks if keep[i])
 
 
