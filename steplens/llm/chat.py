@@ -73,10 +73,10 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
 
 
 def loss_mask(turns: str = "turns", formatted: str = "formatted") -> Column:
-    """Run lengths of the loss mask over the formatted text, off and on in turn: what is learned is the text of each
-    assistant turn as it stands there, without its marks."""
+    """Run lengths of the loss mask over the UTF-8 bytes of the formatted text, off and on in turn: what is learned is the
+    text of each assistant turn as it stands there, without its marks."""
     escaped = F.startswith(F.col(formatted), F.lit(ESCAPED))
-    as_written = lambda x, role: F.length(F.when(escaped, escape(x, role)).otherwise(x))
+    as_written = lambda x, role: F.octet_length(F.when(escaped, escape(x, role)).otherwise(x))
 
     def runs(t: Column, i: Column) -> Column:
         before = F.when(i == 0, F.when(escaped, len(ESCAPED)).otherwise(len(RAW))).otherwise(len(CLOSE) + 1)
@@ -86,6 +86,16 @@ def loss_mask(turns: str = "turns", formatted: str = "formatted") -> Column:
     return F.transform(turns, runs)
 
 
-def learned_text(turns: str = "turns") -> Column:
-    """All text under the loss mask, unescaped, in order."""
-    return F.array_join(F.transform(F.filter(turns, lambda t: t["role"] == LEARNED_ROLE), lambda t: t["text"]), "")
+def learned_text(formatted: str = "formatted", mask: str = "mask") -> Column:
+    """All text of ``formatted`` under the loss mask, cut out by its runs, unescaped, in order."""
+    raw = F.col(formatted).cast("binary")
+    escaped = F.startswith(F.col(formatted), F.lit(ESCAPED))
+
+    def take(done: Column, run: Column) -> Column:
+        begin = done["at"] + run["marks"]
+        cut = F.substring(raw, begin + 1, run["text"]).cast("string")
+        own = F.when(run["learned"], F.when(escaped, unescape(cut)).otherwise(cut)).otherwise("")
+        return F.struct((begin + run["text"]).alias("at"), F.concat(done["text"], own).alias("text"))
+
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("text"))
+    return F.aggregate(mask, start, take, lambda done: done["text"])

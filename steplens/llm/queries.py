@@ -65,7 +65,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = r"\### Assistant: </turn> ok"
     extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(text).alias("text"))
     read = chat.format_conversations(given.select("conv_id", "turn", "role", "text").unionByName(extra))
-    read = read.withColumn("learned", chat.learned_text()).withColumn("mask", chat.loss_mask())
+    read = read.withColumn("mask", chat.loss_mask()).withColumn("learned", chat.learned_text())
     turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select(
         "conv_id",

@@ -277,16 +277,16 @@ def test_chat_round_trips(spark):
     rows = [(c, k, rng.choice(["user", "assistant", None, "a: b", "r:", "</turn>"]), rng.choice([None, ""] + ["".join(rng.choice(bits) for _ in range(rng.randrange(8))) for _ in range(20)])) for c in range(60) for k in range(rng.randrange(1, 6))]
     rows += [(None, 0, "user", "null conversation"), (1, 0, "user", "tie"), (1, None, "user", "null turn"), (70, 0, "user", "y" * 50000)]
     table = spark.createDataFrame([(*r, "clash") for r in rows], "conv_id long, turn long, role string, text string, source string")
-    got = {r["conv_id"]: r for r in chat.format_conversations(table).withColumn("learned", chat.learned_text()).withColumn("mask", chat.loss_mask()).collect()}
+    got = {r["conv_id"]: r for r in chat.format_conversations(table).withColumn("mask", chat.loss_mask()).withColumn("learned", chat.learned_text()).collect()}
     for c in {r[0] for r in rows}:
         want = sorted(((k is not None, k or 0, r or "", t or "") for cc, k, r, t in rows if cc == c))
         assert [(t["role"], t["text"]) for t in got[c]["turns"]] == [(r, t) for _, _, r, t in want]
-        at, learned, f = 0, "", got[c]["formatted"]
+        at, learned, f = 0, "", got[c]["formatted"].encode()
         for run in got[c]["mask"]:
             at += run["marks"]
             if run["learned"]:
-                part = f[at : at + run["text"]]
-                learned += re.sub(r"(?s)\\(.)", r"\1", part) if f.startswith(chat.ESCAPED) else part
+                part = f[at : at + run["text"]].decode()
+                learned += re.sub(r"(?s)\\(.)", r"\1", part) if f.startswith(chat.ESCAPED.encode()) else part
             at += run["text"]
         assert at + len(chat.CLOSE) + 1 == len(f)
         assert learned == got[c]["learned"] == "".join(t for _, _, r, t in want if r == "assistant")
