@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -19,16 +20,18 @@ from steplens.llm.common import SLICE_BYTES, Words, mix, ship, slices, span_hash
 WINDOW, MINIMISER = 35, 4
 #: Bytes of super-k-mers that a map task gathers before it sends them off, and that a bucket has on average.
 FLUSH_BYTES, BUCKET_BYTES = 32 << 20, 3 << 20
+#: A bucket of more times its average, copies counted each, is dealt out by what stands around the minimisers.
+HOT = 4
 
 
-def super_kmers(w: Words, window: int, minimiser: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first word, number of windows, minimiser hash) of each run of consecutive windows of one text that share the
+def super_kmers(w: Words, h: np.ndarray, window: int, minimiser: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, number of windows, minimiser hash, first word of the minimiser) of each run of consecutive windows of one text that share the
     place of their minimiser: the least hash of ``minimiser`` words in a row, the leftmost of equal ones. Equal windows
     have equal minimisers wherever they stand."""
     n, total = w.counts(), len(w.start)
+    none = np.empty(0, np.int64)
     if total < window:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
-    h = w.hashes()
+        return none, none, none.astype(np.uint64), none
     grams = total - minimiser + 1
     g = h[:grams].copy()
     for j in range(1, minimiser):
@@ -43,20 +46,94 @@ def super_kmers(w: Words, window: int, minimiser: int) -> tuple[np.ndarray, np.n
     begin, size = np.repeat(w.first[:-1], n)[: len(low)], np.repeat(n, n)[: len(low)]
     starts = np.flatnonzero(at - begin <= size - window)
     if not len(starts):
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
+        return none, none, none.astype(np.uint64), none
     least = low[starts]
     new = np.ones(len(starts), bool)
     new[1:] = (least[1:] != least[:-1]) | (np.diff(starts) != 1)
     first = np.flatnonzero(new)
-    return starts[first], np.diff(np.append(first, len(starts))), least[first] >> np.uint64(32)
-
-
-def _pieces(part: pa.Array, window: int, minimiser: int):
+    return starts[first], np.diff(np.append(first, len(starts))), least[first] >> np.uint64(32), (least[first] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+
+@dataclass(frozen=True)
+class Deal:
+    """How super-k-mers are dealt to buckets, alike for equal windows wherever they stand: by the minimiser; from a ``hot``
+    bucket by the minimiser and the words on that side of it where the window has more; and from one that is hot even then
+    (``hotter``) each window by itself. Both lists are sorted, and no longer than all bytes over those of a hot bucket."""
+
+    window: int
+    minimiser: int
+    buckets: int
+    hot: np.ndarray
+    hotter: np.ndarray
+
+    def runs(self, w: Words, all_of: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first word, number of windows, bucket) of the runs of windows that travel as one string, or of those alone that
+        are dealt by more than the minimiser."""
+        h = w.hashes()
+        first, count, low, place = super_kmers(w, h, self.window, self.minimiser)
+        bucket = mix(low) % np.uint64(self.buckets)
+        if not len(self.hot):
+            return first, count, bucket
+        hot = _among(bucket, self.hot)
+        cold = ~hot & all_of
+        parts = [(first[cold], count[cold], bucket[cold])]
+        first, count, low, place = first[hot], count[hot], low[hot], place[hot]
+        side = (self.window - self.minimiser + 1) // 2
+        left = np.clip(place - side - first + 1, 0, count)
+        for k, begin, size, around in ((1, first, left, place - side), (2, first + left, count - left, place + self.minimiser)):
+            some = size > 0
+            begin, size, around = begin[some], size[some], around[some]
+            own = mix(mix(low[some]) + mix(span_hashes(h, around, around + side)) + np.uint64(k)) % np.uint64(self.buckets)
+            alone = _among(own, self.hotter)
+            parts.append((begin[~alone], size[~alone], own[~alone]))
+            each = np.repeat(begin[alone] - np.cumsum(size[alone]) + size[alone], size[alone]) + np.arange(int(size[alone].sum()))
+            parts.append((each, np.ones_like(each), mix(span_hashes(h, each, each + self.window)) % np.uint64(self.buckets)))
+        return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
+
+    def spans(self, w: Words, first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return w.start[first], w.end[first + count + self.window - 2]
+
+
+def _among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    if not len(known):
+        return np.zeros(len(x), bool)
+    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
+
+
+def _pieces(part: pa.Array, deal: Deal):
     w = words(part)
-    first, count, low = super_kmers(w, window, minimiser)
+    first, count, bucket = deal.runs(w)
     data = w.joined.tobytes()
-    texts = [data[s:e] for s, e in zip(w.start[first].tolist(), w.end[first + count + window - 2].tolist(), strict=True)]
-    return w, first, low, texts
+    begin, end = deal.spans(w, first, count)
+    return w, first, bucket, [data[s:e] for s, e in zip(begin.tolist(), end.tolist(), strict=True)]
+
+
+def deal_of(texts: DataFrame, window: int = WINDOW, minimiser: int = MINIMISER, bucket_bytes: int = BUCKET_BYTES) -> Deal:
+    """The deal for column text of ``texts``: the bytes of every bucket are counted over all of them, within each map task
+    first, and counted again for the hot buckets alone if there are any."""
+    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    none = np.empty(0, np.uint64)
+    deal = Deal(window, minimiser, max(8, 3 * total // bucket_bytes), none, none)
+
+    def full(deal: Deal) -> np.ndarray:
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: dict[int, int] = defaultdict(int)
+            for batch in batches:
+                for part in slices(batch, "text"):
+                    w = words(part.column("text"))
+                    first, size, bucket = deal.runs(w, all_of=not len(deal.hot))
+                    begin, end = deal.spans(w, first, size)
+                    own, where = np.unique(bucket, return_inverse=True)
+                    for b, n in zip(own.tolist(), np.bincount(where, end - begin, len(own)).tolist(), strict=True):
+                        held[b] += int(n)
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(list(held.values()), pa.int64())], ["bucket", "n"])
+
+        sums = texts.select("text").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+        rows = sums.where(F.col("n") > HOT * bucket_bytes).select("bucket").collect()
+        return np.array(sorted(r["bucket"] for r in rows), np.uint64)
+
+    deal = replace(deal, hot=full(deal))
+    return replace(deal, hotter=full(deal)) if len(deal.hot) else deal
 
 
 def _repeated_spans(count: dict[bytes, int], window: int) -> Iterator[tuple[bytes, int, int]]:
@@ -97,18 +174,18 @@ def _digest(text: bytes) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW, minimiser: int = MINIMISER) -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int = WINDOW, minimiser: int = MINIMISER, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """(_sl_id, _sl_key, _sl_spans): for each row of ``docs`` with repeated windows the word spans (at, n) they cover. Rows
     are told apart by doc_id and a hash of it with the text, so that a repeated doc_id does no harm.
 
     Two streams leave the documents. Super-k-mers go to the bucket of their minimiser, merged first within each map
-    task, so a text that fills a third of the table sends each super-k-mer once a task. The places where each one
-    stands go by its digest to the join with what the buckets found, whose skewed keys Spark splits.
+    task, so a text that fills a third of the table sends each super-k-mer once a task; buckets that a frequent phrase
+    fills in many surroundings are dealt out further. The places where each one stands go by its 128-bit digest to the join with
+    what the buckets found, whose skewed keys Spark splits. Spans of rows equal in doc_id and text are merged as they are gathered.
     """
     ship(docs.sparkSession)
     keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(8, 3 * total // BUCKET_BYTES)
+    deal = deal_of(keyed, window, minimiser, bucket_bytes)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, dict[bytes, int]] = defaultdict(dict)
@@ -120,8 +197,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, minimiser: int = MINIM
 
         for batch in batches:
             for part in slices(batch, "text"):
-                _, _, low, texts = _pieces(part.column("text"), window, minimiser)
-                for b, t in zip((mix(low) % np.uint64(buckets)).tolist(), texts, strict=True):
+                _, _, bucket, texts = _pieces(part.column("text"), deal)
+                for b, t in zip(bucket.tolist(), texts, strict=True):
                     own = held[b]
                     if t in own:
                         own[t] += 1
@@ -146,7 +223,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, minimiser: int = MINIM
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                w, first, _, texts = _pieces(part.column("text"), window, minimiser)
+                w, first, _, texts = _pieces(part.column("text"), deal)
                 doc = np.searchsorted(w.first, first, side="right") - 1
                 digest = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, texts)), np.int64).reshape(-1, 2)
                 rows = pa.array(doc)
@@ -158,7 +235,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, minimiser: int = MINIM
     found = keyed.select("text").mapInArrow(send, "bucket long, block binary").groupBy("bucket").applyInPandas(count, "d1 long, d2 long, off int, n int")
     places = keyed.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "key").mapInArrow(place, "d1 long, d2 long, _sl_id long, _sl_key long, at int")
     spans = places.join(found, ["d1", "d2"]).select("_sl_id", "_sl_key", F.struct((F.col("at") + F.col("off")).alias("at"), "n").alias("span"))
-    return spans.groupBy("_sl_id", "_sl_key").agg(F.collect_list("span").alias("_sl_spans"))
+    return spans.groupBy("_sl_id", "_sl_key").agg(F.collect_set("span").alias("_sl_spans"))
 
 
 def _packed(text: pa.Array) -> pa.Array:
@@ -173,7 +250,7 @@ def _unpacked(packed: pa.Array, kind: pa.DataType) -> pa.Array:
     return pa.array([None if x is None else unpack.decompress(x) for x in packed.to_pylist()], pa.large_binary()).cast(kind)
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, minimiser: int = MINIMISER) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, minimiser: int = MINIMISER, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """``docs`` with every word cut from ``text`` that a window covers whose words stand elsewhere too, in the same text
     or another; with n_words and n_removed beside its columns.
 
@@ -181,7 +258,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, minimiser: int = MINIM
     A null text stays null and has no words; texts of fewer words than a window stay; a repeated row repeats all its
     windows. An empty table gives no rows.
     """
-    spans = repeated_spans(docs, window, minimiser)
+    spans = repeated_spans(docs, window, minimiser, bucket_bytes)
     names = [f"_sl_{i}" for i in range(len(docs.columns))]
     text = names[docs.columns.index("text")]
     # Whole texts go to the join with their spans packed.
