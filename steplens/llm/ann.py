@@ -47,7 +47,9 @@ class Forest:
         return ((x - self.centre) @ self.directions).reshape(len(x), len(self.splits), self.depth)
 
     def leaves(self, x: np.ndarray) -> np.ndarray:
-        """(rows, trees): the leaf of each row in each tree."""
+        """(rows, trees): the leaf of each row in each tree. Projections are made for some rows at a time."""
+        if len(x) > 2048:
+            return np.concatenate([self.leaves(x[at : at + 2048]) for at in range(0, len(x), 2048)])
         p, trees = self.project(x), np.arange(len(self.splits))
         node = np.ones((len(x), len(trees)), np.int64)
         for level in range(self.depth):
@@ -154,12 +156,14 @@ def index_of(known: np.ndarray, ids: np.ndarray, n: int, longest: float, k: int,
     bare = Index(Forest(np.zeros(0), np.zeros((0, 0)), np.zeros((0, 1)), np.zeros((0, 0)), 0), longest, yard, ids[:NEARNESS], order(len(known)))
     index = replace(bare, forest=grow(bare.lift(known), trees, depth, np.random.default_rng(11)))
     tried, own = known[-TRIALS:], ids[-TRIALS:]
-    s = tried @ known.T
-    s[own[:, None] == ids[None, :]] = -np.inf
     k = min(k, len(known) - 1)
     if not k:
         return replace(index, order=order(n), miss=MISSES[-1])
-    best = np.argpartition(s, -k, axis=1)[:, -k:]
+    best = []
+    for own_id, q in zip(own, tried, strict=True):
+        s = known @ q
+        s[ids == own_id] = -np.inf
+        best.append(np.argpartition(s, -k)[-k:])
     found = np.zeros(len(MISSES))
     leaves = index.forest.leaves(index.lift(known))
     for (visited, chance), rows in zip(index.visits(Search(index.forest, MISSES[-1]), own, tried), best, strict=True):
@@ -179,7 +183,7 @@ class Part:
         forest = index.forest
         order = np.argsort(number, kind="stable")
         self.number, self.x = number[order], x[order]
-        leaf = np.concatenate([forest.leaves(index.lift(self.x[at : at + 8192].astype(np.float64))) for at in range(0, len(x), 8192)] or [np.empty((0, len(forest.splits)), np.int32)])
+        leaf = np.concatenate([np.empty((0, len(forest.splits)), np.int32), *[forest.leaves(index.lift(self.x[at : at + 2048].astype(np.float64))) for at in range(0, len(x), 2048)]])
         self.rows = np.concatenate([np.argsort(own, kind="stable").astype(np.int32) for own in leaf.T])
         self.begin = np.concatenate([[0], np.cumsum(np.bincount(leaf.ravel(), minlength=forest.size))])
         self.hit = np.zeros(len(x), bool)

@@ -7,7 +7,6 @@ from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -19,10 +18,12 @@ from steplens.sources.scratch import materialise
 
 #: Bits of the three segments; each is padded with zeros to the 23 bits of the Golay code.
 SEGMENTS = (22, 21, 21)
-#: Differing bits that still link. Over three segments one of them has at most one of the four.
+#: Differing bits that still link. Of four over three segments one segment has none, or two have one each.
 MAX_BITS = 4
-#: Distinct fingerprints of one key that one task compares; keys with more are dealt out as a grid of parts.
-PART = 8192
+#: Rows of one key that one task compares; keys with more are dealt out as a grid of parts.
+PART = 1 << 19
+#: Pairs of one pair of keys up to which all are listed at once; more are compared block by block.
+FEW = 1 << 16
 
 
 def simhash(text: pa.Array, shingle: int = 4) -> np.ndarray:
@@ -101,21 +102,76 @@ def _tables() -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     return by_byte, size, padded
 
 
-def fuzzy_keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, key, nearest) for each fingerprint and segment: the indices of all codewords within distance 4 of it. Two
-    segments that differ in one bit at most share the key that is nearest to either."""
+def codewords(fp: np.ndarray, number: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, codeword index, nearest) for one segment of each fingerprint: all codewords within distance 4 of it, the
+    nearest one first. Of two segments that differ in one bit at most either's nearest codeword is among the other's."""
     by_byte, size, padded = _tables()
-    rest, rows, keys, near = fp.view(np.uint64), [], [], []
-    for number, width in enumerate(SEGMENTS):
-        word = (rest & np.uint64((1 << width) - 1)).astype(np.uint32)
-        rest = rest >> np.uint64(width)
-        syndrome = by_byte[0][word & 255] ^ by_byte[1][word >> 8 & 255] ^ by_byte[2][word >> 16]
-        row = np.repeat(np.arange(len(fp)), size[syndrome])
-        rank = np.arange(len(row)) - np.repeat(np.cumsum(size[syndrome]) - size[syndrome], size[syndrome])
-        rows.append(row)
-        keys.append((number << 12) + ((word[row] ^ padded[syndrome[row], rank]) >> 11).astype(np.int64))
-        near.append(rank == 0)
-    return np.concatenate(rows), np.concatenate(keys), np.concatenate(near)
+    word = segment(fp, number).astype(np.uint32)
+    syndrome = by_byte[0][word & 255] ^ by_byte[1][word >> 8 & 255] ^ by_byte[2][word >> 16]
+    row = np.repeat(np.arange(len(fp)), size[syndrome])
+    rank = np.arange(len(row)) - np.repeat(np.cumsum(size[syndrome]) - size[syndrome], size[syndrome])
+    return row, ((word[row] ^ padded[syndrome[row], rank]) >> 11).astype(np.int64), rank == 0
+
+
+def segment(fp: np.ndarray, number: int) -> np.ndarray:
+    return fp.view(np.uint64) >> np.uint64(sum(SEGMENTS[:number])) & np.uint64((1 << SEGMENTS[number]) - 1)
+
+
+def fuzzy_keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, key, nearest) for each fingerprint and segment: the codewords of the segment, numbered through all three."""
+    found = [codewords(fp, number) for number in range(len(SEGMENTS))]
+    return np.concatenate([r for r, _, _ in found]), np.concatenate([(i << 12) + c for i, (_, c, _) in enumerate(found)]), np.concatenate([n for _, _, n in found])
+
+
+def second_keys(fp: np.ndarray, number: int, nearest: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) by which fingerprints of one codeword of segment ``number`` are told apart: the segment as it is, which
+    is how two meet that do not differ in it, and the codewords of the next segment, or only its nearest."""
+    row, word, near = codewords(fp, (number + 1) % len(SEGMENTS))
+    keep = near if nearest else np.ones(len(row), bool)
+    whole = segment(fp, number).astype(np.int64) << 13 | 1 << 12
+    return np.concatenate([np.arange(len(fp)), row[keep]]), np.concatenate([whole, word[keep]])
+
+
+def candidates(left: np.ndarray, right: np.ndarray, number: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(u, v, compared): links between fingerprints ``left``, by their nearest codeword of segment ``number``, and
+    ``right``, that have it among theirs; they join all that pairs within ``MAX_BITS`` join which share a second key."""
+    a, ka = second_keys(left, number, True)
+    b, kb = second_keys(right, number, False)
+    order = np.argsort(ka, kind="stable")
+    a, ka = a[order], ka[order]
+    order = np.argsort(kb, kind="stable")
+    b, kb = b[order], kb[order]
+    key, begin, size = np.unique(ka, return_index=True, return_counts=True)
+    low, high = np.searchsorted(kb, key, "left"), np.searchsorted(kb, key, "right")
+    pairs = size * (high - low)
+    links = []
+    few = np.flatnonzero((pairs > 0) & (pairs <= FEW))
+    for some in np.split(few, np.flatnonzero(np.diff(np.cumsum(pairs[few]) >> 22)) + 1):
+        n, wide = pairs[some], (high - low)[some]
+        at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        u = left[a[np.repeat(begin[some], n) + at // np.repeat(wide, n)]]
+        v = right[b[np.repeat(low[some], n) + at % np.repeat(wide, n)]]
+        close = (u != v) & (np.bitwise_count(u.view(np.uint64) ^ v.view(np.uint64)) <= MAX_BITS)
+        links.append(spanning(u[close], v[close]))
+    for i in np.flatnonzero(pairs > FEW).tolist():
+        links.append(forest(left[a[begin[i] : begin[i] + size[i]]], right[b[low[i] : high[i]]]))
+    u, v = (np.concatenate([np.empty(0, np.int64), *[x[i] for x in links]]) for i in (0, 1))
+    return *spanning(u, v), int(pairs.sum())
+
+
+def spanning(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One link to the root of its group for every other end of the links."""
+    node, where = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b, parent = where[: len(u)], where[len(u) :], np.arange(len(node))
+    while True:
+        x, y = parent[a], parent[b]
+        if (x == y).all():
+            break
+        np.minimum.at(parent, np.maximum(x, y), np.minimum(x, y))
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
+    linked = parent != np.arange(len(node))
+    return node[linked], node[parent[linked]]
 
 
 def forest(left: np.ndarray, right: np.ndarray, most: int = MAX_BITS) -> tuple[np.ndarray, np.ndarray]:
@@ -148,10 +204,18 @@ def forest(left: np.ndarray, right: np.ndarray, most: int = MAX_BITS) -> tuple[n
     return node[linked], node[parent[linked]]
 
 
-def links(distinct: DataFrame, n_docs: int, most: int = MAX_BITS, part: int = PART) -> DataFrame:
-    """(u, v): links between the distinct fingerprints ``fp`` that join exactly the groups that all pairs within ``most``
-    bits join. Rows are keyed by fuzzy codeword indices; a key is compared in one group of at most ``part`` indexed and
-    ``part`` probing rows, and a fuller key as a grid of such groups."""
+def links(distinct: DataFrame, n_docs: int, part: int = PART) -> DataFrame:
+    """(u, v): the links of ``compared_links``."""
+    return compared_links(distinct, n_docs, part).where("u is not null").select("u", "v")
+
+
+def compared_links(distinct: DataFrame, n_docs: int, part: int = PART) -> DataFrame:
+    """(u, v, compared): links between the distinct fingerprints ``fp`` that join exactly the groups that all pairs within
+    ``MAX_BITS`` bits join, and on one row of each task with u null how many pairs it compared.
+
+    Rows travel by a codeword of one segment, and meet there by that segment as it is or by a codeword of the next one: a
+    pair with one untouched segment meets by the first, any other has two neighbouring segments of one differing bit. So what is compared shares 21 bits or
+    24 of a key. A key is compared in one group of about ``part`` rows, and a fuller key as a grid of such groups."""
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,33 +233,32 @@ def links(distinct: DataFrame, n_docs: int, most: int = MAX_BITS, part: int = PA
     probing = rows.select("k", "fp", F.explode(all_parts).alias("i"), F.col("own").alias("p"), F.lit(False).alias("near"))
     groups = max(8, n_docs // 1024)
 
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        fp, near = group["fp"].to_numpy(), group["near"].to_numpy()
-        cell = (group["k"].to_numpy().astype(np.int64) << 40) + (group["i"].to_numpy().astype(np.int64) << 20) + group["p"].to_numpy()
+    def compare(group: pa.Table) -> pa.Table:
+        fp, near, key = group["fp"].to_numpy(), group["near"].to_numpy(), group["k"].to_numpy().astype(np.int64)
+        cell = (key << 40) + (group["i"].to_numpy().astype(np.int64) << 20) + group["p"].to_numpy()
         order = np.argsort(cell, kind="stable")
-        found = [forest(fp[own[near[own]]], fp[own[~near[own]]], most) for own in np.split(order, np.flatnonzero(np.diff(cell[order])) + 1)]
-        u, v = (np.concatenate([f[i] for f in found]) for i in (0, 1))
-        return pd.DataFrame({"u": u, "v": v}).drop_duplicates()
+        found = [candidates(fp[own[near[own]]], fp[own[~near[own]]], int(key[own[0]] >> 12)) for own in np.split(order, np.flatnonzero(np.diff(cell[order])) + 1)]
+        u, v = spanning(*(np.concatenate([f[i] for f in found]) for i in (0, 1)))
+        u, v, n = (pa.concat_arrays([pa.array(x, pa.int64()), pa.array([y], pa.int64())]) for x, y in ((u, None), (v, None), (np.zeros(len(u), np.int64), sum(f[2] for f in found))))
+        return pa.Table.from_arrays([u, v, n], ["u", "v", "compared"])
 
     both = indexed.unionByName(probing).withColumn("g", F.pmod(F.xxhash64("k", "i", "p"), F.lit(groups)))
-    return both.groupBy("g").applyInPandas(compare, "u long, v long")
+    return both.groupBy("g").applyInArrow(compare, "u long, v long, compared long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, most: int = MAX_BITS, part: int = PART) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 4, part: int = PART) -> DataFrame:
     """(doc_id, row_key, fp, component_id) for every row of ``docs``.
 
-    Two rows are linked if their fingerprints differ in at most ``most`` bits (the keys hold for 4 at most);
+    Two rows are linked if their fingerprints differ in at most ``MAX_BITS`` bits;
     component_id is the smallest doc_id reachable over links, the row's own included. Equal fingerprints are merged
     before any comparison. Null texts count as empty and link at fingerprint zero; a null doc_id keeps its row and
     never becomes a component_id unless the component has no other. An empty table gives no rows.
     """
-    if most > MAX_BITS:
-        raise ValueError(f"the fuzzy keys find pairs within {MAX_BITS} bits")
     fps = materialise(fingerprints(docs, shingle), "fingerprints")
     n_docs = fps.count()
     merged = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
     distinct = materialise(merged, "distinct")
-    nodes = connected_components(materialise(links(distinct, n_docs, most, part), "links"), "u", "v")
+    nodes = connected_components(materialise(links(distinct, n_docs, part), "links"), "u", "v")
     placed = distinct.join(nodes.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     least = placed.groupBy("component").agg(F.min("least").alias("component_id"))
     by_fp = placed.join(least, "component").select("fp", "component_id")
