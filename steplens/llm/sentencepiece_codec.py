@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from math import log
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -18,16 +19,66 @@ from steplens.llm.tokens import IdStore
 SPACE = "▁"
 #: How much less than the least piece an unknown character scores, as in the public unigram decoder.
 UNKNOWN_PENALTY = 10.0
+#: Added to a merge's rank before its logarithm is taken for that of the piece's frequency, by the Zipf-Mandelbrot rule.
+RANK_OFFSET = 100.0
+#: Kinds of model in the public file format, and the numbers of the fields read here.
+UNIGRAM, BPE = 1, 2
+_TRAINER, _NORMALISER, _KIND, _MAP, _PREFIX, _SQUEEZE, _ESCAPE = 2, 3, 3, 2, 3, 4, 5
+
+
+def _fields(raw: bytes) -> dict[int, list]:
+    """Values of a protocol buffer message by field number: whole numbers, or bytes."""
+    out: dict[int, list] = {}
+    at = 0
+
+    def number() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = raw[at]
+            at += 1
+            value |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return value
+
+    while at < len(raw):
+        tag = number()
+        size = {0: 0, 1: 8, 5: 4}.get(tag & 7)
+        if size == 0:
+            out.setdefault(tag >> 3, []).append(number())
+        else:
+            size = number() if size is None else size
+            out.setdefault(tag >> 3, []).append(raw[at : at + size])
+            at += size
+    return out
+
+
+def settings(path: str) -> int:
+    """The kind of the model. Fails where its text rules differ from the ones followed here: a space in front of every text,
+    space marks for spaces, every space kept, and no map of characters."""
+    with open(path, "rb") as f:
+        model = _fields(f.read())
+    kind = _fields(model[_TRAINER][0]).get(_KIND, [UNIGRAM])[0]
+    rules = _fields(model[_NORMALISER][0]) if _NORMALISER in model else {}
+    found = (rules.get(_MAP, [b""])[0], *(bool(rules.get(k, [1])[0]) for k in (_PREFIX, _SQUEEZE, _ESCAPE)))
+    if found != (b"", True, False, True):
+        raise ValueError(f"{path}: its text rules are not supported")
+    if kind not in (UNIGRAM, BPE):
+        raise ValueError(f"{path}: neither a unigram model nor one of merges")
+    return kind
 
 
 class Codec:
-    """Pieces and scores of a SentencePiece model file; the segmentation is the one of the largest sum of scores."""
+    """Pieces and scores of a SentencePiece model file; the segmentation is the one of the largest sum of scores. The scores
+    of a model of merges are ranks: logarithms of frequencies are made of them."""
 
     def __init__(self, path: str):
         import ahocorasick
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
+        merges = settings(path) == BPE
         self.unknown = model.unk_id()
         self.automaton = ahocorasick.Automaton()
         self.bytes_of: list[bytes] = []
@@ -41,7 +92,7 @@ class Codec:
             elif model.is_control(i) or model.is_unknown(i) or model.is_unused(i):
                 self.bytes_of.append(b"" if model.is_control(i) else " ⁇ ".encode())
             else:
-                score = model.get_score(i)
+                score = -log(RANK_OFFSET - model.get_score(i)) if merges else model.get_score(i)
                 least = min(least, score)
                 self.automaton.add_word(piece, (i, len(piece), score))
                 normal.append(piece)
