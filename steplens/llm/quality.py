@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 
 from steplens.llm.common import ship, slices, words
 
-#: Labelled documents from which a ranker is learned at most; the text statistics of these go to the driver.
-SAMPLE = 20_000
+#: Labelled documents from which a ranker is learned at most; the features of these go to the driver.
+SAMPLE = 8_192
 #: Pairs of each document of the rarer label.
 PAIRS = 8
 #: The score at the quantile that the share of label 0 gives.
 CUT = 0.3
+#: The weight of the squares of the ranker's weights beside the mean loss of the pairs, and folds for the threshold.
+RIDGE, FOLDS = 1e-4, 5
 
 _CLASSES = {
     "upper": bytes(range(65, 91)),
@@ -31,12 +33,33 @@ _CLASSES = {
 _MEMBER = np.zeros((len(_CLASSES), 256), bool)
 for _row, _bytes in enumerate(_CLASSES.values()):
     _MEMBER[_row, list(_bytes)] = True
-FEATURES = (*_CLASSES, "repeat", "word_length", "words")
+SHAPE = (*_CLASSES, "repeat", "word_length", "words")
+#: Columns that words, and those that three bytes in a row, are hashed into.
+WORD_COLUMNS, BYTE_COLUMNS = 512, 512
+COLUMNS = len(SHAPE) + WORD_COLUMNS + BYTE_COLUMNS
+
+
+def _shares(cell: np.ndarray, rows: int, columns: int) -> np.ndarray:
+    """Roots of the shares that each column has in a row, from (row * columns + column): vectors of length one."""
+    count = np.bincount(cell, minlength=rows * columns).reshape(rows, columns)
+    return np.sqrt(count / np.maximum(1, count.sum(axis=1, keepdims=True)))
 
 
 def features(text: pa.Array) -> np.ndarray:
-    """One row of ``FEATURES`` for each whole text: shares of its bytes by class, of words equal to the word before them,
-    the mean word length and the logarithm of the number of words. An empty or null text has zeros."""
+    """One row of ``COLUMNS`` for each whole text: the shape of it, and the shares of its words and of each three bytes in a
+    row, ASCII case apart, by hash. An empty or null text has zeros."""
+    w = words(text, lower=True)
+    rows = len(w.offsets) - 1
+    by_word = _shares(np.repeat(np.arange(rows), w.counts()) * WORD_COLUMNS + (w.hashes() % np.uint64(WORD_COLUMNS)).astype(np.int64), rows, WORD_COLUMNS)
+    b, own = w.raw.astype(np.uint32), np.repeat(np.arange(rows), np.diff(w.offsets))
+    mixed = (b[:-2] * np.uint32(0x9E3779B1) ^ b[1:-1] * np.uint32(0x85EBCA77) ^ b[2:] * np.uint32(0xC2B2AE3D)) * np.uint32(0x27D4EB2F)
+    cell = own[2:] * BYTE_COLUMNS + (mixed >> np.uint32(23))
+    return np.concatenate([shape(text), by_word, _shares(cell[own[:-2] == own[2:]], rows, BYTE_COLUMNS)], axis=1)
+
+
+def shape(text: pa.Array) -> np.ndarray:
+    """One row of ``SHAPE`` for each whole text: shares of its bytes by class, of words equal to the word before them,
+    the mean word length and the logarithm of the number of words."""
     w = words(text)
     size = np.maximum(1, np.diff(w.offsets))
     n = w.counts()
@@ -71,27 +94,59 @@ class Ranker:
         return 1 / (1 + np.exp(-np.clip(margin + np.log(CUT / (1 - CUT)), -500, 500)))
 
 
-def learn(x: np.ndarray, label: np.ndarray, pairs: int = PAIRS, ridge: float = 0.1) -> Ranker:
-    """Weights that least often prefer the worse text of a pair, by logistic loss on the differences of their features.
-    With one label only, or none, every score is a half."""
+def learn(x: np.ndarray, label: np.ndarray, pairs: int = PAIRS, ridge: float = RIDGE) -> Ranker:
+    """Weights that least often prefer the worse text of a pair, by logistic loss on the differences of their features. The
+    threshold is the quantile, at the share of label 0, of scores by rankers that have not seen the row's fold. With one
+    label only, or none, every score is a half."""
+    k = x.shape[1]
     if not len(x) or label.min() == label.max():
-        k = len(FEATURES)
         return Ranker(np.zeros(k), np.ones(k), np.zeros(k), float(np.log(CUT / (1 - CUT))))
-    mean, scale = x.mean(axis=0), x.std(axis=0)
-    z = (x - mean) / (scale := np.where(scale > 1e-9, scale, 1))
+    mean, scale = x.mean(axis=0), np.ones(k)
+    deviation = x[:, : len(SHAPE)].std(axis=0)
+    scale[: len(SHAPE)] = np.where(deviation > 1e-9, deviation, 1)
+    z = ((x - mean) / scale).astype(np.float32)
+    fold = np.zeros(len(x), int)
+    for one in (0, 1):
+        own = np.flatnonzero(label == one)
+        fold[own] = np.random.default_rng(3).permutation(len(own)) % FOLDS
+    unseen = np.zeros(len(x))
+    for f in range(FOLDS):
+        rest = fold != f
+        unseen[~rest] = z[~rest] @ _prefer(z[rest], label[rest], pairs, ridge) if label[rest].min() < label[rest].max() else 0
+    ranked, bad = np.sort(unseen), int((label == 0).sum())
+    return Ranker(mean, scale, _prefer(z, label, pairs, ridge), float((ranked[bad - 1] + ranked[bad]) / 2))
+
+
+def _prefer(z: np.ndarray, label: np.ndarray, pairs: int, ridge: float) -> np.ndarray:
+    """The weights, by Newton's steps that are each solved by conjugate gradients."""
     good, bad = np.flatnonzero(label == 1), np.flatnonzero(label == 0)
     rng, least = np.random.default_rng(7), min(len(good), len(bad)) * pairs
     better, worse = (np.resize(s, least) if len(s) * pairs <= least else rng.choice(s, least) for s in (good, bad))
-    d = z[better] - z[worse]
-    w = np.zeros(z.shape[1])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(np.clip(d @ w, -30, 30)))
-        step = np.linalg.solve((d * (p * (1 - p))[:, None]).T @ d + ridge * np.eye(len(w)), d.T @ p - ridge * w)
-        w += step
-        if np.abs(step).max() < 1e-9:
+
+    def back(values: np.ndarray) -> np.ndarray:
+        """The mean of the pairs' differences, each times its value."""
+        return z.T @ (np.bincount(better, values, len(z)) - np.bincount(worse, values, len(z))).astype(np.float32) / least
+
+    w, first = np.zeros(z.shape[1]), None
+    for _ in range(20):
+        m = z @ w.astype(np.float32)
+        p = 1 / (1 + np.exp(np.clip(m[better] - m[worse], -30, 30).astype(np.float64)))
+        gradient, curve = back(p) - ridge * w, p * (1 - p)
+        size = float(gradient @ gradient)
+        first = first or size
+        if size <= 1e-6 * first:
             break
-    ranked = np.sort(z @ w)
-    return Ranker(mean, scale, w, float((ranked[len(bad) - 1] + ranked[len(bad)]) / 2))
+        step, rest, way = np.zeros(len(w)), gradient, gradient
+        for _ in range(20):
+            v = z @ way.astype(np.float32)
+            turned = back(curve * (v[better] - v[worse])) + ridge * way
+            far = (rest @ rest) / (way @ turned)
+            step, left = step + far * way, rest - far * turned
+            if left @ left < 1e-3 * size:
+                break
+            way, rest = left + (left @ left) / (rest @ rest) * way, left
+        w += step
+    return w
 
 
 def held_out(doc_id: str | Column) -> Column:
@@ -110,12 +165,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ranker:
         for batch in batches:
             for part in slices(batch, "text"):
                 x = features(part.column("text"))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("quality"), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "quality", "x"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("quality"), pa.FixedSizeListArray.from_arrays(pa.array(x.astype(np.float32).ravel()), COLUMNS).cast(pa.list_(pa.float32()))], ["doc_id", "quality", "x"])
 
     # At most ``sample`` rows on the broadcast side and to the driver.
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
-    rows = own.select("doc_id", "text", F.col("quality").cast("int").alias("quality")).mapInArrow(run, "doc_id long, quality int, x array<double>").orderBy("doc_id", "x").limit(sample).toPandas()
-    return learn(np.array(rows["x"].tolist(), np.float64).reshape(len(rows), len(FEATURES)), rows["quality"].to_numpy())
+    rows = own.select("doc_id", "text", F.col("quality").cast("int").alias("quality")).mapInArrow(run, "doc_id long, quality int, x array<float>").orderBy("doc_id", "x").limit(sample).toArrow().combine_chunks()
+    x = rows["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, COLUMNS)
+    return learn(x.astype(np.float64), rows["quality"].to_numpy())
 
 
 def score(ranker: Ranker, text: str = "text") -> Column:

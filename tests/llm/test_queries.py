@@ -2,6 +2,7 @@
 
 import hashlib
 import os
+import zlib
 
 import duckdb
 import numpy as np
@@ -22,14 +23,18 @@ def test_oracle(spark, sf_dir, name):
     assert sorted(str([r[names.index(c)] for c in df.columns]) for r in found.fetchall()) == sorted(str(list(r)) for r in df.collect())
 
 
-def test_quality_held_out(spark, sf_dir):
-    # The smallest tables have eight rows of label 0 to learn four kinds of bad text from; the next size has enough.
-    sf_dir = os.path.join(os.path.dirname(sf_dir.rstrip("/")), "sf0.01")
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
+def test_quality_held_out(spark, sf_dir, size):
+    sf_dir = os.path.join(os.path.dirname(sf_dir.rstrip("/")), size)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     rows = Q.op3_quality_classifier(spark, sf_dir).join(labels, "doc_id").collect()
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in rows)
     held = [r for r in rows if r["held_out"]]
-    assert held and sum(r["predicted"] == r["quality"] for r in held) / len(held) >= 0.9
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in rows)
+    assert held and sum(r["predicted"] == r["quality"] for r in held) / len(held) >= 0.95
+    good, bad = ([r["score"] for r in held if r["quality"] == y] for y in (1, 0))
+    auc = sum((g > b) + (g == b) / 2 for g in good for b in bad) / len(good) / len(bad)
+    assert auc >= 0.98 and sum(b < 0.3 for b in bad) >= 0.9 * len(bad)
 
 
 def test_fingerprint_edits(spark, sf_dir):
