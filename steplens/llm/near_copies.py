@@ -1,4 +1,5 @@
-"""Near copies by similarity of word shingles: MinHash bands propose pairs, the shingle sets of whole texts decide."""
+"""SimHash near-dedup by similarity of word shingles: fingerprints whose Golay keys meet propose pairs, MinHash bands those
+that lie further apart than the keys reach, and the shingle sets of whole texts decide."""
 
 from __future__ import annotations
 
@@ -11,6 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from steplens.llm import simhash
 from steplens.llm.common import mix, ship, slices, words
 from steplens.operators.components import connected_components
 from steplens.sources.scratch import materialise
@@ -58,7 +60,8 @@ def mix_once(h: np.ndarray, odd: np.uint64) -> np.ndarray:
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, row_key, node, bands): node is a digest of the set of shingles, zero where there are none."""
+    """(doc_id, row_key, node, fp, bands): node is a digest of the set of shingles, zero where there are none, and fp the
+    fingerprint that the shingles vote for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -71,10 +74,11 @@ def _rows(docs: DataFrame) -> DataFrame:
                 keys = band_keys(h, offsets)
                 ends = np.concatenate([[0], np.cumsum(np.where(np.diff(offsets) > 0, BANDS, 0))]).astype(np.int32)
                 bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row_key"), pa.array(node), bands], ["doc_id", "row_key", "node", "bands"])
+                fp = pa.array(simhash.votes(h, np.diff(offsets)))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row_key"), pa.array(node), fp, bands], ["doc_id", "row_key", "node", "fp", "bands"])
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("row_key"))
-    return own.mapInArrow(run, "doc_id long, row_key long, node long, bands array<long>")
+    return own.mapInArrow(run, "doc_id long, row_key long, node long, fp long, bands array<long>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -135,9 +139,17 @@ def _compare(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(found, columns=["u", "v"]).astype("int64")
 
 
+def _by_fingerprint(nodes: DataFrame) -> DataFrame:
+    """(u, v): nodes of one fingerprint, each with the least of them, and the least nodes of fingerprints that are linked."""
+    fps = materialise(nodes.groupBy("fp").agg(F.min("node").alias("least")), "fingerprints")
+    close = materialise(simhash.links(fps.select("fp"), fps.count()), "close")
+    u, v = (fps.select(F.col("fp").alias(x), F.col("least").alias(f"n_{x}")) for x in "uv")
+    return nodes.select("node", "fp").join(fps, "fp").select(F.col("node").alias("u"), F.col("least").alias("v")).unionByName(close.join(u, "u").join(v, "v").select(F.col("n_u").alias("u"), F.col("n_v").alias("v")))
+
+
 def links(docs: DataFrame, nodes: DataFrame, part: int = PART) -> DataFrame:
-    """(u, v): links between the sets of ``nodes`` (node, row, bands) that join what all pairs of similarity 0.8 or more
-    within a band join; none of them is less similar.
+    """(u, v): links between the sets of ``nodes`` (node, row, fp, bands) that join what all pairs of similarity 0.8 or more
+    within a band join, and pairs that their fingerprints link; none of them is less similar.
 
     Bands with the same members count once. Each member is compared with the least and the greatest of its band, which is
     all there is up to three; fuller bands that this does not join to one group are compared in full, as a grid of cells.
@@ -147,8 +159,10 @@ def links(docs: DataFrame, nodes: DataFrame, part: int = PART) -> DataFrame:
     bands = materialise(bands.groupBy("n", "least", "most", "all").agg(F.min("k").alias("k")).select("k", "n", "least", "most"), "bands")
     members = materialise(rows.join(bands, "k"), "members")
     stars = members.select(F.explode(F.array(F.struct(F.least("node", "least").alias("u"), F.greatest("node", "least").alias("v")), F.struct(F.least("node", "most").alias("u"), F.greatest("node", "most").alias("v")))).alias("e"))
-    stars = materialise(stars.select("e.u", "e.v").where("u <> v").distinct(), "pairs")
-    sets = materialise(_sets(docs, members.select("node").distinct().join(nodes.select("node", "row"), "node")), "sets")
+    stars = stars.select("e.u", "e.v").unionByName(_by_fingerprint(nodes).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")))
+    stars = materialise(stars.where("u <> v").distinct(), "pairs")
+    wanted = members.select("node").unionByName(stars.select(F.explode(F.array("u", "v")).alias("node"))).distinct()
+    sets = materialise(_sets(docs, wanted.join(nodes.select("node", "row"), "node")), "sets")
     u, v = (sets.select(F.col("node").alias(x), F.col("h").alias(f"h_{x}")) for x in "uv")
     near = materialise(stars.join(u, "u").join(v, "v").where(_alike("h_u", "h_v")).select("u", "v"), "near")
 
@@ -172,7 +186,7 @@ def _cell(group: pd.DataFrame) -> pd.DataFrame:
 def near_duplicates(docs: DataFrame, part: int = PART) -> DataFrame:
     """(doc_id, row_key, node, component_id) for every row of ``docs``.
 
-    Two rows that share a MinHash band are linked if the Jaccard similarity of their sets of five-word shingles, ASCII case
+    Two rows that share a MinHash band, or whose fingerprints differ in at most four bits, are linked if the Jaccard similarity of their sets of five-word shingles, ASCII case
     apart, is 0.8 or more. Shingles are compared as 64-bit hashes. component_id is the smallest doc_id reachable over links,
     the row's own included. Rows of equal sets are merged before any comparison.
     Null texts count as empty, and texts without words are linked to each other; a null doc_id keeps its row and never
@@ -180,7 +194,7 @@ def near_duplicates(docs: DataFrame, part: int = PART) -> DataFrame:
     """
     ship(docs.sparkSession)
     rows = materialise(_rows(docs), "rows")
-    nodes = materialise(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("row_key").alias("row"), F.any_value("bands").alias("bands")), "nodes")
+    nodes = materialise(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("row_key").alias("row"), F.any_value("fp").alias("fp"), F.any_value("bands").alias("bands")), "nodes")
     joined = connected_components(materialise(links(docs, nodes, part), "links"), "u", "v")
     placed = nodes.select("node", "least").join(joined, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
     least = placed.groupBy("component").agg(F.min("least").alias("component_id"))

@@ -38,13 +38,17 @@ def simhash(text: pa.Array, shingle: int = 4) -> np.ndarray:
     last = np.minimum(at + shingle, begin + size)[keep] - 1
     data, digest = w.joined.tobytes(), xxhash.xxh64_intdigest
     h = np.fromiter((digest(data[s:e], 42) for s, e in zip(w.start[keep].tolist(), w.end[last].tolist(), strict=True)), np.uint64, int(keep.sum()))
-    out = np.zeros(len(n), np.uint64)
+    return votes(h, np.where(n >= shingle, n - shingle + 1, np.minimum(n, 1)))
+
+
+def votes(h: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The bits that are set in over half of each run of ``count`` hashes; zero for an empty run."""
+    out, full = np.zeros(len(count), np.uint64), count > 0
     if len(h):
-        full = n > 0
-        count = np.where(n >= shingle, n - shingle + 1, 1)[full]
+        n = count[full]
         bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        votes = np.add.reduceat(bits, np.concatenate([[0], np.cumsum(count)[:-1]]), axis=0, dtype=np.int32)
-        out[full] = np.packbits(votes * 2 > count[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
+        sums = np.add.reduceat(bits, np.concatenate([[0], np.cumsum(n)[:-1]]), axis=0, dtype=np.int32)
+        out[full] = np.packbits(sums * 2 > n[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
     return out.view(np.int64)
 
 
