@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from steplens.sources.scratch import materialise
+from steplens.sources.scratch import mark, materialise, release
 
 
 def _keyed_minimum(edges: DataFrame, smallest: Column) -> DataFrame:
@@ -26,13 +26,16 @@ def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int =
     loops = pairs.where("a = b").select(F.col("a").alias("node")).distinct()
     stars = materialise(pairs.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     check = (F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u")))
-    before = stars.agg(*check).first()
+    before, spark, last = stars.agg(*check).first(), edges.sparkSession, mark(edges.sparkSession)
     for _ in range(max_rounds):
+        begun = mark(spark)
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _keyed_minimum(both, F.least(F.min("u"), F.min("v"))).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small = _keyed_minimum(large, F.min("v"))
         stars = small.select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         stars = materialise(stars.select("e.u", "e.v").where("u <> v").distinct(), "stars")
+        release(spark, last, begun)  # the round before, now that its successor is written
+        last = begun
         after = stars.agg(*check).first()
         if after == before:
             break

@@ -2,17 +2,26 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: What this process has written and not yet deleted, by application; deleted places are None.
+_written: dict[str, list[str | None]] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset (tests, one machine) it is set to a temporary one."""
+    """The folder of ``spark.checkpoint.dir``. Where that is unset it is set to a temporary one on this machine, deleted at
+    the end of the process; a cluster needs a folder that all its machines share, so there it fails."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="steplens-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
@@ -23,4 +32,28 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/steplens-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def mark(spark: SparkSession) -> int:
+    """A place in the order of what has been written, for ``release``."""
+    return len(_written.get(spark.sparkContext.applicationId, []))
+
+
+def release(spark: SparkSession, since: int = 0, until: int | None = None) -> int:
+    """Delete tables written from one mark to another, or to now, and return their number. Nothing that is still to be read
+    may come from them."""
+    own, gone = _written.get(spark.sparkContext.applicationId, []), 0
+    for i in range(since, len(own) if until is None else until):
+        if own[i] is not None:
+            path = spark._jvm.org.apache.hadoop.fs.Path(own[i])
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            own[i], gone = None, gone + 1
+    return gone
+
+
+def small(df: DataFrame, name: str = "small") -> DataFrame:
+    """A short table, such as one of steps or features, written once and read in one partition, so that no join, window or
+    aggregate over it needs an exchange."""
+    return materialise(df.coalesce(1), name).coalesce(1)
