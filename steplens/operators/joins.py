@@ -48,10 +48,43 @@ def cross_threshold(histogram: DataFrame, grid: list[float], by: list[str] | Non
     return out
 
 
-def draw_weights(spark, draws: int, slots: list[int], a: int = 7919, b: int = 104729, c: int = 31) -> DataFrame:
-    """(draw, step, weight): how often each step is drawn, by integer arithmetic that any engine repeats. One row for each
-    draw and step drawn."""
+#: The prime and the factor of the mixing that any engine repeats in whole numbers of 64 bits.
+_PRIME, _FACTOR = 2147483647, 48271
+
+
+def mixed(x: str, rounds: int = 2) -> str:
+    """SQL text, for Spark and others alike, of a number from 0 to 2 ** 31 - 2 that ``x``, a whole number, scatters to."""
+    x = f"(({x}) % {_PRIME})"
+    for _ in range(rounds):
+        x = f"(({x} * {x} % {_PRIME} * {_FACTOR} + {x} + 11) % {_PRIME})"
+    return x
+
+
+def drawn(draw: str, slot: str, seed: int = 1) -> str:
+    """The same for a draw and a slot of it."""
+    return mixed(f"{draw} * 7919 + {slot} * 104729 + {seed} * 15485863")
+
+
+def draw_weights(spark, draws: int, slots: list[int], seed: int = 1) -> DataFrame:
+    """(draw, step, weight): how often each step is drawn with replacement, as many as there are. One row for each draw and
+    step drawn."""
     n = len(slots)
-    pick = F.pmod(F.col("draw") * a + F.col("slot") * b + F.floor(F.col("draw") * F.col("slot") / 7) * c, F.lit(n)).cast("int")
-    base = spark.range(draws).withColumnRenamed("id", "draw").withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    base = spark.range(draws).withColumnRenamed("id", "draw").withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+    pick = F.expr(f"CAST({drawn('draw', 'slot', seed)} % {n} AS INT)")
     return base.select("draw", F.get(F.array(*[F.lit(s) for s in slots]), pick).alias("step")).groupBy("draw", "step").agg(F.count("*").alias("weight"))
+
+
+def row_draws(histogram: DataFrame, draws: int, step: str = "step", seed: int = 2) -> DataFrame:
+    """(draw, score, n, pos): the histogram (step, score, n, pos) of as many rows of each step as there are, drawn with
+    replacement. A draw picks places in the order of a step's scores, positives first, so rows themselves are never ordered or
+    repeated: picks fall into the runs of equal rows."""
+    runs = histogram.select(step, "score", F.explode(F.array(F.struct(F.lit(1).alias("y"), F.col("pos").alias("m")), F.struct(F.lit(0).alias("y"), (F.col("n") - F.col("pos")).alias("m")))).alias("r")).select(step, "score", "r.y", "r.m").where("m > 0")
+    w = Window.partitionBy(step).orderBy(F.desc("score"), F.desc("y"))
+    runs = runs.withColumn("upto", F.sum("m").over(w)).withColumn("total", F.sum("m").over(Window.partitionBy(step)))
+    sizes = runs.groupBy(step).agg(F.sum("m").alias("total"))
+    picks = sizes.select(step, "total", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(draws - 1).cast("long"))).alias("draw")).select(step, "draw", "total", F.explode(F.sequence(F.lit(0).cast("long"), F.col("total") - 1)).alias("slot"))
+    picks = picks.select(step, "draw", F.expr(f"{drawn('draw', f'(slot * 64 + {step})', seed)} % total").alias("at")).groupBy(step, "draw", "at").agg(F.count("*").alias("k"))
+    # Each place of a step once, with the score and label that stand there.
+    places = runs.select(step, "score", "y", F.explode(F.sequence(F.col("upto") - F.col("m"), F.col("upto") - 1)).alias("at"))
+    hits = picks.join(places, [step, "at"])
+    return hits.groupBy("draw", "score").agg(F.sum("k").alias("n"), F.sum(F.expr("k * y")).alias("pos"))

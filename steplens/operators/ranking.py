@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from steplens.operators.joins import cross_threshold, score_histogram
+from steplens.operators.joins import score_histogram
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -91,11 +91,23 @@ def f1_threshold(df: DataFrame, by: list[str] | None = None, grid: list[float] =
 
 
 def best_tau(histogram: DataFrame, by: list[str], grid: list[float] = GRID, fallback: float = 0.5) -> DataFrame:
-    taus = rates(cross_threshold(histogram, grid, by))
-    best = taus.groupBy(*by).agg(F.max_by(F.struct("tau", "f1"), F.struct("f1", -F.col("tau"))).alias("best"))
-    one = histogram.groupBy(*by).agg(((F.sum("pos") == 0) | (F.sum("pos") == F.sum("n"))).alias("one"))
-    joined = best.join(one, by) if by else best.crossJoin(one)  # one row each
-    return joined.select(*by, F.when(F.col("one"), fallback).otherwise(F.col("best.tau")).alias("tau"), F.when(F.col("one"), 0.0).otherwise(F.col("best.f1")).alias("f1"))
+    """The same from a histogram (by, score, n, pos). Scores fall into the bins of the grid once, and the counts of the bins
+    are summed from the top: between two bins that hold scores every tau counts alike, so only the least one is tried."""
+    taus = F.array(*[F.lit(float(t)) for t in grid])
+    step = (grid[-1] - grid[0]) / (len(grid) - 1)
+    if all(abs(grid[0] + i * step - t) < 1e-9 for i, t in enumerate(grid)):  # even: a guess, put right by the neighbours
+        guess = F.least(F.greatest(F.floor((F.col("score") - grid[0]) / step).cast("int"), F.lit(0)), F.lit(len(grid) - 1))
+        reached = F.when(F.col("score") < F.get(taus, guess), guess).when((guess < len(grid) - 1) & (F.col("score") >= F.get(taus, guess + 1)), guess + 2).otherwise(guess + 1)
+    else:
+        reached = F.size(F.filter(taus, lambda t: t <= F.col("score")))
+    bins = histogram.groupBy(*by, reached.alias("_bin")).agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
+    above = Window.partitionBy(*by).orderBy(F.desc("_bin")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole, order = Window.partitionBy(*by), Window.partitionBy(*by).orderBy("_bin")
+    tp, alerts, p = F.sum("pos").over(above), F.sum("n").over(above), F.sum("pos").over(whole)
+    tried = bins.select(*by, "n", "pos", "_bin", tp.alias("tp"), (alerts - tp).alias("fp"), (p - tp).alias("fn"), F.get(taus, F.coalesce(F.lag("_bin").over(order), F.lit(0))).alias("tau"))
+    real = F.col("_bin") > 0
+    best = rates(tried).groupBy(*by).agg(F.max_by(F.struct("tau", "f1"), F.when(real, F.struct("f1", -F.col("tau")))).alias("best"), ((F.sum("pos") == 0) | (F.sum("pos") == F.sum("n"))).alias("one"))
+    return best.select(*by, F.when(F.col("one"), fallback).otherwise(F.coalesce("best.tau", F.lit(grid[0]))).alias("tau"), F.when(F.col("one"), 0.0).otherwise(F.coalesce("best.f1", F.lit(0.0))).alias("f1"))
 
 
 def oracle_f1(df: DataFrame, by: list[str] | None = None, score: str = "score", y: str = "y") -> DataFrame:
@@ -130,10 +142,49 @@ def topk_budget(df: DataFrame, ks: list[int], by: list[str], score: str = "score
     return out.withColumn("recall_ceiling", ratio(F.least("k", "pos"), F.col("pos"))).withColumn("precision_ceiling", ratio(F.least("k", "pos"), F.col("alerts")))
 
 
-def weighted_ap(by_step: DataFrame, weights: DataFrame, draw: str = "draw", step: str = "step") -> DataFrame:
-    """AP of each draw of whole steps: step histograms times integer weights, never rows repeated."""
-    h = by_step.join(weights, step).groupBy(draw, "score").agg(F.sum(F.expr("weight * n")).alias("n"), F.sum(F.expr("weight * pos")).alias("pos"))
-    return ap_of(cumulative_curve(h, [draw]), [draw])
+def weighted_histogram(by_step: DataFrame, weights: DataFrame, draw: str = "draw", step: str = "step") -> DataFrame:
+    """(draw, score, n, pos) of draws of whole steps: step histograms times whole weights, never rows repeated."""
+    return by_step.join(weights, step).groupBy(draw, "score").agg(F.sum(F.expr("weight * n")).alias("n"), F.sum(F.expr("weight * pos")).alias("pos"))
+
+
+def draw_metrics(h: DataFrame, tau: float = 0.435, draw: str = "draw") -> DataFrame:
+    """AP, AUC and F1 at a threshold of each draw's histogram: one pass over a curve."""
+    curve = cumulative_curve(h, [draw]).withColumn("_neg", F.col("n") - F.col("pos"))
+    below = (F.col("total") - F.col("alerts")) - (F.col("p") - F.col("tp"))  # negatives of lower scores
+    gain = F.when(F.col("p") > 0, F.col("pos") / F.col("p") * F.col("tp") / F.col("alerts"))
+    hit = F.col("score") >= tau
+    sums = curve.groupBy(draw).agg(
+        F.sum(gain).alias("ap"), F.sum(F.col("pos") * (2 * below + F.col("_neg"))).alias("_twice"), F.max("p").alias("_p"), F.max("total").alias("_n"),
+        F.sum(F.when(hit, F.col("pos")).otherwise(0)).alias("_tp"), F.sum(F.when(hit, F.col("n")).otherwise(0)).alias("_alerts"),
+    )
+    auc = F.when((F.col("_p") == 0) | (F.col("_p") == F.col("_n")), 0.5).otherwise(F.col("_twice").cast("double") / (2.0 * F.col("_p") * (F.col("_n") - F.col("_p"))))
+    return sums.select(draw, "ap", auc.alias("auc"), ratio(2 * F.col("_tp"), F.col("_alerts") + F.col("_p")).alias("f1"))
+
+
+def intervals(df: DataFrame, values: list[str], low: float = 0.025, high: float = 0.975) -> DataFrame:
+    """One row of the number of draws and the ``low``, middle and ``high`` quantile of each value; a draw is one row of ``df``."""
+    cells = [F.expr(f"percentile({v}, {p})").alias(f"{v}_{n}") for v in values for p, n in ((low, "low"), (0.5, "middle"), (high, "high"))]
+    return df.agg(F.count("*").alias("draws"), *cells)
+
+
+def paired_delta(a: DataFrame, b: DataFrame, value: str = "ap", draw: str = "draw") -> DataFrame:
+    """The interval of the difference of two models over the same draws, and whether it leaves zero out."""
+    d = a.select(draw, F.col(value).alias("a")).join(b.select(draw, F.col(value).alias("b")), draw).select((F.col("a") - F.col("b")).alias("delta"))
+    out = intervals(d, ["delta"])
+    return out.withColumn("excludes_zero", (F.col("delta_low") > 0) | (F.col("delta_high") < 0))
+
+
+def threshold_compare(scored: DataFrame, taus: DataFrame, names: list[str], score: str = "score", y: str = "y", step: str = "step", oracle_fallback: float = 0.435) -> DataFrame:
+    """F1 of each step under each named threshold of ``taus`` (step, tau_name), and under the oracle's, which reads the step's
+    own labels and is a bound, not a rule; and what each gains over the first name. One pass over the score histogram."""
+    h = score_histogram(scored, score, y, [step])
+    oracle = best_tau(h, [step], fallback=oracle_fallback).select(step, F.col("tau").alias("tau_oracle"))
+    every = [*names, "oracle"]
+    joined = h.join(F.broadcast(taus), step).join(F.broadcast(oracle), step)  # one row a step
+    sums = [F.sum(F.when(F.col("score") >= F.col(f"tau_{n}"), F.col(c)).otherwise(0)).alias(f"_{c}_{n}") for n in every for c in ("n", "pos")]
+    out = joined.groupBy(step).agg(F.sum("pos").alias("_p"), F.max("tau_oracle").alias("tau_oracle"), *sums)
+    f1 = {n: ratio(2 * F.col(f"_pos_{n}"), F.col(f"_n_{n}") + F.col("_p")) for n in every}
+    return out.select(step, "tau_oracle", *[f1[n].alias(f"f1_{n}") for n in every], *[(f1[n] - f1[names[0]]).alias(f"lift_{n}") for n in every[1:]])
 
 
 def sustained_recovery(ap: DataFrame, floor: float = 0.5, hold: int = 2, value: str = "ap", step: str = "step", min_pos: int = 0) -> DataFrame:

@@ -76,14 +76,16 @@ def cross_threshold(t: Tables) -> DataFrame:
     return joins.cross_threshold(joins.score_histogram(t.tx, "score", "y"), [i / 20 for i in range(1, 20)])
 
 
-DRAWS_SQL = """select draw, 35 + (draw * 7919 + slot * 104729 + cast(floor(draw * slot / 7) as bigint) * 31) % 15 step, count(*) weight
-    from (select unnest(range(200)) draw), (select unnest(range(15)) slot) group by 1, 2"""
+#: Draws of the bootstraps.
+DRAWS = 1000
+DRAWS_SQL = f"""select draw, 35 + {joins.drawn('draw', 'slot')} % 15 step, count(*) weight
+    from (select unnest(range({DRAWS})) draw), (select unnest(range(15)) slot) group by 1, 2"""
 
 
 @query("cross_draws", f"""with w as ({DRAWS_SQL}), s as (select step, count(*) n, sum(y) pos from tx where y is not null and step >= 35 group by step)
     select draw, sum(weight * n)::bigint n, sum(weight * pos)::bigint pos from w join s using (step) group by draw""")
 def cross_draws(t: Tables) -> DataFrame:
-    weights = joins.draw_weights(t.spark, 200, list(range(35, 50)))
+    weights = joins.draw_weights(t.spark, DRAWS, list(range(35, 50)))
     by_step = t.tx.where("y IS NOT NULL AND step >= 35").groupBy("step").agg(F.count("*").alias("n"), F.sum("y").alias("pos"))
     return weights.join(by_step, "step").groupBy("draw").agg(F.sum(F.expr("weight * n")).alias("n"), F.sum(F.expr("weight * pos")).alias("pos"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from steplens.operators import joins, profile, rows
 from steplens.operators import ranking as R
-from steplens.plans.joins import DRAWS_SQL
+from steplens.plans.joins import DRAWS, DRAWS_SQL
 from steplens.plans.profiles import rounded
 from steplens.plans.registry import query
 from steplens.plans.windows import counts
@@ -119,16 +119,18 @@ def adaptive_pool(t: Tables) -> DataFrame:
     return adaptive(t, None)
 
 
-@query("threshold_compare", f"""with {adaptive_sql('s.step - 5')}, f as (select x.step, {", ".join(f"count(*) filter (where y = 1 and score >= {c}) tp_{n}, count(*) filter (where y = 0 and score >= {c}) fp_{n}, count(*) filter (where y = 1 and score < {c}) fn_{n}" for n, c in (("frozen", "0.435"), ("rolling", "rolling_tau"), ("prior", "prior_tau")))} from tx x join ad using (step) where y is not null group by x.step)
-    select step, {", ".join(f"round(case when 2 * tp_{n} + fp_{n} + fn_{n} > 0 then 2 * tp_{n} / (2 * tp_{n} + fp_{n} + fn_{n}) else 0 end, 6) f1_{n}" for n in ("frozen", "rolling", "prior"))} from f""")
+_CMP = {"frozen": "0.435", "rolling": "rolling_tau", "prior": "prior_tau", "oracle": "otau"}
+
+
+@query("threshold_compare", f"""with {adaptive_sql('s.step - 5')}, og as (select step, tau, count(*) filter (where y = 1 and score >= tau) tp, count(*) filter (where y = 0 and score >= tau) fp, count(*) filter (where y = 1 and score < tau) fn, min(y) <> max(y) two from tx, gr where y is not null and step >= 35 group by step, tau),
+    ot as (select step, case when two then tau else 0.435 end otau from og qualify row_number() over (partition by step order by case when 2 * tp + fp + fn > 0 then {_F1T} else 0 end desc, tau) = 1),
+    f as (select x.step, max(otau) otau, {", ".join(f"count(*) filter (where y = 1 and score >= {c}) tp_{n}, count(*) filter (where y = 0 and score >= {c}) fp_{n}, count(*) filter (where y = 1 and score < {c}) fn_{n}" for n, c in _CMP.items())} from tx x join ad using (step) join ot using (step) where y is not null group by x.step),
+    r as (select step, otau, {", ".join(f"case when 2 * tp_{n} + fp_{n} + fn_{n} > 0 then 2 * tp_{n} / (2 * tp_{n} + fp_{n} + fn_{n}) else 0 end f1_{n}" for n in _CMP)} from f)
+    select step, otau tau_oracle, {", ".join(f"round(f1_{n}, 6) f1_{n}" for n in _CMP)}, {", ".join(f"round(f1_{n} - f1_frozen, 6) lift_{n}" for n in list(_CMP)[1:])} from r""")
 def threshold_compare(t: Tables) -> DataFrame:
-    taus = adaptive(t, 5).withColumn("frozen_tau", F.lit(0.435))
-    joined = t.tx.join(F.broadcast(taus), "step")  # one row a step
-    out = None
-    for name in ("frozen", "rolling", "prior"):
-        one = R.confusion(joined, ["step"], tau=f"{name}_tau").select("step", F.round("f1", 6).alias(f"f1_{name}"))
-        out = one if out is None else out.join(one, "step")
-    return out
+    taus = adaptive(t, 5).select("step", F.lit(0.435).alias("tau_frozen"), F.col("rolling_tau").alias("tau_rolling"), F.col("prior_tau").alias("tau_prior"))
+    found = R.threshold_compare(t.tx.where("step >= 35"), taus, ["frozen", "rolling", "prior"])
+    return rounded(found, [c for c in found.columns if c.startswith(("f1_", "lift_"))])
 
 
 def topk_sql(ks: tuple[int, ...] = (20, 50, 100)) -> str:
@@ -174,37 +176,44 @@ def draws(t: Tables, alt: bool = False) -> DataFrame:
     score = "CASE WHEN tx_id % 3 = 0 THEN score ELSE score / CAST(2 AS DOUBLE) END" if alt else "score"
     late = t.tx.where("step >= 35").select("step", "y", F.expr(score).alias("score"))
     h = joins.score_histogram(late, "score", "y", ["step"])
-    return R.weighted_ap(h, joins.draw_weights(t.spark, 200, list(range(35, 50))))
+    return R.draw_metrics(R.weighted_histogram(h, joins.draw_weights(t.spark, DRAWS, list(range(35, 50)))))
+
 
+_F1D = "2 * sum(case when s >= 0.435 then pos else 0 end) / (sum(case when s >= 0.435 then n else 0 end) + max(p))"
+_DRAW = f"select draw, {AP} ap, {AUC} auc, {_F1D} f1 from cu group by draw"
 
-_Q = "round(quantile_cont({0}, 0.025), 6) low, round(quantile_cont({0}, 0.5), 6) middle, round(quantile_cont({0}, 0.975), 6) high"
 
+def quantiles_sql(values: tuple[str, ...]) -> str:
+    return ", ".join(f"round(quantile_cont({v}, {p}), 6) {v}_{n}" for v in values for p, n in ((0.025, "low"), (0.5, "middle"), (0.975, "high")))
 
-def interval(df: DataFrame, value: str) -> list:
-    return [F.round(F.expr(f"percentile({value}, {p})"), 6).alias(n) for p, n in ((0.025, "low"), (0.5, "middle"), (0.975, "high"))]
 
+def rounded_intervals(df: DataFrame) -> DataFrame:
+    return rounded(df, [c for c in df.columns if c.endswith(("_low", "_middle", "_high"))])
 
-@query("cluster_bootstrap", f"with {curve_sql('draw', _boot(), 'sc', 'true', 'sum(weight)', 'sum(weight * y)')}, d as (select draw, {AP} ap from cu group by draw) select count(*) draws, {_Q.format('ap')} from d")
+
+@query("cluster_bootstrap", f"with {curve_sql('draw', _boot(), 'sc', 'true', 'sum(weight)', 'sum(weight * y)')}, d as ({_DRAW}) select count(*) draws, {quantiles_sql(('ap', 'auc', 'f1'))} from d")
 def cluster_bootstrap(t: Tables) -> DataFrame:
-    d = draws(t)
-    return d.agg(F.count("*").alias("draws"), *interval(d, "ap"))
+    return rounded_intervals(R.intervals(draws(t), ["ap", "auc", "f1"]))
+
+
+#: Draws of single rows: each is as large as the table.
+_ROW_DRAWS = 200
+_ROWS = f"""lb as (select step, score, y, row_number() over (partition by step order by score desc, y desc) - 1 place, count(*) over (partition by step) total from tx where y is not null and step >= 35),
+    pk as (select step, draw, {joins.drawn("draw", "(slot * 64 + step)", 2)} % total place from (select distinct step, total from lb), (select unnest(range({_ROW_DRAWS})) draw), lateral (select unnest(range(total)) slot)),
+    rw as (select draw, score sc, y, count(*) weight from pk join lb using (step, place) group by 1, 2, 3)"""
 
 
-@query("row_bootstrap", f"""with w as (select draw, score sc, y, (tx_id * 31 + draw * 17) % 3 weight from tx, (select unnest(range(50)) draw) where y is not null and step >= 43), {curve_sql('draw', 'w', 'sc', 'weight > 0', 'sum(weight)', 'sum(weight * y)')}, d as (select draw, {AP} ap from cu group by draw) select count(*) draws, {_Q.format('ap')} from d""")
+@query("row_bootstrap", f"with {_ROWS}, {curve_sql('draw', 'rw', 'sc', 'true', 'sum(weight)', 'sum(weight * y)')}, d as ({_DRAW}) select count(*) draws, {quantiles_sql(('ap', 'auc', 'f1'))} from d")
 def row_bootstrap(t: Tables) -> DataFrame:
-    late = t.tx.where("step >= 43 AND y IS NOT NULL").select("tx_id", "score", "y", F.explode(F.sequence(F.lit(0), F.lit(49))).alias("draw"))
-    w = late.withColumn("weight", F.expr("(tx_id * 31 + draw * 17) % 3")).where("weight > 0")
-    h = w.groupBy("draw", "score").agg(F.sum("weight").alias("n"), F.sum(F.expr("weight * y")).alias("pos"))
-    d = R.ap_of(R.cumulative_curve(h, ["draw"]), ["draw"])
-    return d.agg(F.count("*").alias("draws"), *interval(d, "ap"))
+    h = joins.score_histogram(t.tx.where("step >= 35"), "score", "y", ["step"])
+    return rounded_intervals(R.intervals(R.draw_metrics(joins.row_draws(h, _ROW_DRAWS)), ["ap", "auc", "f1"]))
 
 
 @query("paired_delta", f"""with {curve_sql('draw', _boot(), 'sc', 'true', 'sum(weight)', 'sum(weight * y)')}, d1 as (select draw, {AP} a from cu group by draw),
     {curve_sql('draw', _boot(True), 'sc', 'true', 'sum(weight)', 'sum(weight * y)').replace('h as', 'h2 as', 1).replace('cu as', 'cu2 as').replace('from h)', 'from h2)')}, d2 as (select draw, {AP} b from cu2 group by draw), d as (select a - b delta from d1 join d2 using (draw))
-    select {_Q.format('delta')}, quantile_cont(delta, 0.025) > 0 or quantile_cont(delta, 0.975) < 0 excludes_zero from d""")
+    select count(*) draws, {quantiles_sql(('delta',))}, quantile_cont(delta, 0.025) > 0 or quantile_cont(delta, 0.975) < 0 excludes_zero from d""")
 def paired_delta(t: Tables) -> DataFrame:
-    d = draws(t).select("draw", F.col("ap").alias("a")).join(draws(t, True).select("draw", F.col("ap").alias("b")), "draw").select(F.expr("a - b").alias("delta"))
-    return d.agg(*interval(d, "delta"), F.expr("percentile(delta, 0.025) > 0 OR percentile(delta, 0.975) < 0").alias("excludes_zero"))
+    return rounded_intervals(R.paired_delta(draws(t), draws(t, True)))
 
 
 @query("sustained_recovery", f"""with {curve_sql('step')}, a as (select step, max(p) pos, {AP} ap from cu group by step), e as (select step, ap >= 0.15 and coalesce(lead(ap) over (order by step), -1) >= 0.15 and coalesce(lead(ap, 2) over (order by step), -1) >= 0.15 ok from a where step >= 35 and pos >= 10)
