@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from steplens.operators.profile import spearman
-from steplens.operators.ranking import auc_of
 from steplens.operators.rows import finite
+from steplens.sources.scratch import small
 
 #: Bounds of the levels of a drift score.
 MODERATE, SIGNIFICANT = 0.10, 0.25
@@ -118,15 +118,50 @@ def detrend_apply(long: DataFrame, fit: DataFrame, step: str = "step") -> DataFr
     return long.join(keep, "feature").withColumn("value", F.col("value") - trend).select(*long.columns)
 
 
-def drift_score(reference: DataFrame, target: DataFrame, detrended: DataFrame, step: str = "step") -> DataFrame:
+def drift_cells(long: DataFrame, edges: DataFrame, by: list[str]) -> DataFrame:
+    """(by, feature, bin, n, mean, variance): finite values counted in the bins between the inner edges of their feature, whose
+    moments come along. One pass; ``edges`` has one row a feature."""
+    inner = F.when(F.size("edges") > 2, F.slice("edges", 2, F.size("edges") - 2)).otherwise(F.slice("edges", 1, 0))
+    own = long.where(finite("value")).join(F.broadcast(edges.select("feature", inner.alias("inner"))), "feature")
+    return own.groupBy(*by, "feature", bin_number("value", F.col("inner")).alias("bin")).agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.var_pop("value").alias("variance"))
+
+
+def _pooled(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """Mean m and population deviation s of each key from its cells."""
+    w = Window.partitionBy(*keys)
+    m = F.sum(F.col("n") * F.col("mean")).over(w) / F.sum("n").over(w)
+    spread = cells.withColumn("_m", m)
+    return spread.groupBy(*keys).agg(F.first("_m").alias("m"), F.sqrt(F.sum(F.expr("n * (variance + (mean - _m) * (mean - _m))")) / F.sum("n")).alias("s"))
+
+
+def drift_score(reference: DataFrame, target: DataFrame, detrended: list[str], step: str = "step", bins: int = 10, floor: float = 1e-4, edges: DataFrame | None = None) -> DataFrame:
     """(step, feature, score, level): shift of the mean in reference deviations for features in ``detrended``, PSI for the
-    others. Detrended features are judged by their shift, never by their PSI."""
-    base = reference.where(finite("value")).groupBy("feature").agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("s"))
-    now = target.where(finite("value")).groupBy(step, "feature").agg(F.avg("value").alias("mt"))
-    shift = now.join(base, "feature").withColumn("shift", F.when(F.col("s") > 0, F.abs(F.col("mt") - F.col("m")) / F.col("s")).otherwise(F.when(F.col("mt") == F.col("m"), 0.0).otherwise(F.lit(float("inf")))))
-    out = shift.join(psi(reference, target, [step]), [step, "feature"]).join(detrended.select("feature", F.lit(True).alias("_d")), "feature", "left")
-    score = F.when(F.col("_d"), F.col("shift")).otherwise(F.col("psi"))
-    return out.select(step, "feature", score.alias("drift_score"), drift_level(score).alias("level"), "psi")
+    others. Detrended features are judged by their shift, never by their PSI. Rows are read once for the edges and once for
+    counts of bins, and all else starts from these."""
+    edges = edges if edges is not None else small(reference_edges(reference, bins), "edges")
+    both = reference.select("feature", "value", F.lit(None).cast("int").alias(step)).unionByName(target.select("feature", "value", step))
+    return drift_score_of(small(drift_cells(both, edges, [step]), "cells"), edges, detrended, floor, step)
+
+
+def drift_score_of(cells: DataFrame, edges: DataFrame, detrended: list[str], floor: float = 1e-4, step: str = "step") -> DataFrame:
+    """The same from cells of both sides; those of the reference have a null step."""
+    r, t = cells.where(F.col(step).isNull()), cells.where(F.col(step).isNotNull())
+    base = _pooled(r, ["feature"])
+    now = t.groupBy(step, "feature").agg((F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("mt"), F.min("mean").alias("least"), F.max("mean").alias("most"))
+    q = r.select("feature", "bin", (F.col("n") / F.sum("n").over(Window.partitionBy("feature"))).alias("q"))
+    p = t.select(step, "feature", "bin", (F.col("n") / F.sum("n").over(Window.partitionBy(step, "feature"))).alias("p"))
+    grid = now.select(step, "feature").join(edges, "feature").select(step, "feature", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("edges") - 2))).alias("bin"))
+    full = grid.join(q, ["feature", "bin"], "left").join(p, [step, "feature", "bin"], "left")
+    w = Window.partitionBy(step, "feature")
+    for c in ("p", "q"):
+        full = full.withColumn(c, F.greatest(F.coalesce(c, F.lit(0.0)), F.lit(floor)))
+        full = full.withColumn(c, F.col(c) / F.sum(c).over(w))
+    psi = full.groupBy(step, "feature").agg(F.when(F.count("*") == 1, 0.0).otherwise(F.sum((F.col("p") - F.col("q")) * F.ln(F.col("p") / F.col("q")))).alias("psi"))
+    joined = now.join(base, "feature").join(psi, [step, "feature"])
+    shift = F.when(F.col("s") > 0, F.abs(F.col("mt") - F.col("m")) / F.col("s")).otherwise(F.when(F.col("mt") == F.col("m"), 0.0).otherwise(F.lit(float("inf"))))
+    constants = (F.col("s") == 0) & (F.col("least") == F.col("most")) & (F.col("mt") != F.col("m"))
+    score = F.when(F.col("feature").isin(detrended), shift).otherwise(F.when(constants, F.lit(float("inf"))).otherwise(F.col("psi")))
+    return joined.select(step, "feature", score.alias("drift_score"), drift_level(score).alias("level"), F.when(constants, F.lit(float("inf"))).otherwise(F.col("psi")).alias("psi"))
 
 
 def two_tier_report(scores: DataFrame, triad: list[str], step: str = "step") -> DataFrame:
@@ -142,7 +177,7 @@ def two_tier_report(scores: DataFrame, triad: list[str], step: str = "step") ->
     return out.select(step, name(F.col("f")).alias("focal_level"), "focal_max", "moderate_percent", "significant_percent", name(overall).alias("overall_level"))
 
 
-def reference_methods(long: DataFrame, train_last: int, first: int, step: str = "step", width: int = 10) -> DataFrame:
+def reference_methods(long: DataFrame, train_last: int, first: int, last: int, step: str = "step", width: int = 10) -> DataFrame:
     """Four ways to choose a reference for each later step of a feature: the change of its step mean in deviations of past
     changes, PSI against the trailing steps, shift of the detrended mean, and distance of quantile shapes."""
     by = long.where(finite("value")).groupBy("feature", step).agg(F.avg("value").alias("m"), F.expr("percentile(value, array(0.1D, 0.25D, 0.5D, 0.75D, 0.9D))").alias("q"))
@@ -159,22 +194,23 @@ def reference_methods(long: DataFrame, train_last: int, first: int, step: str =
     train = shapes.where(F.col(step) <= train_last).groupBy("feature").agg(F.array(*[F.avg(F.get("shape", F.lit(i))) for i in range(5)]).alias("train_shape"))
     distance = F.aggregate(F.zip_with("shape", "train_shape", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda s, x: s + x) / 5
     four = shapes.where(F.col(step) >= first).join(train, "feature").select("feature", step, distance.alias("shape_distance"))
-    return one.join(three, ["feature", step]).join(four, ["feature", step])
+    two = trailing_psi(long.where(finite("value")), first, last, width, step=step).withColumnRenamed("psi", "trailing_psi")
+    return one.join(two, ["feature", step]).join(three, ["feature", step]).join(four, ["feature", step])
 
 
 def trailing_psi(long: DataFrame, first: int, last: int, width: int = 10, floor: float = 1e-4, step: str = "step") -> DataFrame:
-    """PSI of each later step against its previous ``width`` steps pooled, over bins of the whole reference up to ``first``."""
-    edges = reference_edges(long.where(F.col(step) < first))
-    inner = F.when(F.size("edges") > 2, F.slice("edges", 2, F.size("edges") - 2)).otherwise(F.slice("edges", 1, 0))
-    cells = long.where(finite("value")).join(F.broadcast(edges), "feature").groupBy("feature", step, bin_number("value", inner).alias("bin")).agg(F.count("*").alias("n"))
-    grid = edges.select("feature", F.explode(F.sequence(F.lit(0), F.size(inner))).alias("bin"), F.explode(F.array(F.lit(0))).alias("_z"))
-    steps = long.sparkSession.range(first, last + 1).select(F.col("id").cast("int").alias("t"))
-    own = cells.join(F.broadcast(steps), F.col(step).between(F.col("t") - width, F.col("t")))
-    sums = own.groupBy("feature", "t", "bin").agg(F.sum(F.when(F.col(step) == F.col("t"), F.col("n")).otherwise(0)).alias("p"), F.sum(F.when(F.col(step) < F.col("t"), F.col("n")).otherwise(0)).alias("q"))
-    full = grid.crossJoin(F.broadcast(steps)).join(sums, ["feature", "t", "bin"], "left").fillna(0, ["p", "q"])  # features x bins x steps
+    """(feature, step, psi): PSI of each later step against its previous ``width`` steps pooled, over the bins of all steps
+    before ``first``."""
+    edges = small(reference_edges(long.where(F.col(step) < first)), "edges")
+    cells = small(drift_cells(long.where(F.col(step).between(first - width, last)), edges, [step]), "cells")
+    grid = edges.select("feature", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("edges") - 2))).alias("bin"))
+    own = cells.select("feature", "bin", "n", F.col(step).alias("_s"), F.explode(F.sequence(F.col(step), F.col(step) + width)).alias("t")).where(F.col("t").between(first, last))
+    sums = own.groupBy("feature", "t", "bin").agg(F.sum(F.when(F.col("_s") == F.col("t"), F.col("n")).otherwise(0)).alias("p"), F.sum(F.when(F.col("_s") < F.col("t"), F.col("n")).otherwise(0)).alias("q"))
+    both = sums.groupBy("feature", "t").agg(F.sum("p").alias("np"), F.sum("q").alias("nq")).where("np > 0 and nq > 0")
+    full = both.join(grid, "feature").join(sums, ["feature", "t", "bin"], "left").fillna(0, ["p", "q"])  # features x steps x bins
     w = Window.partitionBy("feature", "t")
     for c in ("p", "q"):
-        full = full.withColumn(c, F.greatest(F.col(c) / F.sum(c).over(w), F.lit(floor)))
+        full = full.withColumn(c, F.greatest(F.col(c) / F.col(f"n{c}"), F.lit(floor)))
         full = full.withColumn(c, F.col(c) / F.sum(c).over(w))
     return full.groupBy("feature", F.col("t").alias(step)).agg(F.sum((F.col("p") - F.col("q")) * F.ln(F.col("p") / F.col("q"))).alias("psi"))
 
@@ -186,10 +222,14 @@ def feature_shift_l2(reference: DataFrame, target: DataFrame, step: str = "step"
     return now.groupBy(step).agg((F.sqrt(F.sum(F.pow((F.col("mt") - F.col("m")) / F.col("s"), 2))) / F.sqrt(F.count("*"))).alias("shift_l2"))
 
 
+def score_bin(edges: list[float], score: str = "score") -> Column:
+    """How many of fixed edges are no greater."""
+    return F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: e <= F.col(score)))
+
+
 def score_bins(df: DataFrame, edges: list[float], score: str = "score", step: str = "step") -> DataFrame:
     """Share of each step's scores in fixed half-open bins."""
-    b = F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: e <= F.col(score)))
-    counts = df.where(finite(score)).groupBy(step, b.alias("bin")).agg(F.count("*").alias("n"))
+    counts = df.where(finite(score)).groupBy(step, score_bin(edges, score).alias("bin")).agg(F.count("*").alias("n"))
     return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(step)))
 
 
@@ -228,11 +268,3 @@ def drift_verdict(metrics: DataFrame) -> DataFrame:
     material = (F.col("domain_auc") >= 0.80) | (F.col("median_ks") >= 0.30)
     concept = (F.col("in_window_ap") >= 5 * F.col("transferred_ap")) & ~material
     return metrics.withColumn("verdict", F.when(material, "covariate").when(concept, "concept").otherwise("none"))
-
-
-def domain_scores(long: DataFrame, side: str) -> DataFrame:
-    """How well each single feature tells two windows apart, as an AUC."""
-    h = long.where(finite("value")).groupBy("feature", F.col("value").alias("score")).agg(F.count("*").alias("n"), F.sum(side).cast("long").alias("pos"))
-    return auc_of(h, ["feature"])
-
-

@@ -1,9 +1,7 @@
-"""Training sets and models over steps: splits, weights, linear models in folds and windows, walk-forward scoring."""
+"""Training sets and models over steps: splits, weights, scaling, a logistic regression."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -11,26 +9,29 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from steplens.operators import ranking
 from steplens.operators.rows import batch_classify, finite, window_mask
 
 
 def temporal_split(df: DataFrame, windows: DataFrame, parts: tuple[str, ...] = ("fit", "validation", "test"), step: str = "step") -> DataFrame:
-    """Rows and labelled rows of each part, and whether the parts are disjoint and cover every row."""
+    """Rows and labelled rows of each part, how many of its steps another part has too, and how many rows of the table are in
+    no part at all: a sound split has none of either."""
     tagged = window_mask(df, windows.where(F.col("window").isin(*parts)), step)
     per_step = tagged.groupBy(step, "window").agg(F.count("*").alias("n"), F.count("y").alias("labelled"))
     twice = F.count("*").over(Window.partitionBy(step)) > 1
     out = per_step.withColumn("_twice", twice).groupBy("window").agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.count_if("_twice").alias("shared_steps"))
-    return out
+    steps = windows.where(F.col("window").isin(*parts)).select(F.explode(F.sequence("lo", "hi")).alias(step)).distinct()
+    outside = df.groupBy(step).agg(F.count("*").alias("m")).join(steps, step, "left_anti").agg(F.coalesce(F.sum("m"), F.lit(0)).alias("uncovered"))
+    return out.crossJoin(F.broadcast(outside))  # one row
 
 
 def policy_window(policies: DataFrame, steps: DataFrame, step: str = "step") -> DataFrame:
-    """First and last training step of each policy (policy, kind, width, lag) for a decision at t: labels up to t - lag."""
+    """First and last training step of each policy (policy, kind, width, lag) for a decision at t: labels up to t - lag. Kinds:
+    static, rolling, recency (weighted by age), ablation (without the focal features), and anything else expanding."""
     newest = F.col("t") - F.col("lag")
     first = F.when(F.col("kind") == "rolling", F.greatest(F.lit(1), newest - F.col("width") + 1)).otherwise(1)
     last = F.when(F.col("kind") == "static", F.least(newest, F.col("width"))).otherwise(newest)
     pairs = steps.select(F.col(step).alias("t")).crossJoin(F.broadcast(policies))  # steps x policies
-    return pairs.select("policy", "lag", "t", first.cast("int").alias("first"), last.cast("int").alias("last"), (F.col("kind") == "recency").alias("weighted"))
+    return pairs.select("policy", "lag", "t", first.cast("int").alias("first"), last.cast("int").alias("last"), (F.col("kind") == "recency").alias("weighted"), (F.col("kind") == "ablation").alias("ablated"))
 
 
 def choose_holdout(counts: DataFrame, decisions: DataFrame, lag: int = 1, least: int = 40, low: int = 2, high: int = 6, step: str = "step", pos: str = "positive") -> DataFrame:
@@ -42,9 +43,11 @@ def choose_holdout(counts: DataFrame, decisions: DataFrame, lag: int = 1, least:
     return run.groupBy("t").agg(F.coalesce(F.min(F.when(F.col("held") >= least, F.col("k"))), F.lit(high)).alias("holdout"))
 
 
-def recency_weight(steps: DataFrame, newest: int, half_life: float, step: str = "step") -> DataFrame:
-    """0.5 ** (age / half-life) over the mean of that; ``steps`` has one row a step."""
-    w = F.pow(F.lit(0.5), (F.lit(newest) - F.col(step)) / F.lit(half_life))
+def recency_weight(steps: DataFrame, newest: int, half_life: float, step: str = "step", kind: str = "exponential") -> DataFrame:
+    """0.5 ** (age / half-life), or, linear, a share that falls by one in twice the half-life and never under a tenth; over
+    the mean of that. ``steps`` has one row a step."""
+    age = F.lit(newest) - F.col(step)
+    w = F.pow(F.lit(0.5), age / F.lit(half_life)) if kind == "exponential" else F.greatest(F.lit(0.1), 1 - age / F.lit(2 * half_life))
     return steps.where(F.col(step) <= newest).withColumn("_w", w).withColumn("weight", F.col("_w") / F.avg("_w").over(Window.partitionBy())).drop("_w")
 
 
@@ -83,90 +86,6 @@ def model_score(model: PipelineModel, df: DataFrame, out: str = "score") -> Data
     return scored.select(*[c for c in df.columns if c != out], out)
 
 
-def _union(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)
-
-
-def out_of_fold(df: DataFrame, features: list[str], y: str, key: str, folds: int = 3) -> DataFrame:
-    """(y, score): each row scored by the model that has not seen its fold, a fold being a hash of the key."""
-    own = df.select(*features, F.col(y).cast("int").alias("y"), F.pmod(F.xxhash64(key), F.lit(folds)).alias("_fold")).cache()
-    parts = [model_score(linear_model(own.where(F.col("_fold") != k), features), own.where(F.col("_fold") == k)).select("y", "score") for k in range(folds)]
-    return _union(parts)
-
-
-def domain_auc(df: DataFrame, features: list[str], reference: str, target: str, key: str, folds: int = 3) -> DataFrame:
-    """How well a linear model tells the target rows from the reference rows: AUC out of fold."""
-    sides = df.withColumn("_t", F.when(F.expr(target), 1).when(F.expr(reference), 0)).where("_t IS NOT NULL")
-    scored = out_of_fold(sides, features, "_t", key, folds)
-    auc = ranking.roc_auc(scored)
-    return auc.select(F.round("auc", 6).alias("auc"), F.when(F.col("auc") >= 0.85, "ALERT").when(F.col("auc") >= 0.70, "MODERATE").otherwise("STABLE").alias("level"))
-
-
-def domain_auc_ablation(df: DataFrame, features: list[str], drops: dict[str, list[str]], reference: str, target: str, key: str) -> DataFrame:
-    """The same for each named set of dropped features."""
-    return _union([domain_auc(df, [f for f in features if f not in gone], reference, target, key).withColumn("ablation", F.lit(name)) for name, gone in drops.items()])
-
-
-def in_window_cv_ap(df: DataFrame, features: list[str], window: str, key: str, folds: int = 3, y: str = "y") -> DataFrame:
-    """AP out of fold inside one window."""
-    scored = out_of_fold(df.where(F.expr(window)).where(F.col(y).isNotNull()), features, y, key, folds)
-    return ranking.average_precision(scored).select("n", "pos", F.round("ap", 6).alias("ap"))
-
-
-def permute(df: DataFrame, column: str, key: str, seed: int, buckets: int = 64) -> DataFrame:
-    """``df`` with one column moved on by a place in a seeded random order of each of some hash buckets."""
-    b = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(buckets))
-    order = Window.partitionBy("_b").orderBy(F.xxhash64(F.lit(seed + 1), key), key)
-    last = F.last(column).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return df.withColumn("_b", b).withColumn(column, F.when(F.row_number().over(order) == 1, last).otherwise(F.lag(column).over(order))).drop("_b")
-
-
-def permutation_auc_drop(df: DataFrame, features: list[str], key: str, repeats: int = 3, y: str = "y") -> DataFrame:
-    """Mean loss of AUC when each feature is shuffled, under one model."""
-    own = df.where(F.col(y).isNotNull()).select(key, *features, F.col(y).cast("int").alias("y")).cache()
-    model = linear_model(own, features)
-    tries = [("", 0, own)] + [(f, r, permute(own, f, key, 101 * r + i)) for i, f in enumerate(features) for r in range(repeats)]
-    scored = _union([model_score(model, d).select("y", "score", F.lit(f).alias("feature"), F.lit(r).alias("repeat")) for f, r, d in tries])
-    auc = ranking.roc_auc(scored, ["feature", "repeat"])
-    base = auc.where("feature = ''").select(F.col("auc").alias("base"))
-    return auc.where("feature <> ''").crossJoin(F.broadcast(base)).groupBy("feature").agg(F.round(F.avg(F.col("base") - F.col("auc")), 6).alias("auc_drop"), F.count("*").alias("repeats"))  # one row
-
-
-def walk_forward(df: DataFrame, plan: DataFrame, features: list[str], step: str = "step", key: str = "tx_id", y: str = "y", half_life: float = 5.0) -> DataFrame:
-    """(policy, lag, step, key, y, score): every step of the plan scored by the model of its training range. Equal ranges
-    share one model, so the loop on the driver runs over distinct ranges; the plan is a short table."""
-    own = df.select(key, step, y, *features).cache()
-    rows = plan.where(F.col("first") <= F.col("last")).collect()
-    ranges: dict[tuple, list] = {}
-    for r in rows:
-        ranges.setdefault((r["first"], r["last"], r["weighted"]), []).append(r)
-    parts = []
-    for (first, last, weighted), uses in sorted(ranges.items()):
-        train = own.where(F.col(step).between(first, last)).withColumn("_age", F.pow(F.lit(0.5), (F.lit(last) - F.col(step)) / F.lit(half_life)))
-        model = linear_model(train, features, y, weight="_age" if weighted else None)
-        now = own.where(F.col(step).isin(*{u["t"] for u in uses}))
-        table = df.sparkSession.createDataFrame([(u["policy"], u["lag"], u["t"], first, last) for u in uses], "policy string, lag int, _t int, first int, last int")
-        parts.append(model_score(model, now).join(F.broadcast(table), F.col(step) == F.col("_t")).select("policy", "lag", step, "first", "last", key, y, "score"))
-    return _union(parts)
-
-
-def use_audit(plan: DataFrame) -> DataFrame:
-    """For each planned use of a model the newest label it has seen, when that arrived, and whether that was too late."""
-    arrival = F.col("last") + F.col("lag")
-    return plan.select("policy", "lag", "t", "first", "last", arrival.alias("arrival"), (arrival > F.col("t")).alias("leak"))
-
-
-def monitor_triggered_policy(df: DataFrame, features: list[str], fires: list[int], first: int, last: int, lag: int = 1, step: str = "step", key: str = "tx_id", y: str = "y") -> DataFrame:
-    """Scores of steps first..last by a model that is fitted anew after each step in ``fires``, on the labels arrived."""
-    plan, newest = [], first - lag
-    for t in range(first, last + 1):
-        if t - 1 in fires:
-            newest = t - lag
-        plan.append(("triggered", lag, t, 1, newest, False))
-    table = df.sparkSession.createDataFrame(plan, "policy string, lag int, t int, first int, last int, weighted boolean")
-    return walk_forward(df, table, features, step, key, y)
-
-
 def batch_score(model: PipelineModel, df: DataFrame, tau: float = 0.435) -> DataFrame:
     return batch_classify(model_score(model, df), tau=tau)
 

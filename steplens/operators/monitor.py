@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from steplens.operators import drift, ranking
+from steplens.operators.rows import finite
 from steplens.operators.windows import last_n_eligible, rolling_prevalence, streak
 
 #: Statuses that count as an alert, and those that say nothing.
@@ -37,8 +38,13 @@ def f1_floor(validation_f1: float, fraction: float = 0.5) -> float:
 
 def performance_channel(scored: DataFrame, decisions: DataFrame, floor: float, lag: int = 1, last: int = 2, least_positives: int = 10, tau: float = 0.435, step: str = "step") -> DataFrame:
     """The worst per-step F1 of the last eligible steps with enough positives; a breach if it is below the floor."""
-    f1 = ranking.confusion(scored, [step], tau=tau).where(F.col("tp") + F.col("fn") >= least_positives)
-    used = last_n_eligible(decisions, f1, last, lag, step).join(f1.select(step, "f1"), step)
+    return performance_of(ranking.confusion(scored, [step], tau=tau), decisions, floor, lag, last, least_positives, step)
+
+
+def performance_of(per_step: DataFrame, decisions: DataFrame, floor: float, lag: int = 1, last: int = 2, least_positives: int = 10, step: str = "step") -> DataFrame:
+    """The same from confusion counts of steps (step, tp, fn, f1)."""
+    f1 = per_step.where(F.col("tp") + F.col("fn") >= least_positives).select(step, "f1")
+    used = last_n_eligible(decisions, f1, last, lag, step).join(f1, step)
     worst = used.groupBy(F.col("t").alias(step)).agg(F.min("f1").alias("f1_min"), F.max(used[step]).alias("newest_label_step"), F.count("*").alias("steps_used"))
     out = decisions.select(step).join(worst, step, "left").fillna(0, ["steps_used"])
     status = F.when(F.col("f1_min").isNull(), "UNAVAILABLE").when(F.col("f1_min") < floor, "CRITICAL").otherwise("OK")
@@ -56,21 +62,31 @@ def prevalence_channel(counts: DataFrame, baseline: float, lag: int = 1, width:
     return known.select(step, F.col("rolling").alias("rolling_prevalence"), change.alias("relative_change"), (F.col("rolling") - baseline).alias("absolute_change"), level.alias("prevalence_level"))
 
 
-def score_shift_channel(scored: DataFrame, decisions: DataFrame, edges: list[float], last: int = 5, lag: int = 1, floor: float = 1e-4, step: str = "step") -> DataFrame:
-    """PSI of a step's scores against the mean of the bin shares of its last eligible steps, each step weighing the same."""
-    shares = drift.score_bins(scored, edges, step=step).select(step, "bin", "share")
-    used = last_n_eligible(decisions, scored.select(step).distinct(), last, lag, step)
-    size = used.groupBy("t").agg(F.count("*").alias("k"))
-    q = used.join(shares, step).groupBy("t", "bin").agg(F.sum("share").alias("s")).join(size, "t").select("t", "bin", (F.col("s") / F.col("k")).alias("q"))
-    grid = size.select("t", F.explode(F.sequence(F.lit(0), F.lit(len(edges)))).alias("bin"))
-    full = grid.join(q, ["t", "bin"], "left").join(shares.select(F.col(step).alias("t"), "bin", F.col("share").alias("p")), ["t", "bin"], "left")
+def score_shift_channel(scored: DataFrame, decisions: DataFrame, edges: list[float], last: int = 5, lag: int = 1, floor: float = 1e-4, least: int = 2, step: str = "step", y: str = "y") -> DataFrame:
+    """PSI of a step's scores against the mean of the bin shares of its last arrived labelled steps, their labelled rows alone
+    and each step weighing the same. With fewer than ``least`` such steps, or no scores, the channel is UNAVAILABLE."""
+    counts = scored.where(finite("score")).groupBy(step, drift.score_bin(edges).alias("bin")).agg(F.count("*").alias("n"), F.count(y).alias("labelled"))
+    return score_shift_of(counts, decisions, len(edges) + 1, last, lag, floor, least, step)
+
+
+def score_shift_of(counts: DataFrame, decisions: DataFrame, bins: int, last: int = 5, lag: int = 1, floor: float = 1e-4, least: int = 2, step: str = "step") -> DataFrame:
+    """The same from counts of rows and of labelled rows (step, bin, n, labelled)."""
+    per = Window.partitionBy(step)
+    shares = counts.withColumn("p", F.col("n") / F.sum("n").over(per)).withColumn("all_labelled", F.sum("labelled").over(per))
+    known = shares.where("all_labelled > 0").withColumn("q", F.col("labelled") / F.col("all_labelled"))
+    used = last_n_eligible(decisions, known.select(step).distinct(), last, lag, step)
+    size = used.groupBy("t").agg(F.count("*").alias("k")).where(F.col("k") >= least)
+    size = size.join(shares.select(F.col(step).alias("t")).distinct(), "t")
+    q = used.join(known.select(step, "bin", "q"), step).groupBy("t", "bin").agg(F.sum("q").alias("s")).join(size, "t").select("t", "bin", (F.col("s") / F.col("k")).alias("q"))
+    grid = size.select("t", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    full = grid.join(q, ["t", "bin"], "left").join(shares.select(F.col(step).alias("t"), "bin", "p"), ["t", "bin"], "left")
     w = Window.partitionBy("t")
     for c in ("p", "q"):
         full = full.withColumn(c, F.greatest(F.coalesce(c, F.lit(0.0)), F.lit(floor)))
         full = full.withColumn(c, F.col(c) / F.sum(c).over(w))
     psi = full.groupBy(F.col("t").alias(step)).agg(F.sum((F.col("p") - F.col("q")) * F.ln(F.col("p") / F.col("q"))).alias("psi"))
-    status = F.when(F.col("psi") >= drift.SIGNIFICANT, "CRITICAL").when(F.col("psi") >= drift.MODERATE, "WARNING").otherwise("OK")
-    return psi.withColumn("status", status)
+    status = F.when(F.col("psi").isNull(), "UNAVAILABLE").when(F.col("psi") >= drift.SIGNIFICANT, "CRITICAL").when(F.col("psi") >= drift.MODERATE, "WARNING").otherwise("OK")
+    return decisions.select(step).join(psi, step, "left").withColumn("status", status)
 
 
 def _pool(per_step: DataFrame, scored: DataFrame, decisions: DataFrame, last: int, lag: int, step: str) -> DataFrame:
@@ -190,4 +206,5 @@ def floor_robustness(worst: DataFrame, validation_f1: float, early: tuple[int, i
 
 
 def local_streak(report: DataFrame, percent: str = "local_percent", cut: float = 30.0, step: str = "step") -> DataFrame:
+    """``report`` with streak: for how many steps on end the share of drifted features has been at the cut or above."""
     return streak(report.withColumn("_hit", F.coalesce(F.col(percent) >= cut, F.lit(False))), "_hit", step).drop("_hit")

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from steplens.operators import drift as D
-from steplens.operators import models, monitor, profile
+from steplens.operators import discriminant, monitor, profile
+from steplens.operators.joins import mixed
 from steplens.plans.profiles import rounded, sql_unpivot
 from steplens.plans.registry import query
 from steplens.sources.tables import Tables
@@ -113,7 +114,7 @@ def detrend_apply(t: Tables) -> DataFrame:
 
 def scores(t: Tables) -> DataFrame:
     r, q = parts(t)
-    return D.drift_score(r, q, t.spark.createDataFrame([("f_mono",)], "feature string"))
+    return D.drift_score(r, q, ["f_mono"])
 
 
 _SCORES = f"""{psi_sql('step')}, bs as (select feature, avg(value) m, stddev_pop(value) s from r group by 1), nw as (select step, feature, avg(value) mt from t group by 1, 2),
@@ -136,20 +137,26 @@ def two_tier_report(t: Tables) -> DataFrame:
 _METHODS = f"""{_MED}, {_FIT}, {_FLAT}, b as (select feature, step, avg(value) m, quantile_cont(value, [0.1, 0.25, 0.5, 0.75, 0.9]) q from u group by 1, 2), d as (select *, m - lag(m) over (partition by feature order by step) d from b),
     dp as (select feature, avg(d) dm, stddev_pop(d) ds from d where step <= 34 group by 1), fb as (select feature, avg(value) bm, stddev_pop(value) bs from flat where step <= 34 group by 1), fs as (select feature, step, avg(value) fm from flat where step >= 35 group by 1, 2),
     sh as (select feature, step, [(x - q[3]) / (q[4] - q[2]) for x in q] s from b), tr as (select feature, [avg(s[1]), avg(s[2]), avg(s[3]), avg(s[4]), avg(s[5])] ts from sh where step <= 34 group by 1),
-    methods as (select d.feature, d.step, abs((d - dm) / ds) delta_z, abs((fm - bm) / bs) detrended_shift, (abs(s[1] - ts[1]) + abs(s[2] - ts[2]) + abs(s[3] - ts[3]) + abs(s[4] - ts[4]) + abs(s[5] - ts[5])) / 5 shape_distance
-      from d join dp using (feature) join fs on fs.feature = d.feature and fs.step = d.step join fb on fb.feature = d.feature join sh on sh.feature = d.feature and sh.step = d.step join tr on tr.feature = d.feature)"""
+    te as (select feature, list_sort(list_distinct(quantile_cont(value, {_PROBS}))) edges from r group by 1), tm as (select feature, edges[2:len(edges) - 1] mid from te),
+    tc as (select feature, step, len([x for x in mid if x <= value]) bin, count(*) n from u join tm using (feature) group by all),
+    tw as (select c.feature, s.step t, c.bin, sum(case when c.step = s.step then n else 0 end) p, sum(case when c.step < s.step then n else 0 end) q from tc c join spine s on c.step between s.step - 10 and s.step where s.step >= 35 group by all),
+    tn as (select feature, t, sum(p) np, sum(q) nq from tw group by all having sum(p) > 0 and sum(q) > 0), tg as (select feature, t, np, nq, unnest(range(len(mid) + 1)) bin from tn join tm using (feature)),
+    tz as (select feature, t, greatest(coalesce(p, 0) / np, 1e-4) p, greatest(coalesce(q, 0) / nq, 1e-4) q from tg left join tw using (feature, t, bin)), ty as (select feature, t, p / sum(p) over (partition by feature, t) p, q / sum(q) over (partition by feature, t) q from tz),
+    tp as (select feature, t step, sum((p - q) * ln(p / q)) trailing_psi from ty group by all),
+    methods as (select d.feature, d.step, tp.trailing_psi, abs((d - dm) / ds) delta_z, abs((fm - bm) / bs) detrended_shift, (abs(s[1] - ts[1]) + abs(s[2] - ts[2]) + abs(s[3] - ts[3]) + abs(s[4] - ts[4]) + abs(s[5] - ts[5])) / 5 shape_distance
+      from d join dp using (feature) join fs on fs.feature = d.feature and fs.step = d.step join fb on fb.feature = d.feature join sh on sh.feature = d.feature and sh.step = d.step join tr on tr.feature = d.feature join tp on tp.feature = d.feature and tp.step = d.step)"""
 
 
-@query("reference_methods", f"with {_U}, {_METHODS} select feature, step, round(delta_z, 5) delta_z, round(detrended_shift, 5) detrended_shift, round(shape_distance, 5) shape_distance from methods")
+@query("reference_methods", f"with {_U}, {_METHODS} select feature, step, round(delta_z, 5) delta_z, round(trailing_psi, 5) trailing_psi, round(detrended_shift, 5) detrended_shift, round(shape_distance, 5) shape_distance from methods")
 def reference_methods(t: Tables) -> DataFrame:
-    return rounded(D.reference_methods(long(t).select("feature", "value", "step"), 34, 35), ["delta_z", "detrended_shift", "shape_distance"], 5)
+    return rounded(D.reference_methods(long(t).select("feature", "value", "step"), 34, 35, 49), ["delta_z", "trailing_psi", "detrended_shift", "shape_distance"], 5)
 
 
-@query("reference_summary", f"""with {_U}, {_METHODS} select case when step <= 41 then '35-41' else '42-49' end span, feature, round(avg(delta_z), 4) mean_delta_z, round(max(delta_z), 4) max_delta_z, round(avg(detrended_shift), 4) mean_detrended, round(max(shape_distance), 4) max_shape from methods group by 1, 2""")
+@query("reference_summary", f"""with {_U}, {_METHODS} select case when step <= 41 then '35-41' else '42-49' end span, feature, round(avg(delta_z), 4) mean_delta_z, round(max(delta_z), 4) max_delta_z, round(avg(trailing_psi), 4) mean_trailing, round(avg(detrended_shift), 4) mean_detrended, round(max(shape_distance), 4) max_shape from methods group by 1, 2""")
 def reference_summary(t: Tables) -> DataFrame:
-    m = D.reference_methods(long(t).select("feature", "value", "step"), 34, 35)
+    m = D.reference_methods(long(t).select("feature", "value", "step"), 34, 35, 49)
     span = F.when(F.col("step") <= 41, "35-41").otherwise("42-49").alias("span")
-    return m.groupBy(span, "feature").agg(F.round(F.avg("delta_z"), 4).alias("mean_delta_z"), F.round(F.max("delta_z"), 4).alias("max_delta_z"), F.round(F.avg("detrended_shift"), 4).alias("mean_detrended"), F.round(F.max("shape_distance"), 4).alias("max_shape"))
+    return m.groupBy(span, "feature").agg(F.round(F.avg("delta_z"), 4).alias("mean_delta_z"), F.round(F.max("delta_z"), 4).alias("max_delta_z"), F.round(F.avg("trailing_psi"), 4).alias("mean_trailing"), F.round(F.avg("detrended_shift"), 4).alias("mean_detrended"), F.round(F.max("shape_distance"), 4).alias("max_shape"))
 
 
 @query("feature_shift_l2", f"with {_U}, bs as (select feature, avg(value) m, stddev_pop(value) s from r group by 1), nw as (select step, feature, avg(value) mt from t group by 1, 2) select step, round(sqrt(sum(((mt - m) / s) ** 2)) / sqrt(count(*)), 6) shift_l2 from nw join bs using (feature) group by 1")
@@ -159,13 +166,14 @@ def feature_shift_l2(t: Tables) -> DataFrame:
 
 
 BINS = [i / 10 for i in range(1, 10)]
-SCORE_PSI_SQL = f"""sb as (select step, b, count(*) / sum(count(*)) over (partition by step) share from (select step, len([x for x in {BINS} if x <= score]) b from tx) group by 1, 2), el as (select t.step t, e.step from spine t join (select distinct step from tx) e on e.step <= t.step - 1 where t.step >= 35 qualify row_number() over (partition by t.step order by e.step desc) <= 5),
-    rf as (select t, b, sum(share) / (select count(*) from el k where k.t = el.t) q from el join sb using (step) group by t, b), gr as (select distinct t, unnest(range(10)) b from el),
+SCORE_PSI_SQL = f"""sb as (select step, b, count(*) / sum(count(*)) over (partition by step) share from (select step, len([x for x in {BINS} if x <= score]) b from tx) group by 1, 2), sl as (select step, b, count(*) / sum(count(*)) over (partition by step) share from (select step, len([x for x in {BINS} if x <= score]) b from tx where y is not null) group by 1, 2),
+    el as (select t.step t, e.step from spine t join (select distinct step from tx where y is not null) e on e.step <= t.step - 1 where t.step >= 35 qualify row_number() over (partition by t.step order by e.step desc) <= 5), ok as (select t from el group by t having count(*) >= 2 and t in (select step from tx)),
+    rf as (select t, b, sum(share) / (select count(*) from el k where k.t = el.t) q from el join sl using (step) group by t, b), gr as (select t, unnest(range(10)) b from ok),
     zz as (select t, b, greatest(coalesce(q, 0), 1e-4) q, greatest(coalesce(share, 0), 1e-4) p from gr left join rf using (t, b) left join sb on sb.step = gr.t and sb.b = gr.b), yy as (select t, q / sum(q) over (partition by t) q, p / sum(p) over (partition by t) p from zz),
     score_psi as (select t step, sum((p - q) * ln(p / q)) psi from yy group by 1)"""
 
 
-@query("score_psi", f"with {SCORE_PSI_SQL} select step, round(psi, 6) psi, case when psi >= 0.25 then 'CRITICAL' when psi >= 0.10 then 'WARNING' else 'OK' end status from score_psi")
+@query("score_psi", f"with {SCORE_PSI_SQL} select s.step, round(psi, 6) psi, case when psi is null then 'UNAVAILABLE' when psi >= 0.25 then 'CRITICAL' when psi >= 0.10 then 'WARNING' else 'OK' end status from spine s left join score_psi p on p.step = s.step where s.step >= 35")
 def score_psi(t: Tables) -> DataFrame:
     return rounded(monitor.score_shift_channel(t.tx, t.spine(35), BINS, 5, 1), ["psi"])
 
@@ -184,10 +192,49 @@ def positive_rate_channel(t: Tables) -> DataFrame:
     return rounded(monitor.positive_rate_channel(t.tx, t.spine(35), 5, 1), ["ratio"])
 
 
-@query("domain_auc")
+_X = _V[:-1]
+FOLDS = 3
+
+
+def disc_sql(name: str, rows: str, by: str, features: list[str], key: str = "vec_id") -> str:
+    """CTEs ``name``0 to ``name``: out-of-fold scores (by, key, fold, y, score) of rows (by, key, y, features)."""
+    k = by + ", " if by else ""
+    moments = ", ".join(f"avg({x}) filter (where y = {i}) m{i}_{x}, var_pop({x}) filter (where y = {i}) v{i}_{x}" for x in features for i in (0, 1))
+    weight = ", ".join(f"coalesce(case when n1 * v1_{x} + n0 * v0_{x} > 0 then (m1_{x} - m0_{x}) / ((n1 * v1_{x} + n0 * v0_{x}) / (n1 + n0)) end, 0) w_{x}" for x in features)
+    score = " + ".join(f"w_{x} * {x}" for x in features)
+    using = f"using ({k}fold)"
+    return f"""{name}0 as (select *, {key} % {FOLDS} fold from ({rows})), {name}1 as (select {k}fk fold, count(*) filter (where y = 1) n1, count(*) filter (where y = 0) n0, {moments} from {name}0, (select unnest(range({FOLDS})) fk) where fk <> fold group by {k}fk),
+    {name}2 as (select {k}fold, {weight} from {name}1), {name} as (select {k}{key}, fold, y, {score} raw, round({score}, 9) score, {", ".join(f"{x}, w_{x}" for x in features)} from {name}0 join {name}2 {using})"""
+
+
+def auc_sql(name: str, source: str, by: str) -> str:
+    """CTE ``name`` (by, auc): the mean over folds."""
+    k = by + ", " if by else ""
+    return f"""{name}h as (select {k}fold, score s, count(*) n, sum(y) pos from {source} group by {k}fold, score), {name}c as (select {k}fold, s, n, pos, sum(pos) over (partition by {k}fold) p, sum(n) over (partition by {k}fold) total, sum(n - pos) over (partition by {k}fold order by s) - (n - pos) below from {name}h),
+    {name}f as (select {k}fold, case when max(p) = 0 or max(p) = max(total) then 0.5 else sum(pos * (2 * below + n - pos)) / (2 * max(p) * (max(total) - max(p))) end auc from {name}c group by {k}fold), {name} as (select {k}avg(auc) auc from {name}f {f"group by {by}" if by else ""})"""
+
+
+JUDGED_SQL = "judged as (select step t from spine where step >= 35 and (step % 5 = 0 or step in (35, 49)))"
+
+
+def domain_sql(name: str, features: list[str]) -> str:
+    """CTE ``name`` (step, n_target, domain_auc)."""
+    rows = f"select t, vec_id, 1 y, {', '.join(features)} from vec join judged on step = t union all select t, vec_id, 0, {', '.join(features)} from vec, judged where step <= 34"
+    return f"""{disc_sql(name + "s", rows, "t", features)}, {auc_sql(name + "a", name + "s", "t")}, {name}n as (select t, sum(y)::bigint n_target from {name}s group by t having sum(y) > 0),
+    {name} as (select t step, n_target, case when n_target < 10 then 0.5 else auc end domain_auc from {name}n join {name}a using (t))"""
+
+
+def judged(t: Tables) -> DataFrame:
+    return monitor.cadence(t.spine(35))
+
+
+_LEVEL = "case when domain_auc >= 0.85 then 'ALERT' when domain_auc >= 0.70 then 'MODERATE' else 'STABLE' end level"
+
+
+@query("domain_auc", f"with {JUDGED_SQL}, {domain_sql('dm', _X)} select step, n_target, round(domain_auc, 6) domain_auc, {_LEVEL} from dm")
 def domain_auc(t: Tables) -> DataFrame:
-    """Per target window: out-of-fold AUC of a linear classifier of reference against target rows."""
-    return models.domain_auc(t.vec, _V[:-1], "step <= 34", "step >= 35", "vec_id")
+    """For each judged step: how well its vectors are told from those of the reference."""
+    return rounded(discriminant.domain_auc(t.vec, _X, judged(t), 34, "vec_id"), ["domain_auc"])
 
 
 @query("domain_auc_cadence", "with st as (select distinct step from tx) select step from st where step % 5 = 0 or step in (35, 49)")
@@ -195,19 +242,37 @@ def domain_auc_cadence(t: Tables) -> DataFrame:
     return monitor.cadence(t.steps())
 
 
-@query("domain_auc_ablation")
+_DROPS = {"all": [], "no_clock": ["f_mono"], "no_first": ["f_mono", "f0"]}
+
+
+@query("domain_auc_ablation", f"with {JUDGED_SQL}, " + ", ".join(domain_sql(f"dm_{n}", [f for f in _V if f not in gone]) for n, gone in _DROPS.items()) + " " + " union all ".join(f"select '{n}' ablation, step, n_target, round(domain_auc, 6) domain_auc, {_LEVEL} from dm_{n}" for n in _DROPS))
 def domain_auc_ablation(t: Tables) -> DataFrame:
-    return models.domain_auc_ablation(t.vec, _V, {"all": [], "no_clock": ["f_mono"], "no_first": ["f_mono", "f0"]}, "step <= 34", "step >= 35", "vec_id")
+    return rounded(discriminant.domain_auc_ablation(t.vec, _V, _DROPS, judged(t), 34, "vec_id"), ["domain_auc"])
+
+
+_SIDED = "select vec_id, cast(side as int) y, {} from vec {}"
 
 
-@query("in_window_cv_ap")
+@query("in_window_cv_ap", f"""with {disc_sql("cv", _SIDED.format(", ".join(_X), "where step >= 35"), "", _X)}, ch as (select score s, count(*) n, sum(y) pos from cv group by score), cc as (select s, n, pos, sum(pos) over (order by s desc) tp, sum(n) over (order by s desc) alerts, sum(pos) over () p, sum(n) over () total from ch)
+    select max(total)::bigint n, max(p)::bigint pos, round(sum(case when p > 0 then pos / p * tp / alerts end), 6) ap from cc""")
 def in_window_cv_ap(t: Tables) -> DataFrame:
-    return models.in_window_cv_ap(t.vec.withColumn("y", F.col("side").cast("int")), _V[:-1], "step >= 35", "vec_id")
+    return rounded(discriminant.in_window_cv_ap(t.vec.where("step >= 35").withColumn("y", F.col("side").cast("int")), _X, "vec_id"), ["ap"])
+
+
+_BLOCKS = {**{f: [f] for f in _X[:4]}, "f0+f1": ["f0", "f1"]}
+_REPEATS = 3
+_TRIES = ", ".join(f"('{b}', {r}, '{f}', {101 * r + i})" for b, fs in _BLOCKS.items() for i, f in enumerate(_X[:4]) if f in fs for r in range(_REPEATS))
+_GRP = "block, repeat, feature, fold"
 
 
-@query("permutation_auc_drop")
+@query("permutation_auc_drop", f"""with {disc_sql("pm", _SIDED.format(", ".join(_X[:4]), ""), "", _X[:4])}, {auc_sql("pb", "pm", "")}, tr as (select block, repeat, feature, seed::bigint seed from (values {_TRIES}) v(block, repeat, feature, seed)),
+    pl as (select *, o % 64 b from (select vec_id, fold, y, raw, block, repeat, feature, case feature {" ".join(f"when '{f}' then {f}" for f in _X[:4])} end x, case feature {" ".join(f"when '{f}' then w_{f}" for f in _X[:4])} end wf, {mixed("vec_id * 64 + seed * 15485863")} o from pm, tr)),
+    pp as (select *, row_number() over (partition by {_GRP}, b order by o, vec_id) - 1 place from pl), ps as (select {_GRP}, b, count(*) m from pp group by all),
+    pn as (select {_GRP}, b, coalesce(lead(b) over w, first(b) over w) nb, coalesce(lead(m) over w, first(m) over w) nm from ps window w as (partition by {_GRP} order by b)),
+    mv as (select a.block, a.repeat, a.vec_id, a.fold, a.y, round(first(a.raw) + sum(a.wf * (g.x - a.x)), 9) score from pp a join pn n using ({_GRP}, b) join pp g on g.block = a.block and g.repeat = a.repeat and g.feature = a.feature and g.fold = a.fold and g.b = n.nb and g.place = a.place % n.nm group by 1, 2, 3, 4, 5),
+    {auc_sql("pa", "mv", "block, repeat")} select block, round(avg(pb.auc - pa.auc), 6) auc_drop, count(*) repeats from pa, pb group by block""")
 def permutation_auc_drop(t: Tables) -> DataFrame:
-    return models.permutation_auc_drop(t.vec.withColumn("y", F.col("side").cast("int")), _V[:4], "vec_id", repeats=2)
+    return rounded(discriminant.permutation_auc_drop(t.vec.withColumn("y", F.col("side").cast("int")), _X[:4], _BLOCKS, "vec_id", FOLDS, _REPEATS), ["auc_drop"])
 
 
 _IMP = f"a as (select feature, round(var_pop(value), 4) importance from u group by 1), b as (select feature, round(abs(avg(value)), 4) importance from u group by 1)"

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from steplens.operators import models as M
 from steplens.operators import monitor, ranking, rows
+from steplens.operators import walkforward as W
 from steplens.plans.profiles import rounded
+from steplens.plans.ranking import AP, AUC, curve_sql, tau_sql
 from steplens.plans.registry import query
 from steplens.plans.windows import COUNTS_SQL, counts
 from steplens.sources.tables import Tables
@@ -21,17 +23,19 @@ def features(t: Tables) -> DataFrame:
 
 
 @query("temporal_split", """with s as (select step, "window", count(*) n, count(y) labelled from tx join windows on step between lo and hi where "window" in ('fit', 'validation', 'test') group by 1, 2), m as (select *, count(*) over (partition by step) > 1 twice from s)
-    select "window", sum(n)::bigint n, sum(labelled)::bigint labelled, count(*) filter (where twice) shared_steps from m group by 1""")
+    select "window", sum(n)::bigint n, sum(labelled)::bigint labelled, count(*) filter (where twice) shared_steps, (select count(*) from tx where step not between 1 and 49) uncovered from m group by 1""")
 def temporal_split(t: Tables) -> DataFrame:
     return M.temporal_split(t.tx, t.windows())
 
 
-_PLAN = """pol as (select * from (values ('static', 'static', 34, 1), ('expanding', 'expanding', 0, 1), ('expanding_3', 'expanding', 0, 3), ('rolling', 'rolling', 8, 1), ('recency', 'recency', 0, 1)) p(policy, kind, width, lag)),
-    plan as (select policy, lag, step t, cast(case when kind = 'rolling' then greatest(1, step - lag - width + 1) else 1 end as int) as first, cast(case when kind = 'static' then least(step - lag, width) else step - lag end as int) as last, kind = 'recency' weighted from (select distinct step from tx), pol where step >= 43)"""
+#: Name, kind, width and lag of each policy.
+POLICIES = [("static", "static", 34, 1), *[("expanding", "expanding", 0, k) for k in (1, 2, 3, 5)], *[("static", "static", 34, k) for k in (2, 3, 5)], ("rolling", "rolling", 8, 1), ("recency", "recency", 0, 1), ("expanding_ablated", "ablation", 0, 1)]
+_PLAN = f"""pol as (select * from (values {", ".join(map(str, POLICIES))}) p(policy, kind, width, lag)),
+    plan as (select policy, lag, step t, cast(case when kind = 'rolling' then greatest(1, step - lag - width + 1) else 1 end as int) as first, cast(case when kind = 'static' then least(step - lag, width) else step - lag end as int) as last, kind = 'recency' weighted, kind = 'ablation' ablated from (select distinct step from tx), pol where step >= 43)"""
 
 
 def plan(t: Tables) -> DataFrame:
-    p = t.spark.createDataFrame([("static", "static", 34, 1), ("expanding", "expanding", 0, 1), ("expanding_3", "expanding", 0, 3), ("rolling", "rolling", 8, 1), ("recency", "recency", 0, 1)], "policy string, kind string, width int, lag int")
+    p = t.spark.createDataFrame(POLICIES, "policy string, kind string, width int, lag int")
     return M.policy_window(p, t.steps().where("step >= 43"))
 
 
@@ -46,9 +50,11 @@ def choose_holdout(t: Tables) -> DataFrame:
     return M.choose_holdout(counts(t), t.spine(35), least=60)
 
 
-@query("recency_weight", "with w as (select step, power(0.5, (42 - step) / 5.0::double) w from (select distinct step from tx) where step <= 42) select step, round(w / avg(w) over (), 6) weight from w")
+@query("recency_weight", """with w as (select step, power(0.5, (42 - step) / 5.0::double) w, greatest(0.1, 1 - (42 - step) / 10.0::double) v from (select distinct step from tx) where step <= 42)
+    select step, round(w / avg(w) over (), 6) weight, round(v / avg(v) over (), 6) linear from w""")
 def recency_weight(t: Tables) -> DataFrame:
-    return rounded(M.recency_weight(t.steps(), 42, 5.0), ["weight"])
+    linear = M.recency_weight(t.steps(), 42, 5.0, kind="linear").withColumnRenamed("weight", "linear")
+    return rounded(M.recency_weight(t.steps(), 42, 5.0).join(linear, "step"), ["weight", "linear"])
 
 
 @query("class_weight", "select step, count(*) filter (where y = 1) positive, count(*) filter (where y = 0) negative, round(case when count(*) filter (where y = 1) > 0 then count(*) filter (where y = 0) / count(*) filter (where y = 1) end, 6) weight from tx where y is not null group by step")
@@ -78,25 +84,92 @@ def linear_baseline(t: Tables) -> DataFrame:
     return rounded(ranking.metrics_by_group(w, ["window"], tau=0.5).select("window", "n", "pos", "ap", "auc", "f1"), ["ap", "auc", "f1"])
 
 
-@query("walk_forward")
+def _range_sql(name: str, last: str, features: list[str], ablated: str) -> str:
+    """CTE ``name`` (policy, lag, t, w_, c): the models of steps first..``last``."""
+    a = f"case when weighted then power(0.5, ({last} - step) / 5.0::double) else 1.0::double end"
+    sums = ", ".join(f"sum(a{i} * coalesce(m{i}_{x}, 0)) / sum(a{i}) m{i}_{x}, sum(a{i} * (coalesce(v{i}_{x}, 0) + coalesce(m{i}_{x}, 0) ** 2)) s{i}_{x}" for x in features for i in (1, 0))
+    pooled = "((s1_{0} - a1 * m1_{0} ** 2 + s0_{0} - a0 * m0_{0} ** 2) / (a1 + a0))"
+    weight = ", ".join(f"coalesce(case when {pooled.format(x)} > 0 then (m1_{x} - m0_{x}) / {pooled.format(x)} end, 0) w_{x}" for x in features)
+    return f"""{name}a as (select u.*, m.*, {a} * n1 a1, {a} * n0 a0 from uses u join mo m on step between first and {last} where ablated = {ablated}), {name}b as (select policy, lag, t, sum(a1) sa1, sum(a0) sa0, {sums} from {name}a group by all having sum(a1) > 0 and sum(a0) > 0),
+    {name}d as (select * exclude (sa1, sa0), sa1 a1, sa0 a0 from {name}b), {name}e as (select policy, lag, t, {weight}, {", ".join(f"(m1_{x} + m0_{x}) / 2 h_{x}" for x in features)} from {name}d), {name} as (select policy, lag, t, {", ".join(f"w_{x}" for x in features)}, -({" + ".join(f"w_{x} * h_{x}" for x in features)}) c from {name}e)"""
+
+
+def _score_sql(features: list[str]) -> str:
+    return f"round(1 / (1 + exp(least(greatest(-(c + {' + '.join(f'w_{x} * {x}' for x in features)}), -500), 500))), 9)"
+
+
+_MO = ", ".join(f"avg({x}) filter (where y = {i}) m{i}_{x}, var_pop({x}) filter (where y = {i}) v{i}_{x}" for x in _X for i in (1, 0))
+_FX = "fx as (select tx_id, step, y, price, score x from tx)"
+_USES = f"""{_PLAN}, cn as ({COUNTS_SQL}), hl as (select l.last, c.positive, row_number() over (partition by l.last order by c.step desc) k, sum(c.positive) over (partition by l.last order by c.step desc) held from (select distinct last from plan) l join cn c on c.step <= l.last),
+    ho as (select last, coalesce(min(k) filter (where held >= 40), 6) h from hl where k between 2 and 6 group by last),
+    uses as (select p.*, cast(greatest(p.first, p.last - coalesce(h, 2)) as int) fit_last, p.last - cast(greatest(p.first, p.last - coalesce(h, 2)) as int) holdout from plan p left join ho using (last) where p.first <= p.last)"""
+_KEYS = "policy, lag, t"
+
+
+def _walk_sql(n: str, features: list[str], ablated: str) -> str:
+    """CTEs of one set of features: hold-out scores ``n``h and scores of the step ``n``s."""
+    score = _score_sql(features)
+    return f"""{_range_sql(n + "f", "fit_last", features, ablated)}, {_range_sql(n + "r", "last", features, ablated)},
+    {n}h as (select {_KEYS}, y, {score} score from fx join (select u.fit_last, u.last, f.* from uses u join {n}f f using ({_KEYS})) on step > fit_last and step <= last where y is not null),
+    {n}s as (select policy, lag, step, tx_id, y, {score} score from fx join {n}r on step = t)"""
+
+
+_WALK = f"""{_USES}, {_FX}, mo as (select step, count(*) filter (where y = 1) n1, count(*) filter (where y = 0) n0, {_MO} from fx where y is not null group by step), {_walk_sql("m", _X, "false")}, {_walk_sql("b", _X[:1], "true")},
+    hs as (select * from mh union all select * from bh), sc as (select * from ms union all select * from bs), {tau_sql(_KEYS, "hs")},
+    hh as (select {_KEYS}, score s, count(*) n, sum(y) pos from hs group by {_KEYS}, score), hc as (select {_KEYS}, pos, sum(pos) over w tp, sum(n) over w alerts, sum(pos) over v p from hh window w as (partition by {_KEYS} order by s desc), v as (partition by {_KEYS})), ha as (select {_KEYS}, sum(case when p > 0 then pos / p * tp / alerts end) holdout_ap from hc group by {_KEYS}),
+    us as (select u.*, coalesce(tau, 0.5) tau, holdout_ap from uses u left join bt using ({_KEYS}) left join ha using ({_KEYS})), {curve_sql("policy, lag, step", "sc")}, rap as (select policy, lag, step, max(total)::bigint n, max(p)::bigint pos, {AP} ap, {AUC} auc from cu group by policy, lag, step),
+    rf1 as (select sc.policy, sc.lag, sc.step, sum(case when sc.score >= tau and y = 1 then 1 else 0 end) tp, sum(case when sc.score >= tau then 1 else 0 end) alerts, sum(y) p from sc join us on us.policy = sc.policy and us.lag = sc.lag and us.t = sc.step where y is not null group by all),
+    re as (select us.* exclude (t, tau), us.t step, tau, n, pos, ap, auc, case when alerts + p > 0 then 2 * tp / (alerts + p) else 0 end f1 from us join rap on rap.policy = us.policy and rap.lag = us.lag and rap.step = us.t join rf1 on rf1.policy = us.policy and rf1.lag = us.lag and rf1.step = us.t)"""
+
+
+def walked(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Scores and uses of all policies; the one without the focal feature is walked by itself."""
+    p, own, c = plan(t), features(t), counts(t)
+    scored, uses = W.walk_forward(own, p.where("NOT ablated"), c, _X)
+    fewer, more = W.walk_forward(own, p.where("ablated"), c, _X[:1])
+    return scored.unionByName(fewer), uses.unionByName(more)
+
+
+@query("walk_forward", f"with {_WALK} select policy, lag, step, first, fit_last, last, tau, round(holdout_ap, 5) holdout_ap, n, pos, round(ap, 5) ap, round(auc, 5) auc, round(f1, 5) f1 from re")
 def walk_forward(t: Tables) -> DataFrame:
-    scored = M.walk_forward(features(t), plan(t), _X)
-    return rounded(ranking.average_precision(scored, ["policy", "lag", "step"]), ["ap"])
+    found = W.realised(*walked(t)).select("policy", "lag", "step", "first", "fit_last", "last", "tau", "holdout_ap", "n", "pos", "ap", "auc", "f1")
+    return rounded(found, ["holdout_ap", "ap", "auc", "f1"], 5)
+
+
+@query("holdout_vs_realised", f"with {_WALK}, ok as (select * from re where holdout_ap is not null and ap is not null) select count(*) n, round(case when count(*) >= 3 and count(distinct holdout_ap) > 1 and count(distinct ap) > 1 then corr(holdout_ap, ap) end, 4) r from ok")
+def holdout_vs_realised(t: Tables) -> DataFrame:
+    return rounded(W.holdout_vs_realised(W.realised(*walked(t))), ["r"], 4)
+
+
+_LAGS = [1, 2, 3, 5]
+_CURVE = f"""{_WALK}, {curve_sql("lag, policy", "sc", where="y is not null and step between 43 and 49 and policy in ('static', 'expanding')").replace("h as (", "lh as (", 1).replace("cu as (", "lcu as (", 1).replace("from h)", "from lh)")}, la as (select lag, policy, {AP} ap from lcu group by lag, policy),
+    lc as (select lag, max(ap) filter (where policy = 'static') static, max(ap) filter (where policy = 'expanding') expanding from la group by lag)"""
+
+
+def curve(t: Tables) -> DataFrame:
+    return W.lag_curve(walked(t)[0], _LAGS, "static", "expanding", (43, 49))
+
+
+@query("lag_curve", f"with {_CURVE} select lag, round(static, 5) static, round(expanding, 5) expanding, round(expanding - static, 5) delta from lc")
+def lag_curve(t: Tables) -> DataFrame:
+    return rounded(curve(t), ["static", "expanding", "delta"], 5)
+
+
+@query("recovery_verdict", f"with {_CURVE}, c as (select max(expanding) filter (where lag = 1) best, max(expanding) filter (where lag = 5) slow from lc) select best >= 0.5 recovers, slow < best / 2 delay_matters, case when best >= 0.5 and slow < best / 2 then 'recovers only with prompt labels' when best >= 0.5 then 'recovers' else 'does not recover' end verdict from c")
+def recovery_verdict(t: Tables) -> DataFrame:
+    return W.recovery_verdict(curve(t), "expanding", 1, 5)
 
 
 @query("monitor_triggered_policy")
 def monitor_triggered_policy(t: Tables) -> DataFrame:
-    from steplens.plans.monitoring import decisions
-
-    # One row a step, 15 at most: the schedule that the driver loop follows.
-    fires = [r["step"] for r in decisions(t).where("action = 'RETRAIN'").select("step").collect()]
-    scored = M.monitor_triggered_policy(features(t), _X, fires, 43, 49)
-    return rounded(ranking.average_precision(scored, ["step", "last"]), ["ap"])
+    scored, schedule = W.monitor_triggered_policy(features(t), counts(t), _X, 43, 49, 0.31)
+    ap = ranking.average_precision(scored, ["step"]).select("step", "n", "pos", F.round("ap", 6).alias("ap"))
+    return schedule.join(ap, "step", "left").select("step", "made", "tau", "refitted", "n", "pos", "ap")
 
 
-@query("use_audit", f'with {_PLAN} select policy, lag, t, first, last, last + lag arrival, last + lag > t leak from plan')
+@query("use_audit", f"with {_USES} select policy, lag, t, first, fit_last, last, holdout, last + lag arrival, last + lag > t leak, cast(last + lag > t as int) + cast(last >= t as int) + cast(fit_last >= last as int) + cast(fit_last < first as int) violations from uses")
 def use_audit(t: Tables) -> DataFrame:
-    return M.use_audit(plan(t))
+    return W.use_audit(W.plan_uses(plan(t).where("first <= last"), counts(t)))
 
 
 @query("batch_score")

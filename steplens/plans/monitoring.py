@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from steplens.operators import discriminant, drift, ranking
 from steplens.operators import monitor as M
-from steplens.operators import ranking
-from steplens.plans.drifts import _SCORES, _U, BINS, SCORE_PSI_SQL, scores
+from steplens.plans.drifts import _SCORES, _U, _X, BINS, JUDGED_SQL, SCORE_PSI_SQL, domain_sql, judged, scores
 from steplens.plans.profiles import rounded
 from steplens.plans.registry import query
 from steplens.plans.windows import COUNTS_SQL, counts
+from steplens.sources.scratch import small
 from steplens.sources.tables import Tables
 
 #: Half of the F1 that the frozen threshold has on the views' validation window, to two digits.
@@ -66,27 +67,42 @@ def prevalence_channel(t: Tables) -> DataFrame:
 
 
 def channels(t: Tables) -> DataFrame:
-    """Every channel column of steps 35 to 49; the domain AUC is a model's and not evaluated here."""
+    """Every channel column of steps 35 to 49. The transactions are read once, for counts by step, score bin, side of the
+    threshold and label; the vectors for edges, cells, and the domain classifiers' moments and scores. All that follows works on
+    tables of steps."""
+    hit = F.col("score") >= 0.435
+    cells = small(t.tx.groupBy("step", drift.score_bin(BINS).alias("bin"), hit.alias("hit"), "y").agg(F.count("*").alias("n")), "tx-cells")
+    spine = small(t.spine(1), "spine")
+    late = spine.where("step >= 35")
+    of = lambda c: F.coalesce(F.sum(F.when(F.expr(c), F.col("n"))), F.lit(0))
+    f1 = ranking.rates(cells.groupBy("step").agg(of("y = 1 AND hit").alias("tp"), of("y = 0 AND hit").alias("fp"), of("y = 0 AND NOT hit").alias("tn"), of("y = 1 AND NOT hit").alias("fn")).where("tp + fp + tn + fn > 0"))
+    per = cells.groupBy("step").agg(F.sum("n").alias("total"), of("y IS NOT NULL").alias("labelled"), of("y = 1").alias("positive"))
+    bins = cells.groupBy("step", "bin").agg(F.sum("n").alias("n"), of("y IS NOT NULL").alias("labelled"))
     focal = F.col("feature").isin("f_mono", "f0")
     s = scores(t).groupBy("step").agg(
         F.count_if(focal & (F.col("drift_score") >= 1.0)).alias("triad_extreme"), F.count_if(focal & (F.col("drift_score") >= 0.25)).alias("triad_significant"), F.max(F.when(focal, F.col("drift_score"))).alias("triad_max"),
         (100.0 * F.count_if(~focal & (F.col("level") == "SIGNIFICANT")) / F.count_if(~focal)).alias("local_percent"),
     )
     s = s.withColumn("triad_level", F.when(F.col("triad_max") > 0.25, "SIGNIFICANT").when(F.col("triad_max") >= 0.10, "MODERATE").otherwise("STABLE"))
-    psi = M.score_shift_channel(t.tx, t.spine(35), BINS).select("step", F.col("psi").alias("score_psi"))
-    out = t.spine(35).join(s, "step", "left").join(psi, "step", "left").join(performance(t).select("step", "f1_min", "newest_label_step"), "step", "left")
-    return out.join(prevalence(t).select("step", "rolling_prevalence", "prevalence_level"), "step", "left").withColumn("domain_auc", F.lit(None).cast("double"))
+    auc = small(discriminant.domain_auc(t.vec, _X, judged(t), 34, "vec_id"), "domain-auc").select("step", "domain_auc")
+    psi = M.score_shift_of(bins, late, len(BINS) + 1).select("step", F.col("psi").alias("score_psi"))
+    prev = M.prevalence_channel(spine.join(per, "step", "left").fillna(0), BASELINE).select("step", "rolling_prevalence", "prevalence_level")
+    out = late
+    for channel in (s, psi, M.performance_of(f1, late, FLOOR).select("step", "f1_min", "newest_label_step"), prev, auc):
+        out = out.join(channel.hint("merge"), "step", "left")  # one partition each: no exchange and no broadcast
+    return M.local_streak(out).withColumnRenamed("streak", "local_streak")
 
 
-_CH = f"""{_U}, {_SCORES}, {SCORE_PSI_SQL}, {_PERF}, {_PREV},
+_CH = f"""{_U}, {_SCORES}, {SCORE_PSI_SQL}, {_PERF}, {_PREV}, {JUDGED_SQL}, {domain_sql("dm", _X)},
     tri as (select step, count(*) filter (where feature in ('f_mono', 'f0') and v >= 1.0) triad_extreme, count(*) filter (where feature in ('f_mono', 'f0') and v >= 0.25) triad_significant, max(v) filter (where feature in ('f_mono', 'f0')) triad_max,
       100.0 * count(*) filter (where feature not in ('f_mono', 'f0') and level = 'SIGNIFICANT') / count(*) filter (where feature not in ('f_mono', 'f0')) local_percent from lv group by 1),
-    ch as (select s.step, triad_extreme, triad_significant, triad_max, local_percent, case when triad_max > 0.25 then 'SIGNIFICANT' when triad_max >= 0.10 then 'MODERATE' else 'STABLE' end triad_level, psi score_psi, f1_min, newest_label_step, rolling_prevalence, prevalence_level
-      from spine s left join tri using (step) left join score_psi using (step) left join perf using (step) left join prev using (step) where s.step >= 35)"""
-_DEC = f"""{_CH}, hit as (select *, coalesce(triad_extreme >= 1 or triad_significant >= 2, false) h1, coalesce(score_psi >= 0.25, false) h2, coalesce(f1_min < {FLOOR}, false) h3, coalesce(rolling_prevalence <= 0.035, false) h4, coalesce(local_percent >= 30, false) r2,
+    ch0 as (select s.step, triad_extreme, triad_significant, triad_max, local_percent, case when triad_max > 0.25 then 'SIGNIFICANT' when triad_max >= 0.10 then 'MODERATE' else 'STABLE' end triad_level, psi score_psi, f1_min, newest_label_step, rolling_prevalence, prevalence_level, domain_auc,
+      coalesce(local_percent >= 30, false) lh from spine s left join tri using (step) left join score_psi using (step) left join perf using (step) left join prev using (step) left join dm using (step) where s.step >= 35),
+    ch1 as (select *, sum(case when lh then 0 else 1 end) over (order by step) isl from ch0), ch as (select *, sum(case when lh then 1 else 0 end) over (partition by isl order by step)::bigint local_streak from ch1)"""
+_DEC = f"""{_CH}, hit as (select *, coalesce(triad_extreme >= 1 or triad_significant >= 2, false) h1, coalesce(score_psi >= 0.25, false) h2, coalesce(f1_min < {FLOOR}, false) h3, coalesce(rolling_prevalence <= 0.035, false) h4, coalesce(local_percent >= 30, false) r2, coalesce(domain_auc >= 0.85, false) r6,
       coalesce(score_psi >= 0.10 and score_psi < 0.25, false) r3 from ch),
     rs as (select *, [x for x in [case when h1 then 'ConcentratedMacroDrift' end, case when h2 then 'ScoreShift' end, case when h3 then 'PerformanceCrash' end, case when h4 then 'PrevalenceRegimeCollapse' end] if x is not null] a,
-      [x for x in [case when not h1 and triad_level = 'MODERATE' then 'FeatureDriftWarning' end, case when r2 then 'DiffuseMicroDriftWarning' end, case when r3 then 'ScoreShiftWarning' end, case when not h4 and prevalence_level = 'ALERT' then 'PrevalenceAlert' end, case when not h4 and prevalence_level = 'WARNING' then 'PrevalenceWarning' end] if x is not null] b from hit),
+      [x for x in [case when not h1 and triad_level = 'MODERATE' then 'FeatureDriftWarning' end, case when r2 then 'DiffuseMicroDriftWarning' end, case when r3 then 'ScoreShiftWarning' end, case when not h4 and prevalence_level = 'ALERT' then 'PrevalenceAlert' end, case when not h4 and prevalence_level = 'WARNING' then 'PrevalenceWarning' end, case when r6 then 'AdversarialOODAlert' end] if x is not null] b from hit),
     decision as (select *, a || b reasons, case when len(a) > 0 then 'RETRAIN' when len(b) > 0 then 'RECALIBRATE_ONLY' else 'NO_ACTION' end action, case when len(a) > 0 then 'CRITICAL' when len(b) > 0 then 'WARNING' else 'INFO' end severity from rs)"""
 
 
@@ -99,13 +115,13 @@ def trigger_decision(t: Tables) -> DataFrame:
     return decisions(t).select("step", "action", "severity", "primary_reason", F.concat_ws(",", "reasons").alias("reasons"))
 
 
-_ROUND = ["triad_max", "local_percent", "score_psi", "f1_min", "rolling_prevalence"]
+_ROUND = ["triad_max", "local_percent", "score_psi", "f1_min", "rolling_prevalence", "domain_auc"]
 
 
-@query("monitoring_table", f"with {_DEC} select step, triad_extreme, triad_significant, triad_level, {', '.join(f'round({c}, 6) {c}' for c in _ROUND)}, newest_label_step, prevalence_level, action, severity, array_to_string(reasons, ',') reasons from decision")
+@query("monitoring_table", f"with {_DEC} select step, triad_extreme, triad_significant, triad_level, {', '.join(f'round({c}, 6) {c}' for c in _ROUND)}, local_streak, newest_label_step, prevalence_level, action, severity, array_to_string(reasons, ',') reasons from decision")
 def monitoring_table(t: Tables) -> DataFrame:
     table = rounded(decisions(t), _ROUND)
-    return table.select("step", "triad_extreme", "triad_significant", "triad_level", *_ROUND, "newest_label_step", "prevalence_level", "action", "severity", F.concat_ws(",", "reasons").alias("reasons"))
+    return table.select("step", "triad_extreme", "triad_significant", "triad_level", *_ROUND, "local_streak", "newest_label_step", "prevalence_level", "action", "severity", F.concat_ws(",", "reasons").alias("reasons"))
 
 
 @query("latest_decision", f"with {_DEC} select step, action, severity from decision order by step desc limit 1")
@@ -119,7 +135,7 @@ _BRK = f"""{_CH}, brk as (
     select step, 'score_shift', 'label_free', case when score_psi is null then 'NOT_EVALUATED' when score_psi >= 0.25 then 'CRITICAL' when score_psi >= 0.10 then 'WARNING' else 'OK' end, score_psi, 0.25, true from ch union all
     select step, 'performance', 'label_dependent', case when f1_min is null then 'NOT_EVALUATED' when f1_min < {FLOOR} then 'CRITICAL' else 'OK' end, f1_min, {FLOOR}, true from ch union all
     select step, 'prevalence', 'label_dependent', case when rolling_prevalence is null then 'NOT_EVALUATED' when rolling_prevalence <= 0.035 then 'CRITICAL' when prevalence_level in ('ALERT', 'WARNING') then 'WARNING' else 'OK' end, rolling_prevalence, 0.035, true from ch union all
-    select step, 'adversarial', 'label_free', 'NOT_EVALUATED', null, 0.85, false from ch)"""
+    select step, 'adversarial', 'label_free', case when domain_auc is null then 'NOT_EVALUATED' when domain_auc >= 0.85 then 'WARNING' else 'OK' end, domain_auc, 0.85, false from ch)"""
 
 
 def breakdown(t: Tables) -> DataFrame:

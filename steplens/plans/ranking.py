@@ -242,31 +242,6 @@ def threshold_instability(t: Tables) -> DataFrame:
     return adaptive(t, 5).agg(F.min("rolling_tau").alias("least"), F.max("rolling_tau").alias("greatest"), F.round(F.max("rolling_tau") - F.min("rolling_tau"), 6).alias("range"), F.round(F.stddev_pop("rolling_tau"), 6).alias("std"), F.countDistinct("rolling_tau").alias("distinct_taus"))
 
 
-@query("holdout_vs_realised", f"with {curve_sql('step')}, a as (select step, {AP} ap, {AUC} auc from cu group by step) select count(*) n, round(case when count(*) >= 3 and count(distinct ap) > 1 and count(distinct auc) > 1 then corr(ap, auc) end, 6) r from a")
-def holdout_vs_realised(t: Tables) -> DataFrame:
-    j = R.average_precision(t.tx, ["step"]).join(R.roc_auc(t.tx, ["step"]), "step")
-    fit = (F.count("*") >= 3) & (F.countDistinct("ap") > 1) & (F.countDistinct("auc") > 1)
-    return j.agg(F.count("*").alias("n"), F.round(F.when(fit, F.corr("ap", "auc")), 6).alias("r"))
-
-
-def _by_lag_sql() -> str:
-    return f"w as (select l lag, case when step % 2 = 0 then 'even' else 'odd' end policy, y, score from tx, (values (1), (2), (3), (5)) v(l) where y is not null and step >= 35 + l), {curve_sql('lag, policy', 'w')}, a as (select lag, policy, {AP} ap from cu group by lag, policy)"
-
-
-@query("lag_curve", f"with {_by_lag_sql()} select lag, round(max(ap) filter (where policy = 'even'), 6) even, round(max(ap) filter (where policy = 'odd'), 6) odd, round(max(ap) filter (where policy = 'even') - max(ap) filter (where policy = 'odd'), 6) delta from a group by lag")
-def lag_curve(t: Tables) -> DataFrame:
-    late = t.tx.select("step", "y", "score", F.when(F.col("step") % 2 == 0, "even").otherwise("odd").alias("policy"), F.explode(F.array(*[F.lit(k) for k in (1, 2, 3, 5)])).alias("lag")).where("step >= 35 + lag")
-    p = R.average_precision(late, ["lag", "policy"]).groupBy("lag").pivot("policy", ["even", "odd"]).agg(F.max("ap"))
-    return p.select("lag", F.round("even", 6).alias("even"), F.round("odd", 6).alias("odd"), F.round(F.col("even") - F.col("odd"), 6).alias("delta"))
-
-
-@query("recovery_verdict", f"with {_by_lag_sql()}, c as (select max(ap) filter (where lag = 1) best, max(ap) filter (where lag = 5) slow from a) select best >= 0.5 recovers, slow < best / 2 delay_matters, case when best >= 0.5 and slow < best / 2 then 'recovers only with prompt labels' when best >= 0.5 then 'recovers' else 'does not recover' end verdict from c")
-def recovery_verdict(t: Tables) -> DataFrame:
-    c = lag_curve(t).withColumn("ap", F.greatest("even", "odd")).agg(F.max(F.when(F.col("lag") == 1, F.col("ap"))).alias("best"), F.max(F.when(F.col("lag") == 5, F.col("ap"))).alias("slow"))
-    a, b = F.col("best") >= 0.5, F.col("slow") < F.col("best") / 2
-    return c.select(a.alias("recovers"), b.alias("delay_matters"), F.when(a & b, "recovers only with prompt labels").when(a, "recovers").otherwise("does not recover").alias("verdict"))
-
-
 @query("metric_association", f"""with {curve_sql('step')}, a as (select step, round({AP}, 9) ap from cu group by step), b as (select step, round(avg(score), 9) m from tx group by 1), r as (select rank() over (order by ap) + (count(*) over (partition by ap) - 1) / 2 x, rank() over (order by m) + (count(*) over (partition by m) - 1) / 2 y from a join b using (step) where step >= 35 and ap is not null) select round(corr(x, y), 6) rho from r""")
 def metric_association(t: Tables) -> DataFrame:
     a = R.average_precision(t.tx, ["step"]).select("step", F.round("ap", 9).alias("ap"))

@@ -31,7 +31,7 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     survives the loss of any executor."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/steplens-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -53,7 +53,15 @@ def release(spark: SparkSession, since: int = 0, until: int | None = None) -> in
     return gone
 
 
+#: Rows of a short table that the driver may hold.
+MOST_SMALL = 100_000
+
+
 def small(df: DataFrame, name: str = "small") -> DataFrame:
-    """A short table, such as one of steps or features, written once and read in one partition, so that no join, window or
-    aggregate over it needs an exchange."""
-    return materialise(df.coalesce(1), name).coalesce(1)
+    """A short table, such as one of steps or features, worked out once and held in one partition, so that windows and
+    aggregates over it, and joins of such tables, need no exchange. Up to ``MOST_SMALL`` rows stay with the driver; a longer
+    one is written like any other."""
+    rows = df.limit(MOST_SMALL + 1).toArrow()
+    if rows.num_rows > MOST_SMALL:
+        return materialise(df, name)
+    return df.sparkSession.createDataFrame(rows, schema=df.schema).coalesce(1)
