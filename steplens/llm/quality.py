@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from steplens.llm.common import ship, slices, words
 
 #: Labelled documents from which a ranker is learned at most; the features of these go to the driver.
-SAMPLE = 8_192
+SAMPLE = 4_096
 #: Pairs of each document of the rarer label.
 PAIRS = 8
 #: The score at the quantile that the share of label 0 gives.
@@ -101,10 +101,11 @@ def learn(x: np.ndarray, label: np.ndarray, pairs: int = PAIRS, ridge: float = R
     k = x.shape[1]
     if not len(x) or label.min() == label.max():
         return Ranker(np.zeros(k), np.ones(k), np.zeros(k), float(np.log(CUT / (1 - CUT))))
-    mean, scale = x.mean(axis=0), np.ones(k)
-    deviation = x[:, : len(SHAPE)].std(axis=0)
+    mean, scale = x.mean(axis=0, dtype=np.float64), np.ones(k)
+    deviation = x[:, : len(SHAPE)].std(axis=0, dtype=np.float64)
     scale[: len(SHAPE)] = np.where(deviation > 1e-9, deviation, 1)
-    z = ((x - mean) / scale).astype(np.float32)
+    z = x - mean.astype(np.float32)
+    z /= scale.astype(np.float32)
     fold = np.zeros(len(x), int)
     for one in (0, 1):
         own = np.flatnonzero(label == one)
@@ -171,7 +172,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ranker:
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
     rows = own.select("doc_id", "text", F.col("quality").cast("int").alias("quality")).mapInArrow(run, "doc_id long, quality int, x array<float>").orderBy("doc_id", "x").limit(sample).toArrow().combine_chunks()
     x = rows["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, COLUMNS)
-    return learn(x.astype(np.float64), rows["quality"].to_numpy())
+    return learn(x, rows["quality"].to_numpy())
 
 
 def score(ranker: Ranker, text: str = "text") -> Column:
