@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from steplens.llm import line_dedup, near_copies, packing, quality, substring_dedup
 from steplens.llm.common import ship, table
-from steplens.sources.scratch import mark, materialise, release
+from steplens.sources.scratch import mark, materialise, release, settle
 
 #: No SQL expresses the ranker, the fingerprints or the tokenizer; the stages are tested against brute force instead.
 ORACLE_SQL = None
@@ -80,6 +80,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if i:
             docs, done = materialise(docs, name), mark(spark) - 1
             release(spark, begun, done)
+            settle(spark)
             begun = done
         docs = stage(spark, docs, sf_dir)
     return docs

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -53,6 +54,13 @@ def release(spark: SparkSession, since: int = 0, until: int | None = None) -> in
     return gone
 
 
+def settle(spark: SparkSession) -> None:
+    """Let go of plans that nothing refers to any more, in Python and in the JVM: Spark deletes the shuffle files of a plan when
+    its references are collected, which it would else wait for while they fill disks."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 #: Rows of a short table that the driver may hold.
 MOST_SMALL = 100_000
 
