@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 
 from steplens.llm.common import ship, slices
 from steplens.llm.tokens import IdStore
+from steplens.sources.scratch import materialise
 
 CAPACITY = 2048
-#: Documents whose last pieces are packed together; a part leaves about one sequence less than full.
+#: Documents whose pieces are packed together, and parts whose sequences that are less than full are.
 PART_DOCS = 4096
 #: Bytes of text that are tokenised at once.
 TOKEN_BYTES = 8 << 20
@@ -166,8 +167,8 @@ def pack(cut: DataFrame, n_docs: int, capacity: int = CAPACITY, part_docs: int =
     """``cut`` with sequence_id and offset in place of salt: sequences of at most ``capacity`` ids, gapless from offset 0.
 
     Pieces are dealt by a hash into parts of about ``part_docs`` documents, and each part is packed by best-fit
-    decreasing; so no task sees more than its part, and all that is lost against packing the whole table at once is
-    about one half-empty sequence a part. An empty table gives no rows.
+    decreasing; so no task sees more than its part. What parts leave less than full, about one sequence each, is packed again
+    as wholes, in groups of as many parts, until one group is left. An empty table gives no rows.
     """
     parts = max(1, n_docs // part_docs)
     dealt = cut.withColumn("part", F.pmod(F.xxhash64("doc_id", "salt"), F.lit(parts)))
@@ -180,7 +181,29 @@ def pack(cut: DataFrame, n_docs: int, capacity: int = CAPACITY, part_docs: int =
         return kept.append_column("sequence_id", pa.array((part << 32) + bins)).append_column("offset", pa.array(offsets))
 
     kinds = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in out] + ["sequence_id long", "offset long"])
-    return dealt.groupBy("part").applyInArrow(place, kinds)
+    packed = dealt.groupBy("part").applyInArrow(place, kinds)
+    level = 0
+    while parts > 1:
+        packed, parts, level = _join_loose(materialise(packed, "packed"), capacity, part_docs, level), -(-parts // part_docs), level + 1
+    return packed
+
+
+def _join_loose(packed: DataFrame, capacity: int, part_docs: int, level: int) -> DataFrame:
+    """``packed`` with its sequences that are less than full put into each other, those of ``part_docs`` parts at a time. The
+    part is the upper half of sequence_id; joined sequences have the number of the group of parts there, and below it numbers
+    that no part and no other ``level`` gives."""
+    loose = packed.groupBy("sequence_id").agg(F.sum("length").alias("length")).where(F.col("length") < capacity)
+    loose = loose.withColumn("group", F.floor(F.shiftright("sequence_id", 32) / part_docs))
+
+    def place(group: pa.Table) -> pa.Table:
+        bins, offsets = best_fit_decreasing(group["length"].to_numpy(), capacity)
+        number = group["group"][0].as_py()
+        return pa.Table.from_arrays([group["sequence_id"].combine_chunks(), pa.array((number << 32) + (1 << 31) + (level << 27) + bins), pa.array(offsets)], ["sequence_id", "to", "base"])
+
+    moves = loose.groupBy("group").applyInArrow(place, "sequence_id long, to long, base long")
+    moved = packed.join(materialise(moves, "moves"), "sequence_id", "left")
+    others = [c for c in packed.columns if c not in ("sequence_id", "offset")]
+    return moved.select(*others, F.coalesce("to", "sequence_id").alias("sequence_id"), (F.col("offset") + F.coalesce("base", F.lit(0))).alias("offset"))
 
 
 def sequences(packed: DataFrame) -> DataFrame:
