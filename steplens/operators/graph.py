@@ -17,8 +17,19 @@ def degrees(nodes: DataFrame, edges: DataFrame, node: str, src: str, dst: str) -
     return nodes.select(node).distinct().join(by_node, node, "left").fillna(0, ["out_degree", "in_degree"]).withColumn("degree", F.col("out_degree") + F.col("in_degree"))
 
 
-def degree_summary(deg: DataFrame, c: str = "degree") -> DataFrame:
-    return deg.agg(F.count("*").alias("nodes"), F.avg(c).alias("mean"), *[F.expr(f"percentile({c}, {p})").alias(a) for p, a in ((0.5, "median"), (0.95, "p95"), (0.99, "p99"))], F.max(c).alias("greatest"), F.avg(F.when(F.col(c) > 0, F.col(c))).alias("positive_mean"))
+def degree_histogram(deg: DataFrame, c: str = "degree") -> DataFrame:
+    """Nodes of each degree."""
+    return deg.groupBy(c).agg(F.count("*").alias("nodes"))
+
+
+def degree_summary(deg: DataFrame, c: str = "degree", top: int = 20) -> DataFrame:
+    """Mean, quantiles and greatest degree, how many different ones there are, and the ``top`` greatest of nodes, in order."""
+    base = deg.agg(F.count("*").alias("nodes"), F.avg(c).alias("mean"), *[F.expr(f"percentile({c}, {p})").alias(a) for p, a in ((0.5, "median"), (0.95, "p95"), (0.99, "p99"))], F.max(c).alias("greatest"), F.avg(F.when(F.col(c) > 0, F.col(c))).alias("positive_mean"))
+    h = degree_histogram(deg, c)
+    kinds = h.agg(F.count("*").alias("distinct_degrees"))
+    first = h.orderBy(F.desc(c)).limit(top).select(F.explode(F.array_repeat(c, F.least(F.col("nodes"), F.lit(top)).cast("int"))).alias("d"))
+    tops = first.agg(F.slice(F.sort_array(F.collect_list("d"), False), 1, top).alias("top_degrees"))  # top * top values at most
+    return base.crossJoin(F.broadcast(kinds)).crossJoin(F.broadcast(tops))  # one row each
 
 
 def edge_multiplicity(edges: DataFrame, src: str, dst: str) -> DataFrame:
@@ -106,12 +117,13 @@ def address_history_mean(addresses: DataFrame, snapshots: DataFrame, value: str,
     return out.select("address", F.coalesce("own", "whole").alias("history_mean"), F.col("own").isNotNull().alias("has_history"))
 
 
-def lag_features(membership: DataFrame, steps: DataFrame, snapshots: DataFrame, value: str) -> DataFrame:
-    """For each transaction the mean over its addresses of their latest value strictly before its step, whether there is
-    any, and the share of addresses that have one."""
+def lag_features(membership: DataFrame, steps: DataFrame, snapshots: DataFrame, values: list[str]) -> DataFrame:
+    """For each transaction the means over its addresses of their latest ``values`` strictly before its step, 0 without any,
+    whether there is any, and the share of addresses that have one. All values travel in one as-of pass."""
     events = membership.select("tx_id", "address").distinct().join(steps.select("tx_id", "step"), "tx_id")
-    seen = asof_prior_snapshot(events, snapshots, "address", "step", value, ["tx_id"])
-    return seen.groupBy("tx_id").agg(F.coalesce(F.avg("prior_value"), F.lit(0.0)).alias("lag_mean"), (F.count("prior_value") > 0).cast("int").alias("has_history"), (F.count("prior_value") / F.count("*")).alias("share"))
+    seen = asof_prior_snapshot(events, snapshots.select("address", "step", F.struct(*values).alias("_all")), "address", "step", "_all", ["tx_id"])
+    means = [F.coalesce(F.avg(F.col("prior_value")[v]), F.lit(0.0)).alias(f"lag_mean_{v}") for v in values]
+    return seen.groupBy("tx_id").agg(*means, (F.count("prior_value") > 0).cast("int").alias("has_history"), (F.count("prior_value") / F.count("*")).alias("share"))
 
 
 def projected_edges(membership: DataFrame, steps: DataFrame, rows_back: int = 5, most_steps: int = 5) -> DataFrame:
@@ -147,8 +159,10 @@ def neighbour_mean(edges: DataFrame, features: DataFrame, src: str, dst: str, no
 
 
 def component_time_span(components: DataFrame, steps: DataFrame, node: str, step: str = "step") -> DataFrame:
+    """Steps and size of each component, and the share of all components that stay within one step."""
     by = components.join(steps.select(node, step), node).groupBy("component").agg(F.countDistinct(step).alias("steps"), F.min(step).alias("first_step"), F.max(step).alias("last_step"), F.count("*").alias("size"))
-    return by
+    share = by.agg((100.0 * F.count_if(F.col("steps") == 1) / F.count("*")).alias("one_step_percent"))
+    return by.crossJoin(F.broadcast(share))  # one row
 
 
 def cumulative_components(components: DataFrame, steps: DataFrame, node: str, step: str = "step") -> DataFrame:
@@ -158,8 +172,10 @@ def cumulative_components(components: DataFrame, steps: DataFrame, node: str, st
     return per.withColumn("components", F.sum("touched").over(Window.orderBy(step)))
 
 
-def graph_drift_by_step(tx: DataFrame, edges: DataFrame, membership: DataFrame, first: DataFrame, tx_id: str = "tx_id") -> DataFrame:
-    """Per step: transactions and edges so far, mean degree, active, new and recurring addresses."""
+def graph_drift_by_step(tx: DataFrame, edges: DataFrame, membership: DataFrame, first: DataFrame, features: list[str], train_last: int, tx_id: str = "tx_id") -> DataFrame:
+    """Per step: transactions and edges so far, mean degree, active, new and recurring addresses, the share of transactions
+    that have an address seen before, and how far the features' means lie from those of the training steps, as the root of the mean square
+    in their deviations."""
     n = tx.groupBy("step").agg(F.count("*").alias("nodes"))
     e = edges.join(tx.select(F.col(tx_id).alias("tx_id1"), "step"), "tx_id1").groupBy("step").agg(F.count("*").alias("edges"))
     a = membership.select(tx_id, "address").join(tx.select(tx_id, "step"), tx_id).select("address", "step").distinct().join(first, "address")
@@ -167,4 +183,10 @@ def graph_drift_by_step(tx: DataFrame, edges: DataFrame, membership: DataFrame,
     w = Window.orderBy("step")
     out = n.join(e, "step", "left").join(a, "step", "left").fillna(0)
     out = out.withColumn("cumulative_nodes", F.sum("nodes").over(w)).withColumn("cumulative_edges", F.sum("edges").over(w))
-    return out.withColumn("mean_degree", 2 * F.col("cumulative_edges") / F.col("cumulative_nodes"))
+    known = membership.select(tx_id, "address").join(first, "address").join(tx.select(tx_id, "step"), tx_id).groupBy(tx_id, "step").agg(F.max(F.expr("first_step < step").cast("int")).alias("known"))
+    context = known.groupBy("step").agg(F.sum("known").alias("with_context"))
+    base = tx.where(F.col("step") <= train_last).agg(*[f(c).alias(f"_{a}_{c}") for c in features for a, f in (("m", F.avg), ("s", F.stddev_pop))])
+    moved = tx.groupBy("step").agg(*[F.avg(c).alias(c) for c in features]).crossJoin(F.broadcast(base))  # one row
+    gaps = sum((F.pow((F.col(c) - F.col(f"_m_{c}")) / F.col(f"_s_{c}"), 2) for c in features), F.lit(0.0))
+    out = out.join(context, "step", "left").fillna(0, ["with_context"]).join(moved.select("step", F.sqrt(gaps / len(features)).alias("shift_l2")), "step")
+    return out.withColumn("context_share", F.col("with_context") / F.col("nodes")).withColumn("mean_degree", 2 * F.col("cumulative_edges") / F.col("cumulative_nodes"))

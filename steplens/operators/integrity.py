@@ -70,7 +70,8 @@ def class_mismatch(df: DataFrame, lookup: DataFrame, key: str, cls: str, lookup_
 
 
 def edge_audit(edges: DataFrame, src: str, dst: str, src_universe: DataFrame, dst_universe: DataFrame) -> DataFrame:
-    """Edges, distinct pairs, duplicates, self-loops, blank ends, distinct ends and those outside their universes."""
+    """Edges, distinct pairs, duplicates, self-loops, blank ends, distinct ends and those outside their universes, and distinct
+    nodes of both sides together."""
     pairs = edges.groupBy(src, dst).agg(F.count("*").alias("n"))
     base = pairs.agg(F.sum("n").alias("edges"), F.count("*").alias("unique_edges"), F.sum(F.when(F.col(src).cast("string") == F.col(dst).cast("string"), F.col("n")).otherwise(0)).alias("self_loops"), F.sum(F.when(_blank(src) | _blank(dst), F.col("n")).otherwise(0)).alias("blank_ends"))
 
@@ -78,7 +79,8 @@ def edge_audit(edges: DataFrame, src: str, dst: str, src_universe: DataFrame, ds
         u = universe.select(F.col(universe.columns[0]).alias(c)).distinct().withColumn("_in", F.lit(1))
         return edges.select(c).distinct().join(u, c, "left").agg(F.count("*").alias(f"unique_{name}"), F.count_if(F.col("_in").isNull()).alias(f"{name}_outside"))
 
-    out = base.crossJoin(ends(src, src_universe, "src")).crossJoin(ends(dst, dst_universe, "dst"))  # one row each
+    nodes = edges.select(F.explode(F.array(F.col(src).cast("string"), F.col(dst).cast("string"))).alias("n")).distinct().agg(F.count("n").alias("unique_nodes"))
+    out = base.crossJoin(ends(src, src_universe, "src")).crossJoin(ends(dst, dst_universe, "dst")).crossJoin(nodes)  # one row each
     return out.withColumn("duplicates", F.col("edges") - F.col("unique_edges"))
 
 

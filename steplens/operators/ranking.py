@@ -195,3 +195,10 @@ def sustained_recovery(ap: DataFrame, floor: float = 0.5, hold: int = 2, value:
         ok = ok & (F.coalesce(F.lead(value, i).over(w), F.lit(-1.0)) >= floor)
     eligible = ap.where(F.col(value).isNotNull() & (F.col("pos") >= min_pos)) if min_pos else ap.where(F.col(value).isNotNull())
     return eligible.withColumn("ok", ok).agg(F.min(F.when(F.col("ok"), F.col(step))).alias("recovered_at"))
+
+
+def error_types(df: DataFrame, group: Column, tau: float = 0.435, score: str = "score", y: str = "y", step: str = "step") -> DataFrame:
+    """(step, kind, n, in_group, median_score): labelled rows that were missed, flagged wrongly or judged right, how many of
+    them are of a subgroup, and their median score."""
+    kind = F.when((F.col(y) == 1) & (F.col(score) < tau), "FN").when((F.col(y) == 0) & (F.col(score) >= tau), "FP").otherwise("correct")
+    return df.where(F.col(y).isNotNull()).groupBy(step, kind.alias("kind")).agg(F.count("*").alias("n"), F.count_if(group).alias("in_group"), F.expr(f"percentile({score}, 0.5)").alias("median_score"))

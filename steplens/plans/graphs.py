@@ -38,9 +38,11 @@ def degrees(t: Tables) -> DataFrame:
     return deg(t)
 
 
-@query("degree_summary", f"with {_DEG} select count(*) nodes, round(avg(degree), 6) mean, quantile_cont(degree, 0.5) median, round(quantile_cont(degree, 0.95), 6) p95, round(quantile_cont(degree, 0.99), 6) p99, max(degree) greatest, round(avg(degree) filter (where degree > 0), 6) positive_mean from d")
+@query("degree_summary", f"""with {_DEG} select count(*) nodes, round(avg(degree), 6) mean, quantile_cont(degree, 0.5) median, round(quantile_cont(degree, 0.95), 6) p95, round(quantile_cont(degree, 0.99), 6) p99, max(degree) greatest, round(avg(degree) filter (where degree > 0), 6) positive_mean, count(distinct degree) distinct_degrees,
+    (select string_agg(degree::varchar, ',' order by degree desc) from (select degree from d order by degree desc limit 20)) top_degrees from d""")
 def degree_summary(t: Tables) -> DataFrame:
-    return rounded(G.degree_summary(deg(t)), ["mean", "p95", "p99", "positive_mean"])
+    found = G.degree_summary(deg(t)).withColumn("top_degrees", F.concat_ws(",", F.col("top_degrees").cast("array<string>")))
+    return rounded(found, ["mean", "p95", "p99", "positive_mean"])
 
 
 @query("edge_multiplicity", """with p as (select input_address a, output_address b, count(*) n from addr_addr group by 1, 2), r as (select a, b from p where hash(a || b) % 1 = 0 and substr(a, 2)::int % 50 = 0)
@@ -83,16 +85,20 @@ def weak_components(t: Tables) -> DataFrame:
     return comp(t)
 
 
-@query("bipartite_components")
+_BIP = """with recursive e as materialized (select input_address a, 'T' || tx_id b from addr_tx union select output_address, 'T' || tx_id from tx_addr), d as materialized (select a, b from e union select b, a from e),
+    r(n, c) using key (n) as (select a, min(b) from (select a, b from d union all select a, a from d) group by a union select d.a, min(r.c) from r join d on d.b = r.n join recurring.r k on k.n = d.a where r.c < k.c group by d.a)"""
+
+
+@query("bipartite_components", f"{_BIP}, z as (select c, count(*) m from r group by c) select count(*) components, max(m) largest, round(100.0 * max(m) / sum(m), 6) largest_percent, count(*) filter (where m = 1) singletons from z")
 def bipartite_components(t: Tables) -> DataFrame:
     edges = t.addr_tx.selectExpr("input_address AS a", "concat('T', tx_id) AS b").union(t.tx_addr.selectExpr("output_address AS a", "concat('T', tx_id) AS b"))
     nodes = edges.select(F.col("a").alias("n")).union(edges.select("b")).distinct()
     return rounded(G.component_summary(G.weak_components(nodes, edges, "n", "a", "b")), ["largest_percent"])
 
 
-@query("component_time_span", f"{_COMP} select component, count(distinct step) steps, min(step) first_step, max(step) last_step, count(*) as size from k join tx using (tx_id) group by component")
+@query("component_time_span", f"{_COMP} select component, count(distinct step) steps, min(step) first_step, max(step) last_step, count(*) as size, round(100.0 * avg(cast(count(distinct step) = 1 as int)) over (), 6) one_step_percent from k join tx using (tx_id) group by component")
 def component_time_span(t: Tables) -> DataFrame:
-    return G.component_time_span(comp(t), t.tx, "tx_id")
+    return rounded(G.component_time_span(comp(t), t.tx, "tx_id"), ["one_step_percent"])
 
 
 @query("cumulative_components", f"{_COMP}, c as (select component, min(step) step from k join tx using (tx_id) group by 1), p as (select step, count(*) touched from c group by 1) select step, touched, sum(touched) over (order by step)::bigint components from p")
@@ -148,11 +154,16 @@ def address_history_mean(t: Tables) -> DataFrame:
     return rounded(G.address_history_mean(t.wallet_snap, t.wallet_snap, "total_txs", 10), ["history_mean"])
 
 
-@query("lag_features", """with s as (select distinct address, step snap, total_txs from wallet_snap), e as (select m.tx_id, m.address, step from (select tx_id, input_address address from addr_tx union select tx_id, output_address from tx_addr) m join tx using (tx_id)),
-    j as (select e.tx_id, s.total_txs v from e asof left join s on e.address = s.address and e.step > s.snap)
-    select tx_id, round(coalesce(avg(v), 0), 6) lag_mean, cast(count(v) > 0 as int) has_history, round(count(v) / count(*), 6) share from j group by 1""")
+#: Ten columns of a snapshot.
+_SNAP = {"total_txs": "total_txs", "square": "total_txs * total_txs", "age": "step", "rate": "total_txs / step", "odd": "total_txs % 2", "third": "total_txs % 3", "sum": "total_txs + step", "gap": "step - total_txs", "product": "total_txs * step", "tens": "total_txs % 10"}
+
+
+@query("lag_features", f"""with s as (select distinct address, step snap, {", ".join(f"({e})::double {n}" for n, e in _SNAP.items())} from wallet_snap), e as (select m.tx_id, m.address, step from (select tx_id, input_address address from addr_tx union select tx_id, output_address from tx_addr) m join tx using (tx_id)),
+    j as (select e.tx_id, s.* exclude (address, snap) from e asof left join s on e.address = s.address and e.step > s.snap)
+    select tx_id, {", ".join(f"round(coalesce(avg({n}), 0), 6) lag_mean_{n}" for n in _SNAP)}, cast(count(total_txs) > 0 as int) has_history, round(count(total_txs) / count(*), 6) share from j group by 1""")
 def lag_features(t: Tables) -> DataFrame:
-    return rounded(G.lag_features(member(t), t.tx, t.wallet_snap, "total_txs"), ["lag_mean", "share"])
+    snaps = t.wallet_snap.select("address", "step", *[F.expr(f"CAST({e} AS DOUBLE)").alias(n) for n, e in _SNAP.items()])
+    return rounded(G.lag_features(member(t), t.tx, snaps, list(_SNAP)), [*[f"lag_mean_{n}" for n in _SNAP], "share"])
 
 
 @query("projected_edges", """with o as (select input_address, tx_id, step, row_number() over (partition by input_address order by step, tx_id) r from addr_tx join tx using (tx_id))
@@ -167,11 +178,13 @@ def wallet_lifespan(t: Tables) -> DataFrame:
 
 
 @query("graph_drift_by_step", f"""with {_FIRST}, n as (select step, count(*) nodes from tx group by 1), e as (select step, count(*) edges from tx_tx join tx on tx_id = tx_id1 group by 1),
-    a as (select step, count(*) active, count(*) filter (where first_step = step) "new", count(*) filter (where first_step < step) recurring from (select distinct address, step from member join tx using (tx_id)) join first using (address) group by 1)
-    select step, nodes, coalesce(edges, 0) edges, coalesce(active, 0) active, coalesce("new", 0) "new", coalesce(recurring, 0) recurring, sum(nodes) over (order by step)::bigint cumulative_nodes, sum(coalesce(edges, 0)) over (order by step)::bigint cumulative_edges,
-      round(2 * sum(coalesce(edges, 0)) over (order by step) / sum(nodes) over (order by step), 6) mean_degree from n left join e using (step) left join a using (step)""")
+    a as (select step, count(*) active, count(*) filter (where first_step = step) "new", count(*) filter (where first_step < step) recurring from (select distinct address, step from member join tx using (tx_id)) join first using (address) group by 1),
+    kn as (select step, sum(known)::bigint with_context from (select tx_id, step, max(cast(first_step < step as int)) known from member join first using (address) join tx using (tx_id) group by 1, 2) group by 1),
+    bs as (select avg(score) ms, stddev_pop(score) ss, avg(price) mp, stddev_pop(price) sp from tx where step <= 34), mv as (select step, sqrt((((avg(score) - any_value(ms)) / any_value(ss)) ** 2 + ((avg(price) - any_value(mp)) / any_value(sp)) ** 2) / 2) shift_l2 from tx, bs group by step)
+    select step, nodes, coalesce(with_context, 0) with_context, round(coalesce(with_context, 0) / nodes, 6) context_share, round(shift_l2, 6) shift_l2, coalesce(edges, 0) edges, coalesce(active, 0) active, coalesce("new", 0) "new", coalesce(recurring, 0) recurring, sum(nodes) over (order by step)::bigint cumulative_nodes, sum(coalesce(edges, 0)) over (order by step)::bigint cumulative_edges,
+      round(2 * sum(coalesce(edges, 0)) over (order by step) / sum(nodes) over (order by step), 6) mean_degree from n left join e using (step) left join a using (step) left join kn using (step) join mv using (step)""")
 def graph_drift_by_step(t: Tables) -> DataFrame:
-    return rounded(G.graph_drift_by_step(t.tx, t.tx_tx, member(t), first(t)), ["mean_degree"])
+    return rounded(G.graph_drift_by_step(t.tx, t.tx_tx, member(t), first(t), ["score", "price"], 34), ["mean_degree", "context_share", "shift_l2"])
 
 
 @query("ego_subgraph", """with recursive e as materialized (select input_address a, output_address b from addr_addr union select output_address, input_address from addr_addr), r(node, hop) as (select 'C1', 0 union select e.b, r.hop + 1 from r join e on e.a = r.node where r.hop < 2)

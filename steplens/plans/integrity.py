@@ -67,6 +67,7 @@ def class_mismatch(t: Tables) -> DataFrame:
     select (select count(*) from addr_addr) edges, (select count(*) from d) unique_edges, 0::bigint self_loops, 0::bigint blank_ends,
       (select count(distinct input_address) from addr_addr) unique_src, (select count(distinct input_address) from addr_addr where input_address not in (select a from u)) src_outside,
       (select count(distinct output_address) from addr_addr) unique_dst, (select count(distinct output_address) from addr_addr where output_address not in (select b from v)) dst_outside,
+      (select count(*) from (select input_address from addr_addr union select output_address from addr_addr)) unique_nodes,
       (select count(*) from addr_addr) - (select count(*) from d) duplicates""")
 def edge_audit(t: Tables) -> DataFrame:
     return I.edge_audit(t.addr_addr, "input_address", "output_address", t.addr_tx.where("tx_id % 5 <> 0").select("input_address"), t.tx_addr.where("tx_id % 5 <> 0").select("output_address"))

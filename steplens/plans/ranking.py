@@ -250,10 +250,9 @@ def metric_association(t: Tables) -> DataFrame:
     return profile.spearman(j, "ap", "m", ["g"]).select(F.round("rho", 6).alias("rho"))
 
 
-@query("error_types", """select step, case when y = 1 and score < 0.435 then 'FN' when y = 0 and score >= 0.435 then 'FP' else 'correct' end kind, count(*) n, round(quantile_cont(score, 0.5), 6) median_score from tx where y is not null and step >= 35 group by 1, 2""")
+@query("error_types", """select step, case when y = 1 and score < 0.435 then 'FN' when y = 0 and score >= 0.435 then 'FP' else 'correct' end kind, count(*) n, count(*) filter (where price >= 150000) in_group, round(quantile_cont(score, 0.5), 6) median_score from tx where y is not null and step >= 35 group by 1, 2""")
 def error_types(t: Tables) -> DataFrame:
-    kind = F.when(F.expr("y = 1 AND score < 0.435D"), "FN").when(F.expr("y = 0 AND score >= 0.435D"), "FP").otherwise("correct")
-    return t.tx.where("y IS NOT NULL AND step >= 35").groupBy("step", kind.alias("kind")).agg(F.count("*").alias("n"), F.round(F.expr("percentile(score, 0.5)"), 6).alias("median_score"))
+    return rounded(R.error_types(t.tx.where("step >= 35"), F.col("price") >= 150000), ["median_score"])
 
 
 @query("baseline_rows", 'select "window", count(y) n, round(sum(y) / count(y), 6) constant_ap, 0.5::double constant_auc, 0.0::double flag_nothing_f1, round(2 * (sum(y) / count(y)) / (1 + sum(y) / count(y)), 6) flag_all_f1 from tx join windows on step between lo and hi group by 1')

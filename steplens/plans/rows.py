@@ -69,13 +69,14 @@ def batch_classify(t: Tables) -> DataFrame:
 
 
 @query("regime_context", """with m as (select step, case when 2 * tp + fp + fn > 0 then round(2.0::double * tp / (2 * tp + fp + fn), 6) else 0 end f1 from
-      (select step, count(*) filter (where y = 1 and score >= 0.435) tp, count(*) filter (where y = 0 and score >= 0.435) fp, count(*) filter (where y = 1 and score < 0.435) fn from tx where y is not null group by step))
+      (select step, count(*) filter (where y = 1 and score >= 0.435) tp, count(*) filter (where y = 0 and score >= 0.435) fp, count(*) filter (where y = 1 and score < 0.435) fn from tx where y is not null group by step)),
+    h as (select step, score s, count(*) n, sum(y) pos from tx where y is not null group by step, score), cu as (select step, pos, sum(pos) over w tp, sum(n) over w alerts, sum(pos) over v p from h window w as (partition by step order by s desc), v as (partition by step)), a as (select step, round(sum(case when p > 0 then pos / p * tp / alerts end), 6) ap from cu group by step)
     select tx_id, step, case when step <= 34 then 'reference' when step <= 42 then 'stable' else 'drift' end regime,
-      case when step <= 34 then 'high' when step <= 42 then 'medium' else 'low' end reliability, f1 from tx left join m using (step)""")
+      case when step <= 34 then 'high' when step <= 42 then 'medium' else 'low' end reliability, f1, ap from tx left join m using (step) left join a using (step)""")
 def regime_context(t: Tables) -> DataFrame:
     regimes = t.spark.createDataFrame([("reference", 1, 34, "high"), ("stable", 35, 42, "medium"), ("drift", 43, 49, "low")], "regime string, lo int, hi int, reliability string")
-    by_step = ranking.confusion(t.tx, by=["step"]).select("step", F.round("f1", 6).alias("f1"))
-    return rows.regime_context(t.tx.select("tx_id", "step"), regimes, by_step).select("tx_id", "step", "regime", "reliability", "f1")
+    by_step = ranking.confusion(t.tx, by=["step"]).select("step", F.round("f1", 6).alias("f1")).join(ranking.average_precision(t.tx, ["step"]).select("step", F.round("ap", 6).alias("ap")), "step")
+    return rows.regime_context(t.tx.select("tx_id", "step"), regimes, by_step).select("tx_id", "step", "regime", "reliability", "f1", "ap")
 
 
 @query("feature_fingerprint", """select tx_id, substr(sha256(printf('%.6f', round(score, 6)) || '|' || step || '.000000'), 1, 16) fingerprint from tx""")
