@@ -104,7 +104,7 @@ def _with_runs(docs: DataFrame, rows: DataFrame) -> DataFrame:
     key = F.xxhash64(docs["doc_id"], docs["text"])
     joined = docs.join(found, docs["doc_id"].cast("long").eqNullSafe(found["_sl_id"]) & (key == found["_sl_key"]), "left")
     names = [f"_sl_{i}" for i in range(len(docs.columns))]
-    runs = F.coalesce("runs", F.array().cast("array<struct<pos:int,n:int,later:boolean>>"))
+    runs = F.coalesce(found["runs"], F.array().cast("array<struct<pos:int,n:int,later:boolean>>"))
     return materialise(joined.select(*[docs[c].alias(n) for c, n in zip(docs.columns, names, strict=True)], runs.alias("_sl_runs")), "runs")
 
 
