@@ -15,11 +15,13 @@ ORACLE_SQL = None
 
 
 def _as_documents(changed: DataFrame, docs: DataFrame) -> DataFrame:
-    """The columns of ``docs``, with n_chars brought up to date where the text has changed."""
-    columns = {c: F.col(c) for c in docs.columns}
+    """The columns of ``docs``, which come first in ``changed`` whatever others are called, with n_chars brought up to date
+    where the text has changed."""
+    names = [f"_{i}" for i in range(len(changed.columns))]
+    columns = {c: F.col(n) for c, n in zip(docs.columns, names, strict=False)}
     if "n_chars" in columns:
-        columns["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
-    return changed.select(*[v.alias(c) for c, v in columns.items()])
+        columns["n_chars"] = F.length(columns["text"]).cast(docs.schema["n_chars"].dataType)
+    return changed.toDF(*names).select(*[v.alias(c) for c, v in columns.items()])
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
