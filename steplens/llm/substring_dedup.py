@@ -20,7 +20,7 @@ from steplens.llm.common import SLICE_BYTES, Words, mix, ship, slices, span_hash
 WINDOW, MINIMISER = 35, 4
 #: Bytes of super-k-mers that a map task gathers before it sends them off, and that a bucket has on average.
 FLUSH_BYTES, BUCKET_BYTES = 32 << 20, 3 << 20
-#: A bucket of more times its average, copies counted each, is dealt out by what stands around the minimisers.
+#: A bucket of more times its average is dealt out by what stands around the minimisers.
 HOT = 4
 
 
@@ -109,8 +109,8 @@ def _pieces(part: pa.Array, deal: Deal):
 
 
 def deal_of(texts: DataFrame, window: int = WINDOW, minimiser: int = MINIMISER, bucket_bytes: int = BUCKET_BYTES) -> Deal:
-    """The deal for column text of ``texts``: the bytes of every bucket are counted over all of them, within each map task
-    first, and counted again for the hot buckets alone if there are any."""
+    """The deal for column text of ``texts``: the bytes of every bucket are counted over all of them, equal strings of one slice
+    once as they are merged before they travel, and counted again for the hot buckets alone if there are any."""
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     none = np.empty(0, np.uint64)
     deal = Deal(window, minimiser, max(8, 3 * total // bucket_bytes), none, none)
@@ -123,8 +123,10 @@ def deal_of(texts: DataFrame, window: int = WINDOW, minimiser: int = MINIMISER,
                     w = words(part.column("text"))
                     first, size, bucket = deal.runs(w, all_of=not len(deal.hot))
                     begin, end = deal.spans(w, first, size)
-                    own, where = np.unique(bucket, return_inverse=True)
-                    for b, n in zip(own.tolist(), np.bincount(where, end - begin, len(own)).tolist(), strict=True):
+                    # Equal strings of one slice travel once.
+                    once = np.unique(span_hashes(w.joined, begin, end), return_index=True)[1]
+                    own, where = np.unique(bucket[once], return_inverse=True)
+                    for b, n in zip(own.tolist(), np.bincount(where, (end - begin)[once], len(own)).tolist(), strict=True):
                         held[b] += int(n)
             yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(list(held.values()), pa.int64())], ["bucket", "n"])
 
