@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from steplens.llm import ann, chat, fingerprints, html_extract, line_dedup, packing, quality, sentencepiece_codec, simhash, substring_dedup
+from steplens.llm import ann, chat, fingerprints, html_extract, line_dedup, mixing, packing, quality, sentencepiece_codec, simhash, substring_dedup
 from steplens.llm.common import table
 
 _WORDS = r"[^\x20\x09-\x0D]+"
@@ -97,6 +97,31 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.fingerprint_hex().alias("fingerprint"), "component_id")
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP11_SQL = r"""
+with w as (select doc_id, source, md5(coalesce(doc_id::varchar, '-') || ':' || coalesce(text, '')) tie,
+  list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') ws from documents),
+m as (select doc_id, source, tie, len(ws)::bigint size,
+  1 + 7 * case when len(ws) > 0 then len(list_filter(ws, lambda x: regexp_full_match(x, '\p{L}+\p{P}?'))) / len(ws) else 0 end weight from w),
+k as (select *, -ln((('0x' || substr(tie, 1, 13))::bigint + 0.5::double) / 4503599627370496::double) / weight as key from m),
+s as (select source, sum(size)::bigint source_size, 3 * sum(size)::bigint cap,
+  [5, 2, 1][((row_number() over (order by source nulls last) - 1) % 3 + 1)::bigint] weight from k group by source),
+r as (select *, sum(source_size) over () - coalesce(sum(cap) over (o rows between unbounded preceding and 1 preceding), 0) rest,
+  sum(weight) over (o rows between current row and unbounded following) heavy, row_number() over o nth
+  from s window o as (order by cap / weight, source nulls last)),
+l as (select rest::double rest, heavy::double heavy from r where rest::double * weight <= cap * heavy::double order by nth limit 1),
+t as (select source, source_size, case when l.rest * weight > cap * l.heavy then cap::double else l.rest * weight / l.heavy end target from s, l),
+e as (select *, case when source_size > 0 then floor(floor(target) / source_size) else 0 end::bigint epochs from t),
+d as (select k.doc_id, k.size, e.source_size, e.target, e.epochs, floor(e.target)::bigint - e.epochs * e.source_size budget,
+  sum(k.size) over (partition by k.source order by key, tie rows between unbounded preceding and current row) - k.size before
+  from k join e on k.source is not distinct from e.source)
+select doc_id, size, source_size, target, (epochs * size + greatest(0, least(size, budget - before)))::bigint taken from d
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_sentencepiece,
@@ -109,9 +134,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_html_extract,
         op9_chat_format,
         op10_simhash_near_dedup,
+        op11_mixing,
     )
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_substring_dedup": OP5_SQL, "op9_chat_format": OP9_SQL}
+    return {"op5_substring_dedup": OP5_SQL, "op9_chat_format": OP9_SQL, "op11_mixing": OP11_SQL}
