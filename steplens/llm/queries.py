@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from steplens.llm import ann, chat, fingerprints, html_extract, line_dedup, mixing, packing, quality, sentencepiece_codec, simhash, substring_dedup
+from steplens.llm import ann, chat, fingerprints, html_extract, line_dedup, merkle, mixing, packing, quality, sentencepiece_codec, simhash, substring_dedup
 from steplens.llm.common import table
 
 _WORDS = r"[^\x20\x09-\x0D]+"
@@ -122,6 +122,44 @@ select doc_id, size, source_size, target, (epochs * size + greatest(0, least(siz
 """
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    marked = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    cut = F.when(marked, F.replace(F.col("text"), F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    found = merkle.verify(merkle.manifest(docs, cut))
+    return found.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.proof(F.col("steps")), 256).alias("proof_sha256"), "folded_root", "verified")
+
+
+OP13_SQL = r"""
+with recursive d as (select doc_id, source, text, concat_ws('', coalesce(strlen(doc_id::varchar) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'),
+    coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(n_chars::varchar) || ':' || n_chars, '-')) head,
+  list_reduce(list_prepend(4294967295::bigint, flatten(list_transform(string_split(doc_id::varchar, ''), lambda c: [ascii(c)::bigint, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda c, x: case when x >= 0 then xor(c, x) else xor(c >> 1, 3988292384 * (c & 1)) end) crc from documents),
+l as (select doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) leaf,
+  sha256(head || coalesce(strlen(cut) || ':' || cut, '-')) arrived
+  from (select *, case when crc & 1 = 1 then replace(text, chr(10), '') else text end as cut from d)),
+p as (select *, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 i, count(*) over (partition by source) n from l),
+node(level, source, i, n, h) as (select 0, source, i, n, leaf from p
+  union all select level + 1, source, i // 3, (n + 2) // 3, sha256(string_agg(h, '' order by i)) from node where n > 1 group by level, source, i // 3, n),
+sub as (select source, h subroot, row_number() over (order by source nulls first) - 1 i, count(*) over () n from node where n = 1),
+top(level, i, n, h) as (select 0, i, n, subroot from sub
+  union all select level + 1, i // 3, (n + 2) // 3, sha256(string_agg(h, '' order by i)) from top where n > 1 group by level, i // 3, n),
+step as (select 0 part, source, level, i, string_agg(h, '') over (w rows between unbounded preceding and 1 preceding) lo, string_agg(h, '') over (w rows between 1 following and unbounded following) hi
+    from node where n > 1 window w as (partition by level, source, i // 3 order by i)
+  union all select 1, null, level, i, string_agg(h, '') over (w rows between unbounded preceding and 1 preceding), string_agg(h, '') over (w rows between 1 following and unbounded following)
+    from top where n > 1 window w as (partition by level, i // 3 order by i)),
+path as (select p.doc_id, p.i nth, p.source, s.part, s.level, coalesce(s.lo, '') lo, coalesce(s.hi, '') hi
+  from p join sub on p.source is not distinct from sub.source
+  join step s on (s.part = 0 and s.source is not distinct from p.source and s.i = p.i // (3 ** s.level)::bigint) or (s.part = 1 and s.i = sub.i // (3 ** s.level)::bigint)),
+steps as (select source, nth, list([lo, hi] order by part, level) st from path group by source, nth),
+fold(source, nth, k, h, st) as (select p.source, p.i, 0, p.arrived, coalesce(steps.st, []) from p left join steps on p.source is not distinct from steps.source and p.i = steps.nth
+  union all select source, nth, k + 1, sha256(st[k + 1][1] || h || st[k + 1][2]), st from fold where k < len(st))
+select p.doc_id, p.leaf, sub.subroot, (select h from top where n = 1) root, sha256(list_aggregate(list_transform(fold.st, lambda x: x[1] || x[2]), 'string_agg', '')) proof_sha256,
+  fold.h folded_root, fold.h = (select h from top where n = 1) verified
+from p join sub on p.source is not distinct from sub.source join fold on fold.source is not distinct from p.source and fold.nth = p.i and fold.k = len(fold.st)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_sentencepiece,
@@ -135,9 +173,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_chat_format,
         op10_simhash_near_dedup,
         op11_mixing,
+        op13_merkle_manifest,
     )
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_substring_dedup": OP5_SQL, "op9_chat_format": OP9_SQL, "op11_mixing": OP11_SQL}
+    return {"op5_substring_dedup": OP5_SQL, "op9_chat_format": OP9_SQL, "op11_mixing": OP11_SQL, "op13_merkle_manifest": OP13_SQL}
