@@ -2,51 +2,64 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterable
 
 import numpy as np
 
-#: Entries after which a worker's store starts anew, so that its memory stays bounded.
-MOST_ENTRIES = 800_000
+#: Bytes of words, ids and bookkeeping after which a worker's store starts anew, and what an entry takes beside its word and ids:
+#: a place in a hash table, a number, a start and a size.
+MOST_BYTES, ENTRY_BYTES = 96 << 20, 160
+#: Characters of the longest word that is kept; the ids of longer ones go with the batch that they came in.
+LONGEST = 128
 
 
 class IdStore:
     """The ids of each word as a run of one growing array. ``encode`` gives the ids of words not yet held."""
 
-    def __init__(self, encode: Callable[[list[str]], Iterable[np.ndarray]]):
-        self.encode = encode
+    def __init__(self, encode: Callable[[list[str]], Iterable[np.ndarray]], most_bytes: int = MOST_BYTES):
+        self.encode, self.most_bytes = encode, most_bytes
         self.clear()
 
     def clear(self) -> None:
         self.index: dict[str, int] = {}
-        self.start = np.zeros(1 << 16, np.int64)
-        self.size = np.zeros(1 << 16, np.int64)
-        self.flat = np.zeros(1 << 18, np.int32)
-        self.used = 0
+        self.start = np.zeros(1 << 14, np.int64)
+        self.size = np.zeros(1 << 14, np.int64)
+        self.flat = np.zeros(1 << 16, np.int32)
+        self.used = self.bytes = 0
 
     def lookup(self, distinct: list[str]) -> np.ndarray:
-        """Entry numbers of distinct words."""
-        if len(self.index) + len(distinct) > MOST_ENTRIES:
+        """Entry numbers of distinct words, which hold until the next call."""
+        if self.bytes > self.most_bytes or self.flat.nbytes > 4 * max(self.used, 1 << 16) + self.most_bytes:
             self.clear()
         get = self.index.get
-        found = [get(x, -1) for x in distinct]
-        new = [x for x, i in zip(distinct, found, strict=True) if i < 0]
-        if new:
-            runs = list(self.encode(new))
-            n, sizes = len(self.index), np.fromiter(map(len, runs), np.int64, len(runs))
-            total = int(sizes.sum())
-            while n + len(new) > len(self.start):
-                self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
-            while self.used + total > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            self.start[n : n + len(new)] = self.used + np.cumsum(sizes) - sizes
-            self.size[n : n + len(new)] = sizes
-            if total:
-                self.flat[self.used : self.used + total] = np.concatenate(runs)
-            self.used += total
-            self.index.update(zip(new, range(n, n + len(new)), strict=True))
-            found = [get(x, -1) if i < 0 else i for x, i in zip(distinct, found, strict=True)]
-        return np.array(found, np.int64)
+        found = np.fromiter((get(x, -1) for x in distinct), np.int64, len(distinct))
+        # Words that are kept come first; the longer ones stand behind them, where the next call writes over them.
+        new = np.flatnonzero(found < 0)
+        long = np.fromiter((len(distinct[i]) > LONGEST for i in new), bool, len(new))
+        kept = self._add([distinct[i] for i in new[~long]], len(self.index), self.used)
+        found[new[~long]] = np.arange(len(self.index), len(self.index) + len(kept))
+        self.bytes += sum(sys.getsizeof(distinct[i]) for i in new[~long]) + 4 * int(kept.sum()) + ENTRY_BYTES * len(kept)
+        self.used += int(kept.sum())
+        self.index.update(zip((distinct[i] for i in new[~long]), found[new[~long]].tolist(), strict=True))
+        passing = self._add([distinct[i] for i in new[long]], len(self.index), self.used)
+        found[new[long]] = np.arange(len(self.index), len(self.index) + len(passing))
+        return found
+
+    def _add(self, words: list[str], entry: int, at: int) -> np.ndarray:
+        """Sizes of the ids of ``words``, which are written from ``entry`` and ``at`` on."""
+        runs = list(self.encode(words)) if words else []
+        sizes = np.fromiter(map(len, runs), np.int64, len(runs))
+        total = int(sizes.sum())
+        while entry + len(runs) > len(self.start):
+            self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
+        if at + total > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), at + total - len(self.flat)), np.int32)])
+        self.start[entry : entry + len(runs)] = at + np.cumsum(sizes) - sizes
+        self.size[entry : entry + len(runs)] = sizes
+        if total:
+            self.flat[at : at + total] = np.concatenate(runs)
+        return sizes
 
     def gather(self, entries: np.ndarray, first: np.ndarray, closing: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts whose words are entries[first[t]:first[t + 1]], end to end, and the texts' offsets in them; after
