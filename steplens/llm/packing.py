@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from steplens.llm.common import ship, slices
-from steplens.llm.tokens import IdStore
+from steplens.llm.tokens import IdStore, end_to_end
 from steplens.sources.scratch import materialise
 
 CAPACITY = 2048
@@ -111,7 +111,8 @@ class _Encoder:
 
 @lru_cache(2)
 def _store(path: str) -> IdStore:
-    return IdStore(_Encoder(path))
+    encoder = _Encoder(path)
+    return IdStore(lambda new: end_to_end(encoder(new)))
 
 
 def token_ids(text: pa.Array, path: str, closing: int = 0) -> tuple[np.ndarray, np.ndarray]:

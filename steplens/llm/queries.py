@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from steplens.llm import ann, chat, fingerprints, html_extract, line_dedup, merkle, mixing, packing, quality, sentencepiece_codec, simhash, substring_dedup
+from steplens.llm import alignment, ann, chat, fingerprints, html_extract, line_dedup, merkle, mixing, packing, quality, sentencepiece_codec, simhash, substring_dedup
 from steplens.llm.common import table
 
 _WORDS = r"[^\x20\x09-\x0D]+"
@@ -122,6 +122,11 @@ select doc_id, size, source_size, target, (epochs * size + greatest(0, least(siz
 """
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = [public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    return alignment.align_documents(table(spark, sf_dir, "documents"), *paths).drop("groups")
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     marked = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
@@ -173,6 +178,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_chat_format,
         op10_simhash_near_dedup,
         op11_mixing,
+        op12_token_alignment,
         op13_merkle_manifest,
     )
     return {f.__name__: f for f in every}

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from steplens.llm.common import ship, slices
-from steplens.llm.tokens import IdStore
+from steplens.llm.tokens import IdStore, end_to_end
 
 SPACE = "▁"
 #: How much less than the least piece an unknown character scores, as in the public unigram decoder.
@@ -106,7 +106,7 @@ class Codec:
             self.chunk = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
         else:
             self.chunk = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n|[^{SPACE}\n]+")
-        self.store = IdStore(lambda new: map(self.viterbi, new))
+        self.store = IdStore(lambda new: end_to_end(map(self.viterbi, new)))
 
     def viterbi(self, text: str) -> np.ndarray:
         """Ids of ``text``, whose spaces are marks by now. The automaton reports at each position the pieces that end

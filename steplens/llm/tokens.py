@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterable
 
 import numpy as np
 
+Runs = tuple[np.ndarray, np.ndarray]
+
 #: Bytes of words, ids and bookkeeping after which a worker's store starts anew, and what an entry takes beside its word and ids:
 #: a place in a hash table, a number, a start and a size.
 MOST_BYTES, ENTRY_BYTES = 96 << 20, 160
@@ -14,10 +16,17 @@ MOST_BYTES, ENTRY_BYTES = 96 << 20, 160
 LONGEST = 128
 
 
+def end_to_end(runs: Iterable[np.ndarray]) -> Runs:
+    """The ids of all runs, and their sizes."""
+    runs = list(runs)
+    return np.concatenate([np.empty(0, np.int32), *runs]), np.fromiter(map(len, runs), np.int64, len(runs))
+
+
 class IdStore:
-    """The ids of each word as a run of one growing array. ``encode`` gives the ids of words not yet held."""
+    """The ids of each word as a run of one growing array. ``encode`` gives the ids of words not yet held, end to end, and the number
+    of each one's."""
 
-    def __init__(self, encode: Callable[[list[str]], Iterable[np.ndarray]], most_bytes: int = MOST_BYTES):
+    def __init__(self, encode: Callable[[list[str]], Runs], most_bytes: int = MOST_BYTES):
         self.encode, self.most_bytes = encode, most_bytes
         self.clear()
 
@@ -48,17 +57,14 @@ class IdStore:
 
     def _add(self, words: list[str], entry: int, at: int) -> np.ndarray:
         """Sizes of the ids of ``words``, which are written from ``entry`` and ``at`` on."""
-        runs = list(self.encode(words)) if words else []
-        sizes = np.fromiter(map(len, runs), np.int64, len(runs))
-        total = int(sizes.sum())
-        while entry + len(runs) > len(self.start):
+        ids, sizes = self.encode(words) if words else end_to_end([])
+        while entry + len(sizes) > len(self.start):
             self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
-        if at + total > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), at + total - len(self.flat)), np.int32)])
-        self.start[entry : entry + len(runs)] = at + np.cumsum(sizes) - sizes
-        self.size[entry : entry + len(runs)] = sizes
-        if total:
-            self.flat[at : at + total] = np.concatenate(runs)
+        if at + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), at + len(ids) - len(self.flat)), np.int32)])
+        self.start[entry : entry + len(sizes)] = at + np.cumsum(sizes) - sizes
+        self.size[entry : entry + len(sizes)] = sizes
+        self.flat[at : at + len(ids)] = ids
         return sizes
 
     def gather(self, entries: np.ndarray, first: np.ndarray, closing: int | None = None) -> tuple[np.ndarray, np.ndarray]:

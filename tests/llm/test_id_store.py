@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 
 from steplens.llm.sentencepiece_codec import Codec
-from steplens.llm.tokens import LONGEST, MOST_BYTES, IdStore
+from steplens.llm.tokens import LONGEST, MOST_BYTES, IdStore, end_to_end
 
 
 def held(store):
@@ -18,7 +18,7 @@ def held(store):
 
 def test_many_texts_without_spaces():
     """50,000 texts of 3,000 characters that are never the same leave a worker well under 500 MB."""
-    store = IdStore(lambda new: [np.arange(len(x), dtype=np.int32) for x in new])
+    store = IdStore(lambda new: end_to_end(np.arange(len(x), dtype=np.int32) for x in new))
     before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
     for batch in range(500):
         texts = [f"{batch}-{i}-" + "字" * 3000 for i in range(100)]
@@ -29,7 +29,7 @@ def test_many_texts_without_spaces():
 
 
 def test_many_short_words_stay_within_bounds():
-    store = IdStore(lambda new: [np.array([len(x)], np.int32) for x in new], most_bytes=1 << 20)
+    store = IdStore(lambda new: end_to_end(np.array([len(x)], np.int32) for x in new), most_bytes=1 << 20)
     for batch in range(40):
         words = [f"{batch}w{i}" for i in range(3000)]
         entries = store.lookup(words)
