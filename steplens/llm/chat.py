@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 RAW, ESCAPED = "#chat raw\n", "#chat escaped\n"
 OPEN, AFTER_ROLE, CLOSE = "### ", ": ", "</turn>"
 LEARNED_ROLE = "assistant"
+#: Turns that are cut out of a formatted conversation at once.
+BLOCK = 256
 
 
 def escape(x: Column, role: bool = False) -> Column:
@@ -86,16 +88,37 @@ def loss_mask(turns: str = "turns", formatted: str = "formatted") -> Column:
     return F.transform(turns, runs)
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def learned_text(formatted: str = "formatted", mask: str = "mask") -> Column:
-    """All text of ``formatted`` under the loss mask, cut out by its runs, unescaped, in order."""
-    raw = F.col(formatted).cast("binary")
+    """All text of ``formatted`` under the loss mask, cut out by its runs, unescaped, in order.
+
+    The runs are taken in blocks of ``BLOCK`` turns, each cut out of the whole text once, so that the time grows with the length of the
+    conversation and not with its square."""
     escaped = F.startswith(F.col(formatted), F.lit(ESCAPED))
 
-    def take(done: Column, run: Column) -> Column:
-        begin = done["at"] + run["marks"]
-        cut = F.substring(raw, begin + 1, run["text"]).cast("string")
-        own = F.when(run["learned"], F.when(escaped, unescape(cut)).otherwise(cut)).otherwise("")
-        return F.struct((begin + run["text"]).alias("at"), F.concat(done["text"], own).alias("text"))
+    def cut(text: Column, runs: Column) -> Column:
+        def take(done: Column, run: Column) -> Column:
+            begin = done["at"] + run["marks"]
+            own = F.substring(text, begin + 1, run["text"]).cast("string")
+            own = F.when(run["learned"], F.when(escaped, unescape(own)).otherwise(own)).otherwise("")
+            return F.struct((begin + run["text"]).alias("at"), F.concat(done["text"], own).alias("text"))
+
+        return F.aggregate(runs, F.struct(F.lit(0).alias("at"), F.lit("").alias("text")), take, lambda done: done["text"])
+
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.size(mask) - 1, F.lit(0)), F.lit(BLOCK)), lambda i: F.slice(mask, i + 1, BLOCK))
+    length = lambda runs: F.aggregate(runs, F.lit(0), lambda n, run: n + run["marks"] + run["text"])
+    sums = lambda b: F.aggregate(b, F.array(F.lit(0)), lambda ends, runs: F.concat(ends, F.array(F.element_at(ends, -1) + length(runs))))
+
+    def whole(given: Column) -> Column:
+        bound = F.struct(given["raw"].alias("raw"), given["blocks"].alias("blocks"), sums(given["blocks"]).alias("ends"))
+        return _let(bound, lambda v: F.array_join(F.transform(v["blocks"], lambda runs, i: cut_block(v, runs, i)), ""))
+
+    def cut_block(v: Column, runs: Column, i: Column) -> Column:
+        begin = F.get(v["ends"], i)
+        return _let(F.substring(v["raw"], begin + 1, F.get(v["ends"], i + 1) - begin), lambda text: cut(text, runs))
 
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("text"))
-    return F.aggregate(mask, start, take, lambda done: done["text"])
+    return _let(F.struct(F.col(formatted).cast("binary").alias("raw"), blocks.alias("blocks")), whole)

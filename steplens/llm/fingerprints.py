@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -38,6 +38,11 @@ def digest(folded: str) -> str:
     return xxhash.xxh3_128_hexdigest(folded.encode("utf-8", "surrogatepass"))
 
 
+def second_digest(folded: str) -> bytes:
+    """What tells folded texts apart whose first digests are the same."""
+    return hashlib.blake2b(folded.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
 def _with_neighbours(docs: DataFrame) -> DataFrame:
     """``docs`` dealt into ranges of doc_id, column r, each in descending order in one partition; the first row of the
     range below comes along at its end with ahead set, and the first row of all with the last range."""
@@ -69,17 +74,18 @@ def _with_neighbours(docs: DataFrame) -> DataFrame:
     return placed.repartitionById(len(bounds) + 1, "r").sortWithinPartitions("r", "ahead", F.desc("place"), "text")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def fingerprints(docs: DataFrame, digest: Callable[[str], str] = digest) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) for every row.
 
     The edited text is the whole text with its last third of code points replaced by as many of the next document's
     first, in descending doc_id; after the last comes the first. Rows of one doc_id stand in the order of their texts, null
     doc_id last; null text counts as empty; a single row is its own next; an empty table gives no rows. An exact digest
-    is like another or not: the likenesses are 1 or 0, and compare folded bytes.
+    is like another or not: the likenesses are 1 or 0, and compare folded bytes. Where different folded texts, edited ones
+    among them, share a digest, a second one of each text follows it.
     """
     ship(docs.sparkSession)
-    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-    kinds = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "second", "edited_second"]
+    kinds = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, second binary, edited_second binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # (range, ahead, doc_id, text, folded) of the row before
@@ -89,44 +95,52 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 for r, ahead, doc_id, text in zip(*(part.column(c).to_pylist() for c in ("r", "ahead", "doc_id", "text")), strict=True):
                     folded = canonical(text)
                     if held and held[0] == r and not held[1]:
-                        rows.append(_compare(*held[2:], text, folded))
+                        rows.append(_compare(digest, *held[2:], text, folded))
                     held = (r, ahead, doc_id, text, folded)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(_KINDS), _KINDS, strict=True)], names)
 
     if docs.isEmpty():
-        return docs.sparkSession.createDataFrame([], kinds)
+        return docs.sparkSession.createDataFrame([], kinds).drop("second", "edited_second")
     found = materialise(_with_neighbours(docs).mapInArrow(run, kinds), "digests")
-    return _told_apart(docs, found)
+    return _told_apart(docs, found, digest)
 
 
-_KINDS = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+_KINDS = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.binary(), pa.binary()]
 
 
-def _compare(doc_id: int | None, text: str, folded: str, after: str, after_folded: str) -> tuple:
+def _compare(digest: Callable[[str], str], doc_id: int | None, text: str, folded: str, after: str, after_folded: str) -> tuple:
     third = len(text) // 3
     edited = text[: len(text) - third] + after[:third]
     other = canonical(edited)
-    return doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), digest(folded), digest(other), float(folded == other), float(folded == after_folded)
+    return doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), digest(folded), digest(other), float(folded == other), float(folded == after_folded), second_digest(folded), second_digest(other)
 
 
-def _told_apart(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """``found`` with digests that different folded texts share extended by a second digest of each text."""
+def _shared_by_texts(docs: DataFrame, found: DataFrame, digest: Callable[[str], str]) -> DataFrame:
+    """Digests that the bytes of two different folded texts of ``docs`` share."""
     # Written first, so that the join deals out both its sides itself and Spark may split a digest of very many rows.
     repeated = materialise(found.groupBy("fingerprint").count().where("count > 1").select("fingerprint"), "shared-digests")
     ids = materialise(found.join(repeated, "fingerprint").select("doc_id").distinct(), "repeated")
     side = F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids
     own = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
 
-    @F.pandas_udf("folded string, fingerprint string, second string")
+    @F.pandas_udf("folded string, fingerprint string")
     def fold(text: pd.Series) -> pd.DataFrame:
         folded = [canonical(t) for t in text]
-        return pd.DataFrame({"folded": folded, "fingerprint": [digest(t) for t in folded], "second": [hashlib.sha256(t.encode()).hexdigest() for t in folded]})
-
-    texts = own.join(side, own["id"].eqNullSafe(ids["doc_id"]), "left_semi").select("id", fold("text").alias("f")).select("id", "f.*")
-    shared = texts.groupBy("fingerprint").agg(F.min("folded").alias("low"), F.max("folded").alias("high")).where("low <> high").select("fingerprint")
-    shared = materialise(shared, "shared")
-    if shared.isEmpty():
-        return found
-    second = texts.join(shared, "fingerprint").groupBy("id", "fingerprint").agg(F.min("second").alias("second"))
-    longer = found.join(second, found["doc_id"].eqNullSafe(second["id"]) & (found["fingerprint"] == second["fingerprint"]), "left")
-    return longer.select("doc_id", "n_chars", "edited_sha256", F.concat_ws("-", found["fingerprint"], "second").alias("fingerprint"), "edited_fingerprint", "near_edited", "near_next")
+        return pd.DataFrame({"folded": folded, "fingerprint": [digest(t) for t in folded]})
+
+    texts = own.join(side, own["id"].eqNullSafe(ids["doc_id"]), "left_semi").select(fold("text").alias("f")).select("f.*")
+    return texts.groupBy("fingerprint").agg(F.min("folded").alias("low"), F.max("folded").alias("high")).where("low <> high").select("fingerprint")
+
+
+def _told_apart(docs: DataFrame, found: DataFrame, digest: Callable[[str], str]) -> DataFrame:
+    """``found`` with digests that different folded texts share extended by the second digest of each text; the texts themselves are
+    compared by their bytes, edited ones by their second digests."""
+    both = found.select("fingerprint", "second").unionByName(found.select(F.col("edited_fingerprint").alias("fingerprint"), F.col("edited_second").alias("second")))
+    edited = both.groupBy("fingerprint").agg(F.min("second").alias("low"), F.max("second").alias("high")).where("low <> high").select("fingerprint")
+    shared = materialise(_shared_by_texts(docs, found, digest).unionByName(edited).distinct(), "shared")
+    if not shared.isEmpty():
+        for name, second in (("fingerprint", "second"), ("edited_fingerprint", "edited_second")):
+            own = shared.select(F.col("fingerprint").alias("_shared"))
+            found = found.join(own, found[name] == own["_shared"], "left")
+            found = found.withColumn(name, F.when(F.col("_shared").isNull(), F.col(name)).otherwise(F.concat_ws("-", name, F.lower(F.hex(second))))).drop("_shared")
+    return found.drop("second", "edited_second")

@@ -218,13 +218,70 @@ def test_fingerprints_fold(spark):
     assert got[2]["near_next"] == 1.0 and got[3]["near_next"] == 0.0 and got[0]["near_next"] == 0.0
 
 
-def test_shared_digests_are_told_apart(spark, monkeypatch):
-    docs = spark.createDataFrame([(1, "a"), (2, "b"), (3, "b"), (4, None)], "doc_id long, text string")
-    real = fingerprints.fingerprints(docs)
-    broken = real.withColumn("fingerprint", real["fingerprint"].substr(1, 0))
-    monkeypatch.setattr(fingerprints, "digest", lambda folded: "")
-    got = {r["doc_id"]: r["fingerprint"] for r in fingerprints._told_apart(docs, broken).collect()}
-    assert got[2] == got[3] and len(set(got.values())) == 3
+@pytest.mark.parametrize("width", [0, 1])
+def test_shared_digests_are_told_apart(spark, width):
+    """With digests of no or one character nearly all are shared: rows of one doc_id, equal texts and edited ones still agree."""
+    rows = [(1, "a"), (2, "b"), (3, "b"), (4, None), (5, "one"), (5, "two"), (5, "ONE"), (None, "two")] + [(i, "xyz"[i % 3] * 9) for i in range(10, 22)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    short = fingerprints.fingerprints(docs, digest=lambda folded: fingerprints.digest(folded)[:width]).collect()
+    real = fingerprints.fingerprints(docs).collect()
+    by = {str((r["doc_id"], r["edited_sha256"])): r for r in real}
+    assert len(by) == len({str((r["doc_id"], r["edited_sha256"])) for r in short}) and len(short) == len(rows)
+    names, back = {}, {}
+    for r in short:
+        other = by[str((r["doc_id"], r["edited_sha256"]))]
+        for c in ("fingerprint", "edited_fingerprint"):
+            assert names.setdefault(other[c], r[c]) == r[c] and back.setdefault(r[c], other[c]) == other[c]
+    assert any("-" in n for n in back)
+
+
+def test_one_doc_id_for_all_rows(spark):
+    docs = spark.createDataFrame([(7, t) for t in ["b", "a", "a", None, "c" * 9]], "doc_id long, text string")
+    got = fingerprints.fingerprints(docs).collect()
+    assert len(got) == 5 and {r["doc_id"] for r in got} == {7} and len({r["fingerprint"] for r in got}) == 4
+    ordered = ["", "a", "a", "b", "c" * 9]  # rows of one doc_id stand in the order of their texts
+    edited = {t[: len(t) - len(t) // 3] + after[: len(t) // 3] for t, after in zip(ordered, [*ordered[1:], ordered[0]], strict=True)}
+    import hashlib
+
+    assert {r["edited_sha256"] for r in got} == {hashlib.sha256(t.encode()).hexdigest() for t in edited}
+
+
+def test_near_edited_and_edited_fingerprints(spark, sf_dir):
+    docs = sorted(spark.read.parquet(f"{sf_dir}/documents.parquet").collect(), key=lambda r: -r["doc_id"])
+    got = {r["doc_id"]: r for r in fingerprints.fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet")).collect()}
+    for i, r in enumerate(docs):
+        after, third = docs[(i + 1) % len(docs)]["text"], len(r["text"]) // 3
+        edited, own = fingerprints.canonical(r["text"][: len(r["text"]) - third] + after[:third]), fingerprints.canonical(r["text"])
+        found = got[r["doc_id"]]
+        assert (found["near_edited"], found["near_next"]) == (float(edited == own), float(own == fingerprints.canonical(after)))
+        assert (found["fingerprint"] == found["edited_fingerprint"]) == (edited == own) and found["edited_fingerprint"] == fingerprints.digest(edited)
+
+
+def test_learned_text_of_many_turns(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    def least(n):
+        rows = [(1, i, "assistant" if i % 2 else "user", f"turn {i} \\ </turn> ###" if i % 7 == 0 else f"turn {i}, é") for i in range(n)]
+        read = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")).withColumn("mask", chat.loss_mask())
+        read = read.withColumn("learned", chat.learned_text()).select("learned").cache()
+        assert read.first()[0] == "".join(t for _, _, role, t in rows if role == "assistant")
+        read.unpersist()
+        formatted = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")).withColumn("mask", chat.loss_mask()).cache()
+        formatted.count()
+        times = []
+        for k in range(3):
+            began = time.perf_counter()
+            formatted.select(F.length(chat.learned_text()).alias(f"n{k}")).collect()
+            times.append(time.perf_counter() - began)
+        formatted.unpersist()
+        return min(times)
+
+    for n in (0, 1, 255, 256, 257, 513):
+        if n:
+            least(n)
+    assert least(32_000) < 16 * max(least(4_000), 0.05)  # 8 is in proportion, 64 the square
 
 
 def test_neighbours_against_brute_force(spark):
