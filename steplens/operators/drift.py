@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from steplens.operators.prefix import quantiles, running_by_value
 from steplens.operators.profile import spearman
 from steplens.operators.rows import finite
 from steplens.sources.scratch import small
@@ -20,9 +21,8 @@ def drift_level(score: str | Column) -> Column:
 
 def reference_edges(long: DataFrame, bins: int = 10, by: list[str] | None = None) -> DataFrame:
     """Distinct quantile edges of each feature's finite values, least and greatest included."""
-    probs = ", ".join(f"{i}D / {bins}" for i in range(bins + 1))
-    edges = F.array_distinct(F.expr(f"percentile(value, array({probs}))"))
-    return long.where(finite("value")).groupBy(*(by or ["feature"])).agg(edges.alias("edges"))
+    by = by or ["feature"]
+    return quantiles(long.where(finite("value")), by, "value", [i / bins for i in range(bins + 1)], "edges").select(*by, F.array_distinct("edges").alias("edges"))
 
 
 def bin_number(value: str, edges: Column) -> Column:
@@ -68,10 +68,8 @@ def ks_two_sample(long: DataFrame, side: str, by: list[str] | None = None) -> Da
     Rows are first merged into counts of distinct values."""
     keys = [*(by or []), "feature"]
     h = long.where(finite("value")).groupBy(*keys, "value").agg(F.count_if(F.col(side) == 0).alias("a"), F.count_if(F.col(side) == 1).alias("b"))
-    w = Window.partitionBy(*keys).orderBy("value")
-    whole = Window.partitionBy(*keys)
-    gaps = h.withColumn("gap", F.abs(F.sum("a").over(w) / F.sum("a").over(whole) - F.sum("b").over(w) / F.sum("b").over(whole)))
-    out = gaps.groupBy(*keys).agg(F.coalesce(F.max("gap"), F.lit(0.0)).alias("ks"), F.sum("a").alias("n_a"), F.sum("b").alias("n_b"))
+    gaps = running_by_value(h, keys, "value", ["a", "b"]).withColumn("gap", F.abs(F.col("run_a") / F.col("all_a") - F.col("run_b") / F.col("all_b")))
+    out = gaps.groupBy(*keys).agg(F.coalesce(F.max("gap"), F.lit(0.0)).alias("ks"), F.max("all_a").alias("n_a"), F.max("all_b").alias("n_b"))
     size = F.sqrt(F.col("n_a") * F.col("n_b") / (F.col("n_a") + F.col("n_b")))
     lam = F.col("ks") * (size + 0.12 + 0.11 / size)
     series = sum((F.lit(2.0 * (-1) ** (k - 1)) * F.exp(-2.0 * k * k * lam * lam) for k in range(1, 41)), F.lit(0.0))
@@ -87,7 +85,7 @@ def drift_ranking(reference: DataFrame, target: DataFrame) -> DataFrame:
 
 
 def step_medians(long: DataFrame, step: str = "step") -> DataFrame:
-    return long.where(finite("value")).groupBy("feature", step).agg(F.expr("percentile(value, 0.5)").alias("median"))
+    return quantiles(long.where(finite("value")), ["feature", step], "value", [0.5], "q").select("feature", step, F.get("q", F.lit(0)).alias("median"))
 
 
 def monotone_detect(medians: DataFrame, cut: float = 0.99, least_steps: int = 10, step: str = "step") -> DataFrame:
@@ -180,7 +178,8 @@ def two_tier_report(scores: DataFrame, triad: list[str], step: str = "step") ->
 def reference_methods(long: DataFrame, train_last: int, first: int, last: int, step: str = "step", width: int = 10) -> DataFrame:
     """Four ways to choose a reference for each later step of a feature: the change of its step mean in deviations of past
     changes, PSI against the trailing steps, shift of the detrended mean, and distance of quantile shapes."""
-    by = long.where(finite("value")).groupBy("feature", step).agg(F.avg("value").alias("m"), F.expr("percentile(value, array(0.1D, 0.25D, 0.5D, 0.75D, 0.9D))").alias("q"))
+    own = long.where(finite("value"))
+    by = own.groupBy("feature", step).agg(F.avg("value").alias("m")).join(quantiles(own, ["feature", step], "value", [0.1, 0.25, 0.5, 0.75, 0.9], "q"), ["feature", step])
     w = Window.partitionBy("feature").orderBy(step)
     delta = by.withColumn("d", F.col("m") - F.lag("m").over(w))
     past = delta.where(F.col(step) <= train_last).groupBy("feature").agg(F.avg("d").alias("dm"), F.stddev_pop("d").alias("ds"))

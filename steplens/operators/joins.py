@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -39,13 +39,25 @@ def score_histogram(df: DataFrame, score: str, y: str, by: list[str] | None = No
     return df.where(F.col(y).isNotNull() & F.col(score).isNotNull()).groupBy(*(by or []), F.col(score).alias("score")).agg(F.count("*").alias("n"), F.sum(y).cast("long").alias("pos"))
 
 
+def grid_bin(grid: list[float], score: str = "score") -> Column:
+    """How many thresholds of an ascending grid a score reaches."""
+    taus = F.array(*[F.lit(float(t)) for t in grid])
+    step = (grid[-1] - grid[0]) / max(1, len(grid) - 1)
+    if step <= 0 or any(abs(grid[0] + i * step - t) >= 1e-9 for i, t in enumerate(grid)):
+        return F.size(F.filter(taus, lambda t: t <= F.col(score)))
+    # even: a guess, put right by the neighbours
+    guess = F.least(F.greatest(F.floor((F.col(score) - grid[0]) / step).cast("int"), F.lit(0)), F.lit(len(grid) - 1))
+    return F.when(F.col(score) < F.get(taus, guess), guess).when((guess < len(grid) - 1) & (F.col(score) >= F.get(taus, guess + 1)), guess + 2).otherwise(guess + 1)
+
+
 def cross_threshold(histogram: DataFrame, grid: list[float], by: list[str] | None = None) -> DataFrame:
-    """(tau, tp, fp, fn): every candidate against the score histogram, never against rows; ``grid`` is a constant list."""
+    """(tau, tp, fp, fn) of every candidate of an ascending ``grid``. Each distinct score falls into one bin between candidates; only
+    the counts of bins meet all candidates."""
     by = by or []
-    taus = histogram.select(*by, "score", "n", "pos", F.explode(F.array(*[F.lit(float(t)) for t in grid])).alias("tau"))
-    hit = F.col("score") >= F.col("tau")
-    out = taus.groupBy(*by, "tau").agg(F.sum(F.when(hit, F.col("pos")).otherwise(0)).alias("tp"), F.sum(F.when(hit, F.col("n") - F.col("pos")).otherwise(0)).alias("fp"), F.sum(F.when(~hit, F.col("pos")).otherwise(0)).alias("fn"))
-    return out
+    bins = histogram.groupBy(*by, grid_bin(grid).alias("_bin")).agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
+    tried = bins.select(*by, "_bin", "n", "pos", F.posexplode(F.array(*[F.lit(float(t)) for t in grid])).alias("_at", "tau"))
+    hit = F.col("_bin") > F.col("_at")
+    return tried.groupBy(*by, "tau").agg(F.sum(F.when(hit, F.col("pos")).otherwise(0)).alias("tp"), F.sum(F.when(hit, F.col("n") - F.col("pos")).otherwise(0)).alias("fp"), F.sum(F.when(~hit, F.col("pos")).otherwise(0)).alias("fn"))
 
 
 #: The prime and the factor of the mixing that any engine repeats in whole numbers of 64 bits.

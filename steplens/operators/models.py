@@ -9,6 +9,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from steplens.operators.prefix import quantiles
+from steplens.operators.profile import unpivot
 from steplens.operators.rows import batch_classify, finite, window_mask
 
 
@@ -65,7 +67,8 @@ def standardise(df: DataFrame, columns: list[str], fitted: Column) -> DataFrame:
 
 def impute_median(df: DataFrame, columns: list[str], fitted: Column) -> DataFrame:
     """Missing and non-finite cells as the exact median of the rows where ``fitted`` holds."""
-    own = df.where(fitted).agg(*[F.expr(f"percentile(CASE WHEN isnan({c}) THEN NULL ELSE {c} END, 0.5)").alias(f"_p_{c}") for c in columns])
+    medians = quantiles(unpivot(df.where(fitted), [], columns).where(finite("value")), ["feature"], "value", [0.5], "q")
+    own = medians.agg(*[F.max(F.when(F.col("feature") == c, F.get("q", F.lit(0)))).alias(f"_p_{c}") for c in columns])
     return df.crossJoin(F.broadcast(own)).withColumns({c: F.when(finite(c), F.col(c)).otherwise(F.col(f"_p_{c}")) for c in columns}).select(*df.columns)  # one row
 
 

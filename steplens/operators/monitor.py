@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from steplens.operators import drift, ranking
+from steplens.operators.prefix import running_by_value
 from steplens.operators.rows import finite
 from steplens.operators.windows import last_n_eligible, rolling_prevalence, streak
 
@@ -100,9 +101,8 @@ def score_ks_channel(scored: DataFrame, decisions: DataFrame, last: int = 5, lag
     past = _pool(h, scored, decisions, last, lag, step).select("t", "value", F.col("n").alias("a"), F.lit(0).cast("long").alias("b"))
     own = h.join(F.broadcast(decisions.select(step)), step).select(F.col(step).alias("t"), "value", F.lit(0).cast("long").alias("a"), F.col("n").alias("b"))
     both = past.unionByName(own).groupBy("t", "value").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    w, whole = Window.partitionBy("t").orderBy("value"), Window.partitionBy("t")
-    gap = F.abs(F.sum("a").over(w) / F.sum("a").over(whole) - F.sum("b").over(w) / F.sum("b").over(whole))
-    return both.withColumn("gap", gap).groupBy(F.col("t").alias(step)).agg(F.max("gap").alias("ks")).withColumn("alert", F.col("ks") >= cut)
+    gaps = running_by_value(both, ["t"], "value", ["a", "b"]).withColumn("gap", F.abs(F.col("run_a") / F.col("all_a") - F.col("run_b") / F.col("all_b")))
+    return gaps.groupBy(F.col("t").alias(step)).agg(F.max("gap").alias("ks")).withColumn("alert", F.col("ks") >= cut)
 
 
 def positive_rate_channel(scored: DataFrame, decisions: DataFrame, last: int = 5, lag: int = 1, tau: float = 0.435, low: float = 0.5, high: float = 2.0, step: str = "step") -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from steplens.operators.gram import correlations
+from steplens.operators.prefix import quantiles
 from steplens.operators.ranking import auc_of
 from steplens.operators.rows import finite
 
@@ -83,20 +85,17 @@ def systematic_sample(df: DataFrame, key: str, stride: int) -> DataFrame:
 
 
 def sample_quantiles(df: DataFrame, columns: list[str]) -> DataFrame:
-    """p1, p25, p50, p75, p99 by linear interpolation, and the sample-adjusted skew."""
-    stats = []
-    for c in columns:
-        n = F.count(c)
-        adjusted = F.skewness(c) * F.sqrt(n * (n - 1)) / (n - 2)
-        p = F.expr(f"percentile({c}, array(0.01, 0.25, 0.5, 0.75, 0.99))")
-        stats.append(F.struct(F.lit(c).alias("feature"), *[F.get(p, F.lit(i)).alias(a) for i, a in enumerate(("p1", "p25", "p50", "p75", "p99"))], F.when(n > 2, adjusted).alias("skew")))
-    return df.agg(F.array(*stats).alias("s")).select(F.explode("s").alias("s")).select("s.*")
+    """p1, p25, p50, p75, p99 by linear interpolation, and the sample-adjusted skew, of finite values."""
+    long = unpivot(df, [], columns).where(finite("value"))
+    n = F.count(F.lit(1))
+    skew = long.groupBy("feature").agg(F.when(n > 2, F.skewness("value") * F.sqrt(n * (n - 1)) / (n - 2)).alias("skew"))
+    q = quantiles(long, ["feature"], "value", [0.01, 0.25, 0.5, 0.75, 0.99], "q")
+    return q.join(skew, "feature").select("feature", *[F.get("q", F.lit(i)).alias(a) for i, a in enumerate(("p1", "p25", "p50", "p75", "p99"))], "skew")
 
 
 def corr_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(a, b, r) for every two columns, a before b in the list: one aggregate over the rows."""
-    pairs = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(i).alias("i"), F.lit(j).alias("j"), F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias("r")) for i, a in enumerate(columns) for j, b in enumerate(columns) if i < j]
-    return df.agg(F.array(*pairs).alias("p")).select(F.explode("p").alias("p")).select("p.*")
+    """(a, b, i, j, r) for every two columns, a before b in the list: matrix products of batches, added up."""
+    return correlations(df, columns)
 
 
 def redundant_pairs(matrix: DataFrame, cut: float) -> DataFrame:

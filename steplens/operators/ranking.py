@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from steplens.operators.joins import score_histogram
+from steplens.operators.joins import grid_bin, score_histogram
+from steplens.operators.prefix import quantiles, running_by_value
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -27,12 +28,11 @@ def rates(counts: DataFrame) -> DataFrame:
 
 
 def cumulative_curve(histogram: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """tp and alerts at each distinct score from the highest down, with the totals. The window runs over distinct scores of
-    a group, not over rows."""
+    """tp and alerts at each distinct score from the highest down, with the totals. Score ranges of a group are summed apart and
+    carried, so that no window holds more than a range."""
     by = by or []
-    w = Window.partitionBy(*by).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy(*by)
-    return histogram.select(*by, "score", "n", "pos", F.sum("pos").over(w).alias("tp"), F.sum("n").over(w).alias("alerts"), F.sum("pos").over(whole).alias("p"), F.sum("n").over(whole).alias("total"))
+    curve = running_by_value(histogram.select(*by, "score", "n", "pos"), by, "score", ["pos", "n"], descending=True)
+    return curve.select(*by, "score", "n", "pos", F.col("run_pos").alias("tp"), F.col("run_n").alias("alerts"), F.col("all_pos").alias("p"), F.col("all_n").alias("total"))
 
 
 def average_precision(df: DataFrame, by: list[str] | None = None, score: str = "score", y: str = "y") -> DataFrame:
@@ -48,9 +48,10 @@ def ap_of(curve: DataFrame, by: list[str] | None = None) -> DataFrame:
 def pr_auc_trapezoid(df: DataFrame, by: list[str] | None = None, score: str = "score", y: str = "y") -> DataFrame:
     """Trapezoids under precision over recall from (0, 1) on; 0 with one class only."""
     by = by or []
-    curve = cumulative_curve(score_histogram(df, score, y, by), by).withColumn("r", ratio(F.col("tp"), F.col("p"))).withColumn("q", F.col("tp") / F.col("alerts"))
-    w = Window.partitionBy(*by).orderBy(F.desc("score"))
-    area = (F.col("r") - F.coalesce(F.lag("r").over(w), F.lit(0.0))) * (F.col("q") + F.coalesce(F.lag("q").over(w), F.lit(1.0))) / 2
+    curve = cumulative_curve(score_histogram(df, score, y, by), by)
+    before, seen = F.col("tp") - F.col("pos"), F.col("alerts") - F.col("n")
+    precision = F.when(seen > 0, before / seen).otherwise(F.lit(1.0))
+    area = (ratio(F.col("tp"), F.col("p")) - ratio(before, F.col("p"))) * (F.col("tp") / F.col("alerts") + precision) / 2
     one = (F.max("p") == 0) | (F.max("p") == F.max("total"))
     return curve.withColumn("area", area).groupBy(*by).agg(F.when(one, 0.0).otherwise(F.sum("area")).alias("pr_auc"))
 
@@ -62,9 +63,8 @@ def roc_auc(df: DataFrame, by: list[str] | None = None, score: str = "score", y:
 
 def auc_of(histogram: DataFrame, by: list[str] | None = None) -> DataFrame:
     by = by or []
-    neg = F.col("n") - F.col("pos")
-    w = Window.partitionBy(*by).orderBy("score").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    below = histogram.withColumn("neg", neg).withColumn("below", F.sum("neg").over(w) - F.col("neg"))
+    counts = histogram.select(*by, "score", "pos", (F.col("n") - F.col("pos")).alias("neg"))
+    below = running_by_value(counts, by, "score", ["neg"]).withColumn("below", F.col("run_neg") - F.col("neg"))
     sums = below.groupBy(*by).agg(F.sum(F.col("pos") * (2 * F.col("below") + F.col("neg"))).alias("twice"), F.sum("pos").alias("p"), F.sum("neg").alias("q"))
     return sums.select(*by, F.when((F.col("p") == 0) | (F.col("q") == 0), 0.5).otherwise(F.col("twice").cast("double") / (2.0 * F.col("p") * F.col("q"))).alias("auc"))
 
@@ -94,13 +94,7 @@ def best_tau(histogram: DataFrame, by: list[str], grid: list[float] = GRID, fall
     """The same from a histogram (by, score, n, pos). Scores fall into the bins of the grid once, and the counts of the bins
     are summed from the top: between two bins that hold scores every tau counts alike, so only the least one is tried."""
     taus = F.array(*[F.lit(float(t)) for t in grid])
-    step = (grid[-1] - grid[0]) / (len(grid) - 1)
-    if all(abs(grid[0] + i * step - t) < 1e-9 for i, t in enumerate(grid)):  # even: a guess, put right by the neighbours
-        guess = F.least(F.greatest(F.floor((F.col("score") - grid[0]) / step).cast("int"), F.lit(0)), F.lit(len(grid) - 1))
-        reached = F.when(F.col("score") < F.get(taus, guess), guess).when((guess < len(grid) - 1) & (F.col("score") >= F.get(taus, guess + 1)), guess + 2).otherwise(guess + 1)
-    else:
-        reached = F.size(F.filter(taus, lambda t: t <= F.col("score")))
-    bins = histogram.groupBy(*by, reached.alias("_bin")).agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
+    bins = histogram.groupBy(*by, grid_bin(grid).alias("_bin")).agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
     above = Window.partitionBy(*by).orderBy(F.desc("_bin")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole, order = Window.partitionBy(*by), Window.partitionBy(*by).orderBy("_bin")
     tp, alerts, p = F.sum("pos").over(above), F.sum("n").over(above), F.sum("pos").over(whole)
@@ -201,4 +195,7 @@ def error_types(df: DataFrame, group: Column, tau: float = 0.435, score: str = "
     """(step, kind, n, in_group, median_score): labelled rows that were missed, flagged wrongly or judged right, how many of
     them are of a subgroup, and their median score."""
     kind = F.when((F.col(y) == 1) & (F.col(score) < tau), "FN").when((F.col(y) == 0) & (F.col(score) >= tau), "FP").otherwise("correct")
-    return df.where(F.col(y).isNotNull()).groupBy(step, kind.alias("kind")).agg(F.count("*").alias("n"), F.count_if(group).alias("in_group"), F.expr(f"percentile({score}, 0.5)").alias("median_score"))
+    known = df.where(F.col(y).isNotNull()).withColumn("kind", kind)
+    counts = known.groupBy(step, "kind").agg(F.count("*").alias("n"), F.count_if(group).alias("in_group"))
+    medians = quantiles(known.where(F.col(score).isNotNull()), [step, "kind"], score, [0.5], "q")
+    return counts.join(medians, [step, "kind"], "left").select(step, "kind", "n", "in_group", F.get("q", F.lit(0)).alias("median_score"))

@@ -51,3 +51,64 @@ def test_a_tied_group_is_spread(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert len(counts) == 4 and max(r["count"] for r in counts) < len(TIED) / 2
+
+
+@pytest.mark.parametrize("accuracy", [20, 10_000])
+def test_quantiles_are_exact(spark, accuracy):
+    from pyspark.sql import Window  # noqa: F401
+
+    from steplens.operators.prefix import quantiles
+
+    probs = [0.0, 0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99, 1.0]
+    rows = [(str(n), float(rng.choice([rng.gauss(0, 1), rng.randrange(3), 5.0]))) for n in (1, 2, 3, 4, 5, 7, 10, 33, 1000, 5000) for _ in range(n)]
+    rows += [(None, float(x)) for x in range(11)] + [("tied", 1.0)] * 3000 + [("tied", 2.0)] + [("null", None)] * 3
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    got = {r["g"]: r["q"] for r in quantiles(df, ["g"], "v", probs, "q", accuracy).collect()}
+    names = ", ".join(map(str, probs))
+    want = {r["g"]: r["q"] for r in df.where("v is not null").groupBy("g").agg(F.expr(f"percentile(v, array({names}))").alias("q")).collect()}
+    assert got.keys() == want.keys()
+    for g in got:
+        assert got[g] == pytest.approx(want[g], abs=1e-12)
+    whole = quantiles(df, [], "v", [0.5], "q", accuracy).first()["q"][0]
+    assert whole == pytest.approx(df.agg(F.expr("percentile(v, 0.5)")).first()[0], abs=1e-12)
+
+
+def test_quantiles_keep_little(spark):
+    """Of a group of 60,000 values the windows hold those near the quantiles asked for, and not the group."""
+    from steplens.operators.prefix import quantiles
+
+    df = spark.range(60_000).select(F.lit("g").alias("g"), (F.col("id") * 7919 % 60_013).cast("double").alias("v"))
+    found = quantiles(df, ["g"], "v", [0.25, 0.5])
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Window" in plan and "percentile(" not in plan.replace("percentile_approx(", "")
+
+
+@pytest.mark.parametrize("descending", [False, True])
+def test_running_by_value(spark, descending):
+    from steplens.operators.prefix import running_by_value
+
+    rows = [(g, float(v), rng.randrange(9), rng.randrange(3)) for g, n in (("hot", 3000), (None, 40), ("one", 1)) for v in range(n)]
+    got = running_by_value(spark.createDataFrame(rows, "g string, v double, a int, b int").repartition(6), ["g"], "v", ["a", "b"], descending, ranges=16).collect()
+    assert len(got) == len(rows)
+    for g in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == g), key=lambda r: -r[1] if descending else r[1])
+        found = {r["v"]: r for r in got if r["g"] == g}
+        a = b = 0
+        for _, v, x, y in own:
+            a, b = a + x, b + y
+            assert (found[v]["run_a"], found[v]["run_b"]) == (a, b) and found[v]["all_a"] == sum(r[2] for r in own)
+
+
+def test_one_group_is_spread_over_tasks(spark):
+    """A million distinct values of one group meet in windows of a few thousand rows."""
+    from steplens.operators.prefix import running_by_value
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.range(1_000_000).select(F.lit(1).alias("g"), (F.col("id") * 7919 % 1_000_003).cast("double").alias("v"), F.lit(1).alias("n"))
+        out = running_by_value(df, ["g"], "v", ["n"]).withColumn("_p", F.spark_partition_id())
+        sizes = [r["count"] for r in out.groupBy("_p").count().collect()]
+        assert len(sizes) == 4 and max(sizes) < 400_000 and out.where("run_n > all_n or run_n < 1").isEmpty()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
