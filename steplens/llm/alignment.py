@@ -21,8 +21,8 @@ from steplens.llm.sentencepiece_codec import SPACE, settings
 from steplens.llm.tokens import IdStore, Runs, end_to_end
 from steplens.sources.scratch import materialise
 
-#: Text bytes that one step aligns, text bytes of a part, which has one table of id pairs, and bytes of each store of ids.
-STEP_BYTES, PART_BYTES, STORE_BYTES = 2 << 20, 16 << 20, 64 << 20
+#: Text bytes that one step aligns, text bytes of a part, which has one table of id pairs, and bytes of the store of ids.
+STEP_BYTES, PART_BYTES, STORE_BYTES = 2 << 20, 16 << 20, 128 << 20
 #: Ends of tokens below one document: an end and its document share 64 bits.
 _END_BITS = 31
 _CODED = "part long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, groups string, places array<int>, times array<int>, pairs array<long>, docs array<long>"
@@ -44,9 +44,8 @@ class Tokens:
         self.encode = encode
         self.bytes_of = pa.array(bytes_of, pa.binary())
         self.lengths = pc.binary_length(self.bytes_of).cast(pa.int64())
-        self.store = IdStore(self._checked, STORE_BYTES)
 
-    def _checked(self, chunks: list[str]) -> Runs:
+    def checked(self, chunks: list[str]) -> Runs:
         lists = list(self.encode(chunks))
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
         ids = np.fromiter(chain.from_iterable(lists), np.int32, int(sizes.sum()))
@@ -59,7 +58,6 @@ class Tokens:
         return end_to_end(np.array(x if ok else [-1], np.int32) for x, ok in zip(lists, same, strict=True))
 
 
-@lru_cache(2)
 def byte_level(path: str) -> Tokens:
     """Tokens by a byte-level vocabulary file; strings of special tokens in a text are plain text."""
     from tokenizers import Tokenizer
@@ -74,7 +72,6 @@ def byte_level(path: str) -> Tokens:
     return Tokens(lambda chunks: (e.ids for e in tokenizer.encode_batch_fast(chunks, add_special_tokens=False)), bytes_of)
 
 
-@lru_cache(2)
 def pieces(path: str) -> Tokens:
     """Tokens by a SentencePiece model that puts a space in front of every text; chunks bring theirs, so it is cut off."""
     import sentencepiece
@@ -90,6 +87,49 @@ def pieces(path: str) -> Tokens:
     return Tokens(lambda chunks: model.encode([c[1:] for c in chunks], num_threads=1), bytes_of)
 
 
+class Both:
+    """Two tokenizers with one store: it holds each chunk's ids by the first and behind them those by the second, raised by ``SECOND``;
+    a chunk that either does not give back has an id below 0."""
+
+    SECOND = 1 << 24
+
+    def __init__(self, a: Tokens, b: Tokens):
+        self.a, self.b = a, b
+        self.store = IdStore(self._encode, STORE_BYTES)
+
+    def _encode(self, chunks: list[str]) -> Runs:
+        (x, n), (y, m) = self.a.checked(chunks), self.b.checked(chunks)
+        total = n + m
+        out, begin = np.empty(len(x) + len(y), np.int32), np.cumsum(total) - total
+        out[np.arange(len(x)) + np.repeat(begin - (np.cumsum(n) - n), n)] = x
+        out[np.arange(len(y)) + np.repeat(begin + n - (np.cumsum(m) - m), m)] = np.where(y < 0, y, y + self.SECOND)
+        return out, total
+
+    def ids(self, texts: pa.Array) -> tuple[pa.ListArray, pa.ListArray]:
+        """Ids of both for each text with a space in front; a text that either does not give back has no ids, nor has an empty one."""
+        texts = pc.fill_null(texts, "")
+        spaced = pc.if_else(pc.equal(texts, ""), "", pc.binary_join_element_wise(" ", texts, ""))
+        parts, first = chunks(spaced)
+        coded = parts.dictionary_encode()
+        entries = self.store.lookup(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        ids, offsets = self.store.gather(entries, first)
+        good = ids >= 0
+        if not good.all():  # no id of a text with a bad chunk counts
+            bad = np.unique(np.searchsorted(offsets, np.flatnonzero(~good), "right") - 1)
+            for i, j in zip(offsets[bad].tolist(), offsets[bad + 1].tolist(), strict=True):
+                good[i:j] = False
+        lists = []
+        for own, less in ((good & (ids < self.SECOND), 0), (good & (ids >= self.SECOND), self.SECOND)):
+            cut = np.concatenate([[0], np.cumsum(own)])[offsets]
+            lists.append(pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(ids[own] - less)))
+        return lists[0], lists[1]
+
+
+@lru_cache(2)
+def both(a_path: str, b_path: str) -> Both:
+    return Both(byte_level(a_path), pieces(b_path))
+
+
 #: Last bytes of letters, digits and marks of ASCII, and of characters that no white space of Unicode shares its last byte with.
 _SOLID = np.zeros(256, bool)
 _SOLID[0x21:0x7F] = True
@@ -112,29 +152,6 @@ def chunks(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return cut, np.searchsorted(starts, offsets)
 
 
-def _ids(tokens: Tokens, coded: pa.DictionaryArray, words: list[str], first: np.ndarray) -> pa.ListArray:
-    entries = tokens.store.lookup(words)[coded.indices.to_numpy()]
-    ids, offsets = tokens.store.gather(entries, first)
-    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
-
-
-def tokenised(texts: pa.Array, a: Tokens, b: Tokens) -> tuple[pa.ListArray, pa.ListArray]:
-    """Ids of both for each text with a space in front; a text that either does not give back has no ids, nor has an empty one."""
-    texts = pc.fill_null(texts, "")
-    spaced = pc.if_else(pc.equal(texts, ""), "", pc.binary_join_element_wise(" ", texts, ""))
-    parts, first = chunks(spaced)
-    coded = parts.dictionary_encode()
-    words = coded.dictionary.to_pylist()
-    lists = [_ids(t, coded, words, first) for t in (a, b)]
-    bad = np.zeros(len(texts), bool)
-    for ids in lists:
-        lost = pc.less(ids.flatten(), 0)
-        bad[pc.list_parent_indices(ids).filter(lost).to_numpy()] = True
-    if bad.any():
-        lists = [pc.if_else(pa.array(bad), pa.scalar([], ids.type), ids) for ids in lists]
-    return lists[0], lists[1]
-
-
 def _ends(ids: pa.ListArray, lengths: pa.Array, name: str) -> pa.Table:
     """(key, name): the document and end of each token, summed in segments, and its id."""
     parent, flat = pc.list_parent_indices(ids).cast(pa.int64()), ids.flatten()
@@ -198,9 +215,9 @@ def _names(n_a: int, n_b: int) -> pa.Array:
     return pa.array([f"{i}{c}" for i in range(n_a) for c in ",|"] + [f"{i}{c}" for i in range(n_b) for c in (",", ";", "")])
 
 
-def _step(part: pa.RecordBatch, a: Tokens, b: Tokens, with_groups: bool) -> dict:
-    a_ids, b_ids = tokenised(part.column("text"), a, b)
-    met = Aligned(a_ids, b_ids, a, b)
+def _step(part: pa.RecordBatch, two: Both, with_groups: bool) -> dict:
+    a, b = two.a, two.b
+    met = Aligned(*two.ids(part.column("text")), a, b)
     text, cuts = met.written(len(a.bytes_of), _names(len(a.bytes_of), len(b.bytes_of)))
     raw = memoryview(text_bytes(text)[0])
     spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
@@ -240,11 +257,11 @@ def coded(docs: DataFrame, a_path: str, b_path: str, with_groups: bool = False)
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = byte_level(a_path), pieces(b_path)
+        two = both(a_path, b_path)
         steps, size, number = [], 0, TaskContext.get().partitionId() << 32
         for batch in batches:
             for part in slices(batch, "text", STEP_BYTES):
-                steps.append(_step(part, a, b, with_groups))
+                steps.append(_step(part, two, with_groups))
                 size += pc.sum(pc.binary_length(part.column("text"))).as_py() or 0
                 if size >= PART_BYTES:
                     yield from _part(steps, number)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Callable, Iterable
+from itertools import repeat
 
 import numpy as np
 
@@ -41,18 +42,20 @@ class IdStore:
         """Entry numbers of distinct words, which hold until the next call."""
         if self.bytes > self.most_bytes or self.flat.nbytes > 4 * max(self.used, 1 << 16) + self.most_bytes:
             self.clear()
-        get = self.index.get
-        found = np.fromiter((get(x, -1) for x in distinct), np.int64, len(distinct))
+        found = np.fromiter(map(self.index.get, distinct, repeat(-1)), np.int64, len(distinct))
         # Words that are kept come first; the longer ones stand behind them, where the next call writes over them.
         new = np.flatnonzero(found < 0)
-        long = np.fromiter((len(distinct[i]) > LONGEST for i in new), bool, len(new))
-        kept = self._add([distinct[i] for i in new[~long]], len(self.index), self.used)
-        found[new[~long]] = np.arange(len(self.index), len(self.index) + len(kept))
-        self.bytes += sum(sys.getsizeof(distinct[i]) for i in new[~long]) + 4 * int(kept.sum()) + ENTRY_BYTES * len(kept)
+        words = list(map(distinct.__getitem__, new.tolist()))
+        long = np.fromiter(map(len, words), np.int64, len(words)) > LONGEST
+        passing = [words[i] for i in np.flatnonzero(long)]
+        words = [words[i] for i in np.flatnonzero(~long)] if passing else words
+        kept, n = self._add(words, len(self.index), self.used), len(self.index)
+        found[new[~long]] = np.arange(n, n + len(kept))
+        self.bytes += sum(map(sys.getsizeof, words)) + 4 * int(kept.sum()) + ENTRY_BYTES * len(kept)
         self.used += int(kept.sum())
-        self.index.update(zip((distinct[i] for i in new[~long]), found[new[~long]].tolist(), strict=True))
-        passing = self._add([distinct[i] for i in new[long]], len(self.index), self.used)
-        found[new[long]] = np.arange(len(self.index), len(self.index) + len(passing))
+        self.index.update(zip(words, range(n, n + len(kept)), strict=True))
+        found[new[long]] = len(self.index) + np.arange(len(passing))
+        self._add(passing, len(self.index), self.used)
         return found
 
     def _add(self, words: list[str], entry: int, at: int) -> np.ndarray:
