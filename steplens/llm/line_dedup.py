@@ -1,5 +1,5 @@
-"""Repeated runs of lines: content-defined chunks between boundaries that a rolling hash over line hashes chooses, and
-what such chunks share with others at their ends, removed after byte comparison. DataFrame functions only."""
+"""Repeated runs of lines: content-defined chunks between boundary lines that a rolling hash over line hashes chooses, and
+what runs share inside chunks that do not repeat as wholes, removed after byte comparison. DataFrame functions only."""
 
 from __future__ import annotations
 
@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from steplens.sources.scratch import materialise
 
-#: One line in so many begins a chunk, by the rolling hash of it and the line before.
-MEAN_LINES = 3
+#: One line in so many is no boundary. The rolling hash looks at one line at a time, so that a boundary depends on nothing that a
+#: run of two lines does not hold.
+SPARSE = 4
 _PAIR = "array<struct<a:bigint,b:bigint,c:int>>"
 
 
@@ -48,26 +49,31 @@ def _told_apart(docs: DataFrame, collided: DataFrame) -> DataFrame:
     return rows.select("_sl_id", "_sl_key", F.col("l.h").cast(_PAIR).alias("h"), F.col("l.full").alias("full"))
 
 
+def is_boundary(line: Column) -> Column:
+    """Whether a line, by its hashes, ends a chunk and begins the next one."""
+    return F.pmod(F.xxhash64(line["a"]), F.lit(SPARSE)) != 0
+
+
 def chunk_starts(h: Column) -> Column:
-    """Places where chunks begin: the first line, and each from the third on whose rolling hash over itself and the line
-    before is a multiple of ``MEAN_LINES``, unless that holds for the line before too. So chunks have two lines at least
-    but at an end of a text, and stand alike wherever their lines do."""
-    mixed = lambda i: F.shiftleft(F.get(h, i - 1)["a"], 1).bitwiseXOR(F.shiftrightunsigned(F.get(h, i - 1)["a"], 63)).bitwiseXOR(F.get(h, i)["a"])
-    raw = F.transform(h, lambda _, i: F.when(i >= 2, F.pmod(F.xxhash64(mixed(i)), F.lit(MEAN_LINES)) == 0).otherwise(False))
-    return _let(raw, lambda r: F.filter(F.sequence(F.lit(0), F.size(h) - 1), lambda i: (i == 0) | (F.get(r, i) & ~F.get(r, i - 1))))
+    """Places of the boundaries: the first line, the last, and those that the rolling hash chooses wherever their lines stand."""
+    return F.filter(F.sequence(F.lit(0), F.size(h) - 1), lambda i: (i == 0) | (i == F.size(h) - 1) | is_boundary(F.get(h, i)))
 
 
 def _chunks(rows: DataFrame) -> DataFrame:
-    """(_sl_id, _sl_key, pos, n, own): the chunks of two lines or more, each with its line hashes."""
-    cut = _let(chunk_starts(F.col("h")), lambda s: F.transform(s, lambda at, j: F.struct(at.alias("pos"), F.slice(F.col("h"), at + 1, F.coalesce(F.get(s, j + 1), F.size("h")) - at).alias("own"))))
-    out = rows.select("_sl_id", "_sl_key", F.explode(cut).alias("x")).select("_sl_id", "_sl_key", "x.pos", F.size("x.own").alias("n"), "x.own")
-    return out.where("n > 1")
+    """(_sl_id, _sl_key, pos, n, own): the chunks, each from one boundary to the next with both, that are not blank, with their line
+    hashes. Two boundaries that follow one another are a chunk of two lines."""
+    span = lambda x, at, to: F.slice(x, at + 1, to - at + 1)
+    found = lambda s: F.transform(F.slice(s, 1, F.size(s) - 1), lambda at, j: F.struct(at.alias("pos"), span(F.col("h"), at, F.get(s, j + 1)).alias("own"), F.exists(span(F.col("full"), at, F.get(s, j + 1)), lambda x: x).alias("full")))
+    out = rows.where(F.size("h") > 1).select("_sl_id", "_sl_key", F.explode(_let(chunk_starts(F.col("h")), found)).alias("x")).where("x.full")
+    return out.select("_sl_id", "_sl_key", "x.pos", F.size("x.own").alias("n"), "x.own")
 
 
 def _windows(rows: DataFrame) -> DataFrame:
-    """The same for every two lines, not both blank, that follow one another and are not within one of the chunks ``cut``."""
+    """The same for every two lines, not both blank, that follow one another, are not both boundaries, which makes them a chunk, and are
+    not within one of the chunks ``cut``."""
     inside = lambda i: F.exists("cut", lambda c: (c["pos"] <= i) & (i + 1 < c["pos"] + c["n"]))
-    free = F.filter(F.sequence(F.lit(0), F.size("h") - 2), lambda i: ~inside(i) & (F.get("full", i) | F.get("full", i + 1)))
+    chunk = lambda i: is_boundary(F.get("h", i)) & is_boundary(F.get("h", i + 1))
+    free = F.filter(F.sequence(F.lit(0), F.size("h") - 2), lambda i: ~chunk(i) & ~inside(i) & (F.get("full", i) | F.get("full", i + 1)))
     some = rows.where(F.size("h") > 1).select("_sl_id", "_sl_key", "h", F.explode(free).alias("pos"))
     return some.select("_sl_id", "_sl_key", "pos", F.lit(2).alias("n"), F.slice("h", F.col("pos") + 1, 2).alias("own"))
 
@@ -86,8 +92,8 @@ def _repeated(runs: DataFrame, name: str) -> DataFrame:
 
 def repeated_runs(rows: DataFrame) -> DataFrame:
     """(_sl_id, _sl_key, runs): for each row of ``hashed`` that has any its repeated runs (pos, n, later): first chunks that
-    are equal as wholes, then every two lines that are in no later place of such a chunk, which is what runs share beside
-    whole chunks. A later place of a chunk holds only lines that its first place has, so nothing is lost by leaving it out,
+    are equal as wholes, then every two lines that are no chunk and in no later place of one, which is what runs share inside
+    chunks that do not repeat. A later place of a chunk holds only lines that its first place has, so nothing is lost by leaving it out,
     and copies of whole texts give few rows."""
     rows = materialise(rows, "line-hashes")
     chunks = materialise(_repeated(_chunks(rows), "chunks"), "chunk-places")
