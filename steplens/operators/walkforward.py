@@ -92,6 +92,17 @@ def realised(scored: DataFrame, uses: DataFrame, step: str = "step", y: str = "y
     return own.join(curve, by, "left").join(auc, by, "left").join(f1, by, "left")
 
 
+def policy_gap(table: DataFrame, frozen: str, moving: str, lag: int, value: str = "ap", step: str = "step") -> DataFrame:
+    """(step, frozen, moving, delta): what two policies have realised on each step that both have scored, one row a use in ``table``."""
+    a, b = (table.where((F.col("policy") == p) & (F.col("lag") == lag)).select(step, F.col(value).alias(p)) for p in (frozen, moving))
+    return a.join(b, step).withColumn("delta", F.col(moving) - F.col(frozen))
+
+
+def refit_actions(schedule: DataFrame, step: str = "step") -> DataFrame:
+    """The decision sequence of a schedule: a step that has a new model was decided to be retrained for."""
+    return schedule.select(step, F.when(F.col("refitted"), "RETRAIN").otherwise("NO_ACTION").alias("action"))
+
+
 def lag_curve(scored: DataFrame, lags: list[int], frozen: str, moving: str, window: tuple[int, int], step: str = "step", y: str = "y") -> DataFrame:
     """(lag, frozen, moving, delta): AP over a window's rows pooled, under a policy that stands still and one that moves on."""
     late = scored.where(F.col(step).between(*window) & F.col("lag").isin(lags) & F.col("policy").isin(frozen, moving))
@@ -133,9 +144,10 @@ def monitor_triggered_policy(df: DataFrame, counts: DataFrame, features: list[st
     _, chosen = walk_forward(df, table, counts, features, step, key, y, least=least)
     taus = {r["t"]: r["tau"] for r in chosen.select("t", "tau").collect()}  # one row a step
     again = small(models(uses, step_moments(rows, features, step, y), features, "last", 5.0, step), "models")
-    late = rows.where(F.col(step).between(first, last))
-    every = late.crossJoin(F.broadcast(again.select(F.col("t").alias("made"), "w", "c")))  # rows x steps
-    every = every.withColumn("score", _scored(every, features)).join(F.broadcast(chosen.select(F.col("t").alias("made"), "tau")), "made")
+    # A model made at a step scores that step and later ones, never an earlier one: half of all steps by steps.
+    force = F.broadcast(again.select(F.col("t").alias("made"), "w", "c").join(chosen.select(F.col("t").alias("made"), "tau"), "made"))  # one row a step
+    every = rows.join(force, F.col(step).between(F.col("made"), F.lit(last)))
+    every = every.withColumn("score", _scored(every, features)).select(key, step, y, "made", "tau", "score")
     f1 = {(r["made"], r[step]): (r["f1"], r["tp"] + r["fn"]) for r in ranking.confusion(every, ["made", step], y=y, tau="tau").collect()}  # steps x steps
     made, schedule, since = first, [], first
     for t in range(first, last + 1):

@@ -302,10 +302,25 @@ def importance_kendall(t: Tables) -> DataFrame:
     return rounded(D.kendall(a.join(b.withColumnRenamed("importance", "other"), "feature"), "importance", "other", "feature"), ["tau"])
 
 
-@query("drift_verdict", """with m as (select step % 5 k, avg(score) domain_auc, stddev_pop(score) median_ks, max(score) in_window_ap, avg(score) / 4 transferred_ap from tx group by 1)
-    select k, case when domain_auc >= 0.80 or median_ks >= 0.30 then 'covariate' when in_window_ap >= 5 * transferred_ap then 'concept' else 'none' end verdict from m""")
-def drift_verdict(t: Tables) -> DataFrame:
-    m = t.tx.groupBy((F.col("step") % 5).alias("k")).agg(F.avg("score").alias("domain_auc"), F.stddev_pop("score").alias("median_ks"), F.max("score").alias("in_window_ap"), (F.avg("score") / 4).alias("transferred_ap"))
-    return D.drift_verdict(m).select("k", "verdict")
+_WIN = "wn as (select \"window\" w, lo, hi from windows where \"window\" in ('early', 'drift', 'test'))"
+_COLS = ", ".join(_X)
+
 
+def _ap_sql(name: str, source: str) -> str:
+    """CTE ``name`` (w, ap) of scored rows (w, y, score)."""
+    return f"""{name}h as (select w, score s, count(*) n, sum(y) pos from {source} group by w, score), {name}c as (select w, n, pos, sum(pos) over o tp, sum(n) over o alerts, sum(pos) over (partition by w) p from {name}h window o as (partition by w order by s desc)),
+    {name} as (select w, sum(case when p > 0 then pos / p * tp / alerts end) ap from {name}c group by w)"""
 
+
+@query("drift_verdict", f"""with {_WIN}, {disc_sql("da", f"select w, vec_id, 1 y, {_COLS} from vec join wn on step between lo and hi union all select w, vec_id, 0, {_COLS} from vec, wn where step <= 34", "w", _X)}, {auc_sql("dauc", "da", "w")}, u as (unpivot (select step, {_COLS} from vec) on {_COLS} into name feature value value),
+    {ks_sql("w", "select w, feature, value, 1 s from u join wn on step between lo and hi union all select w, feature, value, 0 from u, wn where step <= 34")}, mk as (select w, quantile_cont(ks, 0.5) median_ks from ks group by w),
+    {disc_sql("iw", f"select w, vec_id, cast(side as int) y, {_COLS} from vec join wn on step between lo and hi", "w", _X)}, {_ap_sql("iap", "iw")},
+    rm as (select count(*) filter (where side) n1, count(*) filter (where not side) n0, {", ".join(f"avg({x}) filter (where {'' if i else 'not '}side) m{i}_{x}, var_pop({x}) filter (where {'' if i else 'not '}side) v{i}_{x}" for x in _X for i in (0, 1))} from vec where step <= 34),
+    tr as (select w, cast(side as int) y, round({" + ".join(f"(m1_{x} - m0_{x}) / ((n1 * v1_{x} + n0 * v0_{x}) / (n1 + n0)) * {x}" for x in _X)}, 9) score from vec join wn on step between lo and hi, rm), {_ap_sql("tap", "tr")},
+    m as (select w, auc domain_auc, median_ks, iap.ap in_window_ap, tap.ap transferred_ap from dauc join mk using (w) join iap using (w) join tap using (w))
+    select w "window", round(domain_auc, 6) domain_auc, round(median_ks, 6) median_ks, round(in_window_ap, 6) in_window_ap, round(transferred_ap, 6) transferred_ap, case when domain_auc >= 0.80 or median_ks >= 0.30 then 'covariate' when in_window_ap >= 5 * transferred_ap then 'concept' else 'none' end verdict from m""")
+def drift_verdict(t: Tables) -> DataFrame:
+    """Domain AUC, KS and both APs of each later window, and what they say of its drift."""
+    named = t.windows().where(F.col("window").isin("early", "drift", "test"))
+    m = discriminant.drift_metrics(t.vec.withColumn("y", F.col("side").cast("int")), _X, named, 34, "vec_id", folds=FOLDS)
+    return rounded(D.drift_verdict(m), ["domain_auc", "median_ks", "in_window_ap", "transferred_ap"])

@@ -32,15 +32,6 @@ def join_tables_outer(t: Tables) -> DataFrame:
     return a.join(b, "step", "full")
 
 
-@query("join_static_expanding", """with m as (select step, avg(score) s, avg(case when score >= 0.435 then 1 else 0 end) e from tx where step >= 35 group by step)
-    select step, round(s, 6) static, round(e, 6) expanding, round(e - s, 6) delta from m""")
-def join_static_expanding(t: Tables) -> DataFrame:
-    late = t.tx.where("step >= 35")
-    a = late.groupBy("step").agg(F.avg("score").alias("s"))
-    b = late.groupBy("step").agg(F.avg(F.when(F.col("score") >= 0.435, 1).otherwise(0)).alias("e"))
-    return a.join(b, "step").select("step", F.round("s", 6).alias("static"), F.round("e", 6).alias("expanding"), F.round(F.col("e") - F.col("s"), 6).alias("delta"))
-
-
 @query("asof_prior_snapshot", """with s as (select distinct address, step snap, total_txs from wallet_snap)
     select a.tx_id, t.step, s.snap prior_step, s.total_txs prior_value from addr_tx a join tx t using (tx_id) asof left join s on a.input_address = s.address and t.step > s.snap""")
 def asof_prior_snapshot(t: Tables) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from steplens.operators import models as M
 from steplens.operators import monitor, ranking, rows
 from steplens.operators import walkforward as W
+from steplens.plans.monitoring import DECISION_SQL, decisions
 from steplens.plans.profiles import rounded
 from steplens.plans.ranking import AP, AUC, curve_sql, tau_sql
 from steplens.plans.registry import query
@@ -160,13 +161,39 @@ def recovery_verdict(t: Tables) -> DataFrame:
     return W.recovery_verdict(curve(t), "expanding", 1, 5)
 
 
-@query("monitor_triggered_policy")
+#: CTEs of the triggered policy: its models are those of the expanding one at lag 1.
+_TRIGGERED = f"""{_WALK}, tm as (select mr.*, us.tau from mr join us using ({_KEYS}) where policy = 'expanding' and lag = 1),
+    te as (select t made, tau, step, tx_id, y, {_score_sql(_X)} score from fx join tm on step between t and 49), tq as (select made, step, count(*) filter (where y = 1 and score >= tau) tp, count(*) filter (where y = 0 and score >= tau) fp, count(*) filter (where y = 1 and score < tau) fn from te where y is not null group by made, step),
+    tf as (select made, step, case when 2 * tp + fp + fn > 0 then 2 * tp / (2 * tp + fp + fn) else 0 end f1 from tq where tp + fn >= 10), tj as (select made, s.step t, f1, row_number() over (partition by made, s.step order by tf.step desc) k from tf join spine s on s.step between 43 and 49 and tf.step <= s.step - 1),
+    td as (select made, t, min(f1) < 0.31 gone from tj where k <= 2 group by made, t),
+    sched(t, made) as (select 43, 43 union all select sched.t + 1, case when td.gone then sched.t + 1 else sched.made end from sched left join td on td.made = sched.made and td.t = sched.t where sched.t < 49)"""
+
+
+def triggered(t: Tables) -> tuple[DataFrame, DataFrame]:
+    return W.monitor_triggered_policy(features(t), counts(t), _X, 43, 49, 0.31)
+
+
+@query("monitor_triggered_policy", f"""with recursive {_TRIGGERED}, ts as (select te.* from te join sched on sched.t = te.step and sched.made = te.made), {curve_sql("step", "ts").replace("h as (", "th as (", 1).replace("cu as (", "tcu as (", 1).replace("from h)", "from th)")}, ta as (select step, max(total)::bigint n, max(p)::bigint pos, {AP} ap from tcu group by step)
+    select sched.t step, sched.made, tm.tau, sched.made = sched.t and sched.t > 43 refitted, n, pos, round(ap, 6) ap from sched left join tm on tm.t = sched.made left join ta on ta.step = sched.t""")
 def monitor_triggered_policy(t: Tables) -> DataFrame:
-    scored, schedule = W.monitor_triggered_policy(features(t), counts(t), _X, 43, 49, 0.31)
+    scored, schedule = triggered(t)
     ap = ranking.average_precision(scored, ["step"]).select("step", "n", "pos", F.round("ap", 6).alias("ap"))
     return schedule.join(ap, "step", "left").select("step", "made", "tau", "refitted", "n", "pos", "ap")
 
 
+@query("join_static_expanding", f"with {_WALK} select a.step, round(a.ap, 5) static, round(b.ap, 5) expanding, round(b.ap - a.ap, 5) delta from re a join re b on a.step = b.step where a.policy = 'static' and b.policy = 'expanding' and a.lag = 1 and b.lag = 1")
+def join_static_expanding(t: Tables) -> DataFrame:
+    """AP that a frozen and a moving model have realised on each step, labels arriving one step late."""
+    return rounded(W.policy_gap(W.realised(*walked(t)), "static", "expanding", 1), ["static", "expanding", "delta"], 5)
+
+
+@query("concordance", f"""with {DECISION_SQL}, other as (with recursive {_TRIGGERED} select t step, case when made = t and t > 43 then 'RETRAIN' else 'NO_ACTION' end action from sched)
+    select "window", count(*) n, count(*) filter (where d.action = o.action) agree, count(*) filter (where d.action = o.action and d.action <> 'NO_ACTION') agree_active from decision d join other o using (step) join windows on d.step between lo and hi group by 1""")
+def concordance(t: Tables) -> DataFrame:
+    """Decisions of the monitor against those of the policy that retrains by its own realised F1."""
+    return monitor.concordance(decisions(t), W.refit_actions(triggered(t)[1]), t.windows())
+
+
 @query("use_audit", f"with {_USES} select policy, lag, t, first, fit_last, last, holdout, last + lag arrival, last + lag > t leak, cast(last + lag > t as int) + cast(last >= t as int) + cast(fit_last >= last as int) + cast(fit_last < first as int) violations from uses")
 def use_audit(t: Tables) -> DataFrame:
     return W.use_audit(W.plan_uses(plan(t).where("first <= last"), counts(t)))

@@ -99,7 +99,7 @@ _CH = f"""{_U}, {_SCORES}, {SCORE_PSI_SQL}, {_PERF}, {_PREV}, {JUDGED_SQL}, {dom
     ch0 as (select s.step, triad_extreme, triad_significant, triad_max, local_percent, case when triad_max > 0.25 then 'SIGNIFICANT' when triad_max >= 0.10 then 'MODERATE' else 'STABLE' end triad_level, psi score_psi, f1_min, newest_label_step, rolling_prevalence, prevalence_level, domain_auc,
       coalesce(local_percent >= 30, false) lh from spine s left join tri using (step) left join score_psi using (step) left join perf using (step) left join prev using (step) left join dm using (step) where s.step >= 35),
     ch1 as (select *, sum(case when lh then 0 else 1 end) over (order by step) isl from ch0), ch as (select *, sum(case when lh then 1 else 0 end) over (partition by isl order by step)::bigint local_streak from ch1)"""
-_DEC = f"""{_CH}, hit as (select *, coalesce(triad_extreme >= 1 or triad_significant >= 2, false) h1, coalesce(score_psi >= 0.25, false) h2, coalesce(f1_min < {FLOOR}, false) h3, coalesce(rolling_prevalence <= 0.035, false) h4, coalesce(local_percent >= 30, false) r2, coalesce(domain_auc >= 0.85, false) r6,
+DECISION_SQL = f"""{_CH}, hit as (select *, coalesce(triad_extreme >= 1 or triad_significant >= 2, false) h1, coalesce(score_psi >= 0.25, false) h2, coalesce(f1_min < {FLOOR}, false) h3, coalesce(rolling_prevalence <= 0.035, false) h4, coalesce(local_percent >= 30, false) r2, coalesce(domain_auc >= 0.85, false) r6,
       coalesce(score_psi >= 0.10 and score_psi < 0.25, false) r3 from ch),
     rs as (select *, [x for x in [case when h1 then 'ConcentratedMacroDrift' end, case when h2 then 'ScoreShift' end, case when h3 then 'PerformanceCrash' end, case when h4 then 'PrevalenceRegimeCollapse' end] if x is not null] a,
       [x for x in [case when not h1 and triad_level = 'MODERATE' then 'FeatureDriftWarning' end, case when r2 then 'DiffuseMicroDriftWarning' end, case when r3 then 'ScoreShiftWarning' end, case when not h4 and prevalence_level = 'ALERT' then 'PrevalenceAlert' end, case when not h4 and prevalence_level = 'WARNING' then 'PrevalenceWarning' end, case when r6 then 'AdversarialOODAlert' end] if x is not null] b from hit),
@@ -110,7 +110,7 @@ def decisions(t: Tables) -> DataFrame:
     return M.trigger_decision(channels(t), FLOOR)
 
 
-@query("trigger_decision", f"with {_DEC} select step, action, severity, coalesce((a || b)[1], 'Stable') primary_reason, array_to_string(reasons, ',') reasons from decision")
+@query("trigger_decision", f"with {DECISION_SQL} select step, action, severity, coalesce((a || b)[1], 'Stable') primary_reason, array_to_string(reasons, ',') reasons from decision")
 def trigger_decision(t: Tables) -> DataFrame:
     return decisions(t).select("step", "action", "severity", "primary_reason", F.concat_ws(",", "reasons").alias("reasons"))
 
@@ -118,13 +118,13 @@ def trigger_decision(t: Tables) -> DataFrame:
 _ROUND = ["triad_max", "local_percent", "score_psi", "f1_min", "rolling_prevalence", "domain_auc"]
 
 
-@query("monitoring_table", f"with {_DEC} select step, triad_extreme, triad_significant, triad_level, {', '.join(f'round({c}, 6) {c}' for c in _ROUND)}, local_streak, newest_label_step, prevalence_level, action, severity, array_to_string(reasons, ',') reasons from decision")
+@query("monitoring_table", f"with {DECISION_SQL} select step, triad_extreme, triad_significant, triad_level, {', '.join(f'round({c}, 6) {c}' for c in _ROUND)}, local_streak, newest_label_step, prevalence_level, action, severity, array_to_string(reasons, ',') reasons from decision")
 def monitoring_table(t: Tables) -> DataFrame:
     table = rounded(decisions(t), _ROUND)
     return table.select("step", "triad_extreme", "triad_significant", "triad_level", *_ROUND, "local_streak", "newest_label_step", "prevalence_level", "action", "severity", F.concat_ws(",", "reasons").alias("reasons"))
 
 
-@query("latest_decision", f"with {_DEC} select step, action, severity from decision order by step desc limit 1")
+@query("latest_decision", f"with {DECISION_SQL} select step, action, severity from decision order by step desc limit 1")
 def latest_decision(t: Tables) -> DataFrame:
     return decisions(t).agg(F.max_by(F.struct("step", "action", "severity"), "step").alias("d")).select("d.*")
 
@@ -159,13 +159,6 @@ def first_critical(t: Tables) -> DataFrame:
     return M.first_critical(breakdown(t))
 
 
-@query("concordance", f"""with {_DEC}, other as (select step, case when step % 2 = 0 then 'RETRAIN' else 'NO_ACTION' end action from spine) select "window", count(*) n, count(*) filter (where d.action = o.action) agree, count(*) filter (where d.action = o.action and d.action <> 'NO_ACTION') agree_active
-    from decision d join other o using (step) join windows on d.step between lo and hi group by 1""")
-def concordance(t: Tables) -> DataFrame:
-    other = t.spine().withColumn("action", F.when(F.col("step") % 2 == 0, "RETRAIN").otherwise("NO_ACTION"))
-    return M.concordance(decisions(t), other, t.windows())
-
-
 @query("window_means", f'with {_F1} select "window", round(avg(f1), 6) mean_f1, round(avg(pos), 6) mean_pos from f1 join windows on step between lo and hi group by 1')
 def window_means(t: Tables) -> DataFrame:
     f1 = ranking.confusion(t.tx, ["step"]).withColumn("pos", F.col("tp") + F.col("fn"))
