@@ -3,12 +3,13 @@ is one aggregate, any number of models at once, and any engine repeats it."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from steplens.operators import drift, ranking
-from steplens.operators.joins import mixed
-from steplens.sources.scratch import small
+from steplens.operators.joins import grid, permuted
+from steplens.operators.prefix import positions
+from steplens.sources.scratch import materialise, small
 
 
 def fold_of(key: str, folds: int) -> Column:
@@ -109,29 +110,27 @@ def in_window_cv_ap(df: DataFrame, features: list[str], key: str, folds: int = 3
     return ranking.average_precision(scored, y=y)
 
 
-def permutation_auc_drop(df: DataFrame, features: list[str], blocks: dict[str, list[str]], key: str, folds: int = 3, repeats: int = 3, buckets: int = 64, y: str = "y") -> DataFrame:
+def permutation_auc_drop(df: DataFrame, features: list[str], blocks: dict[str, list[str]], key: str, folds: int = 3, repeats: int = 3, y: str = "y") -> DataFrame:
     """(block, auc_drop, repeats): mean loss of the out-of-fold AUC when the features of a block are shuffled among the rows of
-    a fold, each by itself. A shuffle deals the rows to buckets by a seeded number and gives each the value that stands at its
-    place in the next bucket; so values move through a whole fold and no fold is ordered as a whole. The score is linear, so only what
-    the shuffled features change is worked out."""
+    a fold, each by itself. Rows have places in their fold, and a shuffle is a keyed permutation of the places, so a row gets
+    its new value by one equal join and no window. The score is linear, so only what the shuffled features change is worked out, once
+    for all blocks that hold a feature."""
     own = df.where(F.col(y).isNotNull()).select(key, F.col(y).cast("int").alias("y"), *features, fold_of(key, folds).alias("fold"))
-    w = weights(own, features, [], folds)
+    placed = materialise(positions(own, ["fold"], [F.col(key)], "place", "size", "folds"), "places")
+    w = weights(placed, features, [], folds)
     names = {f: i for i, f in enumerate(features)}
-    tries = [F.struct(F.lit(b).alias("block"), F.lit(r).alias("repeat"), F.lit(f).alias("feature"), F.lit(101 * r + names[f]).cast("long").alias("seed"), F.col(f).alias("x"), F.get("w", F.lit(names[f])).alias("wf")) for b, fs in blocks.items() for f in fs for r in range(repeats)]
-    score = sum((F.get("w", F.lit(i)) * F.col(f) for f, i in names.items()), F.lit(0.0))
-    scored = own.join(F.broadcast(w), "fold").withColumn("score", score)
-    long = scored.select(key, "fold", "y", "score", F.explode(F.array(*tries)).alias("t")).select(key, "fold", "y", "score", "t.*")
-    long = long.withColumn("o", F.expr(mixed(f"{key} * 64 + seed * 15485863"))).withColumn("b", F.pmod("o", F.lit(buckets)))
-    group = ["block", "repeat", "feature", "fold"]
-    placed = long.withColumn("place", F.row_number().over(Window.partitionBy(*group, "b").orderBy("o", key)) - 1)
-    sizes = placed.groupBy(*group, "b").agg(F.count("*").alias("m"))
-    # Empty buckets are passed over: the next one is the next that holds rows.
-    w_next = Window.partitionBy(*group).orderBy("b")
-    sizes = sizes.withColumn("nb", F.coalesce(F.lead("b").over(w_next), F.first("b").over(w_next))).withColumn("nm", F.coalesce(F.lead("m").over(w_next), F.first("m").over(w_next)))
-    asked = placed.join(sizes.select(*group, "b", "nb", "nm"), [*group, "b"]).withColumn("from", F.pmod("place", "nm"))
-    given = placed.select(*group, F.col("b").alias("nb"), F.col("place").alias("from"), F.col("x").alias("x2"))
-    moved = asked.join(given, [*group, "nb", "from"]).groupBy("block", "repeat", key, "fold", "y").agg(F.round(F.first("score") + F.sum(F.expr("wf * (x2 - x)")), 9).alias("score"))
-    auc = fold_auc(moved, ["block", "repeat"])
+    scored = placed.join(F.broadcast(w), "fold").withColumn("score", sum((F.get("w", F.lit(i)) * F.col(f) for f, i in names.items()), F.lit(0.0)))  # one row a fold
+    used = [f for f in features if any(f in fs for fs in blocks.values())]
+    tries = [F.struct(F.lit(r).alias("repeat"), F.lit(f).alias("feature"), F.lit(101 * r + names[f]).cast("long").alias("seed"), F.col(f).alias("x"), F.get("w", F.lit(names[f])).alias("wf")) for f in used for r in range(repeats)]
+    sides = {name: F.expr(text) for name, text in grid("size")}
+    long = scored.select(key, "fold", "y", "score", "place", "size", F.explode(F.array(*tries)).alias("t")).select(key, "fold", "y", "score", "place", "size", "t.*").withColumns(sides)
+    asked = long.withColumn("from", F.expr(permuted("place", "size", "seed")))
+    given = placed.select("fold", F.col("place").alias("from"), F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("x2")) for f in used])).alias("g")).select("fold", "from", "g.*")
+    moved = asked.join(given, ["fold", "from", "feature"])
+    held = F.array(*[F.struct(F.lit(b).alias("block"), F.array(*map(F.lit, fs)).alias("fs")) for b, fs in blocks.items()])
+    member = moved.select(key, "fold", "y", "score", "repeat", F.expr("wf * (x2 - x)").alias("change"), F.explode(F.filter(held, lambda b: F.array_contains(b["fs"], F.col("feature")))).alias("b"))
+    scores = member.groupBy(F.col("b.block").alias("block"), "repeat", key, "fold", "y").agg(F.round(F.first("score") + F.sum("change"), 9).alias("score"))
+    auc = fold_auc(scores, ["block", "repeat"])
     base = fold_auc(scored.select("fold", "y", F.round("score", 9).alias("score")), []).select(F.col("auc").alias("base"))
     return auc.crossJoin(F.broadcast(base)).groupBy("block").agg(F.avg(F.col("base") - F.col("auc")).alias("auc_drop"), F.count("*").alias("repeats"))  # one row
 

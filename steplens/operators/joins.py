@@ -77,6 +77,32 @@ def drawn(draw: str, slot: str, seed: int = 1) -> str:
     return mixed(f"{draw} * 7919 + {slot} * 104729 + {seed} * 15485863")
 
 
+#: Rounds of a keyed permutation between two looks at whether it has come back into its range, and looks at most.
+_ROUNDS, _LOOKS = 6, 16
+
+
+def permuted(place: str, size: str, seed: str, duck: bool = False) -> str:
+    """SQL text, for Spark or for DuckDB, of the place from 0 to ``size`` - 1 that a keyed permutation of these places gives ``place``.
+
+    A Feistel network over the cells of a grid of ``_grid_a`` rows and ``_grid_b`` columns, the least one of about equal sides that has
+    ``size`` cells, walked on from cells beyond ``size``; ``grid`` gives the sides as columns. A walk that has ended is kept as a
+    number below 0."""
+    low, high = "x % _grid_b", "x // _grid_b" if duck else "x div _grid_b"
+    push = lambda v: mixed(f"({v}) * 31 + r % {_ROUNDS} * 7919 + {seed} * 104729", 1)
+    even, odd = f"(({high}) + {push(low)}) % _grid_a * _grid_b + {low}", f"({high}) * _grid_b + ({low} + {push(high)}) % _grid_b"
+    step = f"CASE WHEN x < 0 THEN x WHEN r % {_ROUNDS} = 0 AND r > 0 AND x < {size} THEN -x - 1 WHEN r % 2 = 0 THEN {even} ELSE {odd} END"
+    last = _ROUNDS * _LOOKS
+    if duck:
+        return f"(-1 - list_reduce(list_prepend(cast({place} as bigint), range(0, {last + 1})), lambda x, r: {step}))"
+    return f"aggregate(sequence(0L, {last}L), CAST({place} AS BIGINT), (x, r) -> {step}, x -> -1 - x)"
+
+
+def grid(size: str) -> list[tuple[str, str]]:
+    """(name, SQL text) of the sides of the grid that ``permuted`` needs, for a column of sizes above 0."""
+    a = f"CAST(ceil(sqrt({size})) AS BIGINT)"
+    return [("_grid_a", a), ("_grid_b", f"CAST(ceil({size} / CAST({a} AS DOUBLE)) AS BIGINT)")]
+
+
 def draw_weights(spark, draws: int, slots: list[int], seed: int = 1) -> DataFrame:
     """(draw, step, weight): how often each step is drawn with replacement, as many as there are. One row for each draw and
     step drawn."""

@@ -74,14 +74,20 @@ def reached(edges: str, ranges: int, value: str) -> Column:
     return F.aggregate(steps, F.lit(0), lambda i, s: i + F.when(F.get(edges, i + s - 1) <= F.col(value), s).otherwise(F.lit(0)))
 
 
-def running_by_value(df: DataFrame, by: list[str], value: str, sums: list[str], descending: bool = False, ranges: int = RANGES) -> DataFrame:
+def value_edges(df: DataFrame, by: list[str], value: str, ranges: int = RANGES) -> DataFrame:
+    """(by, _edges): values that cut each group into ranges of about as many rows."""
+    return df.groupBy(*by).agg(F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 4 * ranges).alias("_edges"))
+
+
+def running_by_value(df: DataFrame, by: list[str], value: str, sums: list[str], descending: bool = False, ranges: int = RANGES, edges: DataFrame | None = None) -> DataFrame:
     """``df`` with ``run_`` and ``all_`` of each of ``sums``: its sum in the group of ``by`` over the rows up to this one in the order of
     ``value``, which is distinct in a group, and over the whole group.
 
     A sketch of each group cuts its values into ranges of about as many rows. Totals of ranges are carried from one to the next,
-    and only the rows of a range meet in a window, so a large group is spread over all tasks."""
-    edges = df.groupBy(*by).agg(F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 4 * ranges).alias("_edges"))
-    dealt = keyed_join(df, edges, by).withColumn("_range", reached("_edges", ranges, value)).drop("_edges")
+    and only the rows of a range meet in a window, so a large group is spread over all tasks. ``edges``, one row for all groups, may
+    come from elsewhere where groups are alike."""
+    dealt = keyed_join(df, edges, []) if edges is not None else keyed_join(df, value_edges(df, by, value, ranges), by)
+    dealt = dealt.withColumn("_range", reached("_edges", ranges, value)).drop("_edges")
     order = F.desc if descending else F.asc
     before = Window.partitionBy(*by).orderBy(order("_range")).rowsBetween(Window.unboundedPreceding, -1)
     totals = dealt.groupBy(*by, "_range").agg(*[F.sum(c).alias(f"_sum_{c}") for c in sums])

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from steplens.operators.joins import grid_bin, score_histogram
-from steplens.operators.prefix import quantiles, running_by_value
+from steplens.operators.prefix import quantiles, running_by_value, value_edges
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -27,11 +27,11 @@ def rates(counts: DataFrame) -> DataFrame:
     return counts.withColumn("precision", ratio(tp, tp + fp)).withColumn("recall", ratio(tp, tp + fn)).withColumn("f1", ratio(2 * tp, 2 * tp + fp + fn))
 
 
-def cumulative_curve(histogram: DataFrame, by: list[str] | None = None) -> DataFrame:
+def cumulative_curve(histogram: DataFrame, by: list[str] | None = None, edges: DataFrame | None = None) -> DataFrame:
     """tp and alerts at each distinct score from the highest down, with the totals. Score ranges of a group are summed apart and
     carried, so that no window holds more than a range."""
     by = by or []
-    curve = running_by_value(histogram.select(*by, "score", "n", "pos"), by, "score", ["pos", "n"], descending=True)
+    curve = running_by_value(histogram.select(*by, "score", "n", "pos"), by, "score", ["pos", "n"], descending=True, edges=edges)
     return curve.select(*by, "score", "n", "pos", F.col("run_pos").alias("tp"), F.col("run_n").alias("alerts"), F.col("all_pos").alias("p"), F.col("all_n").alias("total"))
 
 
@@ -141,9 +141,11 @@ def weighted_histogram(by_step: DataFrame, weights: DataFrame, draw: str = "draw
     return by_step.join(weights, step).groupBy(draw, "score").agg(F.sum(F.expr("weight * n")).alias("n"), F.sum(F.expr("weight * pos")).alias("pos"))
 
 
-def draw_metrics(h: DataFrame, tau: float = 0.435, draw: str = "draw") -> DataFrame:
-    """AP, AUC and F1 at a threshold of each draw's histogram: one pass over a curve."""
-    curve = cumulative_curve(h, [draw]).withColumn("_neg", F.col("n") - F.col("pos"))
+def draw_metrics(h: DataFrame, tau: float = 0.435, draw: str = "draw", source: DataFrame | None = None) -> DataFrame:
+    """AP, AUC and F1 at a threshold of each draw's histogram: one pass over a curve. ``source`` is the histogram that was drawn from;
+    its score ranges serve all draws."""
+    edges = None if source is None else value_edges(source, [], "score")
+    curve = cumulative_curve(h, [draw], edges).withColumn("_neg", F.col("n") - F.col("pos"))
     below = (F.col("total") - F.col("alerts")) - (F.col("p") - F.col("tp"))  # negatives of lower scores
     gain = F.when(F.col("p") > 0, F.col("pos") / F.col("p") * F.col("tp") / F.col("alerts"))
     hit = F.col("score") >= tau

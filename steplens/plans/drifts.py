@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from steplens.operators import drift as D
 from steplens.operators import discriminant, monitor, profile
-from steplens.operators.joins import mixed
+from steplens.operators.joins import grid, permuted
 from steplens.plans.profiles import rounded, sql_unpivot
 from steplens.plans.registry import query
 from steplens.sources.tables import Tables
@@ -261,42 +261,53 @@ def in_window_cv_ap(t: Tables) -> DataFrame:
 
 _BLOCKS = {**{f: [f] for f in _X[:4]}, "f0+f1": ["f0", "f1"]}
 _REPEATS = 3
-_TRIES = ", ".join(f"('{b}', {r}, '{f}', {101 * r + i})" for b, fs in _BLOCKS.items() for i, f in enumerate(_X[:4]) if f in fs for r in range(_REPEATS))
-_GRP = "block, repeat, feature, fold"
 
 
-@query("permutation_auc_drop", f"""with {disc_sql("pm", _SIDED.format(", ".join(_X[:4]), ""), "", _X[:4])}, {auc_sql("pb", "pm", "")}, tr as (select block, repeat, feature, seed::bigint seed from (values {_TRIES}) v(block, repeat, feature, seed)),
-    pl as (select *, o % 64 b from (select vec_id, fold, y, raw, block, repeat, feature, case feature {" ".join(f"when '{f}' then {f}" for f in _X[:4])} end x, case feature {" ".join(f"when '{f}' then w_{f}" for f in _X[:4])} end wf, {mixed("vec_id * 64 + seed * 15485863")} o from pm, tr)),
-    pp as (select *, row_number() over (partition by {_GRP}, b order by o, vec_id) - 1 place from pl), ps as (select {_GRP}, b, count(*) m from pp group by all),
-    pn as (select {_GRP}, b, coalesce(lead(b) over w, first(b) over w) nb, coalesce(lead(m) over w, first(m) over w) nm from ps window w as (partition by {_GRP} order by b)),
-    mv as (select a.block, a.repeat, a.vec_id, a.fold, a.y, round(first(a.raw) + sum(a.wf * (g.x - a.x)), 9) score from pp a join pn n using ({_GRP}, b) join pp g on g.block = a.block and g.repeat = a.repeat and g.feature = a.feature and g.fold = a.fold and g.b = n.nb and g.place = a.place % n.nm group by 1, 2, 3, 4, 5),
-    {auc_sql("pa", "mv", "block, repeat")} select block, round(avg(pb.auc - pa.auc), 6) auc_drop, count(*) repeats from pa, pb group by block""")
+def drop_sql(name: str, rows: str, features: list[str], blocks: dict[str, list[str]], repeats: int) -> str:
+    """CTE ``name`` (block, auc_drop, repeats) of rows (vec_id, y, features)."""
+    used = [f for f in features if any(f in fs for fs in blocks.values())]
+    tries = ", ".join(f"({r}, '{f}', {101 * r + features.index(f)})" for f in used for r in range(repeats))
+    held = ", ".join(f"('{b}', '{f}')" for b, fs in blocks.items() for f in fs)
+    value = lambda c: "case feature " + " ".join(f"when '{f}' then {c}{f}" for f in used) + " end"
+    sides = ", ".join(f"{text} {side}" for side, text in grid("size"))
+    return f"""{disc_sql(name + "d", rows, "", features)}, {auc_sql(name + "b", name + "d", "")}, {name}t as (select r as repeat, feature, seed::bigint seed from (values {tries}) v(r, feature, seed)), {name}h as (select * from (values {held}) v(block, feature)),
+    {name}p as (select *, row_number() over (partition by fold order by vec_id) - 1 place, count(*) over (partition by fold) size from {name}d), {name}g as (select *, {sides} from {name}p),
+    {name}a as (select vec_id, fold, y, raw, repeat, feature, {value("")} x, {value("w_")} wf, {permuted("place", "size", "seed", duck=True)} target from {name}g, {name}t),
+    {name}m as (select a.vec_id, a.fold, a.y, a.repeat, block, round(first(a.raw) + sum(a.wf * ({value("g.").replace("feature", "a.feature")} - a.x)), 9) score from {name}a a join {name}g g on g.fold = a.fold and g.place = a.target join {name}h h on h.feature = a.feature group by all),
+    {auc_sql(name + "c", name + "m", "block, repeat")}, {name} as (select block, avg({name}b.auc - {name}c.auc) auc_drop, count(*) repeats from {name}c, {name}b group by block)"""
+
+
+@query("permutation_auc_drop", f"""with {drop_sql("pd", _SIDED.format(", ".join(_X[:4]), ""), _X[:4], _BLOCKS, _REPEATS)} select block, round(auc_drop, 6) auc_drop, repeats from pd""")
 def permutation_auc_drop(t: Tables) -> DataFrame:
     return rounded(discriminant.permutation_auc_drop(t.vec.withColumn("y", F.col("side").cast("int")), _X[:4], _BLOCKS, "vec_id", FOLDS, _REPEATS), ["auc_drop"])
 
 
-_IMP = f"a as (select feature, round(var_pop(value), 4) importance from u group by 1), b as (select feature, round(abs(avg(value)), 4) importance from u group by 1)"
+_ONES = {f: [f] for f in _X}
+_SIDES = {"a": "step <= 34", "b": "step >= 35"}
+_IMP = ", ".join(f"""{drop_sql("i" + n, _SIDED.format(", ".join(_X), "where " + w), _X, _ONES, 1)}, {n} as (select block feature, round(greatest(auc_drop, 0), 4) importance from i{n})""" for n, w in _SIDES.items())
 
 
 def importances(t: Tables) -> tuple[DataFrame, DataFrame]:
-    by = long(t).groupBy("feature")
-    return by.agg(F.round(F.var_pop("value"), 4).alias("importance")), by.agg(F.round(F.abs(F.avg("value")), 4).alias("importance"))
+    """What each feature is worth before and after the reference ends: the loss of AUC when it is shuffled, 0 where there is none."""
+    rows = t.vec.withColumn("y", F.col("side").cast("int"))
+    drops = (discriminant.permutation_auc_drop(rows.where(w), _X, _ONES, "vec_id", FOLDS, 1) for w in _SIDES.values())
+    return tuple(d.select(F.col("block").alias("feature"), F.round(F.greatest("auc_drop", F.lit(0.0)), 4).alias("importance")) for d in drops)
 
 
-@query("share_concentration", f"""with {_U}, {_IMP}, k as (select importance v, row_number() over (order by importance desc, feature) r, row_number() over (order by importance, feature) up from a)
+@query("share_concentration", f"""with {_IMP}, k as (select importance v, row_number() over (order by importance desc, feature) r, row_number() over (order by importance, feature) up from a)
     select round(2 * sum(up * v) / (count(*) * sum(v)) - (count(*) + 1) / count(*), 6) gini, """ + ", ".join(f"round(sum(case when r <= {k} then v else 0 end) / sum(v), 6) top{k}" for k in (1, 3, 5, 10)) + " from k")
 def share_concentration(t: Tables) -> DataFrame:
     return rounded(D.share_concentration(importances(t)[0], "importance", "feature"), ["gini", "top1", "top3", "top5", "top10"])
 
 
-@query("importance_compare", f"""with {_U}, {_IMP}, j as (select feature, a.importance a, b.importance b, row_number() over (order by a.importance desc, feature) ra, row_number() over (order by b.importance desc, feature) rb from a join b using (feature)),
+@query("importance_compare", f"""with {_IMP}, j as (select feature, a.importance a, b.importance b, row_number() over (order by a.importance desc, feature) ra, row_number() over (order by b.importance desc, feature) rb from a join b using (feature)),
     m as (select quantile_cont(a, 0.5) ma, quantile_cont(b, 0.5) mb from j)
     select feature, a, b, ra rank_a, rb rank_b, round(case when b > 0 then a / b end, 6) ratio, case when a >= ma then 'high' else 'low' end || '/' || case when b >= mb then 'high' else 'low' end quadrant, case when abs(ra - rb) <= 1 then 'agree' when abs(ra - rb) <= 3 then 'close' else 'differ' end agreement from j, m""")
 def importance_compare(t: Tables) -> DataFrame:
     return rounded(D.importance_compare(*importances(t)), ["ratio"])
 
 
-@query("importance_kendall", f"with {_U}, {_IMP}, j as (select feature, a.importance x, b.importance y from a join b using (feature)) select round(sum(sign(p.x - q.x) * sign(p.y - q.y)) / sqrt(sum(abs(sign(p.x - q.x))) * sum(abs(sign(p.y - q.y)))), 6) tau from j p join j q on p.feature < q.feature")
+@query("importance_kendall", f"with {_IMP}, j as (select feature, a.importance x, b.importance y from a join b using (feature)) select round(sum(sign(p.x - q.x) * sign(p.y - q.y)) / nullif(sqrt(sum(abs(sign(p.x - q.x))) * sum(abs(sign(p.y - q.y)))), 0), 6) tau from j p join j q on p.feature < q.feature")
 def importance_kendall(t: Tables) -> DataFrame:
     a, b = importances(t)
     return rounded(D.kendall(a.join(b.withColumnRenamed("importance", "other"), "feature"), "importance", "other", "feature"), ["tau"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from steplens.operators import joins, profile, rows
+from steplens.operators import joins, profile, resampling, rows
 from steplens.operators import ranking as R
 from steplens.plans.joins import DRAWS, DRAWS_SQL
 from steplens.plans.profiles import rounded
@@ -176,7 +176,7 @@ def draws(t: Tables, alt: bool = False) -> DataFrame:
     score = "CASE WHEN tx_id % 3 = 0 THEN score ELSE score / CAST(2 AS DOUBLE) END" if alt else "score"
     late = t.tx.where("step >= 35").select("step", "y", F.expr(score).alias("score"))
     h = joins.score_histogram(late, "score", "y", ["step"])
-    return R.draw_metrics(R.weighted_histogram(h, joins.draw_weights(t.spark, DRAWS, list(range(35, 50)))))
+    return R.draw_metrics(R.weighted_histogram(h, joins.draw_weights(t.spark, DRAWS, list(range(35, 50)))), source=h)
 
 
 _F1D = "2 * sum(case when s >= 0.435 then pos else 0 end) / (sum(case when s >= 0.435 then n else 0 end) + max(p))"
@@ -203,10 +203,18 @@ _ROWS = f"""lb as (select step, score, y, row_number() over (partition by step o
     rw as (select draw, score sc, y, count(*) weight from pk join lb using (step, place) group by 1, 2, 3)"""
 
 
-@query("row_bootstrap", f"with {_ROWS}, {curve_sql('draw', 'rw', 'sc', 'true', 'sum(weight)', 'sum(weight * y)')}, d as ({_DRAW}) select count(*) draws, {quantiles_sql(('ap', 'auc', 'f1'))} from d")
+@query("row_bootstrap")
 def row_bootstrap(t: Tables) -> DataFrame:
+    """Intervals over 1,000 draws of as many rows of each step as it has; numpy draws, so no SQL repeats it."""
     h = joins.score_histogram(t.tx.where("step >= 35"), "score", "y", ["step"])
-    return rounded_intervals(R.intervals(R.draw_metrics(joins.row_draws(h, _ROW_DRAWS)), ["ap", "auc", "f1"]))
+    return rounded_intervals(R.intervals(R.draw_metrics(resampling.row_draws(h, DRAWS), source=h), ["ap", "auc", "f1"]))
+
+
+@query("row_bootstrap_picks", f"with {_ROWS}, {curve_sql('draw', 'rw', 'sc', 'true', 'sum(weight)', 'sum(weight * y)')}, d as ({_DRAW}) select count(*) draws, {quantiles_sql(('ap', 'auc', 'f1'))} from d")
+def row_bootstrap_picks(t: Tables) -> DataFrame:
+    """The same of fewer draws that pick row by row, in whole numbers that SQL repeats."""
+    h = joins.score_histogram(t.tx.where("step >= 35"), "score", "y", ["step"])
+    return rounded_intervals(R.intervals(R.draw_metrics(joins.row_draws(h, _ROW_DRAWS), source=h), ["ap", "auc", "f1"]))
 
 
 @query("paired_delta", f"""with {curve_sql('draw', _boot(), 'sc', 'true', 'sum(weight)', 'sum(weight * y)')}, d1 as (select draw, {AP} a from cu group by draw),

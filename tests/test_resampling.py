@@ -60,3 +60,44 @@ def test_metrics_of_draws_agree_with_the_single_ones(spark):
     assert got["ap"] == pytest.approx(ranking.average_precision(df).first()["ap"])
     assert got["auc"] == pytest.approx(ranking.roc_auc(df).first()["auc"])
     assert got["f1"] == pytest.approx(ranking.confusion(df).first()["f1"])
+
+
+@pytest.mark.parametrize("block", [2, 2048])
+def test_counts_of_draws_have_the_moments_of_a_multinomial(spark, block):
+    from steplens.operators.resampling import row_counts
+
+    runs = [(1, 0.9, 4, 3), (1, 0.5, 20, 0), (1, 0.1, 36, 2), (2, 0.5, 10, 10), (2, 0.7, 1, 0)] + [(3, s / 100, 5, s % 6) for s in range(40)]
+    h = spark.createDataFrame(runs, "step int, score double, n long, pos long")
+    rows = row_counts(h, 1500, block_scores=block).collect()
+    again = row_counts(h.repartition(3), 1500, block_scores=block).collect()
+    assert sorted(map(str, rows)) == sorted(map(str, again))
+    by = {(r["draw"], r["step"], r["score"]): (r["n"], r["pos"]) for r in rows}
+    n = np.array([[by.get((d, s, x), (0, 0))[0] for s, x, _, _ in runs] for d in range(1500)])
+    pos = np.array([[by.get((d, s, x), (0, 0))[1] for s, x, _, _ in runs] for d in range(1500)])
+    step = np.array([r[0] for r in runs])
+    for s in (1, 2, 3):
+        assert (n[:, step == s].sum(axis=1) == sum(r[2] for r in runs if r[0] == s)).all()
+    assert (pos <= n).all()
+    total = np.array([sum(r[2] for r in runs if r[0] == s) for s in step])
+    for got, m in ((n, np.array([r[2] for r in runs])), (pos, np.array([r[3] for r in runs]))):
+        var = m * (1 - m / total)
+        assert (np.abs(got.mean(axis=0) - m) < 4.5 * np.sqrt(var / 1500) + 1e-9).all()
+        assert (np.abs(got.var(axis=0) - var) < 0.3 * var + 1e-9).all()
+    link = np.corrcoef(n[:, 0], n[:, 2])[0, 1]  # scores of one step share its rows
+    assert link == pytest.approx(-np.sqrt(4 * 36 / (56 * 24)), abs=0.1)
+
+
+def test_keyed_permutations_are_bijections(spark):
+    from pyspark.sql import functions as F
+
+    sizes = [*range(1, 60), 97, 100, 1000, 1023, 1025]
+    df = spark.createDataFrame([(n, s) for n in sizes for s in (0, 1, 77)], "size long, seed long").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1)).alias("place"))
+    df = df.withColumns({name: F.expr(text) for name, text in joins.grid("size")}).withColumn("to", F.expr(joins.permuted("place", "size", "seed")))
+    got = {}
+    for r in df.collect():
+        got.setdefault((r["size"], r["seed"]), {})[r["place"]] = r["to"]
+    assert all(sorted(p.values()) == list(range(n)) for (n, _), p in got.items())
+    assert got[1000, 1] != got[1000, 77]
+    for n, s in ((1000, 1), (1025, 77)):
+        p = np.array([got[n, s][i] for i in range(n)])
+        assert abs(np.corrcoef(np.arange(n), p)[0, 1]) < 0.15 and np.mean(p == np.arange(n)) < 0.02 and abs(np.corrcoef(p[:-1], p[1:])[0, 1]) < 0.15
