@@ -11,17 +11,32 @@ def join_scores(base: DataFrame, scores: DataFrame, key: str = "tx_id", truth: s
     return base.join(scores, key, "left").withColumn("agrees", F.col(truth).eqNullSafe(F.col(saved_truth)))
 
 
-def asof_prior_snapshot(events: DataFrame, snapshots: DataFrame, key: str, step: str, value: str, order: list[str]) -> DataFrame:
+#: Steps of one key that one window holds; what lies before them is carried.
+SEGMENT = 64
+
+
+def asof_prior_snapshot(events: DataFrame, snapshots: DataFrame, key: str, step: str, value: str, order: list[str] | None = None, segment: int = SEGMENT) -> DataFrame:
     """``events`` with the value and step of the latest snapshot of their key strictly before their own step.
 
-    Both sides go through one shuffle; at equal steps events come before snapshots, so a snapshot of the same step is
-    never seen. Snapshots of one key and step are taken as equal, the largest value otherwise. No history gives nulls.
-    """
-    e = events.withColumn("_value", F.lit(None).cast(snapshots.schema[value].dataType)).withColumn("_snap", F.lit(None).cast("int")).withColumn("_side", F.lit(0))
-    s = snapshots.select(*[F.lit(None).cast(f.dataType).alias(f.name) if f.name not in (key, step) else F.col(f.name) for f in events.schema.fields], F.col(value).alias("_value"), F.col(step).cast("int").alias("_snap"), F.lit(1).alias("_side"))
-    w = Window.partitionBy(key).orderBy(step, "_side", "_value", *order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    seen = e.unionByName(s).withColumn("prior_value", F.last("_value", True).over(w)).withColumn("prior_step", F.last("_snap", True).over(w))
-    return seen.where("_side = 0").drop("_value", "_snap", "_side")
+    Events of one key and step have one answer, so keys and steps meet first: both sides shrink to their distinct ones before any
+    shuffle, and keys are cut into segments of steps. A segment begins with the last snapshot of those before it, carried in a table of
+    segments; inside it a window runs over its steps. So an address that holds half of all rows is no larger than its steps, and
+    its rows are spread as they get their answers. At equal steps events come before snapshots. Snapshots of one key and step are
+    taken as equal, the largest value otherwise. No history gives nulls. ``order`` is of no account."""
+    cut = F.floor(F.col("_step") / segment).alias("_seg")
+    own = snapshots.select(F.col(key).alias("_key"), F.col(step).cast("long").alias("_step"), F.col(value).alias("_v"))
+    s = own.groupBy("_key", "_step").agg(F.max("_v").alias("_v")).select("_key", "_step", cut, F.struct(F.col("_step").alias("at"), "_v").alias("snap"), F.lit(1).alias("side"))
+    asked = events.select(F.col(key).alias("_key"), F.col(step).cast("long").alias("_step")).distinct()
+    both = s.unionByName(asked.select("_key", "_step", cut, F.lit(None).cast(s.schema["snap"].dataType).alias("snap"), F.lit(0).alias("side")))
+    ends = both.groupBy("_key", "_seg").agg(F.max(F.when(F.col("snap").isNotNull(), F.col("snap"))).alias("last"))
+    before = F.last("last", True).over(Window.partitionBy("_key").orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1))
+    carried = ends.select(F.col("_key").alias("_k"), F.col("_seg").alias("_s"), before.alias("carried"))
+    within = Window.partitionBy("_key", "_seg").orderBy("_step", "side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = both.withColumn("snap", F.last("snap", True).over(within)).where("side = 0")
+    found = seen.join(carried, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_seg") == F.col("_s")))
+    found = found.select("_key", "_step", F.coalesce("snap", "carried").alias("_snap"))
+    joined = events.join(found, events[key].eqNullSafe(found["_key"]) & events[step].cast("long").eqNullSafe(found["_step"]), "left")
+    return joined.select(*[events[c] for c in events.columns], F.col("_snap._v").alias("prior_value"), F.col("_snap.at").cast("int").alias("prior_step"))
 
 
 def bridge(membership: DataFrame, steps: DataFrame, tx: str = "tx_id", address: str = "address", step: str = "step", cut: int | None = None) -> DataFrame:

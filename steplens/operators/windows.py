@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from steplens.operators.prefix import ranged
+from steplens.sources.scratch import materialise
+
 
 def rolling_prevalence(counts: DataFrame, lag: int, width: int, step: str = "step", pos: str = "positive", n: str = "labelled") -> DataFrame:
     """Positive over labelled rows of the steps in (t - lag - width, t - lag]: a range of step values, so gaps count."""
@@ -22,9 +25,20 @@ def last_n_eligible(decisions: DataFrame, steps: DataFrame, n: int, lag: int, st
 
 
 def lag_k(df: DataFrame, key: str, order: list[str], value: str, ks: list[int]) -> DataFrame:
-    """The k-th previous value of the key for each k."""
-    w = Window.partitionBy(key).orderBy(*order)
-    return df.withColumns({f"{value}_lag{k}": F.lag(value, k).over(w) for k in ks})
+    """The k-th previous value of the key for each k. Rows are cut into ranges of the order of key and ``order``, and the last rows
+    before a range come along with it, so a key of very many rows is spread over all ranges."""
+    far = max(ks)
+    written = ranged(df, F.col(key).asc_nulls_first(), *[F.col(c) for c in order], name="lags")
+    spans = written.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    spans = materialise(spans.select("_range", "_n", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_start")), "lag-ranges")  # one row a range
+    s = F.broadcast(spans)
+    tails = written.join(s, "_range").where(F.col("_row") >= F.col("_n") - far).withColumn("_at", F.col("_start") + F.col("_row"))
+    later = F.broadcast(spans.select(F.col("_range").alias("_r"), F.col("_start").alias("_s")))
+    ghosts = tails.join(later, (F.col("_s") > F.col("_at")) & (F.col("_s") <= F.col("_at") + far))
+    ghosts = ghosts.select(*[F.col(c) for c in df.columns], F.col("_r").alias("_range"), (F.col("_at") - F.col("_s")).alias("_row"))
+    w = Window.partitionBy("_range", key).orderBy("_row")
+    both = written.select(*df.columns, "_range", "_row").unionByName(ghosts)
+    return both.withColumns({f"{value}_lag{k}": F.lag(value, k).over(w) for k in ks}).where("_row >= 0").drop("_range", "_row")
 
 
 def step_delta(per_step: DataFrame, values: list[str], step: str = "step", by: list[str] | None = None) -> DataFrame:
