@@ -41,11 +41,15 @@ def stream_label_join(t: Tables) -> DataFrame:
     return read(t, path, "event_id long, step int, delay long")
 
 
-@query("stream_late_labels", "select event_id, step, step + event_id % 4 arrival_step from ev where event_id % 4 > 1")
+@query("stream_late_labels", "select event_id, step, step + event_id % 4 arrival_step, event_id % 4 > 1 late from ev")
 def stream_late_labels(t: Tables) -> DataFrame:
+    """Labels in time and late ones, which one query writes to a table each, read back."""
     labels = stream(t).selectExpr("event_id", "step", "step + event_id % 4 AS arrival_step")
-    path = S.run_to_end(S.split_late(labels, 1)[1], "late")
-    return read(t, path, "event_id long, step int, arrival_step long")
+    path = S.run_to_end(labels, "late", sink=S.late_label_sinks(1))
+    kind = "event_id long, step int, arrival_step long"
+    both = (t.spark.read.schema(kind).option("recursiveFileLookup", True).parquet(f"{path}/{n}").withColumn("late", F.lit(n == "late")) for n in ("in_time", "late"))
+    first, second = both
+    return first.unionByName(second)
 
 
 @query("stream_score_psi", """with b as (select step, least(floor(score * 5), 4) bin, count(*) n from ev group by 1, 2), g as (select distinct step, unnest(range(5)) bin from ev where step > 10), q as (select bin, sum(n) / (select sum(n) from b where step <= 10) q from b where step <= 10 group by 1),
@@ -53,11 +57,11 @@ def stream_late_labels(t: Tables) -> DataFrame:
     select step, round(sum((p - q) * ln(p / q)), 6) psi from p group by step""")
 def stream_score_psi(t: Tables) -> DataFrame:
     bins = F.least(F.floor(F.col("score") * 5), F.lit(4)).cast("int")
-    reference = t.ev.where("step <= 10").groupBy(bins.alias("bin")).agg(F.count("*").alias("r"))
-    total = reference.agg(F.sum("r")).first()[0] or 1
-    reference = reference.select("bin", (F.col("r") / total).alias("q"))
+    base = S.new_base(t.spark, "psi")
+    kept = S.reference_shares(t.ev.where("step <= 10"), bins, f"{base}/reference")
 
-    def write(batch: DataFrame, path: str) -> None:
+    def write(batch: DataFrame, path: str, epoch: int) -> None:
+        reference = batch.sparkSession.read.schema("bin int, q double").parquet(kept)  # five bins
         late = batch.where("step > 10")
         sums = late.groupBy("step").agg(F.sum("n").alias("total"))
         grid = sums.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(4))))
@@ -65,23 +69,22 @@ def stream_score_psi(t: Tables) -> DataFrame:
         p, q = F.greatest(ratio(F.coalesce("n", F.lit(0)), F.col("total")), F.lit(1e-4)), F.greatest(F.coalesce("q", F.lit(0.0)), F.lit(1e-4))
         full.groupBy("step").agg(F.round(F.sum((p - q) * F.ln(p / q)), 6).alias("psi")).write.mode("overwrite").parquet(path)
 
-    path = S.run_to_end(S.score_histogram_stream(stream(t), bins), "psi", "complete", sink=write)
+    path = S.run_to_end(S.score_histogram_stream(stream(t), bins), "psi", "complete", sink=write, base=base)
     return read(t, path, "step int, psi double")
 
 
 @query("stream_trigger_state", """with d as (select event_type, step, hit, sum(case when hit then 0 else 1 end) over (partition by event_type order by step) g from (select event_type, 1 + date_diff('day', date '2024-01-01', cast(ts as date)) step, avg(value) > 100 hit from events group by 1, 2))
     select event_type, step, sum(case when hit then 1 else 0 end) over (partition by event_type, g order by step)::bigint streak from d""")
 def stream_trigger_state(t: Tables) -> DataFrame:
+    """Streaks by typed state and timers; a row of no monitor from long after the end lets the last steps pass the watermark."""
     raw = t.raw("events").selectExpr("event_type", _STEP, "value")
-    stats = raw.groupBy("event_type", "step").agg((F.avg("value") > 100).alias("hit"))
-    import uuid
-
-    from steplens.sources.scratch import shared_dir
-
-    path = f"{shared_dir(t.spark).rstrip('/')}/steplens-stats-{uuid.uuid4().hex}"
-    stats.write.parquet(path)
-    source = t.spark.readStream.schema("event_type string, step int, hit boolean").parquet(path)
-    out = S.run_to_end(S.trigger_streaks(source, "event_type", "step", "hit"), "streaks")
+    end = F.expr("CAST(DATE '2024-01-01' AS TIMESTAMP) + make_dt_interval(step)").alias("end_ts")
+    stats = raw.groupBy("event_type", "step").agg((F.avg("value") > 100).alias("hit")).select("event_type", "step", "hit", end)
+    closing = stats.agg(F.max("step").alias("step"), F.max("end_ts").alias("end_ts")).selectExpr("CAST(NULL AS STRING) AS event_type", "step + 1000 AS step", "false AS hit", "end_ts + INTERVAL 1000 DAYS AS end_ts")
+    base = S.new_base(t.spark, "streaks")
+    stats.unionByName(closing).write.parquet(f"{base}/stats")
+    source = t.spark.readStream.schema("event_type string, step int, hit boolean, end_ts timestamp").parquet(f"{base}/stats")
+    out = S.run_to_end(S.trigger_streaks(source, "event_type", "step", "hit", "end_ts"), "streaks", base=base, rocks=True)
     return read(t, out, "event_type string, step int, streak int").withColumn("streak", F.col("streak").cast("long"))
 
 
