@@ -74,3 +74,17 @@ def sink_prediction_log(t: Tables) -> DataFrame:
     readers.sink_prediction_log(t.tx.where("step > 40").select("tx_id", "step", "score"), path, "v2")
     log = t.spark.read.schema("logged_at timestamp, model_version string, tx_id long, step int, score double").json(path)
     return log.groupBy("model_version").agg(F.count("*").alias("n"), F.min("tx_id").alias("first_tx"))
+
+
+_RICH = "with c as (select step, count(*) filter (where y = 1) positive from tx group by step), w as (select step from c where positive > (select avg(positive) from c))"
+
+
+@query("scan_step_layout", f"{_RICH} select step, count(*) n, round(sum(price), 2) total from tx where step in (select step from w) group by step")
+def scan_step_layout(t: Tables) -> DataFrame:
+    """Transactions laid out by step, of which only the folders of steps with more positives than the mean are read."""
+    path = _fresh(t, "by_step")
+    readers.sink_by_step(t.tx.select("tx_id", "step", "price"), path)
+    counts = t.tx.groupBy("step").agg(F.count_if(F.col("y") == 1).alias("positive"))
+    wanted = counts.crossJoin(F.broadcast(counts.agg(F.avg("positive").alias("mean")))).where("positive > mean")  # one row
+    laid = t.spark.read.schema("tx_id long, price double, step int").parquet(path)
+    return readers.scan_steps(laid, wanted).groupBy("step").agg(F.count("*").alias("n"), F.round(F.sum("price"), 2).alias("total"))

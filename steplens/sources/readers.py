@@ -67,3 +67,15 @@ def prediction_log(scored: DataFrame, version: str = "v1") -> DataFrame:
 
 def sink_prediction_log(scored: DataFrame, path: str, version: str = "v1") -> None:
     prediction_log(scored, version).write.mode("append").json(path)
+
+
+def sink_by_step(df: DataFrame, path: str, step: str = "step", mode: str = "errorifexists") -> None:
+    """A folder for each step. Rows are dealt by step first, so a step has few files; Spark splits a step that holds very many rows and
+    joins small ones, so no task writes a hot step alone."""
+    df.hint("rebalance", F.col(step)).write.mode(mode).partitionBy(step).parquet(path)
+
+
+def scan_steps(laid: DataFrame, wanted: DataFrame, step: str = "step") -> DataFrame:
+    """Rows of a table laid out by step whose step is among the ``wanted``, a table of steps that may itself be the outcome of a query: its
+    steps prune the folders before any file is opened."""
+    return laid.join(F.broadcast(wanted.select(step).distinct()), step, "left_semi")  # one row a step
