@@ -4,10 +4,12 @@ forms over moments of steps, so every one of them comes out of one pass over the
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from steplens.operators import ranking
+from steplens.operators import newton, ranking
 from steplens.operators.joins import score_histogram
 from steplens.operators.models import choose_holdout
 from steplens.sources.scratch import small
@@ -30,9 +32,10 @@ def plan_uses(plan: DataFrame, counts: DataFrame, least: int = 40, low: int = 2,
     return out.withColumn("fit_last", fit_last.cast("int")).withColumn("holdout", F.col("last") - F.col("fit_last"))
 
 
-def models(uses: DataFrame, moments: DataFrame, features: list[str], last: str, half_life: float, step: str = "step") -> DataFrame:
+def models(uses: DataFrame, moments: DataFrame, features: list[str], last: str, half_life: float, step: str = "step", dropped: Sequence[str] = ()) -> DataFrame:
     """(policy, lag, t, w, c): weights and constant of the model of steps first..``last`` of each use; steps weigh 0.5 **
-    (age / half-life) where the policy is weighted. Both classes weigh the same. Null where one class is missing."""
+    (age / half-life) where the policy is weighted. Both classes weigh the same. Null where one class is missing. Uses that are
+    ``ablated`` give the ``dropped`` features no weight, which is the model without them, as no weight depends on another's."""
     own = uses.join(moments, F.col(step).between(F.col("first"), F.col(last)))
     a = F.when(F.col("weighted"), F.pow(F.lit(0.5), (F.col(last) - F.col(step)) / F.lit(half_life))).otherwise(F.lit(1.0))
     own = own.withColumns({"_a1": a * F.col("n1"), "_a0": a * F.col("n0")})
@@ -44,11 +47,13 @@ def models(uses: DataFrame, moments: DataFrame, features: list[str], last: str,
         return F.sum(F.col(f"_a{i}") * (F.coalesce(f"v{i}_{x}", F.lit(0.0)) + F.pow(F.coalesce(f"m{i}_{x}", F.lit(0.0)), 2)))
 
     cells = [c for x in features for c in (mean(x, 1).alias(f"_m1_{x}"), mean(x, 0).alias(f"_m0_{x}"), square(x, 1).alias(f"_s1_{x}"), square(x, 0).alias(f"_s0_{x}"))]
-    sums = own.groupBy("policy", "lag", "t").agg(F.sum("_a1").alias("_n1"), F.sum("_a0").alias("_n0"), *cells).where("_n1 > 0 and _n0 > 0")
+    ablated = F.col("ablated") if dropped else F.lit(False)
+    sums = own.withColumn("_ablated", ablated).groupBy("policy", "lag", "t", "_ablated").agg(F.sum("_a1").alias("_n1"), F.sum("_a0").alias("_n0"), *cells).where("_n1 > 0 and _n0 > 0")
 
     def weight(x: str) -> Column:
         pooled = (F.col(f"_s1_{x}") - F.col("_n1") * F.pow(F.col(f"_m1_{x}"), 2) + F.col(f"_s0_{x}") - F.col("_n0") * F.pow(F.col(f"_m0_{x}"), 2)) / (F.col("_n1") + F.col("_n0"))
-        return F.coalesce(F.when(pooled > 0, (F.col(f"_m1_{x}") - F.col(f"_m0_{x}")) / pooled), F.lit(0.0))
+        kept = (pooled > 0) & ~F.col("_ablated") if x in dropped else pooled > 0
+        return F.coalesce(F.when(kept, (F.col(f"_m1_{x}") - F.col(f"_m0_{x}")) / pooled), F.lit(0.0))
 
     w = F.array(*[weight(x) for x in features])
     middle = F.array(*[(F.col(f"_m1_{x}") + F.col(f"_m0_{x}")) / 2 for x in features])
@@ -56,20 +61,38 @@ def models(uses: DataFrame, moments: DataFrame, features: list[str], last: str,
     return out.select("policy", "lag", "t", "w", (-F.aggregate(F.zip_with("w", "_c", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)).alias("c"))
 
 
+def logistic_models(rows: DataFrame, uses: DataFrame, features: list[str], half_life: float, step: str = "step", y: str = "y") -> tuple[DataFrame, DataFrame]:
+    """The same by logistic regressions, which see how features go together: the models of first..fit_last and of first..last of each
+    use. Windows that several uses share are fitted once, all of them in the same passes."""
+    plan = uses.select("first", "fit_last", "last", "weighted").collect()  # one row a policy, lag and step
+    ends = [(r["first"], last, r["weighted"]) for r in plan for last in (r["fit_last"], r["last"]) if last is not None and last >= r["first"]]
+    fits = small(newton.fit_windows(rows, ends, features, half_life, step, y), "logistic")
+
+    def of(last: str) -> DataFrame:
+        own = fits.select(F.col("first").alias("_f"), F.col("last").alias("_l"), F.col("weighted").alias("_w"), "w", "c")
+        return uses.join(own, (uses["first"] == own["_f"]) & (uses[last] == own["_l"]) & (uses["weighted"] == own["_w"])).select("policy", "lag", "t", "w", "c")
+
+    return of("fit_last"), of("last")
+
+
 def _scored(rows: DataFrame, features: list[str]) -> Column:
     margin = sum((F.get("w", F.lit(i)) * F.col(x) for i, x in enumerate(features)), F.col("c"))
     return F.round(1 / (1 + F.exp(F.least(F.greatest(-margin, F.lit(-500.0)), F.lit(500.0)))), 9)
 
 
-def walk_forward(df: DataFrame, plan: DataFrame, counts: DataFrame, features: list[str], step: str = "step", key: str = "tx_id", y: str = "y", half_life: float = 5.0, least: int = 40, fallback: float = 0.5) -> tuple[DataFrame, DataFrame]:
+def walk_forward(df: DataFrame, plan: DataFrame, counts: DataFrame, features: list[str], step: str = "step", key: str = "tx_id", y: str = "y", half_life: float = 5.0, least: int = 40, fallback: float = 0.5, logistic: bool = False, dropped: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """(scored, uses). ``scored``: (policy, lag, step, key, y, score), every step of the plan scored by the model fitted anew on
     all arrived labels of its range. ``uses``: one row a model, with first, last, fit_last, holdout, tau, the threshold of
-    best F1 on the hold-out under the model that has not seen it, and holdout_ap. ``plan`` and ``counts`` are tables of steps."""
+    best F1 on the hold-out under the model that has not seen it, and holdout_ap. ``plan`` and ``counts`` are tables of steps.
+    Uses that are ``ablated`` in the plan do without the ``dropped`` features, in the same walk. ``logistic`` takes logistic regressions in place of the closed form, which looks at each feature by itself."""
     rows = df.select(key, step, y, *features)
     uses = small(plan_uses(plan.where(F.col("first") <= F.col("last")), counts, least, step=step), "uses")
-    moments = step_moments(rows, features, step, y)
-    fitted = small(models(uses, moments, features, "fit_last", half_life, step), "fitted")
-    again = small(models(uses, moments, features, "last", half_life, step), "refitted")
+    if logistic:
+        fitted, again = logistic_models(rows, uses, features, half_life, step, y)
+    else:
+        moments = step_moments(rows, features, step, y)
+        fitted, again = (models(uses, moments, features, last, half_life, step, dropped) for last in ("fit_last", "last"))
+    fitted, again = small(fitted, "fitted"), small(again, "refitted")
     by = ["policy", "lag", "t"]
     # A table of uses has one row a policy, lag and step.
     held = rows.where(F.col(y).isNotNull()).join(F.broadcast(uses.join(fitted, by).select(*by, "fit_last", "last", "w", "c")), (F.col(step) > F.col("fit_last")) & (F.col(step) <= F.col("last")))

@@ -124,11 +124,8 @@ _WALK = f"""{_USES}, {_FX}, mo as (select step, count(*) filter (where y = 1) n1
 
 
 def walked(t: Tables) -> tuple[DataFrame, DataFrame]:
-    """Scores and uses of all policies; the one without the focal feature is walked by itself."""
-    p, own, c = plan(t), features(t), counts(t)
-    scored, uses = W.walk_forward(own, p.where("NOT ablated"), c, _X)
-    fewer, more = W.walk_forward(own, p.where("ablated"), c, _X[:1])
-    return scored.unionByName(fewer), uses.unionByName(more)
+    """Scores and uses of all policies in one walk; the ablated one does without the focal feature."""
+    return W.walk_forward(features(t), plan(t), counts(t), _X, dropped=_X[1:])
 
 
 @query("walk_forward", f"with {_WALK} select policy, lag, step, first, fit_last, last, tau, round(holdout_ap, 5) holdout_ap, n, pos, round(ap, 5) ap, round(auc, 5) auc, round(f1, 5) f1 from re")
@@ -137,6 +134,13 @@ def walk_forward(t: Tables) -> DataFrame:
     return rounded(found, ["holdout_ap", "ap", "auc", "f1"], 5)
 
 
+@query("walk_forward_logistic")
+def walk_forward_logistic(t: Tables) -> DataFrame:
+    """The policies that keep all features, walked with logistic regressions; no SQL repeats their rounds."""
+    found = W.realised(*W.walk_forward(features(t), plan(t).where("NOT ablated"), counts(t), _X, logistic=True))
+    return rounded(found.select("policy", "lag", "step", "first", "fit_last", "last", "tau", "holdout_ap", "n", "pos", "ap", "auc", "f1"), ["holdout_ap", "ap", "auc", "f1"], 5)
+
+
 @query("holdout_vs_realised", f"with {_WALK}, ok as (select * from re where holdout_ap is not null and ap is not null) select count(*) n, round(case when count(*) >= 3 and count(distinct holdout_ap) > 1 and count(distinct ap) > 1 then corr(holdout_ap, ap) end, 4) r from ok")
 def holdout_vs_realised(t: Tables) -> DataFrame:
     return rounded(W.holdout_vs_realised(W.realised(*walked(t))), ["r"], 4)
