@@ -27,7 +27,7 @@ def measured(x, n_queries=80, k=20):
 def test_fifty_thousand_vectors_without_structure():
     recall, work = measured(np.random.default_rng(1).normal(size=(50_000, 64)))
     print(f"recall {recall:.3f}, share scored {work:.3f}")
-    assert recall >= 0.9 and work < 0.34
+    assert recall >= 0.94 and work < 0.38  # a target of 0.915 scored 0.33 and found 0.95
 
 
 def test_the_share_falls_with_the_size_of_a_table():
@@ -42,4 +42,4 @@ def test_vectors_in_groups_take_less(spread, most):
     x = rng.normal(size=(400, 64))[rng.integers(0, 400, 40_000)] + spread * rng.normal(size=(40_000, 64))
     recall, work = measured(x)
     print(f"recall {recall:.3f}, share scored {work:.3f}")
-    assert recall >= 0.9 and work < most
+    assert recall >= 0.94 and work < most
