@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from steplens.operators.gram import correlations
-from steplens.operators.prefix import quantiles
+from steplens.operators.prefix import positions, quantiles
 from steplens.operators.ranking import auc_of
 from steplens.operators.rows import finite
 
@@ -76,12 +76,9 @@ def early_late_shift(df: DataFrame, columns: list[str], last_early: int = 34, st
 
 
 def systematic_sample(df: DataFrame, key: str, stride: int) -> DataFrame:
-    """Every ``stride``-th row in the order of a unique key. Ranks come from counts of key ranges, not from one sorted task:
-    a row's rank is its rank in its range plus the rows of the ranges below."""
-    ranged = df.withColumn("_range", F.floor(F.col(key) / 4096))
-    below = ranged.groupBy("_range").agg(F.count("*").alias("_n")).withColumn("_below", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    own = ranged.withColumn("_rank", F.row_number().over(Window.partitionBy("_range").orderBy(key)))
-    return own.join(below.select("_range", "_below"), "_range").where((F.col("_below") + F.col("_rank") - 1) % stride == 0).select(*df.columns)
+    """Every ``stride``-th row in the order of a unique key. A row's rank is its place in its range of the order plus the rows of the
+    ranges before it, so no task sees the whole order."""
+    return positions(df, [], [F.col(key)], "_place", "_size", "sample").where(F.col("_place") % stride == 0).select(*df.columns)
 
 
 def sample_quantiles(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from steplens.plans.registry import query
 from steplens.sources import readers
-from steplens.sources.scratch import shared_dir
+from steplens.sources.scratch import folder
 from steplens.sources.tables import Tables
 
 
 def _fresh(t: Tables, name: str) -> str:
-    return f"{shared_dir(t.spark).rstrip('/')}/steplens-{name}-{uuid.uuid4().hex}"
+    return f"{folder(t.spark, name)}/data"
 
 
 @query("scan_typed", "select tx_id, step, cls, price from tx")

@@ -17,14 +17,29 @@ _written: dict[str, list[str | None]] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``. Where that is unset it is set to a temporary one on this machine, deleted at
     the end of the process; a cluster needs a folder that all its machines share, so there it fails."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="steplens-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+        shared = tempfile.mkdtemp(prefix="steplens-")
+        atexit.register(shutil.rmtree, shared, ignore_errors=True)
+        spark.conf.set("spark.checkpoint.dir", shared)
+    return shared
+
+
+def owned(spark: SparkSession, path: str) -> str:
+    """``path``, which the driver deletes when its application ends, wherever it lies: what single queries write has no other owner."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, deleted when the application ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/steplens-{name}-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(place)
+    return owned(spark, path)
 
 
 def materialise(df: DataFrame, name: str = "table") -> DataFrame:
@@ -33,6 +48,7 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/steplens-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    owned(spark, path)
     _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 

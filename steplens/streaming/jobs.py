@@ -3,22 +3,20 @@ one to the end of what its source holds."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from steplens.sources.scratch import shared_dir
-
+from steplens.sources.scratch import folder
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def new_base(spark: SparkSession, name: str) -> str:
     """A folder of its own in the shared one, for a job's output, checkpoints and tables."""
-    return f"{shared_dir(spark).rstrip('/')}/steplens-stream-{name}-{uuid.uuid4().hex}"
+    return folder(spark, f"stream-{name}")
 
 
 def run_to_end(stream: DataFrame, name: str, mode: str = "append", form: str = "parquet", sink: Callable | None = None, base: str | None = None, rocks: bool = False) -> str:
