@@ -21,7 +21,7 @@ from steplens.llm.sentencepiece_codec import SPACE, settings
 from steplens.llm.tokens import IdStore, Runs, end_to_end
 from steplens.sources.scratch import materialise
 
-#: Text bytes that one step aligns, text bytes of a part, which has one table of id pairs, and bytes of the store of ids.
+#: Text bytes that one step aligns, the pieces of a very long text too, text bytes of a part, which has one table of id pairs, and bytes of the store of ids.
 STEP_BYTES, PART_BYTES, STORE_BYTES = 2 << 20, 16 << 20, 128 << 20
 #: Ends of tokens below one document: an end and its document share 64 bits.
 _END_BITS = 31
@@ -215,24 +215,58 @@ def _names(n_a: int, n_b: int) -> pa.Array:
     return pa.array([f"{i}{c}" for i in range(n_a) for c in ",|"] + [f"{i}{c}" for i in range(n_b) for c in (",", ";", "")])
 
 
-def _step(part: pa.RecordBatch, two: Both, with_groups: bool) -> dict:
+def _aligned(texts: pa.Array, two: Both) -> tuple[dict, memoryview, list[tuple[int, int]], tuple[np.ndarray, pa.Array, np.ndarray]]:
+    """Counts of each text, the bytes of all groups as text with each text's span in them, and its id pairs."""
     a, b = two.a, two.b
-    met = Aligned(*two.ids(part.column("text")), a, b)
+    met = Aligned(*two.ids(texts), a, b)
     text, cuts = met.written(len(a.bytes_of), _names(len(a.bytes_of), len(b.bytes_of)))
-    raw = memoryview(text_bytes(text)[0])
-    spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
-    doc, pair, times = met.pairs()
+    counts = {"n_a": met.per_doc(met.at_a), "n_b": met.per_doc(met.at_b), "n_groups": met.per_doc(met.both), "n_links": np.bincount(met.doc.to_numpy(), minlength=met.n)}
+    return counts, memoryview(text_bytes(text)[0]), list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)), met.pairs()
+
+
+def _step(part: pa.RecordBatch, two: Both, with_groups: bool, most: int) -> dict:
+    text = part.column("text")
+    if part.num_rows == 1 and (pc.sum(pc.binary_length(text)).as_py() or 0) > 2 * most:
+        return _long_step(part, two, with_groups, most)
+    counts, raw, spans, (doc, pair, times) = _aligned(text, two)
     coded = pair.dictionary_encode()
-    return {
+    return counts | {
         "doc_id": part.column("doc_id"),
-        "n_a": met.per_doc(met.at_a), "n_b": met.per_doc(met.at_b), "n_groups": met.per_doc(met.both), "n_links": np.bincount(met.doc.to_numpy(), minlength=met.n),
         "sha": pa.array([hashlib.sha256(raw[x:y]).hexdigest() if y > x else "" for x, y in spans], pa.string()),
-        "groups": pa.array([bytes(raw[x:y]).decode() for x, y in spans] if with_groups else [None] * met.n, pa.string()),
-        "first": np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=met.n))]),
+        "groups": pa.array([bytes(raw[x:y]).decode() for x, y in spans] if with_groups else [None] * len(spans), pa.string()),
+        "first": np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(spans)))]),
         "local": coded.indices.to_numpy(), "times": times.astype(np.int32), "pairs": coded.dictionary.to_numpy(),
     }
 
 
+def _long_step(part: pa.RecordBatch, two: Both, with_groups: bool, most: int) -> dict:
+    """The same of one very long text, in pieces between chunks: tokens of both end there, so groups and links never span two pieces."""
+    cut, _ = chunks(pc.binary_join_element_wise(" ", part.column("text"), ""))
+    ends = np.cumsum(pc.binary_length(cut).to_numpy())
+    total, digest, kept, found, seen, at = {}, hashlib.sha256(), [], [], False, 0
+    while at < len(cut):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        piece = pa.array(["".join(cut.slice(at, to - at).to_pylist())[1:]], pa.string())
+        counts, raw, ((x, y),), (_, pair, times) = _aligned(piece, two)
+        if y == x:  # a piece that either does not give back: the text has no tokens
+            total, seen, found, kept = {}, False, [], []
+            break
+        digest.update(b";" * seen + raw[x:y])
+        seen, at = True, to
+        kept.append(bytes(raw[x:y]).decode() if with_groups else "")
+        found.append((pair.to_numpy(), times))
+        total = {c: total.get(c, 0) + n for c, n in counts.items()}
+    pairs, local = np.unique(np.concatenate([np.empty(0, np.int64), *[p for p, _ in found]]), return_inverse=True)
+    times = np.bincount(local, weights=np.concatenate([np.empty(0), *[t for _, t in found]]), minlength=len(pairs))
+    none = np.zeros(1, np.int64)
+    return {c: total.get(c, none) for c in ("n_a", "n_b", "n_groups", "n_links")} | {
+        "doc_id": part.column("doc_id"),
+        "sha": pa.array([digest.hexdigest() if seen else ""], pa.string()),
+        "groups": pa.array([";".join(kept) if with_groups else None], pa.string()),
+        "first": np.array([0, len(pairs)]), "local": np.arange(len(pairs)), "times": times.astype(np.int32), "pairs": pairs,
+    }
+
+
 def _part(steps: list[dict], number: int) -> Iterator[pa.RecordBatch]:
     """Rows of a part: its documents, whose links name places in the part's list of pairs, and the list itself with the documents that hold
     each pair, counted by ``Table.group_by``."""
@@ -261,7 +295,7 @@ def coded(docs: DataFrame, a_path: str, b_path: str, with_groups: bool = False)
         steps, size, number = [], 0, TaskContext.get().partitionId() << 32
         for batch in batches:
             for part in slices(batch, "text", STEP_BYTES):
-                steps.append(_step(part, two, with_groups))
+                steps.append(_step(part, two, with_groups, STEP_BYTES))
                 size += pc.sum(pc.binary_length(part.column("text"))).as_py() or 0
                 if size >= PART_BYTES:
                     yield from _part(steps, number)
