@@ -302,6 +302,7 @@ def coded(docs: DataFrame, a_path: str, b_path: str, with_groups: bool = False)
                     steps, size, number = [], 0, number + 1
         if steps:
             yield from _part(steps, number)
+        two.store.clear()  # a worker outlives its task
 
     return materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _CODED), "aligned")
 

@@ -23,10 +23,17 @@ _LOWER[ord("A") : ord("Z") + 1] += 32
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
+#: Settings of Python workers: large arrays come from the system one by one and go back to it at once, so that a worker that waits for
+#: its next task, and is not Spark's to count, holds little.
+WORKER_ENV = {"MALLOC_MMAP_THRESHOLD_": str(2 << 20), "ARROW_DEFAULT_MEMORY_POOL": "system"}
+
+
 def ship(spark: SparkSession) -> None:
     """Python workers import this package from where the driver has it, unless they find it otherwise."""
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
+    for name, value in WORKER_ENV.items():
+        env.setdefault(name, value)
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [env.get("PYTHONPATH"), root]))
 

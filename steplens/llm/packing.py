@@ -20,7 +20,7 @@ CAPACITY = 2048
 #: Documents whose pieces are packed together, and parts whose sequences that are less than full are.
 PART_DOCS = 4096
 #: Bytes of text that are tokenised at once.
-TOKEN_BYTES = 8 << 20
+TOKEN_BYTES = 4 << 20
 #: Letters of which the tokenizer makes one pre-token whatever stands beside them, and marks that may follow them.
 _PLAIN = r"^(?P<letters>[A-Za-zÀ-ÖØ-öø-įı-ſ]+)(?P<marks>[!-/:-@\[-`{-~]*)$"
 
@@ -159,6 +159,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool
                     names.append("ids")
                 seen += len(n)
                 yield pa.RecordBatch.from_arrays(arrays, names)
+        _store(path).clear()  # a worker outlives its task
 
     kinds = "doc_id long, piece int, start long, length long, ids_crc32 long, salt long" + ", ids array<int>" * with_ids
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, kinds)
