@@ -183,7 +183,9 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, minimiser: int = MINIM
     Two streams leave the documents. Super-k-mers go to the bucket of their minimiser, merged first within each map
     task, so a text that fills a third of the table sends each super-k-mer once a task; buckets that a frequent phrase
     fills in many surroundings are dealt out further. The places where each one stands go by its 128-bit digest to the join with
-    what the buckets found, whose skewed keys Spark splits. Spans of rows equal in doc_id and text are merged as they are gathered.
+    what the buckets found, whose skewed keys Spark splits. All places of a super-k-mer in one text are one row, and those no
+    further apart than a window are one run of it, as what repeats in each is a window at least: few words over and over are
+    one place. Spans of rows equal in doc_id and text are merged as they are gathered.
     """
     ship(docs.sparkSession)
     keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
@@ -228,16 +230,25 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, minimiser: int = MINIM
                 w, first, _, texts = _pieces(part.column("text"), deal)
                 doc = np.searchsorted(w.first, first, side="right") - 1
                 digest = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, texts)), np.int64).reshape(-1, 2)
-                rows = pa.array(doc)
+                order = np.lexsort((first, digest[:, 1], digest[:, 0], doc))
+                doc, digest, at = doc[order], digest[order], (first - w.first[doc])[order]
+                row, run = (np.ones(len(at), bool) for _ in range(2))
+                row[1:] = (np.diff(doc) != 0) | (digest[1:] != digest[:-1]).any(axis=1)
+                run[1:] = row[1:] | (np.diff(at) > window)
+                begin, own = np.flatnonzero(run), np.flatnonzero(row)
+                reach = at[np.append(begin, len(at))[1:] - 1] - at[begin]
+                runs = pa.StructArray.from_arrays([pa.array(x.astype(np.int32)) for x in (at[begin], reach)], ["at", "reach"])
+                runs = pa.ListArray.from_arrays(pa.array(np.append(np.searchsorted(begin, own), len(begin)).astype(np.int32)), runs)
+                rows = pa.array(doc[own])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(digest[:, 0]), pa.array(digest[:, 1]), part.column("doc_id").take(rows), part.column("key").take(rows), pa.array((first - w.first[doc]).astype(np.int32))],
-                    ["d1", "d2", "_sl_id", "_sl_key", "at"],
+                    [pa.array(digest[own, 0]), pa.array(digest[own, 1]), part.column("doc_id").take(rows), part.column("key").take(rows), runs], ["d1", "d2", "_sl_id", "_sl_key", "runs"]
                 )
 
     found = keyed.select("text").mapInArrow(send, "bucket long, block binary").groupBy("bucket").applyInPandas(count, "d1 long, d2 long, off int, n int")
-    places = keyed.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "key").mapInArrow(place, "d1 long, d2 long, _sl_id long, _sl_key long, at int")
-    spans = places.join(found, ["d1", "d2"]).select("_sl_id", "_sl_key", F.struct((F.col("at") + F.col("off")).alias("at"), "n").alias("span"))
-    return spans.groupBy("_sl_id", "_sl_key").agg(F.collect_set("span").alias("_sl_spans"))
+    places = keyed.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "key").mapInArrow(place, "d1 long, d2 long, _sl_id long, _sl_key long, runs array<struct<at:int,reach:int>>")
+    of_runs = F.transform("runs", lambda r: F.struct((r["at"] + F.col("off")).alias("at"), (r["reach"] + F.col("n")).alias("n")))
+    spans = places.join(found, ["d1", "d2"]).select("_sl_id", "_sl_key", of_runs.alias("spans"))
+    return spans.groupBy("_sl_id", "_sl_key").agg(F.flatten(F.collect_set("spans")).alias("_sl_spans"))
 
 
 def _packed(text: pa.Array) -> pa.Array:

@@ -83,3 +83,17 @@ def test_equal_windows_share_a_bucket():
                 at[joined[w.start[i] : w.end[i + 34]]].add(b)
         assert len(seen) == sum(max(0, n - 34) for n in w.counts().tolist())
         assert all(len(b) == 1 for b in at.values())
+
+
+@pytest.mark.parametrize("bucket_bytes", [3 << 20, 300])
+def test_few_words_over_and_over_are_one_place(spark, bucket_bytes):
+    """A text of one word pair had a place for every second window."""
+    pair, phrase = ["p", "q"] * 150, [f"r{i}" for i in range(50)]
+    own = [[f"w{d}x{i}" for i in range(40)] for d in range(6)]
+    texts = [" ".join(o[:20] + pair + o[20:]) for o in own[:4]] + [" ".join(o[:30] + phrase * 5 + o[30:] + pair[:60]) for o in own[4:]] + ["q " + " ".join(pair)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = {r["_sl_id"]: r["_sl_spans"] for r in S.repeated_spans(table, bucket_bytes=bucket_bytes).collect()}
+    assert set(spans) == set(range(7))
+    assert max(len(spans[d]) for d in (0, 1, 2, 3, 6)) <= 8
+    got = {r["doc_id"]: r["n_removed"] for r in S.remove_repeats(table, bucket_bytes=bucket_bytes).collect()}
+    assert [got[d] for d in range(7)] == removed(texts, S.WINDOW)
