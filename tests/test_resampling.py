@@ -35,6 +35,29 @@ def test_draws_of_rows_are_as_many_as_the_rows(spark):
     assert pos[:, 1].mean() == pytest.approx(2, abs=0.2) and pos[:, 1].var() == pytest.approx(2 * 38 / 40, rel=0.2)
 
 
+def test_picks_are_counted_where_they_are_made(spark, monkeypatch):
+    """Picks of rows, which are rows times draws, were one table that met all places in a join."""
+    from steplens.operators import resampling
+
+    runs = [(s, i / 50, 40 + i, i % 7) for s in (35, 36) for i in range(50)] + [(49, 0.5, 1, 1)]
+    h = spark.createDataFrame(runs, "step int, score double, n long, pos long")
+    want = {}
+    for s in (35, 36, 49):
+        rows = [(x, y) for _, x, n, pos in sorted((r for r in runs if r[0] == s), reverse=True) for y in [1] * pos + [0] * (n - pos)]
+        for d in range(20):
+            for slot in range(len(rows)):
+                x, y = rows[int(resampling.mixed(np.int64(d * 7919 + (slot * 64 + s) * 104729 + 2 * 15485863))) % len(rows)]
+                n, pos = want.get((d, x), (0, 0))
+                want[d, x] = n + 1, pos + y
+    monkeypatch.setattr(resampling, "SLOTS", 100)
+    monkeypatch.setattr(resampling, "UNIT_SLOTS", 700)
+    for most_runs in (joins.MOST_RUNS, 60, 0):
+        found = joins.row_draws(h, 20, most_runs=most_runs)
+        assert {(r["draw"], r["score"]): (r["n"], r["pos"]) for r in found.collect()} == want
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan and ("Join" in plan) == (most_runs < 100)
+
+
 @pytest.mark.parametrize("grid", [ranking.GRID, [0.05, 0.3, 0.31, 0.8]])
 def test_the_best_tau_against_trying_all(spark, grid):
     rng = random.Random(6)
