@@ -85,11 +85,19 @@ def cross_reference(t: Tables) -> DataFrame:
     return I.cross_reference(_sets(t))
 
 
+#: Lines of a table whose keys one task sorts.
+PART_ROWS = 1 << 20
+
+
 @query("blank_equals_linkless", """select (select count(*) from (select tx_id from tx except select tx_id from tx_addr except select o_orderkey from orders where o_orderkey not in (select l_orderkey from lineitem))) only_left,
     0::bigint only_right, (select count(*) from (select tx_id from tx except select tx_id from tx_addr except select o_orderkey from orders where o_orderkey not in (select l_orderkey from lineitem))) = 0 "equal" """)
 def blank_equals_linkless(t: Tables) -> DataFrame:
-    blank = t.raw("orders").join(t.raw("lineitem").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_anti").select("o_orderkey")
-    linkless = t.tx.join(t.tx_addr, "tx_id", "left_anti").select("tx_id")
+    # Keys in order shrink so much as they travel that tasks put together by bytes would sort tens of millions of them at once.
+    parts = max(8, t.lines.count() // PART_ROWS)
+    # Whether there is a link does not depend on how often it stands, so none are gathered first.
+    lines = t.lines.select("tx_id").repartition(parts, "tx_id")
+    blank = t.raw("orders").select(F.col("o_orderkey").alias("tx_id")).repartition(parts, "tx_id").join(lines, "tx_id", "left_anti")
+    linkless = t.tx.select("tx_id").repartition(parts, "tx_id").join(lines, "tx_id", "left_anti")
     return I.sets_equal(blank, linkless)
 
 
