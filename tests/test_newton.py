@@ -51,3 +51,17 @@ def test_classes_that_a_line_parts_and_empty_tables(spark):
     assert all(np.isfinite([*r["w"], r["c"]])) and all((r["w"][0] * i + r["c"] > 0) == (i > 5) for i in range(12))
     assert newton.fit_windows(df.limit(0), [(1, 1, False)], ["a", "b"]).collect() == []
     assert newton.fit_windows(df.where("y = 1"), [(1, 1, False)], ["a", "b"]).collect() == []
+
+
+def test_repeated_rows_are_passed_over_once(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(s, int(rng.random() < 0.5), rng.gauss(0, 1) if rng.random() < 0.9 else None, rng.gauss(0, 1)) for s in (1, 2, 3, 4) for _ in range(25)]
+    written, write = [], newton.materialise
+    monkeypatch.setattr(newton, "materialise", lambda df, name: written.append(write(df, name)) or written[-1])
+    df = spark.createDataFrame(rows * 40 + rows[:30], "step int, y int, a double, b double").repartition(3)
+    windows = [(1, 4, True), (2, 3, False), (1, 1, False)]
+    got = {(r["first"], r["last"], r["weighted"]): (r["w"], r["c"]) for r in newton.fit_windows(df, windows, ["a", "b"]).collect()}
+    assert [t.count() for t in written] == [len(rows)]
+    for window in windows:
+        want, constant = plain(rows * 40 + rows[:30], window)
+        assert got[window][0] == pytest.approx(want, rel=1e-5) and got[window][1] == pytest.approx(constant, rel=1e-5)
