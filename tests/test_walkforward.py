@@ -116,3 +116,28 @@ def test_score_shift_needs_two_labelled_steps(spark):
 def test_streaks_of_local_drift(spark):
     df = spark.createDataFrame([(35, 40.0), (36, 31.0), (37, 10.0), (38, None), (39, 30.0)], "step int, local_percent double")
     assert {r["step"]: r["streak"] for r in monitor.local_streak(df).collect()} == {35: 1, 36: 2, 37: 0, 38: 0, 39: 1}
+
+
+def test_rows_alike_are_scored_once_and_equal_models_share_their_scores(spark):
+    _, df = labelled(spark)
+    df = df.withColumn("a", F.round("a", 1)).withColumn("b", F.lit(0.5))
+    many = df.withColumn("tx_id", F.explode(F.array(*[F.col("tx_id") + 1_000_000 * k for k in range(5)])))
+    plan = spark.createDataFrame([("expanding", k, t, 1, t - k, False) for k in (1, 2) for t in (6, 7)] + [("static", k, 7, 1, 4, False) for k in (1, 2)], "policy string, lag int, t int, first int, last int, weighted boolean")
+    scored, uses = W.walk_forward(many, plan, counts_of(many), ["a", "b"])
+    h, shared = W.walk_counts(many, plan, counts_of(many), ["a", "b"])
+    models_of = {(r["policy"], r["lag"], r["t"]): r["model"] for r in shared.collect()}
+    assert models_of["static", 1, 7] == models_of["static", 2, 7] and len(set(models_of.values())) == 5
+    want = {(r["policy"], r["lag"], r["step"], r["score"]): (r["n"], r["pos"]) for r in scored.where("y IS NOT NULL").groupBy("policy", "lag", "step", "score").agg(F.count("*").alias("n"), F.sum("y").alias("pos")).collect()}
+    got = {(r["policy"], r["lag"], r["t"], r["score"]): (r["n"], r["pos"]) for r in h.join(shared.select("policy", "lag", "t", "model"), "model").collect()}
+    assert got == want
+    columns = ["policy", "lag", "t", "fit_last", "last", "tau", "holdout_ap"]
+    assert sorted(map(tuple, uses.select(columns).collect())) == sorted(map(tuple, shared.select(columns).collect()))
+    known = W.alike(many, ["step", "y", "a", "b"])
+    assert known.count() == df.where("y IS NOT NULL").select("step", "y", "a", "b").distinct().count()
+    assert known.agg(F.sum("_n")).first()[0] == many.where("y IS NOT NULL").count()
+
+
+def test_no_row_meets_models_of_other_steps(spark):
+    _, df = labelled(spark, steps=14)
+    scored, _ = W.monitor_triggered_policy(df, counts_of(df), ["a", "b"], 6, 14, 0.6)
+    assert "NestedLoop" not in scored._jdf.queryExecution().executedPlan().toString()
