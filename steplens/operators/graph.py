@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from steplens.operators.components import connected_components
 from steplens.operators.joins import asof_prior_snapshot
 from steplens.operators.windows import lag_k
+from steplens.sources.scratch import materialise, parts_for
 
 
 def degrees(nodes: DataFrame, edges: DataFrame, node: str, src: str, dst: str) -> DataFrame:
@@ -119,9 +120,13 @@ def address_history_mean(addresses: DataFrame, snapshots: DataFrame, value: str,
 
 def lag_features(membership: DataFrame, steps: DataFrame, snapshots: DataFrame, values: list[str]) -> DataFrame:
     """For each transaction the means over its addresses of their latest ``values`` strictly before its step, 0 without any,
-    whether there is any, and the share of addresses that have one. All values travel in one as-of pass."""
-    events = membership.select("tx_id", "address").distinct().join(steps.select("tx_id", "step"), "tx_id")
-    seen = asof_prior_snapshot(events, snapshots.select("address", "step", F.struct(*values).alias("_all")), "address", "step", "_all", ["tx_id"])
+    whether there is any, and the share of addresses that have one. All values travel in one as-of pass. ``membership`` may repeat rows. Rows
+    are dealt by their number, so that no task grows with the tables, and none are gathered before they travel, as nearly all differ."""
+    parts = parts_for(membership.count())
+    own = membership.select("tx_id", "address").repartition(parts, "tx_id").distinct()
+    events = materialise(own.join(steps.select("tx_id", "step").repartition(parts, "tx_id"), "tx_id").select("tx_id", "address", "step"), "events")
+    seen = asof_prior_snapshot(events, snapshots.select("address", "step", F.struct(*values).alias("_all")), "address", "step", "_all", ["tx_id"], parts=parts)
+    seen = seen.select("tx_id", "prior_value").repartition(parts, "tx_id")
     means = [F.coalesce(F.avg(F.col("prior_value")[v]), F.lit(0.0)).alias(f"lag_mean_{v}") for v in values]
     return seen.groupBy("tx_id").agg(*means, (F.count("prior_value") > 0).cast("int").alias("has_history"), (F.count("prior_value") / F.count("*")).alias("share"))
 
